@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from . import packing, token_files
+from . import packing, token_files, warc
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
+    "op2_warc": warc.op2_warc,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op2_warc": warc.OP2_SQL,
+}
