@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import packing, secret_scan, token_files, warc
+from . import jaccard, packing, secret_scan, token_files, warc
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
     "op2_warc": warc.op2_warc,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op8_jaccard_join": jaccard.op8_jaccard_join,
     "op9_secret_scan": secret_scan.op9_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": warc.OP2_SQL,
+    "op8_jaccard_join": jaccard.OP8_SQL,
     "op9_secret_scan": secret_scan.OP9_SQL,
 }
