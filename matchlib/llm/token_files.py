@@ -194,7 +194,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str
 def read_token_files(manifest: DataFrame, digest_only: bool = False) -> DataFrame:
     """The documents of the shards: doc_id, start (ids of all documents before it), n_tokens, and ids as little-endian uint32, or with digest_only their crc32 as ids_crc32."""
     order = Window.orderBy("part", "seq")  # a row for each shard, not for each document
-    shards = manifest.withColumn("base", F.sum("n_ids").over(order) - F.col("n_ids")).select("shard", "base").repartition(F.col("shard"))
+    shards = manifest.withColumn("base", F.sum("n_ids").over(order) - F.col("n_ids")).select("shard", "base").repartition(max(1, manifest.count()), "shard")
 
     def read(batches):
         for batch in batches:

@@ -179,7 +179,7 @@ def read_warc(manifest: DataFrame, with_payload: bool = True) -> DataFrame:
         names = ("page_id", "url", "record_type", "refers_to", "payload_bytes", "payload_digest", "payload")
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
 
-    return manifest.select("archive").repartition(F.col("archive")).mapInArrow(read, RECORDS)
+    return manifest.select("archive").repartition(max(1, manifest.count()), "archive").mapInArrow(read, RECORDS)
 
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
