@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
-from . import jaccard, packing, secret_scan, token_files, warc
+from . import embedding_dedup, jaccard, packing, secret_scan, token_files, warc
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
     "op2_warc": warc.op2_warc,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
+    "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
     "op8_jaccard_join": jaccard.op8_jaccard_join,
     "op9_secret_scan": secret_scan.op9_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op2_warc": warc.OP2_SQL,
+    "op6_embedding_dedup": embedding_dedup.OP6_SQL,
     "op8_jaccard_join": jaccard.OP8_SQL,
     "op9_secret_scan": secret_scan.OP9_SQL,
 }
