@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, embedding_dedup, jaccard, language, packing, secret_scan, token_files, warc
+from . import decontamination, embedding_dedup, html_text, jaccard, language, packing, secret_scan, token_files, warc
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
     "op2_warc": warc.op2_warc,
+    "op3_html_text": html_text.op3_html_text,
     "op4_language_id": language.op4_language_id,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
