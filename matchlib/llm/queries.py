@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, embedding_dedup, html_text, jaccard, language, packing, secret_scan, token_files, warc
+from . import decontamination, embedding_dedup, html_text, jaccard, language, packing, quality, secret_scan, token_files, warc
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_language_id": language.op4_language_id,
     "op5_best_fit_packing": packing.op5_best_fit_packing,
     "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
+    "op7_quality_classifier": quality.op7_quality_classifier,
     "op8_jaccard_join": jaccard.op8_jaccard_join,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_decontamination": decontamination.op10_decontamination,
