@@ -65,60 +65,62 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, most: int = MOST) ->
     return {"langs": langs, "words": _log_frequencies(word_rows, langs, lambda w: 0), "grams": _log_frequencies(gram_rows, langs, len)}
 
 
-def _log_frequencies(rows: list, langs: list[str], kind) -> dict[str, np.ndarray]:
-    """Log relative frequencies by language among the rows of one kind, with half a count added."""
+def _log_frequencies(rows: list, langs: list[str], kind) -> dict[str, tuple[float, ...]]:
+    """Log relative frequencies by language, among the rows of one kind, with half a count added."""
     place = {x: i for i, x in enumerate(langs)}
     counts: dict[str, np.ndarray] = {}
     totals: dict[int, np.ndarray] = {}
     for r in rows:
         counts.setdefault(r["word"], np.zeros(len(langs)))[place[r["lang"]]] += r["n"]
         totals.setdefault(kind(r["word"]), np.zeros(len(langs)))[place[r["lang"]]] += r["n"]
-    return {w: np.log((c + 0.5) / (totals[kind(w)] + 1)) for w, c in counts.items()}
+    return {w: tuple(np.log((c + 0.5) / (totals[kind(w)] + 1)).tolist()) for w, c in counts.items()}
 
 
 def letters_of(token: str) -> list[str]:
-    """The runs of letters of a token, in lower case."""
-    return "".join(c if c.isalpha() else " " for c in token.lower()).split()
+    """The runs of letters of a token in lower case."""
+    return [token] if token.isalpha() else "".join(c if c.isalpha() else " " for c in token).split()
 
 
-def word_scores(word: str, model: dict) -> np.ndarray:
+def word_scores(word: str, model: dict) -> tuple[float, ...]:
     """The log frequencies of a word, or the mean of those of its longest known n-grams."""
     known = model["words"].get(word)
     if known is not None:
         return known
-    marked = f"_{word}_"
+    marked, grams = f"_{word}_", model["grams"]
     for k in range(min(LONGEST, len(marked)), 0, -1):
-        found = [s for i in range(len(marked) - k + 1) if (s := model["grams"].get(marked[i : i + k])) is not None]
+        found = [s for i in range(len(marked) - k + 1) if (s := grams.get(marked[i : i + k])) is not None]
         if found:
-            return np.mean(found, axis=0)
-    return np.zeros(len(model["langs"]))
+            return tuple([sum(x) / len(found) for x in zip(*found)])
+    return (0.0,) * len(model["langs"])
 
 
 class Scorer(dict):
     """For a token: the row of its summed word scores and its number of words in a table that grows with the tokens seen, up to a bound."""
 
-    def __init__(self, model: dict, most: int = 300_000):
+    def __init__(self, model: dict, most: int = 700_000):
         super().__init__()
         self.model, self.most = model, most
         self.table = np.zeros((most + 1, len(model["langs"]) + 1), dtype=np.float32)
 
     def __missing__(self, token: str) -> int:
         row = len(self) + 1
-        value = self.table[row]
-        value[:] = 0
-        for word in letters_of(token):
-            value[:-1] += word_scores(word, self.model)
-            value[-1] += 1
+        words = letters_of(token)
+        if len(words) == 1:
+            self.table[row] = (*word_scores(words[0], self.model), 1.0)
+        else:
+            scores = [word_scores(w, self.model) for w in words]
+            self.table[row] = (*map(sum, zip(*scores)), len(words)) if scores else 0.0
         self[token] = row
         return row
 
     def predict(self, text: str | None) -> tuple[str, float]:
         total = np.zeros(self.table.shape[1])
-        tokens = (text or "").split()
+        tokens = (text or "").lower().split()
         for i in range(0, len(tokens), 50_000):
-            if len(self) + 50_000 > self.most:
+            part = tokens[i : i + 50_000]
+            if len(self) + len(part) > self.most:
                 self.clear()
-            rows = np.fromiter(map(self.__getitem__, tokens[i : i + 50_000]), dtype=np.int64)
+            rows = np.fromiter(map(self.__getitem__, part), dtype=np.int64, count=len(part))
             total += self.table[rows].sum(axis=0, dtype=np.float64)
         n = total[-1]
         if not n or len(total) == 1:

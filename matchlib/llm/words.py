@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 
 import numpy as np
+import xxhash
 
 _WORD = re.compile(r"[^\W_]+")
 
 
 class WordHashes(dict):
-    """For what stands between white space: the 8-byte hashes of its words (runs of letters and digits, in lower case). Keeps what it has seen, up to a bound."""
+    """For what stands between white space, in lower case: the 8-byte hashes of its words (runs of letters and digits). Keeps what it has seen, up to a bound."""
 
-    def __init__(self, most: int = 400_000):
+    def __init__(self, most: int = 700_000):
         super().__init__()
         self.most = most
 
     def __missing__(self, token: str) -> bytes:
-        value = b"".join(hashlib.blake2b(w.encode("utf-8", "replace"), digest_size=8).digest() for w in _WORD.findall(token.lower()))
+        words = [token] if token.isalnum() else _WORD.findall(token)
+        value = b"".join([xxhash.xxh3_64_digest(w.encode("utf-8", "replace")) for w in words])
         if len(self) >= self.most:
             self.clear()
         self[token] = value
@@ -26,7 +27,7 @@ class WordHashes(dict):
 
     def of(self, text: str | None) -> np.ndarray:
         """The words' hashes (uint64), in order."""
-        return np.frombuffer(b"".join(map(self.__getitem__, (text or "").split())), dtype=np.uint64)
+        return np.frombuffer(b"".join(map(self.__getitem__, (text or "").lower().split())), dtype=np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
