@@ -105,7 +105,7 @@ STAGES = ["group", "r32", "r16", "qf", "sf", "third", "final", "champion"]
 def stage_tally(outcomes: DataFrame, stages: list[str] = STAGES) -> DataFrame:
     """For each team of outcomes(sim_id, team, stage): the share of runs that ended at each stage, 0 where none did."""
     n = outcomes.agg(F.countDistinct("sim_id").alias("_n"))
-    counts = outcomes.groupBy("team").pivot("stage", stages).agg(F.count("*"))
+    counts = outcomes.groupBy("team").pivot("stage", stages).agg(F.count(F.lit(1)))
     return counts.crossJoin(F.broadcast(n)).select("team", *(F.round(F.coalesce(s, F.lit(0)) / F.col("_n"), 4).alias(s) for s in stages))  # one row
 
 
