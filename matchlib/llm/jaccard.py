@@ -208,10 +208,10 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, tole
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of docs for each component, that with the least doc_id; of repeated rows, one. Documents without words all stay."""
-    mine = jaccard_join(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct()
-    hashed = docs.withColumn("_h", F.xxhash64("text"))
-    kept = hashed.join(mine, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_h") == F.col("_hash")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_h"]).select(docs.columns)
+    mine = jaccard_join(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "text_hash").distinct().alias("m")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")).alias("r")
+    kept = rows.join(mine, F.col("r.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("r.text_hash") == F.col("m.text_hash")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text_hash"]).select("row.*")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

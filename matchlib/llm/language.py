@@ -152,9 +152,9 @@ def predicted(docs: DataFrame, model: dict) -> DataFrame:
 
 def keep_identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
     """The rows of docs(doc_id, text, lang, ...) whose language is identified with at least least_score."""
-    mine = docs.select(F.struct(docs.columns).alias("_row"), "text")
+    mine = docs.select(F.struct(*docs.columns).alias("row"), "text")
     found = predicted(mine, learn(docs))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select("_row.*")
+    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least_score)).select("row.*")
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -120,20 +120,22 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mask_secrets(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     """docs with each stretch covered by spans of secrets replaced by mask; every row is kept, and n_chars, if there is one, follows the text."""
-    found = find_secrets(docs.select("doc_id", "text")).where("size(spans) > 0").dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans"))
+    found = find_secrets(docs.select("doc_id", "text")).where("size(spans) > 0").dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", "spans").alias("f")
     text = F.coalesce("text", F.lit(""))
-    joined = docs.withColumn("_h", F.xxhash64(text)).join(found, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_h") == F.col("_hash")), "left")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", text.alias("text"), F.xxhash64(text).alias("text_hash")).alias("r")
+    joined = rows.join(found, F.col("r.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("r.text_hash") == F.col("f.text_hash")), "left").select("row", "text", "spans")
+    text = F.col("text")
 
     def add(acc: Column, s: Column) -> Column:
         more = F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mask))
         return F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(s["end"].alias("at"), more.alias("out")))
 
     whole = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2147483647)))
-    masked = F.aggregate("_spans", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), add, whole)
-    out = joined.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(masked))
+    masked = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), add, whole)
+    row = F.col("row").withField("text", masked)
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
-    return out.select(docs.columns)
+        row = row.withField("n_chars", F.length(masked).cast(docs.schema["n_chars"].dataType))
+    return joined.select(F.when(F.col("spans").isNull(), F.col("row")).otherwise(row).alias("row")).select("row.*")
 
 
 def _sql() -> str:
