@@ -18,7 +18,7 @@ def connect(sf: str = SF):
 
 
 def plain(x):
-    if x is None or x is pd.NaT or (isinstance(x, float) and x != x):
+    if x is None or x is pd.NaT or x is pd.NA or (isinstance(x, float) and x != x):
         return None
     if isinstance(x, (bool, np.bool_)):
         return bool(x)
