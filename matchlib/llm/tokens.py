@@ -11,8 +11,9 @@ import numpy as np
 _CHUNK = re.compile(r"\s*\S+|\s+")
 _ODD_SPACE = re.compile(r"[^\S \n\t\r]")
 _NOT_SIMPLE = re.compile(r"[ \n]{2}|[^\S \n]")
-#: Letters that have one normal form and one lower case, then signs that are no apostrophe.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?*%$&#|()=\"/-]*)")
+_ASCII_SPACE = ("  ", "\n\n", " \n", "\n ", "\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f")
+#: A space, letters that have one normal form and one lower case, then signs that are no apostrophe.
+_PLAIN = re.compile(r"([ \n]?)([A-Za-zÀ-ÖØ-öø-ÿ]*)([.,;:!?*%$&#|()=\"/-]*)")
 _ENCODERS: dict = {}
 
 
@@ -51,7 +52,7 @@ class Encoder:
     whole way.
     """
 
-    def __init__(self, path: str, cache_entries: int = 600_000):
+    def __init__(self, path: str, cache_entries: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -78,12 +79,12 @@ class Encoder:
         return array("I", [t.id for t in self.tokenizer.model.tokenize(mapped)]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        bare = chunk.strip(" \n")
-        lead = chunk[: len(chunk) - len(bare)]
-        plain = _PLAIN.fullmatch(bare)
-        if plain is None or not bare or lead not in ("", " ", "\n") or not chunk.endswith(bare):
+        plain = _PLAIN.fullmatch(chunk)
+        if plain is None:
+            return self._whole(chunk)
+        lead, letters, marks = plain.groups()
+        if not letters and not marks:
             return self._whole(chunk)
-        letters, marks = plain.groups()
         if self.drops_space:
             letters, lead = letters.lower(), ""
         out = b""
@@ -94,7 +95,7 @@ class Encoder:
         return out + self.pieces[lead + marks] if marks else out
 
     def encode(self, text: str) -> bytes:
-        if _NOT_SIMPLE.search(text):
+        if any(map(text.__contains__, _ASCII_SPACE)) if text.isascii() else _NOT_SIMPLE.search(text):
             if _ODD_SPACE.search(text):
                 return self._whole(text)
             return b"".join(map(self.chunks.__getitem__, _CHUNK.findall(text)))
