@@ -97,7 +97,7 @@ def word_scores(word: str, model: dict) -> tuple[float, ...]:
 class Scorer(dict):
     """For a token: the row of its summed word scores and its number of words in a table that grows with the tokens seen, up to a bound."""
 
-    def __init__(self, model: dict, most: int = 700_000):
+    def __init__(self, model: dict, most: int = 500_000):
         super().__init__()
         self.model, self.most = model, most
         self.table = np.zeros((most + 1, len(model["langs"]) + 1), dtype=np.float32)
