@@ -38,6 +38,11 @@ def mean(x: Column | str, n: int, default: float) -> Column:
     return F.coalesce(F.avg(x).over(before(n)), F.lit(default))
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that f uses several times, so that a window frame is gathered once for it."""
+    return F.transform(F.array(value), f)[0]
+
+
 def form(ns: tuple[int, ...] = (3, 5, 10)) -> dict[str, Column]:
     return {f"form_w{n}": mean("points", n, 1.5) for n in ns}
 
@@ -55,11 +60,14 @@ def recency(n: int = 5, halflife: float = 180.0) -> dict[str, Column]:
     past = F.collect_list(F.struct("date", "points", "gf", "ga")).over(before(n))
 
     def weighted(field: str, default: float) -> Column:
-        last = F.element_at(past, -1)["date"]
-        weight = lambda s: F.pow(F.lit(0.5), F.datediff(last, s["date"]) / halflife)
-        zero = F.lit(0.0)
-        total = F.aggregate(past, F.struct(zero.alias("x"), zero.alias("w")), lambda a, s: F.struct((a["x"] + weight(s) * s[field]).alias("x"), (a["w"] + weight(s)).alias("w")), lambda a: a["x"] / a["w"])
-        return F.when(F.size(past) > 0, total).otherwise(F.lit(default))
+        zero = F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("w"))
+
+        def total(p: Column) -> Column:
+            last = F.element_at(p, -1)["date"]
+            weight = lambda s: F.pow(F.lit(0.5), F.datediff(last, s["date"]) / halflife)
+            return F.aggregate(p, zero, lambda a, s: F.struct((a["x"] + weight(s) * s[field]).alias("x"), (a["w"] + weight(s)).alias("w")), lambda a: a["x"] / a["w"])
+
+        return once(past, lambda p: F.when(F.size(p) > 0, total(p)).otherwise(F.lit(default)))
 
     return {f"form_rw{n}": weighted("points", 1.5), f"attack_rw{n}": weighted("gf", 1.0), f"defense_rw{n}": weighted("ga", 1.0)}
 
@@ -77,10 +85,11 @@ def form_by_venue(n: int = 5, kept: int = 30) -> dict[str, Column]:
     past = F.collect_list(F.struct("is_home", "points")).over(before(kept))
 
     def at(home: bool) -> Column:
-        mine = F.filter(past, lambda s: s["is_home"] == F.lit(home))
-        last = F.slice(mine, -F.least(F.lit(n), F.size(mine)), n)
-        total = F.aggregate(last, F.lit(0.0), lambda a, s: a + s["points"], lambda a: a / F.size(last))
-        return F.when(F.size(mine) > 0, total).otherwise(F.lit(1.5))
+        def average(mine: Column) -> Column:
+            last = F.slice(mine, -F.least(F.lit(n), F.size(mine)), n)
+            return F.when(F.size(mine) > 0, F.aggregate(last, F.lit(0.0), lambda a, s: a + s["points"], lambda a: a / F.size(last))).otherwise(F.lit(1.5))
+
+        return once(F.filter(past, lambda s: s["is_home"] == F.lit(home)), average)
 
     return {f"home_form_w{n}": at(True), f"away_form_w{n}": at(False)}
 
@@ -100,9 +109,11 @@ def streaks(cap: int = 10) -> dict[str, Column]:
     past = F.collect_list("points").over(before(cap))
 
     def run(ok: Callable[[Column], Column]) -> Column:
-        newest = F.reverse(past)
-        broken = F.array_position(F.transform(newest, lambda p: ~ok(p)), F.lit(True))
-        return F.when(broken > 0, broken.cast("int") - 1).otherwise(F.size(past))
+        def length(newest: Column) -> Column:
+            broken = F.array_position(F.transform(newest, lambda p: ~ok(p)), F.lit(True))
+            return F.when(broken > 0, broken.cast("int") - 1).otherwise(F.size(newest))
+
+        return once(F.reverse(past), length)
 
     return {"win_streak": run(lambda p: p == 3), "unbeaten_streak": run(lambda p: p >= 1), "loss_streak": run(lambda p: p == 0)}
 
