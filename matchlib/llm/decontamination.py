@@ -1,18 +1,19 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: rare word and pair seeds, then Smith-Waterman alignment.
 
 The benchmark is a stated query set, taken in blocks of ``ITEMS_AT_ONCE`` items
-against all documents. In a first pass each task counts in how many documents
-each n-gram of the items occurs. Of every ``STRETCH`` neighbouring n-grams of an
-item the one that the corpus holds least often becomes a seed, so every stretch
-of an item has one, however common. In a second pass seeds found in a document
-open a window around them; if enough of the item's words stand in it, window and
-item are aligned word by word.
+against all documents. In a first pass each task counts how often the items'
+words and word pairs occur in every ``COUNTED``-th document; the counts order
+seeds and decide nothing else. The rarest words and pairs of an item become
+seeds, so many that every leak, by its score, holds some of them (see ``Items``).
+In a second pass seeds found in a document open a window around them; if enough
+of the item's words and pairs stand in it, window and item are aligned word by
+word. So the leaks are those of an alignment of every item with every document.
 
 A leak is an alignment that scores at least ``LEAST_SHARE`` of the item's best
 score, or that of ``LONG`` words.
 
 Defined results: null and empty texts and items match nothing, nor do items of
-fewer than ``SEED`` words; items of equal texts are each reported; repeated
+fewer than ``FEWEST`` words; items of equal texts are each reported; repeated
 documents are each reported; of several places in a document the best is (the
 first, should they tie); rows with a null doc_id or item_id are kept; an empty
 table gives no rows; other columns are not read.
@@ -20,6 +21,8 @@ table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,12 +30,13 @@ from pyspark.sql import functions as F
 
 from .words import WORDS, ngrams
 
-SEED = 3
-STRETCH = 2
+FEWEST = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SHARE = 0.5
 LONG = 40
 ITEMS_AT_ONCE = 20_000
+HITS_SHARE = (1, 5)
+COUNTED = 16
 HITS = "doc_id long, item_id long, score double, first_word long, last_word long"
 
 
@@ -64,18 +68,43 @@ def align(window: np.ndarray, item: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
+def least_score(n: int) -> int:
+    """The least score of a leak of an item of n words."""
+    return math.ceil(min(LEAST_SHARE * MATCH * n, MATCH * LONG))
+
+
+def tokens_of(words: np.ndarray) -> np.ndarray:
+    """The hashes of the words and then of the word pairs of a text."""
+    return np.concatenate([ngrams(words, 1), ngrams(words, 2)]) if len(words) > 1 else ngrams(words, 1)
+
+
 class Items:
-    """A block of benchmark items, and where their n-grams stand."""
+    """A block of benchmark items, and where their words and word pairs stand.
+
+    An alignment of m matched words in r runs scores at most MATCH * m - (r - 1),
+    so m words and m - r pairs of its item, m + (m - r) >= score - 1 of them,
+    stand in the document. Of an item's 2n - 1 words and pairs a leak thus misses
+    2n - least at most: any 2n - least + need of them are enough as seeds, of which
+    need are hit.
+    """
 
     def __init__(self, rows: list[tuple[int | None, str | None]]):
         self.ids, self.words = [], []
         for item_id, text in rows:
             words = WORDS.of(text)
-            if len(words) >= SEED:
+            if len(words) >= FEWEST:
                 self.ids.append(item_id)
                 self.words.append(words)
-        grams = [ngrams(w, SEED) for w in self.words]
-        self.set_grams(np.concatenate(grams) if grams else np.empty(0, np.uint64), np.repeat(np.arange(len(grams)), [len(g) for g in grams]), np.concatenate([np.arange(len(g)) for g in grams]) if grams else np.empty(0, np.int64))
+        self.size = np.array([len(w) for w in self.words], dtype=np.int64)
+        self.least = np.array([least_score(len(w)) for w in self.words], dtype=np.int64)
+        # gaps that a leak has room for
+        self.slack = MATCH * self.size - self.least
+        self.need = np.ones(len(self.words), dtype=np.int64)
+        self.own = [tokens_of(w) for w in self.words]
+        if self.words:
+            self.set_grams(np.concatenate(self.own), np.repeat(np.arange(len(self.own)), 2 * self.size - 1), np.concatenate([np.concatenate([np.arange(n), np.arange(n - 1)]) for n in self.size]))
+        else:
+            self.set_grams(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
 
     def set_grams(self, grams: np.ndarray, items: np.ndarray, places: np.ndarray) -> None:
         order = np.argsort(grams, kind="stable")
@@ -84,7 +113,7 @@ class Items:
         self.filter[(self.grams & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
     def found(self, grams: np.ndarray) -> np.ndarray:
-        """The places in grams that hold one of these n-grams."""
+        """The places in grams that hold one of these words or pairs."""
         at = np.flatnonzero(self.filter[(grams & np.uint64((1 << 22) - 1)).astype(np.int64)])
         if not len(at) or not len(self.grams):
             return at[:0]
@@ -92,51 +121,60 @@ class Items:
         return at[self.grams[i] == grams[at]]
 
     def keep_seeds(self, frequency: dict[int, int]) -> None:
-        """Keeps, of each STRETCH neighbouring n-grams of an item, the one with the least frequency (the first, should they tie)."""
+        """Keeps of each item the words and pairs with the least frequency, as many as a leak can't do without: ``need`` of them stand in each. The frequency decides how fast leaks are found, not which."""
         often = np.array([frequency.get(int(g), 0) for g in self.grams.astype(np.int64)])
-        order = np.lexsort((self.places, often, self.places // STRETCH, self.items))
-        stretch = np.stack([self.items[order], self.places[order] // STRETCH])
-        first = np.ones(len(order), dtype=bool)
-        first[1:] = (stretch[:, 1:] != stretch[:, :-1]).any(axis=0)
-        kept = order[first]
+        parts, must = 2 * self.size - 1, self.least - 1
+        self.need = np.maximum(1, must * HITS_SHARE[0] // HITS_SHARE[1])
+        order = np.lexsort((self.places, often, self.items))
+        begin = np.concatenate([[0], np.cumsum(parts)[:-1]])
+        rank = np.arange(len(order)) - np.repeat(begin, parts)
+        kept = order[rank < np.repeat(parts - must + self.need, parts)]
         self.set_grams(self.grams[kept], self.items[kept], self.places[kept])
 
     def leaks(self, words: np.ndarray) -> list[tuple[int, float, int, int]]:
         """(item, share of its best score, first, last word) for each item that leaks into words."""
-        if len(words) < SEED:
+        if not len(words):
             return []
-        grams = ngrams(words, SEED)
-        at = self.found(grams)
+        tokens = tokens_of(words)
+        at = self.found(tokens)
         if not len(at):
             return []
-        low, high = np.searchsorted(self.grams, grams[at], "left"), np.searchsorted(self.grams, grams[at], "right")
+        low, high = np.searchsorted(self.grams, tokens[at], "left"), np.searchsorted(self.grams, tokens[at], "right")
         many = high - low
         row = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        item, begin = self.items[row], np.repeat(at, many) - self.places[row]
+        item = self.items[row]
+        # most items have too few hits in the whole document
+        able = np.bincount(item, minlength=len(self.size))[item] >= self.need[item]
+        if not able.any():
+            return []
+        item, row, at = item[able], row[able], np.repeat(at, many)[able]
+        begin = np.where(at < len(words), at, at - len(words)) - self.places[row]
         out = []
         order = np.lexsort((begin, item))
-        item, begin = item[order], begin[order]
+        item, begin, row = item[order], begin[order], row[order]
         # a window for each run of starts that lie close to each other
-        size = np.array([len(w) for w in self.words])
         new = np.ones(len(item), dtype=bool)
-        new[1:] = (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > size[item[1:]])
-        edges = [*np.flatnonzero(new), len(item)]
+        new[1:] = (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > np.maximum(self.size, self.slack)[item[1:]])
+        edges = np.append(np.flatnonzero(new), len(item))
         best: dict[int, tuple[int, int, int]] = {}
-        for a, b in zip(edges[:-1], edges[1:]):
+        full = np.flatnonzero(np.diff(edges) >= self.need[item[edges[:-1]]])
+        for a, b in zip(edges[full].tolist(), edges[full + 1].tolist()):
             k = int(item[a])
-            own, n = self.words[k], int(size[k])
-            least = min(LEAST_SHARE * MATCH * n, MATCH * LONG)
-            lo, hi = max(0, int(begin[a]) - n // 2), min(len(words), int(begin[b - 1]) + n + n // 2)
-            window = words[lo:hi]
-            if np.isin(own, window).sum() * MATCH < least:
+            if len(set(row[a:b].tolist())) < self.need[k]:
                 continue
+            own, n, least, slack = self.words[k], int(self.size[k]), int(self.least[k]), int(self.slack[k])
+            lo, hi = max(0, int(begin[a]) - slack), min(len(words), int(begin[b - 1]) + n + slack)
             # of a run of many copies a window grows long: it is aligned in overlapping parts
-            for p in range(0, len(window), 4 * n):
-                score, first, last = align(window[p : p + 6 * n], own)
+            for p in range(lo, hi, 4 * n):
+                end = min(hi, p + 5 * n + slack)
+                window = words[p:end]
+                if np.isin(self.own[k], np.concatenate([tokens[p:end], tokens[len(words) + p : len(words) + end - 1]])).sum() < least - 1:
+                    continue
+                score, first, last = align(window, own)
                 if score >= least and score > best.get(k, (0,))[0]:
-                    best[k] = (score, lo + p + first, lo + p + last)
+                    best[k] = (score, p + first, p + last)
         for k, (score, first, last) in sorted(best.items()):
-            out.append((k, score / (MATCH * int(size[k])), first, last))
+            out.append((k, score / (MATCH * int(self.size[k])), first, last))
         return out
 
 
@@ -166,16 +204,13 @@ def _seeded(docs: DataFrame, benchmark: DataFrame, items_at_once: int):
             mine = shared.value
             counts = np.zeros(len(mine.grams), dtype=np.int64)
             for batch in batches:
-                for text in batch.column("text").to_pylist():
-                    words = WORDS.of(text)
-                    if len(words) >= SEED:
-                        grams = ngrams(words, SEED)
-                        found = np.unique(grams[mine.found(grams)])
-                        counts[np.searchsorted(mine.grams, found)] += 1
+                for text in batch.column("text").to_pylist()[::COUNTED]:
+                    tokens = tokens_of(WORDS.of(text))
+                    np.add.at(counts, np.searchsorted(mine.grams, tokens[mine.found(tokens)]), 1)
             held = np.flatnonzero(counts)
             yield pa.RecordBatch.from_arrays([pa.array(mine.grams[held].astype(np.int64)), pa.array(counts[held])], names=["gram", "n"])
 
-        # at most a row for each n-gram of the block
+        # at most a row for each word or pair of the block
         frequency = {r["gram"]: r["n"] for r in docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()}
         items.keep_seeds(frequency)
         yield spark.sparkContext.broadcast(items)
