@@ -3,14 +3,17 @@
 A document is good if it is labelled of quality 1 and not toxic. Two logistic
 regressions look at different views of it: the text view at the words that tell
 good from bad in the labelled sample and at the text's style; the metadata view
-at language, source and length. Over ``ROUNDS`` rounds each labels those
-documents of an unlabelled pool that it is confident of, for the other to learn
-from. Both are then calibrated on labelled documents that neither has learned
+at language, source and length. Over ``ROUNDS`` rounds each scores every document
+outside the labelled sample and labels those that it is confident of, for the
+other to learn from; they weigh as much together as ``PSEUDO`` times the labelled
+ones at most, so that these still count in a large corpus. Both are then calibrated on labelled documents that neither has learned
 from, and their calibrated log-odds are added, less those of the base rate, to
 score every document from its whole text.
 
-The labelled sample and the pool are bounded (in expectation) by ``LABELLED``
-and ``POOL`` rows, chosen by a hash of doc_id; everything else covers all rows.
+The labelled sample is bounded (in expectation) by ``LABELLED`` rows, chosen by a
+hash of doc_id; everything else covers all rows. Labelled documents outside the
+sample count as unlabelled. If no document is left outside it, or none is scored
+confidently, nothing is exchanged: the views are two regressions on the sample.
 
 Defined results: a null text is empty, a null or unseen language or source is
 one of its own; a document with several labels counts with each; labels without
@@ -25,17 +28,19 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import VectorUDT
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
-from .common import with_fields, written
+from .common import new_dir, with_fields, written
 
 LABELLED = 8_000
-POOL = 4_000
 ROUNDS = 2
 CONFIDENT = 0.97
+PSEUDO = 0.5
 WORDS = 500
 LEAST_DOCS = 8
 
@@ -79,19 +84,33 @@ def meta_view(lang: str | None, source: str | None, n_chars: int | None, names:
     return out
 
 
+def _sparse(rows: list[np.ndarray]) -> pa.StructArray:
+    """rows as Spark keeps sparse vectors."""
+    at = [np.flatnonzero(r) for r in rows]
+    ends = np.concatenate([[0], np.cumsum([len(x) for x in at])]).astype(np.int32)
+    indices = pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0, np.int32), *at]).astype(np.int32))
+    values = pa.ListArray.from_arrays(ends, np.concatenate([np.empty(0), *(r[x] for r, x in zip(rows, at))]))
+    return pa.StructArray.from_arrays([pa.array([0] * len(rows), pa.int8()), pa.array([len(r) for r in rows], pa.int32()), indices, values], names=["type", "size", "indices", "values"])
+
+
 def with_views(docs: DataFrame, words: dict, names: dict) -> DataFrame:
-    """docs(doc_id, text, lang, source, n_chars, ...) with text_view and meta_view in the place of text."""
+    """The written table of docs(text, lang, source, n_chars, ...) with the vectors text_view and meta_view in the place of these."""
     shared = docs.sparkSession.sparkContext.broadcast((words, names))
+    read = ["text", "lang", "source", "n_chars"]
 
     def of(batches):
         words, names = shared.value
         for batch in batches:
             text = [text_view(t, words) for t in batch.column("text").to_pylist()]
             meta = [meta_view(*x, names) for x in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")))]
-            kept = batch.drop_columns(["text", "lang", "source", "n_chars"])
-            yield kept.append_column("text_view", pa.array(text, pa.list_(pa.float64()))).append_column("meta_view", pa.array(meta, pa.list_(pa.float64())))
+            yield batch.drop_columns(read).append_column("text_view", _sparse(text)).append_column("meta_view", _sparse(meta))
 
-    return docs.mapInArrow(of, with_fields(docs.drop("text", "lang", "source", "n_chars"), "text_view array<double>, meta_view array<double>"))
+    vector = "struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
+    path = new_dir(docs.sparkSession, "views")
+    docs.mapInArrow(of, with_fields(docs.drop(*read), f"text_view {vector}, meta_view {vector}")).write.parquet(path)
+    # read as vectors, so that no row is widened
+    schema = StructType([*docs.drop(*read).schema.fields, StructField("text_view", VectorUDT()), StructField("meta_view", VectorUDT())])
+    return docs.sparkSession.read.schema(schema).parquet(path)
 
 
 def telling_words(sample: DataFrame, most: int = WORDS) -> dict[str, int]:
@@ -106,18 +125,17 @@ def telling_words(sample: DataFrame, most: int = WORDS) -> dict[str, int]:
     return {r["word"]: i for i, r in enumerate(counts.withColumn("w", weight).orderBy(F.desc("w"), "word").limit(most).collect())}
 
 
-def fit(rows: DataFrame, view: str) -> tuple[np.ndarray, float]:
-    """(weights, intercept) of a logistic regression of good on a view, with classes weighted alike."""
-    share = rows.agg(F.avg("good")).first()[0]
-    weight = F.when(F.col("good") == 1, 0.5 / share).otherwise(0.5 / (1 - share))
-    model = LogisticRegression(featuresCol="x", labelCol="good", weightCol="weight", regParam=0.005, maxIter=25).fit(rows.select(array_to_vector(view).alias("x"), F.col("good").cast("double").alias("good"), weight.alias("weight")))
-    return model.coefficients.toArray(), float(model.intercept)
+def fit(rows: DataFrame, view: str) -> LogisticRegressionModel:
+    """A logistic regression of good on a view, from rows(good, weight, view), with classes weighted alike."""
+    share = rows.agg(F.sum(F.col("weight") * F.col("good")) / F.sum("weight")).first()[0]
+    weight = F.col("weight") * F.when(F.col("good") == 1, 0.5 / share).otherwise(0.5 / (1 - share))
+    return LogisticRegression(featuresCol=view, labelCol="good", weightCol="weight", regParam=0.005, maxIter=25).fit(rows.select(view, F.col("good").cast("double").alias("good"), weight.alias("weight")))
 
 
-def log_odds(view: str, model: tuple[np.ndarray, float]) -> Column:
-    weights, intercept = model
-    products = F.zip_with(view, F.array(*map(F.lit, map(float, weights))), lambda a, b: a * b)
-    return F.aggregate(products, F.lit(float(intercept)), lambda a, b: a + b)
+def log_odds(rows: DataFrame, view: str, model: LogisticRegressionModel) -> DataFrame:
+    """rows and z, the log-odds by the model of a view."""
+    out = model.setFeaturesCol(view).setRawPredictionCol("raw").setProbabilityCol("").setPredictionCol("").transform(rows)
+    return out.withColumn("z", vector_to_array("raw")[1]).drop("raw")
 
 
 def cotrain(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> dict:
@@ -132,31 +150,34 @@ def cotrain(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> dict:
         return {"base": base}
     words = telling_words(sample)
     values = [("lang", "lang"), ("source", "source")]
-    most = [r for kind, c in values for r in sample.groupBy(F.lit(kind).alias("kind"), F.coalesce(c, F.lit("")).alias("value")).count().orderBy(F.desc("count"), "value").limit(200).collect()]
+    most = [r for kind, c in values for r in docs.groupBy(F.lit(kind).alias("kind"), F.coalesce(c, F.lit("")).alias("value")).count().orderBy(F.desc("count"), "value").limit(200).collect()]
     names = {(r["kind"], r["value"]): i for i, r in enumerate(most)}
-    pool = _sampled(docs.select(columns).where("doc_id is not null"), POOL, 2).join(known.select("doc_id"), "doc_id", "left_anti")
-    views = written(with_views(sample.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)).cast("int")).unionByName(pool.withColumns({"good": F.lit(None).cast("int"), "fold": F.lit(-1)})), words, names), "views")
-    learned, calibration, unlabelled = (written(views.where(x).coalesce(4), "views") for x in ("fold > 0", "fold = 0", "fold = -1"))
-    if not 0 < (learned.agg(F.avg("good")).first()[0] or 0) < 1 or not 0 < (calibration.agg(F.avg("good")).first()[0] or 0) < 1:
+    labelled = with_views(sample.select(*columns, "good", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)).alias("fold")), words, names).coalesce(4)
+    learned, calibration = labelled.where("fold > 0"), labelled.where("fold = 0")
+    sums = learned.agg(F.avg("good").alias("share"), F.count("*").alias("n")).first()
+    if not 0 < (sums["share"] or 0) < 1 or not 0 < (calibration.agg(F.avg("good")).first()[0] or 0) < 1:
         return {"base": base}
+    # all rows whose label is not in the sample, the labelled ones among them
+    unlabelled = with_views(docs.select(columns).join(F.broadcast(sample.select("doc_id").distinct()), "doc_id", "left_anti").drop("doc_id"), words, names)
     pseudo = {"text_view": None, "meta_view": None}
     other = {"text_view": "meta_view", "meta_view": "text_view"}
     for turn in range(rounds + 1):
         models = {}
         for view, more in pseudo.items():
-            rows = learned.select("good", view)
-            models[view] = fit(rows if more is None else rows.unionByName(more.select("good", view)), view)
+            rows = learned.select("good", F.lit(1.0).alias("weight"), view)
+            models[view] = fit(rows if more is None else rows.unionByName(more), view)
         if turn == rounds:
             break
         for view, model in models.items():
-            p = 1 / (1 + F.exp(-log_odds(view, model)))
-            sure = unlabelled.withColumn("p", p).where((F.col("p") >= CONFIDENT) | (F.col("p") <= 1 - CONFIDENT))
-            pseudo[other[view]] = written(sure.withColumn("good", (F.col("p") >= 0.5).cast("int")).drop("p"), "pseudo")
+            sure = log_odds(unlabelled, view, model).where(F.abs("z") >= math.log(CONFIDENT / (1 - CONFIDENT)))
+            n_sure = sure.count()
+            good = (F.col("z") >= 0).cast("int").alias("good")
+            pseudo[other[view]] = sure.select(good, F.lit(min(1.0, PSEUDO * sums["n"] / n_sure)).alias("weight"), other[view]) if n_sure else None
     for view, model in models.items():
-        raw = calibration.select("good", F.array(log_odds(view, model)).alias("z"))
+        raw = log_odds(calibration, view, model).select(F.array("z").alias("z"), "good")
         line = LogisticRegression(featuresCol="x", labelCol="good", regParam=1e-4, maxIter=25).fit(raw.select(array_to_vector("z").alias("x"), F.col("good").cast("double").alias("good")))
         slope, shift = float(line.coefficients[0]), float(line.intercept)
-        models[view] = (model[0] * slope, model[1] * slope + shift)
+        models[view] = (model.coefficients.toArray() * slope, float(model.intercept) * slope + shift)
     return {"base": base, "words": words, "names": names, **models}
 
 

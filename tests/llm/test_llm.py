@@ -215,6 +215,18 @@ def test_op7_scores(spark, odd):
     assert quality.scored(odd, none).where("quality_score = 0.5").count() == odd.count()
 
 
+def test_op7_learns_from_all_rows_outside_the_sample(spark, monkeypatch):
+    """Every document has a label; those outside the sample are what the views exchange, whatever their number."""
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 2 == 0, "calm clear prose of some length").otherwise("buy now !!! $$$ win").alias("text"), F.lit("en").alias("lang"), F.when(F.col("id") % 2 == 0, "books").otherwise("spam").alias("source"), F.lit(30).cast("long").alias("n_chars"))
+    labels = docs.select("doc_id", (F.col("doc_id") % 2 == 0).cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    monkeypatch.setattr(quality, "LABELLED", 300)
+    seen, fit = [], quality.fit
+    monkeypatch.setattr(quality, "fit", lambda rows, view: seen.append(rows.count()) or fit(rows, view))
+    model = quality.cotrain(docs, labels)
+    assert len(seen) == 6 and min(seen[2:]) > 5600
+    assert quality.scored(docs, model).where((F.col("doc_id") % 2 == 0) != F.col("kept")).count() == 0
+
+
 def jaccard_brute(texts):
     sets = [set(ngrams(WORDS.of(t), 5).tolist()) for t in texts]
     return [[bool(a) and bool(b) and len(a & b) * 10 >= 8 * len(a | b) for b in sets] for a in sets]
