@@ -8,7 +8,10 @@ tells main text from the rest.
 
 Defined results: a null or empty html has no text (an empty string, 0
 characters); a page cut short is read as far as it goes, a tag that never ends
-is text up to the next tag; repeated rows are each extracted; a null url or
+is text up to the next tag; script, style, textarea and title run to their end
+tag or the page's end; what else isn't shown (head, svg, button, option, ...) ends
+at its end tag, its parent's, at <body>, at once if self-closing, or if it has no
+end tag of its own at the next block; repeated rows are each extracted; a null url or
 page_id is kept; an empty table gives no rows; other columns are not read.
 """
 
@@ -52,7 +55,10 @@ LABELLED = [
 ]
 
 # Elements by their part in a page.
-SKIPPED = "script style noscript template svg math head title textarea select option button iframe object canvas audio video".split()
+RAW = "script style textarea title".split()
+HIDDEN = set("noscript template svg math head select option button iframe object canvas audio video".split())
+NESTING = set("template svg math object".split())
+OWN_BODY = set("template iframe object".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br input picture source".split())
 CONTAINERS = set("article main section div nav header footer aside form ul ol dl table figure body html fieldset details dialog menu".split())
 FURNITURE_TAGS = set("nav footer aside form dialog menu".split())
@@ -62,11 +68,14 @@ FURNITURE_NAMES = set(
 )
 ARTICLE_NAMES = set("article content main post entry story".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+BLOCKS = CONTAINERS | HEADINGS | set("p li dt dd tr td th thead tbody tfoot caption pre blockquote address center hr figcaption summary".split())
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<skip>" + "|".join(SKIPPED) + r")(?=[\s/>])[^>]*>.*?(?:</(?P=skip)\s*>|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z!?][^<>]*>",
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])[^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z!?][^<>]*>",
     re.S | re.I,
 )
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I) for tag in RAW}
+_SAME = {tag: re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*?(/?)>", re.I) for tag in HIDDEN}
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
@@ -84,11 +93,27 @@ def _container(tag: str, attrs: str, inside: tuple[bool, bool]) -> tuple[bool, b
     return furniture or inside[0], article
 
 
+def _ends(tag: str, html: str, at: int) -> bool:
+    """Whether an element that opens before at has an end tag of its own."""
+    depth = 1
+    for m in _SAME[tag].finditer(html, at):
+        if m[1]:
+            depth -= 1
+        elif not m[2]:
+            if tag not in NESTING:
+                return False
+            depth += 1
+        if not depth:
+            return True
+    return False
+
+
 def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     """(text, words, words in links, furniture, article, heading) of each block that has text, in page order."""
     out, parts, linked = [], [], 0
-    stack: list[tuple[str, tuple[bool, bool]]] = []
-    state, heading, link = (False, False), False, 0
+    # (tag, state before it, whether text is hidden before it, whether the next block ends it)
+    stack: list[tuple[str, tuple[bool, bool], bool, bool]] = []
+    state, hidden, heading, link = (False, False), False, False, 0
 
     def close() -> None:
         nonlocal linked
@@ -100,19 +125,49 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
 
     def text(s: str) -> None:
         nonlocal linked
-        if s:
+        if s and stack and stack[-1][0] == "head" and stack[-1][3] and s.strip():
+            leave(len(stack) - 1)
+        if s and not hidden:
             parts.append(s)
             if link:
                 linked += len(s.split())
 
+    def leave(depth: int) -> None:
+        nonlocal state, hidden
+        state, hidden = stack[depth][1:3]
+        del stack[depth:]
+
     at = 0
-    for m in _TOKEN.finditer(html):
+    while m := _TOKEN.search(html, at):
         text(html[at : m.start()])
         at = m.end()
-        tag = (m["tag"] or "").lower()
+        tag = (m["tag"] or m["raw"] or "").lower()
+        if m["raw"]:
+            if not (m[0].endswith("/>") and any(x[0] in ("svg", "math") for x in stack)):
+                at = _RAW_END[tag].search(html, at).end()
+            parts.append(" ")
+            continue
         if not tag:
-            if m["skip"] and m["skip"].lower() != "head":
-                parts.append(" ")
+            continue
+        opened = [x[0] for x in stack] if hidden or m["end"] else []
+        if tag in BLOCKS:
+            if tag == "body" and not m["end"] and (of := next((i for i, x in enumerate(opened) if x == "head" or (x in HIDDEN and not set(opened) & OWN_BODY)), None)) is not None:
+                leave(of)
+            while hidden and stack and stack[-1][3]:
+                leave(len(stack) - 1)
+        if tag in HIDDEN:
+            if m["end"]:
+                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+                if depth is not None:
+                    leave(depth)
+            elif not m["attrs"].endswith("/"):
+                stack.append((tag, state, hidden, not _ends(tag, html, at)))
+                hidden = True
+            parts.append(" ")
+            continue
+        if hidden and not (m["end"] and tag in CONTAINERS):
+            if tag in CONTAINERS:
+                stack.append((tag, state, hidden, False))
             continue
         if tag in INLINE:
             if tag == "a":
@@ -120,18 +175,21 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             elif tag == "br":
                 parts.append(" ")
             continue
+        depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None) if m["end"] and tag in CONTAINERS else None
+        if hidden and (depth is None or stack[depth][2]):
+            # an end tag of nothing, or of what opened in hidden text
+            if depth is not None:
+                leave(depth)
+            continue
         close()
         link = 0
         heading = tag in HEADINGS and not m["end"]
         if tag in CONTAINERS:
             if not m["end"]:
-                stack.append((tag, state))
+                stack.append((tag, state, hidden, False))
                 state = _container(tag, m["attrs"] or "", state)
-            else:
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-                if depth is not None:
-                    state = stack[depth][1]
-                    del stack[depth:]
+            elif depth is not None:
+                leave(depth)
     text(html[at:])
     close()
     return out

@@ -113,6 +113,27 @@ def test_op3_furniture(spark):
     assert sorted((r["text"], r["n_chars"]) for r in got) == [("", 0), ("x", 1), ("x", 1)]
 
 
+def test_op3_unclosed_elements(spark):
+    nodes = html_text.train(spark)
+    article = "<article><h1>Title here</h1><p>" + "word " * 40 + "</p><p>" + "more " * 40 + "</p></article>"
+    whole = html_text.main_text(f"<html><body>{article}</body></html>", nodes)
+    assert whole.count("\n\n") == 2
+    for page in (
+        f"<html><head><title>t</title><body>{article}",
+        f"<html><head><title>t</title>{article}",
+        f"<html><head><title>t</title></head><body><svg/><iframe src='x'/>{article}",
+        f"<html><body><button>go{article}<button>stop</button>",
+        f"<html><body><select><option>one<option>two</select>{article}",
+        f"<html><body><div><svg><path d='m'/></div>{article}</svg>",
+        f"<html><body><svg><title/><path/></svg>{article}",
+        f"<html><body><video src='x'>{article}",
+        f"<html><body><template><div><p>not shown</p></div></template>{article}<script>var a = '<p>not shown'",
+        f"<html><body><button><div>not shown</div></button><noscript><p>not shown</p></noscript>{article}",
+    ):
+        assert html_text.main_text(page, nodes) == whole, page
+    assert [b[0] for b in html_text.blocks("<p>one <button>x</button> two <svg><text>y</text></svg> three</p>")] == ["one two three"]
+
+
 def test_op4_held_out_accuracy(spark):
     got = language.op4_language_id(spark, SF).toPandas()
     known = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").toPandas().merge(got, on="doc_id")
