@@ -48,6 +48,11 @@ LABELLED = [
     (1, 0.0, 9, 0.0, 14, 0.2, 0, 1, 0, 1), (150, 0.0, 10, 0.0, 14, 0.2, 0, 1, 0, 1), (45, 0.1, 50, 0.0, 3, 0.0, 0, 1, 0, 1), (60, 0.3, 40, 0.0, 60, 0.0, 0, 1, 0, 1),
     (5, 0.0, 30, 0.0, 0, 0.0, 0, 1, 0, 1), (400, 0.02, 0, 0.0, 0, 0.0, 0, 1, 0, 1), (8, 0.5, 30, 0.0, 30, 0.0, 0, 1, 0, 1), (3, 1.0, 50, 0.0, 50, 0.0, 0, 1, 0, 1),
     (20, 0.0, 2, 1.0, 2, 1.0, 0, 1, 0, 1), (4, 1.0, 20, 0.0, 12, 0.1, 0, 1, 0, 1), (2, 0.0, 2, 1.0, 6, 1.0, 0, 1, 0, 1), (6, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 1),
+    # main text in a container named as furniture: long, without links, among its like
+    (260, 0.0, 220, 0.0, 240, 0.0, 1, 0, 0, 1), (300, 0.02, 180, 0.0, 250, 0.0, 1, 0, 0, 1), (220, 0.0, 12, 0.0, 260, 0.0, 1, 0, 0, 1), (400, 0.0, 300, 0.0, 0, 0.0, 1, 1, 0, 1),
+    (250, 0.01, 200, 0.0, 210, 0.1, 1, 1, 0, 1), (350, 0.05, 0, 0.0, 0, 0.0, 1, 0, 0, 1),
+    # long, but links
+    (240, 0.7, 2, 1.0, 30, 0.9, 1, 0, 0, 0), (300, 0.9, 220, 0.8, 240, 0.9, 1, 0, 0, 0),
     # main text with nothing but its neighbours to tell it
     (60, 0.0, 50, 0.0, 70, 0.0, 0, 0, 0, 1), (35, 0.1, 4, 1.0, 60, 0.0, 0, 0, 0, 1), (80, 0.05, 60, 0.0, 12, 0.5, 0, 0, 0, 1), (120, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 1),
     (6, 0.0, 3, 1.0, 60, 0.0, 0, 0, 1, 1), (5, 0.0, 50, 0.0, 50, 0.0, 0, 0, 1, 1), (4, 0.0, 45, 0.0, 60, 0.0, 0, 0, 0, 1), (25, 0.2, 30, 0.1, 40, 0.0, 0, 0, 0, 1),
@@ -78,19 +83,29 @@ _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I) for tag in RAW
 _SAME = {tag: re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*?(/?)>", re.I) for tag in HIDDEN}
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
+_OF_ANOTHER = re.compile(r"(?:with|without|has|no|not|show|hide)[-_]")
 
 
-def _container(tag: str, attrs: str, inside: tuple[bool, bool]) -> tuple[bool, bool]:
-    """(furniture, article) within a container that opens inside such a one."""
+def _container(tag: str, attrs: str, inside: tuple[int, bool]) -> tuple[int, bool]:
+    """(furniture: 1 by a name, 2 by an element for it; article) within a container that opens inside such a one."""
     furniture, article = inside
     names: set[str] = set()
+    whole: set[str] = set()
     for found in _NAMES.findall(attrs):
-        names.update(_SPLIT.split(found.lower()))
-    if tag in ("article", "main") or (names & ARTICLE_NAMES and not names & FURNITURE_NAMES):
+        for token in found.lower().strip("\"'").split():
+            whole.add(token)
+            # with-sidebar tells of another element
+            if not _OF_ANOTHER.match(token):
+                names.update(_SPLIT.split(token))
+    named = bool((whole if tag in ("article", "main", "section", "body", "html") else names) & FURNITURE_NAMES)
+    if tag in ("article", "main"):
+        # a name on a wrapper doesn't reach into an article
+        return 2 if inside[0] == 2 else int(named and tag != "main"), True
+    if names & ARTICLE_NAMES and not named:
         article = True
-    if tag in FURNITURE_TAGS or (tag == "header" and not article) or (names & FURNITURE_NAMES and not (article and names & {"header"})):
-        furniture = tag not in ("body", "html", "main")
-    return furniture or inside[0], article
+    if tag in FURNITURE_TAGS or (tag == "header" and not article) or (named and not (article and names & {"header"})):
+        furniture = 0 if tag in ("body", "html") else 2 if tag in FURNITURE_TAGS - {"form"} else 1
+    return max(furniture, inside[0]), article
 
 
 def _ends(tag: str, html: str, at: int) -> bool:
@@ -112,14 +127,14 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
     """(text, words, words in links, furniture, article, heading) of each block that has text, in page order."""
     out, parts, linked = [], [], 0
     # (tag, state before it, whether text is hidden before it, whether the next block ends it)
-    stack: list[tuple[str, tuple[bool, bool], bool, bool]] = []
-    state, hidden, heading, link = (False, False), False, False, 0
+    stack: list[tuple[str, tuple[int, bool], bool, bool]] = []
+    state, hidden, heading, link = (0, False), False, False, 0
 
     def close() -> None:
         nonlocal linked
         words = html_module.unescape("".join(parts)).split()
         if words:
-            out.append((" ".join(words), len(words), min(linked, len(words)), *state, heading))
+            out.append((" ".join(words), len(words), min(linked, len(words)), state[0] > 0, state[1], heading))
         parts.clear()
         linked = 0
 

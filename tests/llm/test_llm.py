@@ -134,6 +134,18 @@ def test_op3_unclosed_elements(spark):
     assert [b[0] for b in html_text.blocks("<p>one <button>x</button> two <svg><text>y</text></svg> three</p>")] == ["one two three"]
 
 
+def test_op3_furniture_names_are_weighed(spark):
+    nodes = html_text.train(spark)
+    paragraphs = "<p>" + "word " * 40 + "</p><p>" + "more " * 40 + "</p>"
+    text = ("word " * 40).strip() + "\n\n" + ("more " * 40).strip()
+    for opened in ("<div class='layout with-sidebar'>", "<div class='banner'><article>", "<form><main class='legal'>", "<article class='post long-form'>", "<section class='legal-news'>", "<div class='sidebar'><div><article class='post'>"):
+        assert html_text.main_text(f"<body>{opened}{paragraphs}</body>", nodes) == text, opened
+    long = "".join("<p>" + f"{w} " * 300 + "</p>" for w in ("one", "two", "three"))
+    assert html_text.main_text(f"<body><div class='toc'>{long}</div></body>", nodes).count("\n\n") == 2
+    for opened in ("<div class='sidebar'>", "<div class='cookie-notice'>", "<article class='comment'>", "<aside>", "<aside><article>", "<div class='related-posts'>"):
+        assert html_text.main_text(f"<body><article>{paragraphs}</article>{opened}<p>Some short text here.</p></body>", nodes) == text, opened
+
+
 def test_op4_held_out_accuracy(spark):
     got = language.op4_language_id(spark, SF).toPandas()
     known = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").toPandas().merge(got, on="doc_id")
