@@ -9,7 +9,9 @@ the model knows: n-grams of 5 characters, else of 4, down to 1. A text's scores
 are the sums over its words.
 
 The sample of labelled documents is bounded by ``SAMPLE_DOCS`` (in expectation:
-rows are chosen by a hash of doc_id). Every document is predicted, from its
+rows are chosen by a hash of doc_id), dealt out to the languages alike: one with
+few documents gives all of them, every other at least about ``LEAST_DOCS``, so each
+language is learned at every size. Every document is predicted, from its
 whole text alone.
 
 Defined results: ``und`` and 0.0 for a text that is null or has no letter, or if
@@ -32,6 +34,8 @@ from pyspark.sql import functions as F
 from .common import with_fields, written
 
 SAMPLE_DOCS = 20_000
+LEAST_DOCS = 100
+HASHES = 1_000_000_000
 MOST = 20_000
 LONGEST = 5
 #: So many words at most count as independent evidence for the score.
@@ -43,11 +47,24 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def _share(counts: list[int], most: int) -> int:
+    """The bound for each of the groups of these sizes that leaves most rows in all; what small groups leave goes to the large ones."""
+    for i, n in enumerate(sorted(counts)):
+        bound = most // (len(counts) - i)
+        if n > bound:
+            return bound
+        most -= n
+    return max(counts, default=0)
+
+
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, most: int = MOST) -> dict:
     """The model from docs(doc_id, text, lang): {"langs": [...], "words": {word: log frequencies}, "grams": {n-gram: log frequencies}}."""
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
-    n = labelled.count()
-    chosen = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(math.ceil(1e6 * min(1.0, sample_docs / max(n, 1)))))
+    # a row for each language that is labelled
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    each = max(LEAST_DOCS, _share(list(counts.values()), sample_docs))
+    limits = docs.sparkSession.createDataFrame([(x, math.ceil(HASHES * min(1.0, each / n))) for x, n in counts.items()], "lang string, below long")
+    chosen = labelled.select("doc_id", "text", "lang").join(F.broadcast(limits), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(HASHES)) < F.col("below"))
     words = chosen.select("lang", F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word")).where("word <> ''")
     counted = written(words.groupBy("lang", "word").agg(F.count("*").alias("n")), "words")
     marked = F.concat(F.lit("_"), F.col("word"), F.lit("_"))

@@ -155,6 +155,15 @@ def test_op4_held_out_accuracy(spark):
     assert got["score"].between(0, 1).all()
 
 
+def test_op4_learns_rare_languages(spark):
+    rare = "(id in (17, 18, 19, 20))"
+    docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.expr(f"if({rare}, 'bonjour le monde entier', 'hello the whole world')").alias("text"), F.expr(f"if({rare}, 'fr', 'en')").alias("lang"))
+    model = language.learn(docs, sample_docs=200)
+    assert model["langs"] == ["en", "fr"]
+    assert {r["lang_pred"] for r in language.predicted(docs.where(rare.replace("id", "doc_id")), model).collect()} == {"fr"}
+    assert [language._share(*x) for x in (([], 5), ([3, 4], 10), ([1, 100, 100], 21), ([50, 50], 20))] == [0, 4, 10, 10]
+
+
 def test_op4_backoff_and_odd_rows(spark, odd):
     model = language.learn(spark.createDataFrame([(i, *r) for i, r in enumerate([("hello the world", "en"), ("bonjour le monde", "fr")] * 20)], "doc_id long, text string, lang string"))
     scorer = language.Scorer(model)
