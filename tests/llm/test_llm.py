@@ -159,16 +159,58 @@ def test_op4_learns_rare_languages(spark):
     rare = "(id in (17, 18, 19, 20))"
     docs = spark.range(20_000).select(F.col("id").alias("doc_id"), F.expr(f"if({rare}, 'bonjour le monde entier', 'hello the whole world')").alias("text"), F.expr(f"if({rare}, 'fr', 'en')").alias("lang"))
     model = language.learn(docs, sample_docs=200)
-    assert model["langs"] == ["en", "fr"]
+    assert model.langs == ["en", "fr"]
     assert {r["lang_pred"] for r in language.predicted(docs.where(rare.replace("id", "doc_id")), model).collect()} == {"fr"}
     assert [language._share(*x) for x in (([], 5), ([3, 4], 10), ([1, 100, 100], 21), ([50, 50], 20))] == [0, 4, 10, 10]
 
 
+def language_brute(learned, text):
+    """(language, score) by plain counting; learned is [(text, lang)]."""
+    runs = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    langs = sorted({lang for _, lang in learned})
+    counts = {}
+    for t, lang in learned:
+        for w in runs(t):
+            marked = f"_{w}_"
+            for kind, name in [(0, w), *((k, marked[i : i + k]) for k in range(1, 6) for i in range(len(marked) - k + 1))]:
+                counts.setdefault((kind, name), dict.fromkeys(langs, 0))[lang] += 1
+    totals = {(k, x): sum(c[x] for (kind, _), c in counts.items() if kind == k) for k in range(6) for x in langs}
+    of = lambda kind, name: np.array([np.log((counts[kind, name][x] + 0.5) / (totals[kind, x] + 1)) for x in langs])
+    total = np.zeros(len(langs))
+    for w in runs(text or ""):
+        marked = f"_{w}_"
+        if (0, w) in counts:
+            total += of(0, w)
+            continue
+        for k in range(5, 0, -1):
+            known = [of(k, marked[i : i + k]) for i in range(len(marked) - k + 1) if (k, marked[i : i + k]) in counts]
+            if known:
+                total += np.mean(known, axis=0)
+                break
+    if not runs(text or ""):
+        return "und", 0.0
+    return langs[int(np.argmax(total))], 1 / np.exp(total - total.max()).sum()
+
+
+def test_op4_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 1500")
+    rows = [r for r in docs.collect()]
+    learned = [(r["text"], r["lang"]) for r in rows if r["lang"] and zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+    scorer = language.Scorer(language.learn(docs), most=1000)
+    texts = [r["text"] for r in rows[:60]] + [None, "", "12 !", "zzzxq 9q a", "Ünï-cödé wörds 日本", "x" * 50]
+    for (lang, score), text in zip(scorer.predict(texts, at_once=70), texts):
+        want = language_brute(learned, text)
+        assert lang == want[0] and abs(score - want[1]) < 1e-3, text
+
+
 def test_op4_backoff_and_odd_rows(spark, odd):
     model = language.learn(spark.createDataFrame([(i, *r) for i, r in enumerate([("hello the world", "en"), ("bonjour le monde", "fr")] * 20)], "doc_id long, text string, lang string"))
     scorer = language.Scorer(model)
-    assert scorer.predict("HELLO!")[0] == "en" and scorer.predict("bonjourno")[0] == "fr"
-    assert [scorer.predict(t) for t in (None, "", "123 !!")] == [("und", 0.0)] * 3
+    assert [x for x, _ in scorer.predict(["HELLO!", "bonjourno"])] == ["en", "fr"]
+    assert scorer.predict([None, "", "123 !!"]) == [("und", 0.0)] * 3
+    tied = language.Scorer(language.learn(spark.createDataFrame([(i, "one two", x) for i, x in enumerate(["b", "a"] * 20)], "doc_id long, text string, lang string")))
+    n = spark.range(40).where((F.crc32(F.col("id").cast("string").cast("binary")) % 4 != 2) & (F.col("id") % 2 == 0)).count()
+    assert tied.predict(["neverseen"])[0][0] in "ab" and n > 0
     found = language.predicted(odd.select("doc_id", "text"), model)
     assert found.count() == odd.count() and found.where("text is null").first()["lang_pred"] == "und"
     assert language.predicted(odd, language.learn(odd.limit(0))).where("lang_pred <> 'und'").count() == 0
