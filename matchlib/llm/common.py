@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
@@ -43,3 +44,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
 def with_fields(df: DataFrame, more: str) -> StructType:
     """df's schema and more, a schema in DDL."""
     return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
+
+
+def by_key(rows: DataFrame, values: DataFrame, key: str, n_rows: int, parts: int = 1000) -> DataFrame:
+    """rows joined with values, which has a row for each key and in n (dropped) how many of the n_rows rows have it.
+
+    Keys with more than a share 1/parts of the rows are fewer than parts: their
+    values are broadcast. So no task of the join that is left gets more than such a
+    share of the rows from one key, however hot a key is.
+    """
+    hot = F.col("n") > n_rows // parts
+    left = F.broadcast(values.where(hot).drop("n").select(key, F.struct(*(c for c in values.columns if c not in (key, "n"))).alias("_hot")))
+    marked = rows.join(left, key, "left")
+    found = marked.where("_hot is not null").select(*rows.columns, "_hot.*")
+    return found.unionByName(marked.where("_hot is null").drop("_hot").join(values.where(~hot).drop("n"), key))

@@ -27,16 +27,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import by_key, written
 from .components import components, stars
 from .tiles import dealt, whole_tiles
 
 THRESHOLD = 0.98
 BLOCK = 2048
+#: Vectors of equal label and components, by the least vec_id.
+NODE = "struct<none:boolean,vec_id:long,hash:binary>"
 
 
 def nodes_of(vectors: DataFrame) -> DataFrame:
-    """Of vectors(vec_id, label, embedding), written: vec_id, node (16 bytes of label and vector; null if it links with nothing), grp (16 bytes of label and length) and vector (float64, little-endian)."""
+    """Of vectors(vec_id, label, embedding), written: vec_id, hash (16 bytes of label and vector; null if it links with nothing), grp (16 bytes of label and length) and vector (float64, little-endian)."""
 
     def of(batches):
         for batch in batches:
@@ -45,16 +47,16 @@ def nodes_of(vectors: DataFrame) -> DataFrame:
                 v = None
                 if label is not None and values and None not in values:
                     v = np.array(values, dtype="<f8") + 0.0  # no negative zero
-                    if not (np.isfinite(v).all() and v.any() and np.isfinite(v @ v)):
+                    if not (np.isfinite(v).all() and v.any()):
                         v = None
                 key = f"{label}/{0 if v is None else len(v)}/".encode()
                 nodes.append(None if v is None else hashlib.blake2b(key + v.tobytes(), digest_size=16).digest())
                 groups.append(None if v is None else hashlib.blake2b(key, digest_size=16).digest())
                 data.append(None if v is None else v.tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), *(pa.array(x, pa.binary()) for x in (nodes, groups, data))], names=["vec_id", "node", "grp", "vector"])
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), *(pa.array(x, pa.binary()) for x in (nodes, groups, data))], names=["vec_id", "hash", "grp", "vector"])
 
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("label").cast("string"), F.col("embedding").cast("array<double>"))
-    return written(rows.mapInArrow(of, "vec_id long, node binary, grp binary, vector binary"), "vectors")
+    return written(rows.mapInArrow(of, "vec_id long, hash binary, grp binary, vector binary"), "vectors")
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -67,8 +69,9 @@ def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def tile_links(vectors: np.ndarray, rows: range, others: range, threshold: float, at_once: int = 512):
     """(a, b) row numbers of the pairs with cosine >= threshold, a of rows, b of others; a < b where these are the same range."""
+    # by a power of two, which changes no digit, so that squares neither overflow nor vanish
+    vectors = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None])
     norms = np.sqrt(np.einsum("ij,ij->i", vectors, vectors))
-    # a vector too small or large for its square is scaled first
     q, scale, error = quantised(vectors / norms[:, None])
     # float32 holds sums of d products of int8 exactly up to 2**24
     exact = np.float32 if vectors.shape[1] * 127 * 127 < 1 << 24 else np.float64
@@ -92,9 +95,12 @@ def tile_links(vectors: np.ndarray, rows: range, others: range, threshold: float
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """For each row of vectors(vec_id, label, embedding): vec_id, n_links and component_id."""
     known = nodes_of(vectors)
-    nodes = written(known.where("node is not null").groupBy("node", "grp").agg(F.count("*").alias("copies"), F.min("vec_id").alias("vec_id"), F.first("vector").alias("vector")), "nodes")
-    sizes = nodes.groupBy("grp").agg(F.count("*").alias("n"))
-    rows = nodes.drop("vec_id").join(sizes, "grp")
+    # nodes are ordered by their least vec_id, so that a component's least node has its id
+    least = F.min(F.struct(F.col("vec_id").isNull().alias("none"), "vec_id", "hash")).alias("node")
+    nodes = written(known.where("hash is not null").groupBy("hash", "grp").agg(F.count("*").alias("copies"), least, F.first("vector").alias("vector")), "nodes")
+    n = nodes.agg(F.count("*").alias("n"), F.coalesce(F.sum("copies"), F.lit(0)).alias("rows")).first()
+    sizes = nodes.groupBy("grp").agg(F.count("*").alias("n"), F.count("*").alias("size"))
+    rows = by_key(nodes.drop("hash"), sizes, "grp", n["n"])
 
     def compare(batches):
         for table, tile, side in whole_tiles(batches):
@@ -116,16 +122,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
                 if len(mine):
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(start + mine)), pa.array(links[mine]), ids.take(pa.array(start + label[mine]))], names=["node", "links", "least"])
 
-    found = written(dealt(rows, "grp", "n", "node", BLOCK).mapInArrow(compare, "node binary, links long, least binary"), "links")
+    found = written(dealt(rows, "grp", "size", "node", BLOCK).mapInArrow(compare, f"node {NODE}, links long, least {NODE}"), "links")
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     joined = components(found.select(F.col("node").alias("u"), F.col("least").alias("v")))
-    whole = nodes.select("node", "copies", "vec_id").join(links, "node", "left").join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    ids = whole.groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    copies = F.col("copies") - 1 if threshold <= 1 else F.lit(0)
-    per_node = whole.join(ids, "component").select("node", "component_id", (F.coalesce("links", F.lit(0)) + copies).alias("n_links"))
-    out = known.select("vec_id", "node").join(per_node, "node", "left")
-    alone = F.col("node").isNull()
-    return out.select("vec_id", F.when(alone, F.lit(0).cast("long")).otherwise(F.col("n_links")).alias("n_links"), F.when(alone, F.col("vec_id")).otherwise(F.col("component_id")).alias("component_id"))
+    whole = nodes.select("hash", "node", F.col("copies").alias("n")).join(links, "node", "left").join(joined, "node", "left")
+    copies = F.col("n") - 1 if threshold <= 1 else F.lit(0)
+    per_node = whole.select("hash", "n", F.coalesce("component", "node")["vec_id"].alias("component_id"), (F.coalesce("links", F.lit(0)) + copies).alias("n_links"))
+    out = by_key(known.where("hash is not null").select("vec_id", "hash"), per_node, "hash", n["rows"]).select("vec_id", "n_links", "component_id")
+    return out.unionByName(known.where("hash is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,8 +6,11 @@ tiles: their MinHash values are compared some at a time, and a pair is dropped
 as soon as the posterior probability that its similarity reaches the threshold
 (uniform prior) falls below a tolerance. What is left joins classes to
 candidate clusters; within each, in tiles again, the pairs that pass the same
-pruning are verified on their whole n-gram sets. Each class gets its number of
-links, and the tiles' spanning forests make the components.
+pruning are verified on their whole n-gram sets. A cluster of more than a tile
+takes the cheaper of two ways: all its pairs, or those that share a band, each
+in the first band that it shares. The latter spares a long chain of little
+similarities the square of its length. Each class gets its number of links, and
+the tiles' spanning forests make the components.
 
 A pair at the threshold escapes all bands with a probability of
 ``(1 - threshold**BAND_ROWS) ** BANDS`` = 5e-8 at 0.8.
@@ -26,10 +29,10 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import by_key, written
 from .components import components, stars
 from .tiles import dealt, pair_chunks, whole_tiles
 from .words import WORDS, mixed, ngrams
@@ -40,6 +43,9 @@ TOLERANCE = 1e-6
 BANDS, BAND_ROWS = 32, 4
 HASHES = BANDS * BAND_ROWS
 STEP = 16
+BLOCK = 128
+#: A class, by its first row; ordered by doc_id.
+NODE = "struct<none:boolean,doc_id:long,text_hash:long,set_id:binary>"
 _SALTS = mixed(np.arange(1, 2 * HASHES + 1, dtype=np.uint64))
 _XOR = (_SALTS[:HASHES] >> np.uint64(32)).astype(np.uint32)
 _TIMES = (_SALTS[HASHES:] >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
@@ -99,12 +105,16 @@ def _signatures(table: pa.Table) -> np.ndarray:
     return np.frombuffer(b"".join(table.column("signature").to_pylist()), dtype=np.uint16).reshape(-1, HASHES)
 
 
-def candidate_links(classes: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """u, v: spanning forests of the pairs of classes(set_id, signature) that share a band and outlive the pruning."""
-    bands = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring("signature", k * (2 * BAND_ROWS) + 1, F.lit(2 * BAND_ROWS))))
-    keyed = classes.select("set_id", F.explode(bands).alias("band"))
-    shared = keyed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
-    rows = keyed.join(shared, "band").join(classes.select("set_id", "signature"), "set_id")
+def bands(signature: str) -> Column:
+    """The hashes of a signature's bands."""
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: F.xxhash64(k, F.substring(signature, k * (2 * BAND_ROWS) + 1, F.lit(2 * BAND_ROWS))))
+
+
+def candidate_links(classes: DataFrame, n_classes: int, threshold: float, tolerance: float) -> DataFrame:
+    """u, v: spanning forests of the pairs of classes(node, signature) that share a band and outlive the pruning."""
+    keyed = classes.select("node", F.explode(bands("signature")).alias("band"))
+    shared = keyed.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").withColumn("size", F.col("n"))
+    rows = by_key(keyed, shared, "band", BANDS * n_classes).join(classes.select("node", "signature"), "node")
     least = least_matches(threshold, tolerance)
 
     def link(batches):
@@ -116,7 +126,7 @@ def candidate_links(classes: DataFrame, threshold: float, tolerance: float) -> D
                 v.append(b)
             yield from forest(table, u, v)
 
-    return dealt(rows, "band", "n", "set_id", 256).mapInArrow(link, "u binary, v binary").distinct()
+    return dealt(rows, "band", "size", "node", 256).mapInArrow(link, f"u {NODE}, v {NODE}").distinct()
 
 
 def forest(table: pa.Table, u: list[np.ndarray], v: list[np.ndarray]):
@@ -125,7 +135,7 @@ def forest(table: pa.Table, u: list[np.ndarray], v: list[np.ndarray]):
         return
     label = stars(table.num_rows, np.concatenate(u), np.concatenate(v))
     mine = np.flatnonzero(label != np.arange(len(label)))
-    ids = table.column("set_id").combine_chunks()
+    ids = table.column("node").combine_chunks()
     yield pa.RecordBatch.from_arrays([ids.take(pa.array(mine)), ids.take(pa.array(label[mine]))], names=["u", "v"])
 
 
@@ -147,28 +157,52 @@ def _verified(sets: list[np.ndarray], sizes: np.ndarray, a: np.ndarray, b: np.nd
     return out
 
 
+def cluster_members(classes: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Written: node, copies, grp, size and band of the classes in clusters(node, cluster), a row for each group in which a class is compared: its cluster (band -1), or each band that others of its cluster share."""
+    n = clusters.count()
+    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"), F.count("*").alias("size"))
+    members = written(by_key(clusters, sizes, "cluster", n).join(classes.select("node", "copies", "signature"), "node"), "members")
+    large = members.where(F.col("size") > BLOCK).select("node", "cluster", F.posexplode(bands("signature")).alias("band", "value"))
+    groups = large.groupBy("cluster", "band", "value").agg(F.count("*").alias("n")).where("n > 1")
+    # pairs to compare, and rows that a tile of its own costs
+    costs = groups.groupBy("cluster").agg(F.sum(F.col("n").cast("double") * (F.col("n") + BLOCK)).alias("cost"))
+    cheaper = costs.join(sizes.select("cluster", "size"), "cluster").where(F.col("cost") < F.col("size").cast("double") * F.col("size"))
+    counted = sizes.select("cluster", "n").join(cheaper.select("cluster", F.lit(True).alias("by_band")), "cluster", "left")
+    routed = by_key(members, counted, "cluster", n)
+    whole = routed.where("by_band is null").select("node", "copies", F.xxhash64("cluster", F.lit(-1)).alias("grp"), "size", F.lit(-1).alias("band"))
+    split = routed.where("by_band").select("node", "copies", "cluster", F.posexplode(bands("signature")).alias("band", "value")).withColumn("grp", F.xxhash64("cluster", "band", "value"))
+    in_band = groups.select(F.xxhash64("cluster", "band", "value").alias("grp"), "n", F.col("n").alias("size"))
+    return written(whole.unionByName(by_key(split, in_band, "grp", BANDS * n).select(*whole.columns)), "groups")
+
+
 def verified_links(docs: DataFrame, members: DataFrame, n: int, threshold: float, tolerance: float) -> DataFrame:
-    """Written: rows (set_id, links, u, v) of the tiles of members(set_id, doc_id, text_hash, copies, cluster, n): how many documents a class links with, or a link of the spanning forest."""
+    """Written: rows (node, links, u, v) of the tiles of members: how many documents a class links with, or a link of the spanning forest."""
     least = least_matches(threshold, tolerance)
-    texts = docs.select(F.col("doc_id").cast("long").alias("_doc"), F.xxhash64("text").alias("_hash"), "text")
-    joined = members.join(texts, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash"))).dropDuplicates(["doc_id", "text_hash"])
+    # each class once; a small table of them is broadcast, so that texts stay where they are
+    wanted = written(members.select("node").distinct().select("node", F.col("node.doc_id").alias("_doc"), F.col("node.text_hash").alias("_hash")), "wanted")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    joined = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash"))).select("node", "text")
 
     def sets_of(batches):
         for batch in batches:
             grams = [np.unique(ngrams(WORDS.of(t), n)) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("set_id", "copies", "cluster", "n")), pa.array([g.tobytes() for g in grams], pa.binary()), pa.array([signature(g).tobytes() for g in grams], pa.binary())], names=["set_id", "copies", "cluster", "n", "grams", "signature"])
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array([g.tobytes() for g in grams], pa.binary()), pa.array([signature(g).tobytes() for g in grams], pa.binary())], names=["node", "grams", "signature"])
 
-    rows = joined.select("set_id", "copies", "cluster", "n", "text").mapInArrow(sets_of, "set_id binary, copies long, cluster binary, n long, grams binary, signature binary")
+    # repeated rows have equal sets
+    sets = joined.mapInArrow(sets_of, f"node {NODE}, grams binary, signature binary").dropDuplicates(["node"])
 
     def verify(batches):
         for table, tile, side in whole_tiles(batches, 512):
             signatures, u, v = _signatures(table), [], []
+            in_bands, band = signatures.view("<u8"), table.column("band").to_numpy()
             sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("grams").to_pylist()]
             sizes = np.array([len(x) for x in sets])
             copies = table.column("copies").to_numpy()
             links = np.zeros(len(sets), dtype=np.int64)
             for a, b in pair_chunks(tile, side):
                 a, b = survivors(signatures, a, b, least)
+                first = (band[a] < 0) | ((in_bands[a] == in_bands[b]).argmax(axis=1) == band[a])
+                a, b = a[first], b[first]
                 ok = _verified(sets, sizes, a, b, threshold)
                 a, b = a[ok], b[ok]
                 np.add.at(links, a, copies[b])
@@ -176,42 +210,47 @@ def verified_links(docs: DataFrame, members: DataFrame, n: int, threshold: float
                 u.append(a)
                 v.append(b)
             mine = np.flatnonzero(links)
-            none = pa.nulls(len(mine), pa.binary())
-            yield pa.RecordBatch.from_arrays([table.column("set_id").combine_chunks().take(pa.array(mine)), pa.array(links[mine]), none, none], names=["set_id", "links", "u", "v"])
+            nodes = table.column("node").combine_chunks()
+            none = pa.nulls(len(mine), nodes.type)
+            yield pa.RecordBatch.from_arrays([nodes.take(pa.array(mine)), pa.array(links[mine]), none, none], names=["node", "links", "u", "v"])
             for x in forest(table, u, v):
-                yield pa.RecordBatch.from_arrays([pa.nulls(x.num_rows, pa.binary()), pa.nulls(x.num_rows, pa.int64()), *x.columns], names=["set_id", "links", "u", "v"])
+                yield pa.RecordBatch.from_arrays([pa.nulls(x.num_rows, nodes.type), pa.nulls(x.num_rows, pa.int64()), *x.columns], names=["node", "links", "u", "v"])
 
-    tiled = dealt(rows, "cluster", "n", "set_id", 128)
-    return written(tiled.mapInArrow(verify, "set_id binary, links long, u binary, v binary"), "verified")
+    tiled = dealt(members.join(sets, "node"), "grp", "size", "node", BLOCK)
+    return written(tiled.mapInArrow(verify, f"node {NODE}, links long, u {NODE}, v {NODE}"), "verified")
 
 
 def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> DataFrame:
-    """For each row of docs(doc_id, text): doc_id, text_hash, class_id (the least doc_id that links lead to) and n_links (other documents with at least the threshold, copies included)."""
+    """For each row of docs(doc_id, text): doc_id, text_hash, class_id (the least doc_id that links lead to), n_links (other documents with at least the threshold, copies included) and first (whether the row is that of the least doc_id and text_hash, or has no words)."""
     prints = fingerprints(docs, n)
     known = prints.where("set_id is not null")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("first")
-    classes = written(known.groupBy("set_id").agg(F.count("*").alias("copies"), first, F.first("signature").alias("signature")).select("set_id", "copies", "first.doc_id", "first.text_hash", "signature"), "classes")
-    clusters = written(components(candidate_links(classes, threshold, tolerance)).select(F.col("node").alias("set_id"), F.col("component").alias("cluster")), "clusters")
-    sizes = clusters.groupBy("cluster").agg(F.count("*").alias("n"))
-    members = clusters.join(sizes, "cluster").join(classes.drop("signature"), "set_id")
-    found = verified_links(docs, members, n, threshold, tolerance)
-
-    links = found.where("set_id is not null").groupBy("set_id").agg(F.sum("links").alias("links"))
-    joined = components(found.where("u is not null").select("u", "v")).select(F.col("node").alias("set_id"), "component")
-    whole = classes.select("set_id", "copies", "doc_id").join(links, "set_id", "left").join(joined, "set_id", "left").withColumn("component", F.coalesce("component", "set_id"))
-    ids = whole.groupBy("component").agg(F.min("doc_id").alias("class_id"))
-    per_class = whole.join(ids, "component").select("set_id", "class_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    in_class = prints.select("doc_id", "text_hash", "set_id").join(per_class, "set_id", "left")
-    alone = F.col("set_id").isNull()
-    return in_class.select("doc_id", "text_hash", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.when(alone, F.lit(0).cast("long")).otherwise(F.col("n_links")).alias("n_links"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "set_id")).alias("node")
+    classes = written(known.groupBy("set_id").agg(F.count("*").alias("copies"), first, F.first("signature").alias("signature")), "classes")
+    sums = classes.agg(F.count("*").alias("n"), F.coalesce(F.sum("copies"), F.lit(0)).alias("rows")).first()
+    clusters = written(components(candidate_links(classes, sums["n"], threshold, tolerance)).select("node", F.col("component").alias("cluster")), "clusters")
+    found = verified_links(docs, cluster_members(classes, clusters), n, threshold, tolerance)
+
+    links = found.where("node is not null").groupBy("node").agg(F.sum("links").alias("links"))
+    joined = components(found.where("u is not null").select("u", "v"))
+    whole = classes.select("set_id", "node", F.col("copies").alias("n")).join(links, "node", "left").join(joined, "node", "left").withColumn("least", F.coalesce("component", "node"))
+    per_class = whole.select("set_id", "n", F.col("least.doc_id").alias("class_id"), F.col("least.text_hash").alias("first_hash"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    rows = prints.select("doc_id", "text_hash", "set_id")
+    in_class = by_key(rows.where("set_id is not null"), per_class, "set_id", sums["rows"])
+    is_first = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("text_hash") == F.col("first_hash"))
+    alone = rows.where("set_id is null").select("doc_id", "text_hash", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("first"))
+    return in_class.select("doc_id", "text_hash", "class_id", "n_links", is_first.alias("first")).unionByName(alone)
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of docs for each component, that with the least doc_id; of repeated rows, one. Documents without words all stay."""
-    mine = jaccard_join(docs).where(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("doc_id", "text_hash").distinct().alias("m")
+    found = written(jaccard_join(docs).select("doc_id", "text_hash", "first"), "classified")
+    gone = written(found.where("not first").select("doc_id", "text_hash").distinct(), "gone").alias("g")
+    repeated = written(found.where("first").groupBy("doc_id", "text_hash").count().where("count > 1").drop("count"), "repeated").alias("g")
+    same = F.col("r.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("r.text_hash") == F.col("g.text_hash"))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")).alias("r")
-    kept = rows.join(mine, F.col("r.doc_id").eqNullSafe(F.col("m.doc_id")) & (F.col("r.text_hash") == F.col("m.text_hash")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text_hash"]).select("row.*")
+    kept = rows.join(gone, same, "left_anti").alias("r")
+    once = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text_hash"])
+    return kept.join(repeated, same, "left_anti").unionByName(once).select("row.*")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -269,6 +269,8 @@ def test_op6_bounds_and_odd_vectors(spark):
     cosine = unit @ unit.T
     assert sorted(found) == [(i, j) for i in range(300) for j in range(i + 1, 300) if cosine[i, j] >= 0.98]
     v, w = [1.0, 0.0], [0.0, 0.0]
+    extreme = spark.createDataFrame([(i, 0, [x, x]) for i, x in enumerate((1e200, 1.0, 1e-170, 1e-310, -1.0))], "vec_id long, label int, embedding array<double>")
+    assert sorted((r["vec_id"], r["n_links"]) for r in embedding_dedup.near_duplicates(extreme).collect()) == [(0, 3), (1, 3), (2, 3), (3, 3), (4, 0)]
     rows = [(1, 0, v), (2, 0, v), (3, 1, v), (4, None, v), (5, 0, None), (6, 0, w), (7, 0, [1.0, None]), (8, 0, [float("nan"), 1.0]), (9, 0, [-2.0, 0.0]), (10, 0, [3.0, 0.1]), (11, 0, [1.0]), (2, 0, v)]
     got = embedding_dedup.near_duplicates(spark.createDataFrame([(*r, 1) for r in rows], "vec_id long, label int, embedding array<float>, tile int"), 0.98).collect()
     assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got) == [(1, 3, 1), (2, 3, 1), (2, 3, 1), (3, 0, 3), (4, 0, 4), (5, 0, 5), (6, 0, 6), (7, 0, 7), (8, 0, 8), (9, 0, 9), (10, 3, 1), (11, 0, 11)]
@@ -340,6 +342,19 @@ def test_op8_near_copies_in_several_tiles(spark):
     assert got == {i: sum(b) - 1 for i, b in enumerate(brute)}
 
 
+def test_op8_chain_of_near_copies(spark, monkeypatch):
+    """Each text is like its neighbours only, so the cluster is compared by bands; a group of copies rides on it."""
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    words = [f"w{i}" for i in range(800)]
+    texts = [" ".join(words[4 * i : 4 * i + 90]) for i in range(170)] + [" ".join(words[:90])] * 3
+    routes, members = [], jaccard.cluster_members
+    monkeypatch.setattr(jaccard, "cluster_members", lambda *x: routes.append(members(*x)) or routes[0])
+    brute = jaccard_brute(texts)
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.jaccard_join(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == {i: (0, sum(b) - 1) for i, b in enumerate(brute)}
+    assert routes[0].where("band >= 0").count() > 0
+
+
 def test_op8_posterior():
     least = jaccard.least_matches(0.8, 1e-6)
     assert least[16] < 0.8 * 16 and all(least[k] <= least[k + 16] for k in range(16, 128, 16))
