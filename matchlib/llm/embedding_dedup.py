@@ -108,13 +108,13 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
             raw = table.column("vector").to_pylist()
             ends = np.flatnonzero(np.diff(tile, append=-1)) + 1
             for start, stop in zip(np.concatenate([[0], ends[:-1]]), ends):
-                ones = int(side[start:stop].sum())
-                if stop - start < 2 or ones == stop - start:
-                    continue
                 n = int(stop - start)
+                twos = int((side[start:stop] == 2).sum())
+                if n < 2 or (side[start] and twos in (0, n)):
+                    continue
                 part = np.frombuffer(b"".join(raw[start:stop]), dtype="<f8").reshape(n, -1)
-                left = range(n - ones) if ones else range(n)
-                found = list(tile_links(part, left, range(n - ones, n) if ones else left, threshold))
+                left = range(n - twos)
+                found = list(tile_links(part, left, range(n - twos, n) if twos else left, threshold))
                 a, b = (np.concatenate(x) for x in zip(*found)) if found else (np.empty(0, np.int64),) * 2
                 links = np.bincount(a, copies[start + b], n).astype(np.int64) + np.bincount(b, copies[start + a], n).astype(np.int64)
                 label = stars(n, a, b)

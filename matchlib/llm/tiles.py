@@ -17,11 +17,11 @@ from pyspark.sql import functions as F
 
 
 def dealt(rows: DataFrame, group: str, size: str, node: str, rows_per_block: int) -> DataFrame:
-    """rows with tile (a number for a pair of blocks of the group) and side (0 or 1; all 0 in a tile of one block), dealt out by tile and sorted."""
+    """rows with tile (a number for a pair of blocks of the group) and side (1 or 2; 0 in a tile of one block), dealt out by tile and sorted."""
     blocks = F.ceil(F.col(size) / rows_per_block)
     other = rows.withColumn("_block", F.pmod(F.xxhash64(node), blocks)).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     low, high = F.least("_block", "_other"), F.greatest("_block", "_other")
-    tiled = other.withColumn("tile", F.xxhash64(group, low, high)).withColumn("side", (F.col("_block") > F.col("_other")).cast("int"))
+    tiled = other.withColumn("tile", F.xxhash64(group, low, high)).withColumn("side", F.when(F.col("_block") < F.col("_other"), 1).when(F.col("_block") > F.col("_other"), 2).otherwise(0))
     return tiled.drop("_block", "_other").repartition("tile").sortWithinPartitions("tile", group, "side")
 
 
@@ -61,12 +61,9 @@ def pair_chunks(tile: np.ndarray, side: np.ndarray, at_once: int = 1 << 21) -> I
     rows = np.arange(n)
     start = np.searchsorted(tile, tile, side="left")
     stop = np.searchsorted(tile, tile, side="right")
-    ones = np.concatenate([[0], np.cumsum(side)])
-    n_ones = ones[stop] - ones[start]
-    # rows of a tile are sorted by side: side 1 are its last n_ones rows
-    first = np.where(n_ones > 0, np.where(side == 0, stop - n_ones, stop), rows + 1)
-    # a tile with side 1 only has lost its other block: nothing to compare
-    first = np.where(n_ones == stop - start, stop, first)
+    twos = np.concatenate([[0], np.cumsum(side == 2)])
+    # rows of a tile are sorted by side; a block may be empty, then there is nothing to compare
+    first = np.where(side == 0, rows + 1, np.where(side == 1, stop - (twos[stop] - twos[start]), stop))
     many = stop - first
     ends = np.cumsum(many)
     i = 0

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from matchlib.llm import decontamination, embedding_dedup, html_text, jaccard, language, packing, quality, secret_scan, token_files, tokens, warc
 from matchlib.llm.queries import ORACLE_SQL, QUERIES
+from matchlib.llm.tiles import dealt, pair_chunks, whole_tiles
 from matchlib.llm.words import WORDS, ngrams
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -344,9 +345,9 @@ def test_op8_near_copies_in_several_tiles(spark):
 
 def test_op8_chain_of_near_copies(spark, monkeypatch):
     """Each text is like its neighbours only, so the cluster is compared by bands; a group of copies rides on it."""
-    monkeypatch.setattr(jaccard, "BLOCK", 8)
-    words = [f"w{i}" for i in range(800)]
-    texts = [" ".join(words[4 * i : 4 * i + 90]) for i in range(170)] + [" ".join(words[:90])] * 3
+    monkeypatch.setattr(jaccard, "BLOCK", 2)
+    words = [f"w{i}" for i in range(2800)]
+    texts = [" ".join(words[8 * i : 8 * i + 90]) for i in range(330)] + [" ".join(words[:90])] * 3
     routes, members = [], jaccard.cluster_members
     monkeypatch.setattr(jaccard, "cluster_members", lambda *x: routes.append(members(*x)) or routes[0])
     brute = jaccard_brute(texts)
@@ -355,6 +356,18 @@ def test_op8_chain_of_near_copies(spark, monkeypatch):
     assert routes[0].where("band >= 0").count() > 0
 
 
+def test_tiles_with_empty_blocks(spark):
+    """Every pair of a group is met once, however few rows a block has."""
+    rows = spark.range(23).selectExpr("id div 12 as grp", "id as node", "12 - id div 12 as n")
+    pairs = []
+    for table, tile, side in whole_tiles(iter(dealt(rows, "grp", "n", "node", 1).toArrow().to_batches()), 5):
+        for a, b in pair_chunks(tile, side, 7):
+            ids, grp = table.column("node").to_numpy(), table.column("grp").to_numpy()
+            assert (grp[a] == grp[b]).all()
+            pairs += [tuple(sorted(p)) for p in zip(ids[a].tolist(), ids[b].tolist())]
+    assert sorted(pairs) == [(i, j) for i in range(23) for j in range(i + 1, 23) if i // 12 == j // 12]
+
+
 def test_op8_posterior():
     least = jaccard.least_matches(0.8, 1e-6)
     assert least[16] < 0.8 * 16 and all(least[k] <= least[k + 16] for k in range(16, 128, 16))
