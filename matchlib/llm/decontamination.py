@@ -1,13 +1,13 @@
 """Benchmark decontamination: rare word and pair seeds, then Smith-Waterman alignment.
 
-The benchmark is a stated query set, taken in blocks of ``ITEMS_AT_ONCE`` items
-against all documents. In a first pass each task counts how often the items'
-words and word pairs occur in every ``COUNTED``-th document; the counts order
-seeds and decide nothing else. The rarest words and pairs of an item become
-seeds, so many that every leak, by its score, holds some of them (see ``Items``).
-In a second pass seeds found in a document open a window around them; if enough
-of the item's words and pairs stand in it, window and item are aligned word by
-word. So the leaks are those of an alignment of every item with every document.
+The benchmark is a stated query set, taken in blocks of about ``WORDS_AT_ONCE``
+words (an item is never cut) against all documents. In a first pass each task
+counts how often the items' words and word pairs occur in the documents. The
+rarest words and pairs of an item become seeds, so many that every leak, by its
+score, holds some of them (see ``Items``). In a second pass seeds found in a
+document open a window around them; if enough of the item's words and pairs stand
+in it, window and item are aligned word by word. So the leaks are those of an
+alignment of every item with every document.
 
 A leak is an alignment that scores at least ``LEAST_SHARE`` of the item's best
 score, or that of ``LONG`` words.
@@ -34,9 +34,10 @@ FEWEST = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST_SHARE = 0.5
 LONG = 40
-ITEMS_AT_ONCE = 20_000
+WORDS_AT_ONCE = 500_000
 HITS_SHARE = (1, 5)
-COUNTED = 16
+#: So many words of documents are looked up at a time.
+LOOKED_UP = 50_000
 HITS = "doc_id long, item_id long, score double, first_word long, last_word long"
 
 
@@ -78,6 +79,33 @@ def tokens_of(words: np.ndarray) -> np.ndarray:
     return np.concatenate([ngrams(words, 1), ngrams(words, 2)]) if len(words) > 1 else ngrams(words, 1)
 
 
+def in_chunks(texts: list[str | None]):
+    """(first row, words of each row) for as many texts as hold about LOOKED_UP words, one at least."""
+    first, held, n = 0, [], 0
+    for text in texts:
+        held.append(WORDS.of(text))
+        n += len(held[-1])
+        if n >= LOOKED_UP:
+            yield first, held
+            first, held, n = first + len(held), [], 0
+    if held:
+        yield first, held
+
+
+def tokens_of_all(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hashes, row of docs, place in it) of the words and word pairs of all docs."""
+    words = np.concatenate(docs)
+    n = np.array([len(d) for d in docs])
+    ends = np.cumsum(n)
+    owner = np.repeat(np.arange(len(docs)), n)
+    place = np.arange(len(words)) - (ends - n)[owner]
+    if len(words) < 2:
+        return ngrams(words, 1), owner, place
+    inside = owner[1:] == owner[:-1]
+    pairs = ngrams(words, 2)[inside]
+    return np.concatenate([ngrams(words, 1), pairs]), np.concatenate([owner, owner[:-1][inside]]), np.concatenate([place, place[:-1][inside]])
+
+
 class Items:
     """A block of benchmark items, and where their words and word pairs stand.
 
@@ -109,6 +137,7 @@ class Items:
     def set_grams(self, grams: np.ndarray, items: np.ndarray, places: np.ndarray) -> None:
         order = np.argsort(grams, kind="stable")
         self.grams, self.items, self.places = grams[order], items[order].astype(np.int64), places[order].astype(np.int64)
+        self.first = np.flatnonzero(np.concatenate([[True], self.grams[1:] != self.grams[:-1]])[: len(self.grams)])
         self.filter = np.zeros(1 << 22, dtype=bool)
         self.filter[(self.grams & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
@@ -120,9 +149,20 @@ class Items:
         i = np.minimum(np.searchsorted(self.grams, grams[at]), len(self.grams) - 1)
         return at[self.grams[i] == grams[at]]
 
-    def keep_seeds(self, frequency: dict[int, int]) -> None:
-        """Keeps of each item the words and pairs with the least frequency, as many as a leak can't do without: ``need`` of them stand in each. The frequency decides how fast leaks are found, not which."""
-        often = np.array([frequency.get(int(g), 0) for g in self.grams.astype(np.int64)])
+    def counts(self, texts: list[str | None]) -> np.ndarray:
+        """How often each of the items' distinct words and pairs occurs in texts."""
+        out = np.zeros(len(self.grams) + 1, dtype=np.int64)
+        for _, docs in in_chunks(texts):
+            tokens = tokens_of_all(docs)[0]
+            out += np.bincount(np.searchsorted(self.grams, tokens[self.found(tokens)]), minlength=len(out))
+        return out[self.first]
+
+    def keep_seeds(self, grams: np.ndarray, counts: np.ndarray) -> None:
+        """Keeps of each item the words and pairs that occur least, as many as a leak can't do without: ``need`` of them stand in each. grams are sorted; others occur nowhere. The counts decide how fast leaks are found, not which."""
+        often = np.zeros(len(self.grams), dtype=np.int64)
+        if len(grams):
+            at = np.minimum(np.searchsorted(grams, self.grams), len(grams) - 1)
+            often = np.where(grams[at] == self.grams, counts[at], 0)
         parts, must = 2 * self.size - 1, self.least - 1
         self.need = np.maximum(1, must * HITS_SHARE[0] // HITS_SHARE[1])
         order = np.lexsort((self.places, often, self.items))
@@ -131,70 +171,79 @@ class Items:
         kept = order[rank < np.repeat(parts - must + self.need, parts)]
         self.set_grams(self.grams[kept], self.items[kept], self.places[kept])
 
-    def leaks(self, words: np.ndarray) -> list[tuple[int, float, int, int]]:
-        """(item, share of its best score, first, last word) for each item that leaks into words."""
-        if not len(words):
-            return []
-        tokens = tokens_of(words)
+    def leaks(self, texts: list[str | None]) -> list[tuple[int, int, float, int, int]]:
+        """(row, item, share of its best score, first, last word) for each item that leaks into one of texts."""
+        return [(first + d, *hit) for first, docs in in_chunks(texts) for d, *hit in self._leaks(docs)]
+
+    def _leaks(self, docs: list[np.ndarray]) -> list[tuple[int, int, float, int, int]]:
+        tokens, owner, place = tokens_of_all(docs)
         at = self.found(tokens)
         if not len(at):
             return []
         low, high = np.searchsorted(self.grams, tokens[at], "left"), np.searchsorted(self.grams, tokens[at], "right")
         many = high - low
         row = np.repeat(low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        item = self.items[row]
-        # most items have too few hits in the whole document
-        able = np.bincount(item, minlength=len(self.size))[item] >= self.need[item]
+        item, at = self.items[row], np.repeat(at, many)
+        # most items have too few hits in a whole document
+        _, pair, n = np.unique(owner[at] * len(self.size) + item, return_inverse=True, return_counts=True)
+        able = n[pair] >= self.need[item]
         if not able.any():
             return []
-        item, row, at = item[able], row[able], np.repeat(at, many)[able]
-        begin = np.where(at < len(words), at, at - len(words)) - self.places[row]
-        out = []
-        order = np.lexsort((begin, item))
-        item, begin, row = item[order], begin[order], row[order]
+        item, row, at = item[able], row[able], at[able]
+        doc, begin = owner[at], place[at] - self.places[row]
+        order = np.lexsort((begin, item, doc))
+        doc, item, begin, row = doc[order], item[order], begin[order], row[order]
         # a window for each run of starts that lie close to each other
         new = np.ones(len(item), dtype=bool)
-        new[1:] = (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > np.maximum(self.size, self.slack)[item[1:]])
+        new[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (begin[1:] - begin[:-1] > np.maximum(self.size, self.slack)[item[1:]])
         edges = np.append(np.flatnonzero(new), len(item))
-        best: dict[int, tuple[int, int, int]] = {}
+        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        of: dict[int, np.ndarray] = {}
         full = np.flatnonzero(np.diff(edges) >= self.need[item[edges[:-1]]])
         for a, b in zip(edges[full].tolist(), edges[full + 1].tolist()):
-            k = int(item[a])
+            d, k = int(doc[a]), int(item[a])
             if len(set(row[a:b].tolist())) < self.need[k]:
                 continue
+            if d not in of:
+                of[d] = tokens_of(docs[d])
+            words, mine = docs[d], of[d]
             own, n, least, slack = self.words[k], int(self.size[k]), int(self.least[k]), int(self.slack[k])
             lo, hi = max(0, int(begin[a]) - slack), min(len(words), int(begin[b - 1]) + n + slack)
             # of a run of many copies a window grows long: it is aligned in overlapping parts
             for p in range(lo, hi, 4 * n):
                 end = min(hi, p + 5 * n + slack)
                 window = words[p:end]
-                if np.isin(self.own[k], np.concatenate([tokens[p:end], tokens[len(words) + p : len(words) + end - 1]])).sum() < least - 1:
+                if np.isin(self.own[k], np.concatenate([mine[p:end], mine[len(words) + p : len(words) + end - 1]])).sum() < least - 1:
                     continue
                 score, first, last = align(window, own)
-                if score >= least and score > best.get(k, (0,))[0]:
-                    best[k] = (score, p + first, p + last)
-        for k, (score, first, last) in sorted(best.items()):
-            out.append((k, score / (MATCH * int(self.size[k])), first, last))
-        return out
-
-
-def _blocks(benchmark: DataFrame, at_once: int):
-    """Blocks of at most at_once items, each collected for itself."""
-    n = benchmark.count()
-    parts = -(-n // at_once)
-    if parts <= 1:
-        yield benchmark.select(F.col("item_id").cast("long"), "text").collect() if n else []
-        return
-    # a hash deals items out; twice as many parts as needed keep each below the bound
-    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(2 * parts))
-    for i in range(2 * parts):
-        yield benchmark.where(part == i).select(F.col("item_id").cast("long"), "text").collect()
-
-
-def _seeded(docs: DataFrame, benchmark: DataFrame, items_at_once: int):
+                if score >= least and score > best.get((d, k), (0,))[0]:
+                    best[d, k] = (score, p + first, p + last)
+        return [(d, k, score / (MATCH * int(self.size[k])), first, last) for (d, k), (score, first, last) in sorted(best.items())]
+
+
+def _blocks(benchmark: DataFrame, words_at_once: int):
+    """Blocks of at most words_at_once words each, unless one item (or its repeated rows) has more; each is collected for itself."""
+    number = F.xxhash64("item_id", "text")
+    rows = benchmark.select(F.col("item_id").cast("long"), "text").withColumn("number", number).withColumn("n", F.size(F.split(F.coalesce("text", F.lit("")), r"\s+")))
+
+    def split(i: int, parts: int):
+        mine = rows.where(F.pmod("number", F.lit(parts)) == i)
+        sums = mine.agg(F.sum("n").alias("n"), (F.min("number") < F.max("number")).alias("several")).first()
+        if sums["n"] is None:
+            return
+        if sums["n"] > words_at_once and sums["several"]:
+            yield from split(i, 2 * parts)
+            yield from split(i + parts, 2 * parts)
+        else:
+            yield mine.select("item_id", "text").collect()
+
+    yield from split(0, 1)
+
+
+def _seeded(docs: DataFrame, benchmark: DataFrame, words_at_once: int):
     """A broadcast block of items at a time, with their seeds chosen."""
     spark = docs.sparkSession
-    for rows in _blocks(benchmark, items_at_once):
+    for rows in _blocks(benchmark, words_at_once):
         items = Items([tuple(r) for r in rows])
         if not len(items.grams):
             continue
@@ -202,29 +251,29 @@ def _seeded(docs: DataFrame, benchmark: DataFrame, items_at_once: int):
 
         def count(batches, shared=shared):
             mine = shared.value
-            counts = np.zeros(len(mine.grams), dtype=np.int64)
+            total = 0
             for batch in batches:
-                for text in batch.column("text").to_pylist()[::COUNTED]:
-                    tokens = tokens_of(WORDS.of(text))
-                    np.add.at(counts, np.searchsorted(mine.grams, tokens[mine.found(tokens)]), 1)
-            held = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(mine.grams[held].astype(np.int64)), pa.array(counts[held])], names=["gram", "n"])
+                total = total + mine.counts(batch.column("text").to_pylist())
+            if isinstance(total, np.ndarray):
+                held = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array(mine.grams[mine.first[held]].view(np.int64)), pa.array(total[held])], names=["gram", "n"])
 
         # at most a row for each word or pair of the block
-        frequency = {r["gram"]: r["n"] for r in docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()}
-        items.keep_seeds(frequency)
+        found = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+        grams, n = found.column("gram").to_numpy().view(np.uint64), found.column("n").to_numpy()
+        order = np.argsort(grams)
+        items.keep_seeds(grams[order], n[order])
         yield spark.sparkContext.broadcast(items)
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, items_at_once: int = ITEMS_AT_ONCE) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, words_at_once: int = WORDS_AT_ONCE) -> DataFrame:
     """doc_id, item_id, score (share of the item's best), first_word and last_word of each leak of benchmark(item_id, text) into docs(doc_id, text)."""
 
     def scan(shared):
         def of(batches):
             for batch in batches:
-                rows = []
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                    rows += [(doc_id, shared.value.ids[k], score, first, last) for k, score, first, last in shared.value.leaks(WORDS.of(text))]
+                ids = batch.column("doc_id").to_pylist()
+                rows = [(ids[d], shared.value.ids[k], score, first, last) for d, k, score, first, last in shared.value.leaks(batch.column("text").to_pylist())]
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()))], names=["doc_id", "item_id", "score", "first_word", "last_word"])
 
@@ -232,23 +281,24 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, items_at_once: int = ITEMS
 
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     out = docs.sparkSession.createDataFrame([], HITS)
-    for shared in _seeded(docs, benchmark, items_at_once):
+    for shared in _seeded(docs, benchmark, words_at_once):
         out = out.unionByName(docs.mapInArrow(scan(shared), HITS))
     return out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, items_at_once: int = ITEMS_AT_ONCE) -> DataFrame:
+def without_leaks(docs: DataFrame, benchmark: DataFrame, words_at_once: int = WORDS_AT_ONCE) -> DataFrame:
     """The rows of docs into which no item of benchmark leaks."""
 
     def keep(shared):
         def of(batches):
             for batch in batches:
-                clean = [not shared.value.leaks(WORDS.of(t)) for t in batch.column("text").to_pylist()]
-                yield batch.filter(pa.array(clean, pa.bool_()))
+                clean = np.ones(batch.num_rows, dtype=bool)
+                clean[[d for d, *_ in shared.value.leaks(batch.column("text").to_pylist())]] = False
+                yield batch.filter(pa.array(clean))
 
         return of
 
-    for shared in _seeded(docs, benchmark, items_at_once):
+    for shared in _seeded(docs, benchmark, words_at_once):
         docs = docs.mapInArrow(keep(shared), docs.schema)
     return docs
 

@@ -411,7 +411,7 @@ def test_op10_alignment_and_copies(spark, con, odd):
     bench = spark.createDataFrame([(0, items[0][1]), (1, None), (2, ""), (3, "too short"), (None, items[0][1])], "item_id long, text string")
     some = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(((r["doc_id"], r["item_id"]) for r in decontamination.find_leaks(some, bench).collect()), key=str) == sorted([(1, 0), (1, None), (None, 0), (None, None)], key=str)
-    assert sorted(r["doc_id"] for r in decontamination.without_leaks(some, bench, items_at_once=2).collect()) == [2, 3]
+    assert sorted(r["doc_id"] for r in decontamination.without_leaks(some, bench, words_at_once=40).collect()) == [2, 3]
     assert decontamination.without_leaks(odd, bench.limit(0)).count() == odd.count()
 
 
