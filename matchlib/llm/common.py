@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -16,15 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset, the warehouse, or in local mode a temporary folder."""
+    """The folder of spark.checkpoint.dir. Where it is unset: in local mode a temporary folder of the session, on a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/matchlib-shared"
-    own = f"file://{tempfile.mkdtemp(prefix='spark-')}"
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_dir()
+
+
+@functools.cache
+def _own_dir() -> str:
+    return f"file://{tempfile.mkdtemp(prefix='spark-')}"
 
 
 def new_dir(spark: SparkSession, label: str) -> str:
@@ -34,11 +39,22 @@ def new_dir(spark: SparkSession, label: str) -> str:
     return f"{base}/{label}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """df, written as Parquet to the shared folder and read again: its lineage ends there, and a lost executor costs no more than a re-read."""
+def written_to(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """written(df, label), and where it stands."""
     path = new_dir(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, label: str) -> DataFrame:
+    """df, written as Parquet to the shared folder and read again: its lineage ends there, and a lost executor costs no more than a re-read."""
+    return written_to(df, label)[0]
+
+
+def removed(path: str) -> None:
+    """Removes a table of written_to that nothing reads any more."""
+    fs, at = pafs.FileSystem.from_uri(path)
+    fs.delete_dir(at)
 
 
 def with_fields(df: DataFrame, more: str) -> StructType:

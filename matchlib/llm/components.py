@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_key, written
+from .common import by_key, removed, written_to
 
 
 def stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -34,7 +34,7 @@ def components(links: DataFrame) -> DataFrame:
     itself are ignored; an empty table has no components.
     """
     high, low = F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
-    links = written(links.where("u <> v").select(high, low).distinct(), "links")
+    links, path = written_to(links.where("u <> v").select(high, low).distinct(), "links")
     state = None
     while True:
         now = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
@@ -46,5 +46,7 @@ def components(links: DataFrame) -> DataFrame:
         large = by_key(both.where("v > u"), least, "u", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = by_key(large, least, "u", n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        links = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        before = path
+        links, path = written_to(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        removed(before)
     return links.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node").union(links.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

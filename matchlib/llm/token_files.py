@@ -15,8 +15,9 @@ Any range of ids is read by seeking to its blocks and unpacking them with
 numpy; nothing before them is touched.
 
 Defined results: a null text is empty; an empty text gives the end id alone;
-rows with a null doc_id come first; repeated rows are all kept, those of one
-doc_id in the order of their texts; an empty table gives no shard and no rows;
+the string of a special token in a text becomes its id; rows with a null doc_id
+come first; repeated rows are all kept, those of one doc_id in the order of their
+ids' bytes; an empty table gives no shard and no rows;
 other columns are not read.
 """
 
@@ -33,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import new_dir
+from .common import new_dir, removed, written_to
 from .tokens import encoded, encoder
 
 MAGIC = b"TIDS0001"
@@ -77,15 +78,13 @@ def unpack(data: bytes, n: int, bits: int) -> np.ndarray:
 
 
 class ShardWriter:
-    """Writes one shard under a name of its own attempt, and moves it to its place when whole; a repeated task writes the same bytes again."""
+    """Writes one shard, under a name that no other attempt of its task has; which attempt counts is what Spark commits to the manifest."""
 
-    def __init__(self, folder: str, name: str, bits: int):
-        self.fs, path = pafs.FileSystem.from_uri(folder)
-        self.fs.create_dir(path, recursive=True)
-        context = TaskContext.get()
-        self.final = f"{path}/{name}"
-        self.temporary = f"{path}/_{name}.{context.taskAttemptId() if context else 0}"
-        self.out = self.fs.open_output_stream(self.temporary)
+    def __init__(self, uri: str, bits: int):
+        fs, path = pafs.FileSystem.from_uri(uri)
+        fs.create_dir(path.rpartition("/")[0], recursive=True)
+        self.uri = uri
+        self.out = fs.open_output_stream(path)
         self.out.write(MAGIC)
         self.bits, self.at, self.n = bits, len(MAGIC), 0
         self.waiting: list[np.ndarray] = []
@@ -120,7 +119,6 @@ class ShardWriter:
         self.out.write(np.array([d or 0 for d in self.docs], dtype="<i8").tobytes() + np.array(self.starts, dtype="<u8").tobytes() + null.tobytes() + np.array(self.offsets, dtype="<u8").tobytes())
         self.out.write(footer + struct.pack("<I", len(footer)) + MAGIC)
         self.out.close()
-        self.fs.move(self.temporary, self.final)
 
 
 class ShardReader:
@@ -153,41 +151,58 @@ class ShardReader:
         return np.concatenate(parts)[start - first * block : stop - first * block]
 
 
+def encoded_docs(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+    """doc_id and ids of docs(doc_id, text), each with end_id at its end; ids are little-endian, of 2 bytes if the vocabulary allows, else 4."""
+
+    def encode(batches):
+        end, kind = np.array([end_id], dtype="<u4").tobytes(), _kind(tokenizer, end_id)
+        for batch, i, found in encoded(batches, tokenizer):
+            ids = [np.frombuffer(x + end, dtype="<u4").astype(kind).tobytes() for x in found]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, len(ids)), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(encode, "doc_id long, ids binary")
+
+
+def _kind(tokenizer: str, end_id: int) -> str:
+    return "<u2" if max(encoder(tokenizer).vocab_size - 1, end_id) < 1 << 16 else "<u4"
+
+
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str | None = None, ids_per_shard: int = 1 << 26) -> DataFrame:
     """Encodes docs(doc_id, text), each with end_id at its end, to shard files in ascending doc_id order. Returns the written manifest, a row for each shard; (part, seq) is the shards' order.
 
-    A range partitioning by doc_id is the only shuffle; a task holds one batch
-    of texts and one block of ids.
+    Texts are encoded where they stand, and written as ids; a range partitioning
+    of these by doc_id is the only shuffle. A task holds one batch of documents and
+    one block of ids.
     """
     folder = folder or new_dir(docs.sparkSession, "token-files")
 
     def write(batches):
-        part = TaskContext.get().partitionId()
-        bits = bits_for(encoder(tokenizer).vocab_size)
+        context = TaskContext.get()
+        part, attempt = context.partitionId(), context.taskAttemptId()
+        bits, kind = bits_for(encoder(tokenizer).vocab_size), _kind(tokenizer, end_id)
         if end_id >> bits:
             raise ValueError(f"the end id {end_id} needs more than {bits} bits")
-        end = np.array([end_id], dtype="<u4").tobytes()
         shard, seq = None, 0
 
         def closed():
             shard.close()
-            row = {"shard": [f"{folder}/shards/{name}"], "part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "first_doc": pa.array(shard.docs[:1], pa.int64()), "n_docs": [len(shard.docs)], "n_ids": [shard.n]}
+            row = {"shard": [shard.uri], "part": pa.array([part], pa.int32()), "seq": pa.array([seq], pa.int32()), "first_doc": pa.array(shard.docs[:1], pa.int64()), "n_docs": [len(shard.docs)], "n_ids": [shard.n]}
             return pa.RecordBatch.from_pydict(row)
 
-        for batch, i, found in encoded(batches, tokenizer):
-            for doc_id, ids in zip(batch.column("doc_id").slice(i, len(found)).to_pylist(), found):
+        for batch in batches:
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist()):
                 if shard is None:
-                    name = f"{part:06d}-{seq:04d}.tids"
-                    shard = ShardWriter(f"{folder}/shards", name, bits)
-                shard.add(doc_id, np.frombuffer(ids + end, dtype="<u4"))
+                    shard = ShardWriter(f"{folder}/shards/{part:06d}-{seq:04d}-{attempt}.tids", bits)
+                shard.add(doc_id, np.frombuffer(ids, dtype=kind))
                 if shard.n >= ids_per_shard:
                     yield closed()
                     shard, seq = None, seq + 1
         if shard is not None:
             yield closed()
 
-    ordered = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
+    ids, path = written_to(encoded_docs(docs, tokenizer, end_id), "ids")
+    ids.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids").mapInArrow(write, MANIFEST).write.parquet(f"{folder}/manifest")
+    removed(path)
     return docs.sparkSession.read.schema(MANIFEST).parquet(f"{folder}/manifest")
 
 

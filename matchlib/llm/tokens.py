@@ -48,16 +48,19 @@ class Encoder:
     its chunks "white space, then visible characters", and a chunk is encoded
     once per Python worker, as long as a bounded cache holds it. Chunks of
     plain letters and signs are cut by rule and go to the vocabulary's merges at
-    once; all others, and texts with unusual white space, take the tokenizer's
-    whole way.
+    once; all others, and texts with unusual white space or what may be a special
+    token's string, take the tokenizer's whole way. Such strings become their ids,
+    as the tokenizer has it; with special_as_text they are ordinary text.
     """
 
-    def __init__(self, path: str, cache_entries: int = 900_000):
+    def __init__(self, path: str, cache_entries: int = 900_000, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        # how the special tokens' strings begin
+        self.special = {t.content[:2] for t in self.tokenizer.get_added_tokens_decoder().values()}
         self.vocab_size = self.tokenizer.get_vocab_size()
         self.drops_space = self.tokenizer.normalizer is not None
         self.signs = _byte_signs()
@@ -95,6 +98,8 @@ class Encoder:
         return out + self.pieces[lead + marks] if marks else out
 
     def encode(self, text: str) -> bytes:
+        if any(x in text for x in self.special):
+            return self._whole(text)
         if any(map(text.__contains__, _ASCII_SPACE)) if text.isascii() else _NOT_SIMPLE.search(text):
             if _ODD_SPACE.search(text):
                 return self._whole(text)

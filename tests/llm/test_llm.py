@@ -16,6 +16,7 @@ from matchlib.llm.tiles import dealt, pair_chunks, whole_tiles
 from matchlib.llm.words import WORDS, ngrams
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
+Tokenizer = pytest.importorskip("tokenizers").Tokenizer
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, tile int, side int, row string, text_hash int"
 LONG = "palabra otra cosa distinta " * 4000
 BASE = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty " * 2
@@ -29,7 +30,7 @@ def con():
 @pytest.fixture(scope="module")
 def odd(spark):
     """Nulls, empty and very long texts, repeated rows and ids, ties, columns with clashing names."""
-    rows = [(0, None), (1, ""), (2, " \n "), (3, LONG), (4, BASE), (4, BASE), (4, "another text under one id"), (None, BASE), (None, None), (7, "!!! ???"), (8, "two words"), (9, "two words")]
+    rows = [(0, None), (1, ""), (2, " \n "), (3, LONG), (4, BASE), (4, BASE), (4, "another text under one id"), (None, BASE), (None, None), (7, "!!! ???"), (8, "two words"), (9, "two words"), (10, "a <|endoftext|> b")]
     return spark.createDataFrame([(i, t, "en" if i else None, None, None, 1, 2, "r", 3) for i, t in rows], SCHEMA)
 
 
@@ -39,12 +40,17 @@ def digest(ids):
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_encoder_equals_the_tokenizer(name):
-    enc = tokens.Encoder(public_tokenizers.path(name), cache_entries=50)
+    path = public_tokenizers.path(name)
+    enc, plain = tokens.Encoder(path, cache_entries=50), tokens.Encoder(path, special_as_text=True)
+    untouched, as_text = Tokenizer.from_file(path), Tokenizer.from_file(path)
+    as_text.encode_special_tokens = True
     rng = np.random.default_rng(0)
     texts = ["", " ", "\n", "  a", "a  b", "a\n\nb ", "don't we'll", "x́y Å", "tab\tx", "end ", "İstanbul ΑΣ", "a b", "\x1c sep", "日本語 🙂 a🙂", "naïve—dash “q”", "é.\nÉ, ß$$$"]
     texts += ["".join(rng.choice(list(" \nab,.é'1 S$"), 60)) for _ in range(300)]
+    texts += ["a <|endoftext|> b", "a<|endoftext|>b\n<|startoftext|>", "x <|ENDOFTEXT|> y", "<| <|end", "<|endoftext|><|endoftext|>"]
     for t in texts:
-        assert enc.encode(t) == np.array(enc.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes(), t
+        for mine, theirs in ((enc, untouched), (plain, as_text)):
+            assert mine.encode(t) == np.array(theirs.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes(), t
 
 
 @pytest.mark.parametrize("bits", [1, 7, 16, 17, 32])
@@ -62,9 +68,9 @@ def test_op1_brute_force_and_random_access(spark, odd):
     assert manifest.count() > 1
     got = [(r["doc_id"], r["start"], r["n_tokens"], digest(np.frombuffer(r["ids"], "<u4"))) for r in token_files.read_token_files(manifest).collect()]
     want, at = [], 0
-    for r in sorted(docs.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "")):
-        ids = [*np.frombuffer(enc.encode(r["text"] or ""), "<u4"), 1]
-        want.append((r["doc_id"], at, len(ids), digest(ids)))
+    coded = [(r["doc_id"], [*np.frombuffer(enc.encode(r["text"] or ""), "<u4").tolist(), 1]) for r in docs.collect()]
+    for doc_id, ids in sorted(coded, key=lambda r: (r[0] is not None, r[0] or 0, np.array(r[1], "<u2").tobytes())):
+        want.append((doc_id, at, len(ids), digest(ids)))
         at += len(ids)
     key = lambda x: x[1]
     assert sorted(got, key=key) == want
@@ -321,11 +327,11 @@ def jaccard_brute(texts):
 
 def test_op8_odd_rows(spark, odd):
     got = sorted(((r["doc_id"], r["class_id"], r["n_links"]) for r in jaccard.jaccard_join(odd).collect()), key=str)
-    want = [(0, 0, 0), (1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 0), (4, 4, 2), (4, 4, 2), (7, 7, 0), (8, 8, 1), (9, 8, 1), (None, 4, 2), (None, None, 0)]
+    want = [(0, 0, 0), (1, 1, 0), (2, 2, 0), (3, 3, 0), (4, 4, 0), (4, 4, 2), (4, 4, 2), (7, 7, 0), (8, 8, 1), (9, 8, 1), (10, 10, 0), (None, 4, 2), (None, None, 0)]
     assert got == sorted(want, key=str)
     kept = jaccard.keep_first(odd)
     assert kept.columns == odd.columns
-    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, (r["text"] or "")[:9]) for r in kept.collect()) == [(False, 0, ""), (False, 1, ""), (False, 2, " \n "), (False, 3, "palabra o"), (False, 4, "another t"), (False, 4, "one two t"), (False, 7, "!!! ???"), (False, 8, "two words"), (True, 0, "")]
+    assert sorted((r["doc_id"] is None, r["doc_id"] or 0, (r["text"] or "")[:9]) for r in kept.collect()) == [(False, 0, ""), (False, 1, ""), (False, 2, " \n "), (False, 3, "palabra o"), (False, 4, "another t"), (False, 4, "one two t"), (False, 7, "!!! ???"), (False, 8, "two words"), (False, 10, "a <|endof"), (True, 0, "")]
     assert jaccard.jaccard_join(odd.limit(0)).count() == 0
 
 
