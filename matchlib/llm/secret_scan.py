@@ -47,6 +47,13 @@ KINDS = [
 BASE = 3
 
 
+def _chunked(values: Column, size: Column) -> Column:
+    """values in an array of arrays of about the square root of size, so that no fold grows a long array."""
+    n = F.greatest(F.lit(16), F.ceil(F.sqrt(size)).cast("int"))
+    starts = F.when(size > 0, F.sequence(F.lit(1), size, n)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.slice(values, i, n))
+
+
 def spans(text: Column, pattern: str, least: int) -> Column:
     """array<struct<start, end>> of the leftmost non-overlapping matches whose second group has at least so many characters."""
     number = lambda x: F.length(x).cast("long")
@@ -56,14 +63,30 @@ def spans(text: Column, pattern: str, least: int) -> Column:
         lambda gap, hit: F.struct(number(gap).alias("gap"), number(hit).alias("hit"), (F.length(F.regexp_extract(hit, pattern, 2)) >= least if least else F.lit(True)).alias("ok")),
     )
     none = F.array().cast("array<struct<start:long,end:long>>")
+    total = lambda chunk: F.aggregate(chunk, F.lit(0).cast("long"), lambda n, x: n + x["gap"] + F.coalesce(x["hit"], F.lit(0)))
+
+    def placed(chunk: Column, first: Column) -> Column:
+        """The spans of a chunk whose text begins at first."""
+
+        def add(acc: Column, x: Column) -> Column:
+            start = acc["at"] + x["gap"]
+            one = F.struct(start.alias("start"), (start + x["hit"]).alias("end"))
+            found = F.when(x["ok"], F.array_append(acc["found"], one)).otherwise(acc["found"])
+            return F.when(x["hit"].isNull(), acc).otherwise(F.struct((start + x["hit"]).alias("at"), found.alias("found")))
+
+        return F.aggregate(chunk, F.struct(first.alias("at"), none.alias("found")), add)["found"]
+
+    def of(parts: Column) -> Column:
+        chunks = _chunked(parts, F.size(parts))
+
+        def next_start(acc: Column, chunk: Column) -> Column:
+            return F.struct((acc["at"] + total(chunk)).alias("at"), F.array_append(acc["starts"], acc["at"]).alias("starts"))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        one = F.struct(start.alias("start"), (start + x["hit"]).alias("end"))
-        found = F.when(x["ok"], F.array_append(acc["found"], one)).otherwise(acc["found"])
-        return F.when(x["hit"].isNull(), acc).otherwise(F.struct((start + x["hit"]).alias("at"), found.alias("found")))
+        starts = F.aggregate(chunks, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<long>").alias("starts")), next_start)["starts"]
+        return F.flatten(F.zip_with(chunks, starts, placed))
 
-    found = F.aggregate(parts, F.struct(F.lit(0).cast("long").alias("at"), none.alias("found")), add)["found"]
+    # a let: parts are made once
+    found = F.transform(F.array(parts), of)[0]
     return F.when(text.rlike(pattern), found).otherwise(none)
 
 
@@ -126,12 +149,40 @@ def mask_secrets(docs: DataFrame, mask: str = "[secret]") -> DataFrame:
     joined = rows.join(found, F.col("r.doc_id").eqNullSafe(F.col("f.doc_id")) & (F.col("r.text_hash") == F.col("f.text_hash")), "left").select("row", "text", "spans")
     text = F.col("text")
 
-    def add(acc: Column, s: Column) -> Column:
-        more = F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit(mask))
-        return F.when(s["start"] < acc["at"], F.struct(F.greatest(acc["at"], s["end"]).alias("at"), acc["out"].alias("out"))).otherwise(F.struct(s["end"].alias("at"), more.alias("out")))
+    long = lambda n: F.lit(n).cast("long")
+
+    def join_overlaps(acc: Column, s: Column) -> Column:
+        """Cuts a span to what no span before it covers."""
+        one = F.struct(F.greatest(s["start"], acc["at"]).alias("start"), s["end"].alias("end"), (s["start"] >= acc["at"]).alias("first"))
+        more = F.when(s["end"] > acc["at"], F.array_append(acc["out"], one)).otherwise(acc["out"])
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), more.alias("out"))
+
+    def masked_chunk(chunk: Column, first: Column) -> Column:
+        """The text from first to the chunk's last span, masked; cut out once, so that no place is sought from the text's start for each span."""
+        last = F.element_at(chunk, -1)["end"]
+        part = F.substring(text, (first + 1).cast("int"), (last - first).cast("int"))
+
+        def pieces(part: Column) -> Column:
+            before = F.concat(F.array(first), F.transform(chunk, lambda s: s["end"]))
+            return F.array_join(F.zip_with(F.slice(before, 1, F.size(chunk)), chunk, lambda at, s: F.concat(F.substring(part, (at - first + 1).cast("int"), (s["start"] - at).cast("int")), F.when(s["first"], F.lit(mask)).otherwise(""))), "")
+
+        return F.transform(F.array(part), pieces)[0]
+
+    def folded(chunks: Column) -> Column:
+        """Spans without overlaps, in the chunks of spans."""
+        none = F.array().cast("array<struct<start:long,end:long,first:boolean>>")
+        ends = F.transform(chunks, lambda c: F.array_max(F.transform(c, lambda s: s["end"])))
+        upto = F.aggregate(ends, F.struct(long(0).alias("at"), F.array().cast("array<long>").alias("out")), lambda acc, e: F.struct(F.greatest(acc["at"], e).alias("at"), F.array_append(acc["out"], acc["at"]).alias("out")))["out"]
+        return F.filter(F.zip_with(chunks, upto, lambda c, at: F.aggregate(c, F.struct(at.alias("at"), none.alias("out")), join_overlaps)["out"]), lambda c: F.size(c) > 0)
+
+    def whole(chunks: Column) -> Column:
+        ends = F.transform(chunks, lambda c: F.element_at(c, -1)["end"])
+        starts = F.slice(F.concat(F.array(long(0)), ends), 1, F.size(chunks))
+        rest = F.substring(text, (F.element_at(ends, -1) + 1).cast("int"), F.lit(2147483647))
+        return F.concat(F.array_join(F.zip_with(chunks, starts, masked_chunk), ""), rest)
 
-    whole = lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2147483647)))
-    masked = F.aggregate("spans", F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out")), add, whole)
+    chunks = _chunked(F.col("spans"), F.size("spans"))
+    masked = F.transform(F.transform(F.array(chunks), folded), whole)[0]
     row = F.col("row").withField("text", masked)
     if "n_chars" in docs.columns:
         row = row.withField("n_chars", F.length(masked).cast(docs.schema["n_chars"].dataType))

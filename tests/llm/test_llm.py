@@ -2,6 +2,7 @@
 
 import html
 import re
+import time
 import zlib
 
 import numpy as np
@@ -391,6 +392,39 @@ def test_op9_links_and_mask(spark, odd):
     assert secret_scan.mask_secrets(odd).count() == odd.count()
 
 
+def masked_brute(text, spans):
+    out, at = "", 0
+    for a, b in spans:
+        if a >= at:
+            out += text[at:a] + "[secret]"
+        at = max(at, b)
+    return out + text[at:]
+
+
+def test_op9_many_and_overlapping_secrets(spark):
+    rng = np.random.default_rng(6)
+    parts = ["password=abcdef12345 ", "x" * 7, " é ü ", "token: " + "0123456789abcdef" * 2, " AKIA" + "Z" * 20 + "/", "https://h.example/secret=abcdefgh", "login=bob ", "plain words "]
+    texts = ["".join(rng.choice(parts, int(n))) for n in [*rng.integers(1, 60, 60), 3000]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: [(s["start"], s["end"]) for s in r["spans"]] for r in secret_scan.find_secrets(docs).collect()}
+    for i, t in enumerate(texts):
+        base = [m.span() for m in re.finditer(secret_scan.ACCESS, t)] + [m.span() for m in re.finditer(secret_scan.HEX, t)] + [m.span() for m in re.finditer(secret_scan.ASSIGN, t) if len(m[2]) >= 6]
+        assert set(base) <= set(found[i])
+    masked = {r["doc_id"]: r["text"] for r in secret_scan.mask_secrets(docs).collect()}
+    assert masked == {i: masked_brute(t, found[i]) for i, t in enumerate(texts)}
+
+
+def test_op9_time_grows_with_the_secrets(spark):
+    took = []
+    for n in (4_000, 64_000):
+        docs = spark.createDataFrame([(1, "token=abcdef12 " * n)], "doc_id long, text string")
+        began = time.time()
+        row = secret_scan.mask_secrets(docs).first()
+        took.append(time.time() - began)
+        assert row["text"] == "[secret] " * n
+    assert took[1] < 16 * took[0] + 10
+
+
 def smith_waterman(a, b):
     h = np.zeros((len(a) + 1, len(b) + 1), dtype=int)
     for i, x in enumerate(a, 1):
