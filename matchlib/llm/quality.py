@@ -2,8 +2,9 @@
 
 A document is good if it is labelled of quality 1 and not toxic. Two logistic
 regressions look at different views of it: the text view at the words that tell
-good from bad in the labelled sample and at the text's style; the metadata view
-at language, source and length. Over ``ROUNDS`` rounds each scores every document
+good from bad in the labelled sample (all whose effect is at least ``TELLING``
+standard errors) and at the text's style; the metadata view at language, source
+and length. Languages and sources, of any number, are hashed to ``SLOTS`` places. Over ``ROUNDS`` rounds each scores every document
 outside the labelled sample and labels those that it is confident of, for the
 other to learn from; they weigh as much together as ``PSEUDO`` times the labelled
 ones at most, so that these still count in a large corpus. Both are then calibrated on labelled documents that neither has learned
@@ -15,8 +16,7 @@ hash of doc_id; everything else covers all rows. Labelled documents outside the
 sample count as unlabelled. If no document is left outside it, or none is scored
 confidently, nothing is exchanged: the views are two regressions on the sample.
 
-Defined results: a null text is empty, a null or unseen language or source is
-one of its own; a document with several labels counts with each; labels without
+Defined results: a null text is empty, a null language or source is an empty one; a document with several labels counts with each; labels without
 a document, or with nulls, are left out; if the sample lacks good or bad
 documents every score is the base rate (0.5 without labels); repeated rows are
 each scored; an empty table gives no rows; other columns are not read.
@@ -28,6 +28,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.linalg import VectorUDT
@@ -41,8 +42,8 @@ LABELLED = 8_000
 ROUNDS = 2
 CONFIDENT = 0.97
 PSEUDO = 0.5
-WORDS = 500
-LEAST_DOCS = 8
+TELLING = 2.0
+SLOTS = 4096
 
 
 def _sampled(df: DataFrame, most: int, salt: int) -> DataFrame:
@@ -72,13 +73,11 @@ def text_view(text: str | None, words: dict[str, int]) -> np.ndarray:
     return out
 
 
-def meta_view(lang: str | None, source: str | None, n_chars: int | None, names: dict[tuple[str, str], int]) -> np.ndarray:
-    """Language and source, one-hot (0 everywhere if never seen), and the length."""
-    out = np.zeros(len(names) + 2)
+def meta_view(lang: str | None, source: str | None, n_chars: int | None) -> np.ndarray:
+    """Language and source, each 1 in its slot, and the length."""
+    out = np.zeros(SLOTS + 2)
     for kind, value in (("lang", lang), ("source", source)):
-        i = names.get((kind, value or ""))
-        if i is not None:
-            out[i] = 1.0
+        out[xxhash.xxh64_intdigest(f"{kind}={value or ''}".encode("utf-8", "replace")) % SLOTS] = 1.0
     length = math.log1p(max(0, n_chars or 0)) / 10
     out[-2:] = length, length * length
     return out
@@ -93,16 +92,16 @@ def _sparse(rows: list[np.ndarray]) -> pa.StructArray:
     return pa.StructArray.from_arrays([pa.array([0] * len(rows), pa.int8()), pa.array([len(r) for r in rows], pa.int32()), indices, values], names=["type", "size", "indices", "values"])
 
 
-def with_views(docs: DataFrame, words: dict, names: dict) -> DataFrame:
+def with_views(docs: DataFrame, words: dict) -> DataFrame:
     """The written table of docs(text, lang, source, n_chars, ...) with the vectors text_view and meta_view in the place of these."""
-    shared = docs.sparkSession.sparkContext.broadcast((words, names))
+    shared = docs.sparkSession.sparkContext.broadcast(words)
     read = ["text", "lang", "source", "n_chars"]
 
     def of(batches):
-        words, names = shared.value
+        words = shared.value
         for batch in batches:
             text = [text_view(t, words) for t in batch.column("text").to_pylist()]
-            meta = [meta_view(*x, names) for x in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")))]
+            meta = [meta_view(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "n_chars")))]
             yield batch.drop_columns(read).append_column("text_view", _sparse(text)).append_column("meta_view", _sparse(meta))
 
     vector = "struct<type:tinyint,size:int,indices:array<int>,values:array<double>>"
@@ -113,16 +112,16 @@ def with_views(docs: DataFrame, words: dict, names: dict) -> DataFrame:
     return docs.sparkSession.read.schema(schema).parquet(path)
 
 
-def telling_words(sample: DataFrame, most: int = WORDS) -> dict[str, int]:
-    """The words of sample(text, good) whose presence tells most about good, numbered."""
+def telling_words(sample: DataFrame) -> dict[str, int]:
+    """The words of sample(text, good) whose presence tells something about good, numbered; no more than the sample holds."""
     word = F.explode(F.array_distinct(F.transform(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda t: F.lower(F.regexp_replace(t, r"^[.,;:!?*%$&#|]+|[.,;:!?*%$&#|]+$", ""))))).alias("word")
     sums = sample.agg(F.sum("good").alias("g"), F.count("*").alias("n")).first()
     good, bad = sums["g"] or 0, sums["n"] - (sums["g"] or 0)
-    counts = sample.select("good", word).where("word <> ''").groupBy("word").agg(F.sum("good").alias("g"), F.count("*").alias("n")).where(F.col("n") >= LEAST_DOCS)
+    counts = sample.select("good", word).where("word <> ''").groupBy("word").agg(F.sum("good").alias("g"), F.count("*").alias("n"))
     ratio = F.log((F.col("g") + 0.5) / (good + 1)) - F.log((F.col("n") - F.col("g") + 0.5) / (bad + 1))
     # a distance from no effect, in standard errors
     weight = F.abs(ratio) / F.sqrt(1 / (F.col("g") + 0.5) + 1 / (F.col("n") - F.col("g") + 0.5))
-    return {r["word"]: i for i, r in enumerate(counts.withColumn("w", weight).orderBy(F.desc("w"), "word").limit(most).collect())}
+    return {r["word"]: i for i, r in enumerate(counts.where(weight >= TELLING).select("word").orderBy("word").collect())}
 
 
 def fit(rows: DataFrame, view: str) -> LogisticRegressionModel:
@@ -139,7 +138,7 @@ def log_odds(rows: DataFrame, view: str, model: LogisticRegressionModel) -> Data
 
 
 def cotrain(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> dict:
-    """Words, names and calibrated models of both views, from docs and labels(doc_id, quality, toxic)."""
+    """Words and calibrated models of both views, from docs and labels(doc_id, quality, toxic)."""
     known = labels.where("doc_id is not null and quality is not null and toxic is not null").select("doc_id", ((F.col("quality") == 1) & (F.col("toxic") == 0)).cast("int").alias("good"))
     columns = ["doc_id", "text", "lang", "source", "n_chars"]
     sample = written(docs.select(columns).join(_sampled(known, LABELLED, 1), "doc_id"), "labelled")
@@ -149,16 +148,13 @@ def cotrain(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> dict:
     if not 0 < good < n:
         return {"base": base}
     words = telling_words(sample)
-    values = [("lang", "lang"), ("source", "source")]
-    most = [r for kind, c in values for r in docs.groupBy(F.lit(kind).alias("kind"), F.coalesce(c, F.lit("")).alias("value")).count().orderBy(F.desc("count"), "value").limit(200).collect()]
-    names = {(r["kind"], r["value"]): i for i, r in enumerate(most)}
-    labelled = with_views(sample.select(*columns, "good", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)).alias("fold")), words, names).coalesce(4)
+    labelled = with_views(sample.select(*columns, "good", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(4)).alias("fold")), words).coalesce(4)
     learned, calibration = labelled.where("fold > 0"), labelled.where("fold = 0")
     sums = learned.agg(F.avg("good").alias("share"), F.count("*").alias("n")).first()
     if not 0 < (sums["share"] or 0) < 1 or not 0 < (calibration.agg(F.avg("good")).first()[0] or 0) < 1:
         return {"base": base}
     # all rows whose label is not in the sample, the labelled ones among them
-    unlabelled = with_views(docs.select(columns).join(F.broadcast(sample.select("doc_id").distinct()), "doc_id", "left_anti").drop("doc_id"), words, names)
+    unlabelled = with_views(docs.select(columns).join(F.broadcast(sample.select("doc_id").distinct()), "doc_id", "left_anti").drop("doc_id"), words)
     pseudo = {"text_view": None, "meta_view": None}
     other = {"text_view": "meta_view", "meta_view": "text_view"}
     for turn in range(rounds + 1):
@@ -178,7 +174,7 @@ def cotrain(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS) -> dict:
         line = LogisticRegression(featuresCol="x", labelCol="good", regParam=1e-4, maxIter=25).fit(raw.select(array_to_vector("z").alias("x"), F.col("good").cast("double").alias("good")))
         slope, shift = float(line.coefficients[0]), float(line.intercept)
         models[view] = (model.coefficients.toArray() * slope, float(model.intercept) * slope + shift)
-    return {"base": base, "words": words, "names": names, **models}
+    return {"base": base, "words": words, **models}
 
 
 def scored(docs: DataFrame, model: dict) -> DataFrame:
@@ -193,7 +189,7 @@ def scored(docs: DataFrame, model: dict) -> DataFrame:
             for text, lang, source, n_chars in zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "source", "n_chars"))):
                 z = base
                 if "words" in m:
-                    parts = (text_view(text, m["words"]), m["text_view"]), (meta_view(lang, source, n_chars, m["names"]), m["meta_view"])
+                    parts = (text_view(text, m["words"]), m["text_view"]), (meta_view(lang, source, n_chars), m["meta_view"])
                     z = sum(float(x @ w) + b for x, (w, b) in parts) - base
                 scores.append(1 / (1 + math.exp(-max(-700.0, min(700.0, z)))))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array([s >= 0.5 for s in scores], pa.bool_())], names=["doc_id", "quality_score", "kept"])

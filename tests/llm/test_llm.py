@@ -305,6 +305,12 @@ def test_op7_scores(spark, odd):
     good = (both["quality"] == 1) & (both["toxic"] == 0)
     assert len(got) == docs.count() and (both["kept"] == good).mean() > 0.93
     assert (both[good]["kept"]).mean() > 0.95
+    # labels that the model has not seen
+    fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4
+    held = quality.scored(docs, quality.cotrain(docs, labels.where(fold != 1))).join(labels.where(fold == 1), "doc_id").toPandas()
+    good = (held["quality"] == 1) & (held["toxic"] == 0)
+    assert len(held) > 60 and (held["kept"] == good).mean() > 0.93 and held[good]["kept"].mean() > 0.95
+    assert quality.scored(docs.limit(0), quality.cotrain(docs.limit(0), labels)).count() == 0
     none = quality.cotrain(odd, labels.limit(0))
     assert quality.scored(odd, none).where("quality_score = 0.5").count() == odd.count()
 
