@@ -2,9 +2,11 @@
 
 A page is read as a flat run of text blocks. A block is described by its word
 count and link density, those of the blocks before and after it, and by whether
-it stands in a container named as page furniture, in an article, or is a
-heading. A decision tree, trained by Spark on the small labelled table below,
-tells main text from the rest.
+it or a container of it is named as page furniture (1) or is an element for it
+(2), stands in an article, is a heading, or has the words of a notice. A decision
+tree, trained by Spark on the small labelled table below, tells main text from the
+rest. Elements that are hidden by attribute, and inline ones named as adverts, are
+left out.
 
 Defined results: a null or empty html has no text (an empty string, 0
 characters); a page cut short is read as far as it goes, a tag that never ends
@@ -17,6 +19,7 @@ page_id is kept; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import functools
 import html as html_module
 import re
 
@@ -27,37 +30,44 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-FEATURES = ["words", "link_density", "words_before", "density_before", "words_after", "density_after", "furniture", "article", "heading"]
-
-#: Labelled blocks: the features in this order, then 1 for main text.
-LABELLED = [
-    # navigation, breadcrumbs and link lists
-    (1, 1.0, 0, 0.0, 1, 1.0, 1, 0, 0, 0), (2, 1.0, 1, 1.0, 3, 1.0, 1, 0, 0, 0), (1, 1.0, 2, 1.0, 9, 0.0, 1, 0, 0, 0), (3, 1.0, 1, 1.0, 1, 1.0, 0, 0, 0, 0),
-    (4, 1.0, 0, 0.0, 2, 1.0, 0, 0, 0, 0), (6, 0.9, 4, 1.0, 40, 0.0, 0, 0, 0, 0), (2, 1.0, 60, 0.0, 2, 1.0, 0, 0, 0, 0), (8, 0.8, 2, 1.0, 8, 0.9, 0, 0, 0, 0),
-    (12, 0.9, 12, 0.9, 12, 0.9, 0, 0, 0, 0), (5, 1.0, 80, 0.0, 5, 1.0, 1, 1, 0, 0), (9, 1.0, 9, 1.0, 0, 0.0, 1, 0, 0, 0), (25, 0.9, 3, 1.0, 6, 0.5, 0, 0, 0, 0),
-    # headers, adverts, notices, forms
-    (4, 0.0, 0, 0.0, 1, 1.0, 1, 0, 1, 0), (9, 0.0, 1, 1.0, 10, 0.0, 1, 0, 0, 0), (30, 0.0, 1, 1.0, 12, 0.0, 1, 0, 0, 0), (18, 0.1, 5, 1.0, 60, 0.0, 1, 0, 0, 0),
-    (45, 0.05, 0, 0.0, 4, 1.0, 1, 0, 0, 0), (7, 0.0, 30, 0.0, 2, 0.0, 1, 1, 0, 0), (3, 0.0, 7, 0.0, 50, 0.0, 1, 1, 0, 0), (80, 0.0, 2, 0.0, 60, 0.0, 1, 0, 0, 0),
-    (60, 0.0, 50, 0.0, 70, 0.0, 1, 1, 0, 0), (22, 0.3, 90, 0.0, 90, 0.0, 1, 1, 0, 0),
-    # sidebars, comments, footers
-    (5, 0.0, 70, 0.0, 20, 0.0, 1, 0, 1, 0), (35, 0.0, 5, 0.0, 40, 0.0, 1, 0, 0, 0), (120, 0.0, 3, 0.0, 3, 0.0, 1, 0, 0, 0), (2, 0.0, 35, 0.0, 60, 0.0, 1, 1, 0, 0),
-    (12, 0.0, 55, 0.0, 0, 0.0, 1, 0, 0, 0), (14, 0.2, 10, 0.9, 0, 0.0, 1, 0, 0, 0), (6, 0.0, 12, 0.9, 0, 0.0, 0, 0, 0, 0), (5, 0.0, 2, 1.0, 3, 1.0, 0, 0, 0, 0),
-    (7, 0.3, 3, 1.0, 0, 0.0, 0, 0, 0, 0), (4, 0.0, 6, 1.0, 6, 1.0, 0, 0, 1, 0), (3, 0.0, 4, 0.9, 2, 0.9, 0, 0, 1, 0), (8, 0.0, 5, 1.0, 5, 0.9, 0, 0, 0, 0),
-    # main text in an article, of any length
-    (10, 0.0, 9, 0.0, 70, 0.0, 0, 1, 1, 1), (3, 0.0, 1, 1.0, 40, 0.0, 0, 1, 1, 1), (1, 0.0, 60, 0.0, 1, 0.0, 0, 1, 0, 1), (2, 0.0, 1, 0.0, 120, 0.0, 0, 1, 0, 1),
-    (1, 0.0, 9, 0.0, 14, 0.2, 0, 1, 0, 1), (150, 0.0, 10, 0.0, 14, 0.2, 0, 1, 0, 1), (45, 0.1, 50, 0.0, 3, 0.0, 0, 1, 0, 1), (60, 0.3, 40, 0.0, 60, 0.0, 0, 1, 0, 1),
-    (5, 0.0, 30, 0.0, 0, 0.0, 0, 1, 0, 1), (400, 0.02, 0, 0.0, 0, 0.0, 0, 1, 0, 1), (8, 0.5, 30, 0.0, 30, 0.0, 0, 1, 0, 1), (3, 1.0, 50, 0.0, 50, 0.0, 0, 1, 0, 1),
-    (20, 0.0, 2, 1.0, 2, 1.0, 0, 1, 0, 1), (4, 1.0, 20, 0.0, 12, 0.1, 0, 1, 0, 1), (2, 0.0, 2, 1.0, 6, 1.0, 0, 1, 0, 1), (6, 0.0, 0, 0.0, 0, 0.0, 0, 1, 0, 1),
-    # main text in a container named as furniture: long, without links, among its like
-    (260, 0.0, 220, 0.0, 240, 0.0, 1, 0, 0, 1), (300, 0.02, 180, 0.0, 250, 0.0, 1, 0, 0, 1), (220, 0.0, 12, 0.0, 260, 0.0, 1, 0, 0, 1), (400, 0.0, 300, 0.0, 0, 0.0, 1, 1, 0, 1),
-    (250, 0.01, 200, 0.0, 210, 0.1, 1, 1, 0, 1), (350, 0.05, 0, 0.0, 0, 0.0, 1, 0, 0, 1),
-    # long, but links
-    (240, 0.7, 2, 1.0, 30, 0.9, 1, 0, 0, 0), (300, 0.9, 220, 0.8, 240, 0.9, 1, 0, 0, 0),
-    # main text with nothing but its neighbours to tell it
-    (60, 0.0, 50, 0.0, 70, 0.0, 0, 0, 0, 1), (35, 0.1, 4, 1.0, 60, 0.0, 0, 0, 0, 1), (80, 0.05, 60, 0.0, 12, 0.5, 0, 0, 0, 1), (120, 0.0, 2, 1.0, 2, 1.0, 0, 0, 0, 1),
-    (6, 0.0, 3, 1.0, 60, 0.0, 0, 0, 1, 1), (5, 0.0, 50, 0.0, 50, 0.0, 0, 0, 1, 1), (4, 0.0, 45, 0.0, 60, 0.0, 0, 0, 0, 1), (25, 0.2, 30, 0.1, 40, 0.0, 0, 0, 0, 1),
-    (15, 0.0, 40, 0.0, 30, 0.1, 0, 0, 0, 1), (300, 0.1, 0, 0.0, 0, 0.0, 0, 0, 0, 1), (28, 0.0, 8, 0.9, 33, 0.0, 0, 0, 0, 1), (40, 0.0, 40, 0.0, 0, 0.0, 0, 0, 0, 1),
-]
+FEATURES = ["words", "link_density", "words_before", "density_before", "words_after", "density_after", "furniture", "article", "heading", "notice"]
+
+
+def labelled_blocks() -> list[tuple]:
+    """The labelled table: typical blocks between typical neighbours; the features in their order, then 1 for main text."""
+    links, nothing, short, text, long = (3, 1.0), (0, 0.0), (6, 0.0), (40, 0.05), (160, 0.0)
+    around = [(links, links), (nothing, nothing), (short, links), (links, short), (text, text), (text, links), (links, text), (long, nothing), (short, long)]
+    out = []
+
+    def add(main: int, words, densities, furniture=(0,), article=(0,), heading=(0,), notice=(0,), between=around) -> None:
+        out.extend((w, d, *x, *y, f, a, h, n, main) for w in words for d in densities for x, y in between for f in furniture for a in article for h in heading for n in notice)
+
+    # an article's own blocks, of any kind
+    add(1, (1, 4, 12, 60, 300), (0.0, 0.3, 1.0), article=(1,), heading=(0, 1), notice=(0, 1))
+    # furniture by name, unless it is long, free of links and among text; furniture by element
+    add(0, (1, 8, 30, 90), (0.0, 0.3, 1.0), furniture=(1,), article=(0, 1), heading=(0, 1))
+    add(0, (8, 30, 90), (0.0,), furniture=(1,), article=(0, 1), notice=(1,))
+    add(1, (230, 400), (0.0, 0.1), furniture=(1,), article=(0, 1), notice=(0, 1))
+    add(0, (230, 400), (0.6, 1.0), furniture=(1,), article=(0, 1))
+    add(0, (1, 8, 30, 90, 230, 400), (0.0, 0.3, 1.0), furniture=(2,), article=(0, 1))
+    # lists of links
+    add(0, (1, 3, 8, 20, 60), (0.75, 1.0), heading=(0, 1))
+    # paragraphs, wherever they stand
+    add(1, (14, 25, 60, 150, 400), (0.0, 0.1, 0.3))
+    add(1, (30, 80), (0.45,), between=[(x, y) for x in (text, long) for y in (text, long)])
+    add(0, (8, 14), (0.45,))
+    # short lines: in a text or alone they belong to it, beside links they don't
+    told = [(x, y) for x in (short, text, long) for y in (short, text, long)]
+    add(1, (1, 4, 8), (0.0, 0.2), between=told + [(x, y) for x in (text, long) for y in (links, nothing)] + [(nothing, nothing)])
+    add(0, (1, 4, 8), (0.0, 0.2), between=[(links, links), (links, nothing), (nothing, links), (short, links), (short, nothing), (links, short)])
+    # headings go with what follows
+    add(1, (2, 6, 12), (0.0, 0.2), heading=(1,), between=[(x, y) for x in (links, nothing, short, text, long) for y in (short, text, long)] + [(nothing, nothing)])
+    add(0, (2, 6, 12), (0.0, 0.2), heading=(1,), between=[(x, y) for x in (links, short, text, long) for y in (links, nothing)] + [(nothing, links)])
+    # notices are short
+    add(0, (2, 8, 14, 25, 45), (0.0, 0.2, 0.45), heading=(0, 1), notice=(1,))
+    add(1, (90, 200, 400), (0.0, 0.2), notice=(1,))
+    return out
+
 
 # Elements by their part in a page.
 RAW = "script style textarea title".split()
@@ -72,6 +82,28 @@ FURNITURE_NAMES = set(
     "newsletter subscribe subscription share sharing social comment comments reply replies respond discussion disqus related recommended pagination pager toolbar login signup search form widget copyright legal toc".split()
 )
 ARTICLE_NAMES = set("article content main post entry story".split())
+ADVERT_NAMES = set("ad ads advert advertisement adsbygoogle promo promotion sponsor sponsored".split())
+VOID = set("br hr img input wbr source".split())
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+BLOCKS = CONTAINERS | HEADINGS | set("p li dt dd tr td th thead tbody tfoot caption pre blockquote address center hr figcaption summary".split())
+
+_TOKEN = re.compile(
+    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])[^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z!?][^<>]*>",
+    re.S | re.I,
+)
+_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I) for tag in RAW}
+#: Words of notices, as a page has them outside its text.
+_NOTICE = re.compile(r"©|\b(?:copyright|all rights reserved|cookies?|newsletter|subscribe|sign (?:up|in)|log ?in|privacy policy|terms of (?:use|service)|advertisement|sponsored)\b", re.I)
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_HIDDEN_BY = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
+_STYLE_HIDES = re.compile(r"style\s*=\s*[\"'][^\"']*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
+_NAMES = set(
+    "nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside ad ads adv advert advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice alert popup modal overlay "
+    "newsletter subscribe subscription share sharing social comment comments reply replies respond discussion disqus related recommended pagination pager toolbar login signup search form widget copyright legal toc".split()
+)
+ARTICLE_NAMES = set("article content main post entry story".split())
+ADVERT_NAMES = set("ad ads advert advertisement adsbygoogle promo promotion sponsor sponsored".split())
+VOID = set("br hr img input wbr source".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 BLOCKS = CONTAINERS | HEADINGS | set("p li dt dd tr td th thead tbody tfoot caption pre blockquote address center hr figcaption summary".split())
 
@@ -80,7 +112,6 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I) for tag in RAW}
-_SAME = {tag: re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*?(/?)>", re.I) for tag in HIDDEN}
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _OF_ANOTHER = re.compile(r"(?:with|without|has|no|not|show|hide)[-_]")
@@ -108,33 +139,57 @@ def _container(tag: str, attrs: str, inside: tuple[int, bool]) -> tuple[int, boo
     return max(furniture, inside[0]), article
 
 
-def _ends(tag: str, html: str, at: int) -> bool:
-    """Whether an element that opens before at has an end tag of its own."""
+def _own_names(attrs: str, names: set[str]) -> bool:
+    """Whether an element that is no container is named so: by a whole class name, or an advert's compound."""
+    whole = {t for found in _NAMES.findall(attrs) for t in found.lower().strip("\"'").split()}
+    return bool(whole & names) or any(_SPLIT.split(t)[0] in ADVERT_NAMES for t in whole)
+
+
+def _hides(attrs: str) -> bool:
+    """Whether attributes hide an element."""
+    return bool(attrs) and ((("hidden" in attrs.lower()) and bool(_HIDDEN_BY.search(_QUOTED.sub("", attrs)))) or bool(_STYLE_HIDES.search(attrs)))
+
+
+@functools.cache
+def _same(tag: str) -> re.Pattern:
+    return re.compile(rf"<(/?){tag}(?=[\s/>])[^>]*?(/?)>", re.I)
+
+
+@functools.cache
+def _end_tag(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>])", re.I)
+
+
+def _end_of(tag: str, html: str, at: int) -> int | None:
+    """The place after the end tag of an element that opens before at; None if it has no end tag of its own."""
     depth = 1
-    for m in _SAME[tag].finditer(html, at):
+    for m in _same(tag).finditer(html, at):
         if m[1]:
             depth -= 1
         elif not m[2]:
-            if tag not in NESTING:
-                return False
+            if tag not in NESTING and tag not in CONTAINERS and tag not in INLINE:
+                return None
             depth += 1
         if not depth:
-            return True
-    return False
+            return m.end()
+    return None
 
 
-def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
-    """(text, words, words in links, furniture, article, heading) of each block that has text, in page order."""
+def blocks(html: str) -> list[tuple[str, int, int, int, bool, bool, bool]]:
+    """(text, words, words in links, furniture, article, heading, notice) of each block that has text, in page order."""
     out, parts, linked = [], [], 0
     # (tag, state before it, whether text is hidden before it, whether the next block ends it)
     stack: list[tuple[str, tuple[int, bool], bool, bool]] = []
-    state, hidden, heading, link = (0, False), False, False, 0
+    state, hidden, heading, link, own = (0, False), False, False, 0, 0
+    # tags that have no end tag any more
+    endless: set[str] = set()
 
     def close() -> None:
         nonlocal linked
         words = html_module.unescape("".join(parts)).split()
         if words:
-            out.append((" ".join(words), len(words), min(linked, len(words)), state[0] > 0, state[1], heading))
+            text = " ".join(words)
+            out.append((text, len(words), min(linked, len(words)), max(state[0], own), state[1], heading, bool(_NOTICE.search(text))))
         parts.clear()
         linked = 0
 
@@ -164,19 +219,37 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
             continue
         if not tag:
             continue
+        attrs = m["attrs"] or ""
         opened = [x[0] for x in stack] if hidden or m["end"] else []
         if tag in BLOCKS:
             if tag == "body" and not m["end"] and (of := next((i for i, x in enumerate(opened) if x == "head" or (x in HIDDEN and not set(opened) & OWN_BODY)), None)) is not None:
                 leave(of)
             while hidden and stack and stack[-1][3]:
                 leave(len(stack) - 1)
+        if attrs and not m["end"] and not hidden and tag not in HIDDEN and tag not in VOID and tag not in ("html", "body") and (_hides(attrs) or (tag in INLINE and tag != "a" and _own_names(attrs, ADVERT_NAMES))):
+            end = None if tag in endless else _end_of(tag, html, at)
+            if end is not None:
+                at = end
+                parts.append(" ")
+                if tag in BLOCKS:
+                    close()
+                continue
+            if not _end_tag(tag).search(html, at):
+                endless.add(tag)
+            if tag in BLOCKS and tag not in CONTAINERS:
+                close()
+                stack.append((tag, state, hidden, True))
+                hidden = True
+                continue
         if tag in HIDDEN:
             if m["end"]:
                 depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
                 if depth is not None:
                     leave(depth)
             elif not m["attrs"].endswith("/"):
-                stack.append((tag, state, hidden, not _ends(tag, html, at)))
+                stack.append((tag, state, hidden, tag in endless or _end_of(tag, html, at) is None))
+                if tag not in endless and not _end_tag(tag).search(html, at):
+                    endless.add(tag)
                 hidden = True
             parts.append(" ")
             continue
@@ -199,10 +272,11 @@ def blocks(html: str) -> list[tuple[str, int, int, bool, bool, bool]]:
         close()
         link = 0
         heading = tag in HEADINGS and not m["end"]
+        own = int(bool(attrs) and not m["end"] and tag not in CONTAINERS and _own_names(attrs, FURNITURE_NAMES - {"header"}))
         if tag in CONTAINERS:
             if not m["end"]:
                 stack.append((tag, state, hidden, False))
-                state = _container(tag, m["attrs"] or "", state)
+                state = _container(tag, attrs, state)
             elif depth is not None:
                 leave(depth)
     text(html[at:])
@@ -216,12 +290,12 @@ def features(page: list[tuple]) -> np.ndarray:
     words = np.array([b[1] for b in page], dtype=float)
     density = np.array([b[2] / b[1] for b in page], dtype=float)
     pad = lambda x, k: np.concatenate([[0.0], x])[:n] if k < 0 else np.concatenate([x, [0.0]])[1:]
-    return np.column_stack([words, density, pad(words, -1), pad(density, -1), pad(words, 1), pad(density, 1), *(np.array([b[i] for b in page], dtype=float) for i in (3, 4, 5))])
+    return np.column_stack([words, density, pad(words, -1), pad(density, -1), pad(words, 1), pad(density, 1), *(np.array([b[i] for b in page], dtype=float) for i in (3, 4, 5, 6))])
 
 
-def train(spark: SparkSession, labelled=LABELLED, depth: int = 6) -> list[tuple[int, float, int, int, int]]:
+def train(spark: SparkSession, labelled: list[tuple] | None = None, depth: int = 12) -> list[tuple[int, float, int, int, int]]:
     """The tree as nodes (feature, threshold, left, right, class): a row goes left if its feature is at most the threshold; feature -1 marks a leaf."""
-    rows = spark.createDataFrame([(*map(float, r[:-1]), float(r[-1])) for r in labelled], [*FEATURES, "label"]).coalesce(1)
+    rows = spark.createDataFrame([(*map(float, r[:-1]), float(r[-1])) for r in labelled or labelled_blocks()], [*FEATURES, "label"]).coalesce(1)
     model = DecisionTreeClassifier(maxDepth=depth, maxBins=64, seed=0).fit(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows))
     lines = [x.strip() for x in model.toDebugString.splitlines()[1:] if x.strip()]
     nodes: list[tuple[int, float, int, int, int]] = []

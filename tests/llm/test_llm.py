@@ -154,6 +154,34 @@ def test_op3_furniture_names_are_weighed(spark):
         assert html_text.main_text(f"<body><article>{paragraphs}</article>{opened}<p>Some short text here.</p></body>", nodes) == text, opened
 
 
+def test_op3_names_and_hidden_elements_anywhere(spark):
+    nodes = html_text.train(spark)
+    rows = np.array(html_text.labelled_blocks(), dtype=float)
+    assert (html_text.classify(nodes, rows[:, :-1]) == rows[:, -1]).mean() > 0.99
+    words = lambda w, n: " ".join([w] * n)
+    p = lambda w, n: f"<p>{words(w, n)}</p>"
+    links = "<ul><li><a href=1>One</a></li><li><a href=2>Two link</a></li><li><a>Three</a></li></ul>"
+    two = words("one", 40) + "\n\n" + words("two", 50)
+    for page in (
+        f"<div class='layout with-sidebar'><article>{p('one', 40)}{p('two', 50)}</article></div>",
+        f"<form id='aspnetForm'><article>{p('one', 40)}{p('two', 50)}</article></form>",
+        f"<article class='post comments-open'>{p('one', 40)}{p('two', 50)}</article>",
+        f"<div class='content-area no-sidebar'>{p('one', 40)}{p('two', 50)}</div>",
+        f"<article>{p('one', 40)}<p class='promo'>Buy our great things now</p><h3 class=related>Related</h3>{p('two', 50)}</article>",
+        f"<article>{p('one', 40)}<p hidden>secret</p><div style='display: none'>gone <div>too</div></div>{p('two', 50)}</article>",
+        f"<article><p>{words('one', 40)} <span class='ad'>AD <span>here</span></span></p>{p('two', 50)}<p hidden>never closed</article>",
+        f"<div>We use cookies to improve your experience on this site.</div>{p('one', 40)}{p('two', 50)}<div>Copyright 2024 Example Inc. All rights reserved.</div>",
+        f"{links}{p('one', 40)}{p('two', 50)}{links}",
+    ):
+        assert html_text.main_text(f"<html><body>{page}</body></html>", nodes) == two, page
+    assert html_text.main_text(f"<body>{links}{p('a', 15)}{p('b', 18)}{links}</body>", nodes) == words("a", 15) + "\n\n" + words("b", 18)
+    assert html_text.main_text(f"<article><h1 class='page-header'>Title</h1><p title='the hidden gem'>{words('a', 9)}</p><p class='comment-count lead'>x y</p></article>", nodes) == f"Title\n\n{words('a', 9)}\n\nx y"
+    clashing = spark.createDataFrame([(1, "u", "<article><p>x</article>", "mine", 5)], "page_id long, url string, html string, text string, n_chars int")
+    assert [tuple(r) for r in html_text.extract(clashing).collect()] == [(1, "u", "x", 1)]
+    assert html_text.extract(clashing.limit(0)).count() == 0
+    assert len(html_text.blocks("<p hidden>x" * 20_000)) == 0
+
+
 def test_op4_held_out_accuracy(spark):
     got = language.op4_language_id(spark, SF).toPandas()
     known = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang").toPandas().merge(got, on="doc_id")
