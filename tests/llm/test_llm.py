@@ -1,6 +1,8 @@
 """The training-data operators: brute force, SQL, round trips and odd rows."""
 
+import gzip
 import html
+import io
 import re
 import time
 import zlib
@@ -94,9 +96,18 @@ def test_op2_records_and_damage(spark):
     assert got == {1: ("response", None, 9, "<p>ü</p>"), 2: ("revisit", 1, 9, None), None: ("revisit", 1, 9, None), 3: ("response", None, 0, b"" and ""), 5: ("revisit", 3, 0, None), 4: ("response", None, 200_000, "z" * 200_000)} | {3: got[3]}
     assert got[3][:3] == ("response", None, 0)
     record = warc.record(1, "u", b"abc", warc.digest32(b"abc"), None, "1970-01-01T00:00:00Z")
-    assert warc.parse(record)[1].endswith(b"abc")
-    with pytest.raises(ValueError, match="digest"):
-        warc.parse(record.replace(b"abc", b"abd"))
+    read = lambda x, n=3: list(warc.Records(io.BytesIO(gzip.compress(warc.info("f", "d")) + gzip.compress(x)), at_once=n))
+    for n in (1, 7, 1 << 16):
+        assert [(h["warc-type"], p) for h, _, p, _ in read(record, n)] == [("warcinfo", b"format: WARC File Format 1.1\r\n"), ("response", b"abc")]
+    revisit, digest = warc.record(9, "v", b"abc", warc.digest32(b"abc"), (1, "u"), "1970-01-01T00:00:00Z"), warc.digest32(b"abc")
+    assert read(revisit)[1][0]["warc-refers-to"] == read(record)[1][0]["warc-record-id"] and read(revisit)[1][0]["warc-payload-digest"] == f"sha1:{digest}"
+    for damaged, why in ((record.replace(b"abc", b"abd"), "digest"), (record[:-6] + b"\r\n\r\n", "length"), (record[:-4] + b"x\r\n\r\n", "length"), (b"no record\r\n\r\n", "WARC")):
+        with pytest.raises(ValueError, match=why):
+            read(damaged)
+    with pytest.raises(ValueError, match="ends within"):
+        list(warc.Records(io.BytesIO(gzip.compress(record)[:-30])))
+    again = spark.createDataFrame([(1, "a", "x"), (1, "a", "x"), (1, "b", "x"), (2, "c", "x")], "page_id long, url string, html string")
+    assert sorted(tuple(r) for r in warc.read_warc(warc.write_warc(again)).select("page_id", "url", "record_type").collect()) == [(1, "a", "response"), (1, "a", "response"), (1, "b", "response"), (2, "c", "revisit")]
     assert warc.read_warc(warc.write_warc(pages.limit(0))).count() == 0
 
 
