@@ -178,8 +178,8 @@ def cluster_members(classes: DataFrame, clusters: DataFrame) -> DataFrame:
 def verified_links(docs: DataFrame, members: DataFrame, n: int, threshold: float, tolerance: float) -> DataFrame:
     """Written: rows (node, links, u, v) of the tiles of members: how many documents a class links with, or a link of the spanning forest."""
     least = least_matches(threshold, tolerance)
-    # each class once; a small table of them is broadcast, so that texts stay where they are
-    wanted = written(members.select("node").distinct().select("node", F.col("node.doc_id").alias("_doc"), F.col("node.text_hash").alias("_hash")), "wanted")
+    # each class once; joined alike at every size
+    wanted = members.select("node").distinct().select("node", F.col("node.doc_id").alias("_doc"), F.col("node.text_hash").alias("_hash")).hint("merge")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
     joined = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash"))).select("node", "text")
 
@@ -244,13 +244,13 @@ def jaccard_join(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, tole
 def keep_first(docs: DataFrame) -> DataFrame:
     """One row of docs for each component, that with the least doc_id; of repeated rows, one. Documents without words all stay."""
     found = written(jaccard_join(docs).select("doc_id", "text_hash", "first"), "classified")
-    gone = written(found.where("not first").select("doc_id", "text_hash").distinct(), "gone").alias("g")
-    repeated = written(found.where("first").groupBy("doc_id", "text_hash").count().where("count > 1").drop("count"), "repeated").alias("g")
-    same = F.col("r.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("r.text_hash") == F.col("g.text_hash"))
+    # rows that go, and rows that are there several times; the texts are shuffled once
+    marked = found.groupBy("doc_id", "text_hash").agg(F.bool_or(~F.col("first")).alias("gone"), F.count("*").alias("n")).where("gone or n > 1").hint("merge").alias("g")
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash")).alias("r")
-    kept = rows.join(gone, same, "left_anti").alias("r")
-    once = kept.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text_hash"])
-    return kept.join(repeated, same, "left_anti").unionByName(once).select("row.*")
+    same = F.col("r.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("r.text_hash") == F.col("g.text_hash"))
+    kept = rows.join(marked, same, "left").where("not coalesce(gone, false)").select("row", "r.doc_id", "r.text_hash", "n")
+    once = kept.where("n > 1").dropDuplicates(["doc_id", "text_hash"])
+    return kept.where("n is null").unionByName(once).select("row.*")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
