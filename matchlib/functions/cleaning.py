@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The columns that each kind of table must have, and what absent values become.
 REQUIRED = {
     "matches": ["date", "home_team", "away_team", "home_score", "away_score"],
-    "teams": ["team", "confederation", "fifa_rank"],
+    "teams": ["team"],
     "players": ["player_id", "name", "nationality", "position"],
     "rosters": ["team", "player_id", "joined_date", "left_date"],
     "injuries": ["player_id", "from_date", "to_date"],
     "player_ratings": ["player_id", "rating_date", "overall_rating"],
     "lineups": ["match_id", "team", "player_id", "is_starter"],
 }
-DEFAULTS = {"competition": "Friendly", "neutral": False, "home_confederation": "UNKNOWN", "away_confederation": "UNKNOWN", "home_fifa_rank": 75, "away_fifa_rank": 75, "tournament_stage": "Unknown", "source": "unknown"}
+DEFAULTS = {"competition": "Unknown", "neutral": False, "home_confederation": "UNKNOWN", "away_confederation": "UNKNOWN", "home_fifa_rank": 75, "away_fifa_rank": 75, "tournament_stage": "Unknown", "source": "unknown"}
+TEAM_DEFAULTS = {"confederation": "UNKNOWN", "fifa_rank": 75}
 
 
 def validate_schema(df: DataFrame, kind: str) -> DataFrame:
@@ -31,9 +35,10 @@ def fill_defaults(df: DataFrame, defaults: dict = DEFAULTS) -> DataFrame:
 
 
 def coerce_types(df: DataFrame) -> DataFrame:
-    """Dates and scores from text, null if they can't be read; neutral is true for true, 1 and yes."""
-    out = {"date": F.col("date").cast("string").try_cast("date"), "neutral": F.lower(F.trim(F.col("neutral").cast("string"))).isin("true", "1", "yes")}
-    out |= {c: F.col(c).cast("string").try_cast("double").cast("int") for c in ("home_score", "away_score")}
+    """Dates, scores and ranks from text, null if they can't be read; neutral is true for true, 1 and yes, false for all else."""
+    neutral = F.coalesce(F.lower(F.trim(F.col("neutral").cast("string"))).isin("true", "1", "yes"), F.lit(False))
+    out = {"date": F.col("date").cast("string").try_cast("date"), "neutral": neutral}
+    out |= {c: F.col(c).cast("string").try_cast("double").cast("int") for c in ("home_score", "away_score", "home_fifa_rank", "away_fifa_rank")}
     return df.withColumns({c: v for c, v in out.items() if c in df.columns})
 
 
@@ -103,11 +108,16 @@ def normalize_stage(stage: Column) -> Column:
     return F.regexp_replace(F.lower(F.trim(stage)), "[ -]", "_")
 
 
-def stage_attrs(df: DataFrame, column: str = "tournament_stage") -> DataFrame:
-    """stage (normalised), stage_importance (1 if unmapped) and stage_weight (1.0)."""
-    stage = normalize_stage(F.col(column))
-    importance, weight = (F.create_map(*(F.lit(x) for s, v in STAGES.items() for x in (s, v[i])))[stage] for i in (0, 1))
-    return df.withColumns({"stage": stage, "stage_importance": F.coalesce(importance, F.lit(1)), "stage_weight": F.coalesce(weight, F.lit(1.0))})
+def stage_attrs(df: DataFrame, names: DataFrame | None = None, column: str = "tournament_stage") -> DataFrame:
+    """stage, stage_importance (1 if unmapped) and stage_weight (1.0). A stage is named by names(raw, stage) of the lower-case trimmed text, else by the text itself with _ for spaces and hyphens; null is unknown."""
+    raw = F.lower(F.trim(F.coalesce(F.col(column).cast("string"), F.lit("unknown"))))
+    if names is not None:
+        mapped = names.select(F.lower(F.trim("raw")).alias("_raw"), F.col("stage").alias("_stage"))
+        df = df.join(mapped, raw == F.col("_raw"), "left")
+    stage = F.coalesce("_stage", normalize_stage(raw)) if names is not None else normalize_stage(raw)
+    df = df.withColumn("stage", stage).drop("_raw", "_stage")
+    importance, weight = (F.create_map(*(F.lit(x) for s, v in STAGES.items() for x in (s, v[i])))[F.col("stage")] for i in (0, 1))
+    return df.withColumns({"stage_importance": F.coalesce(importance, F.lit(1)), "stage_weight": F.coalesce(weight, F.lit(1.0))})
 
 
 def dedup_matches(df: DataFrame, key: tuple = ("date", "home_team", "away_team"), order: tuple = ("match_id",)) -> DataFrame:
@@ -131,10 +141,19 @@ def prepare_results(raw: DataFrame, aliases: DataFrame, attrs: DataFrame, from_y
     return dedup_matches(competition_attrs(named, attrs).withColumn("source", F.lit(source)))
 
 
+def _plain_letters() -> tuple[str, str]:
+    """Letters with marks, and what is left of each without them, by their canonical decompositions."""
+    base = lambda c: "".join(x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x))
+    marked = [c for c in map(chr, range(0xA0, 0x2100)) if c.isalpha() and len(base(c)) == 1 and base(c) != c]
+    marked += [c for c in map(chr, range(0x2100, 0x10000)) if not 0xD800 <= ord(c) < 0xE000 and c.isalpha() and len(base(c)) == 1 and base(c) != c and not 0xAC00 <= ord(c) < 0xD7B0]
+    return "".join(marked), "".join(map(base, marked))
+
+
 def normalize_player_name(name: Column) -> Column:
-    """In lower case, without accents on Latin letters, single-spaced."""
-    plain = F.translate(name, "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy")
-    return F.lower(F.trim(F.regexp_replace(plain, r"\s+", " ")))
+    """In lower case, single-spaced, without accents: letters with marks of every script lose them, combining marks are dropped. Ligatures of several letters stay."""
+    marked, plain = _plain_letters()
+    letters = F.translate(F.regexp_replace(name, r"\p{M}+", ""), marked, plain)
+    return F.lower(F.trim(F.regexp_replace(letters, r"\s+", " ")))
 
 
 def scale_rank(rank: Column) -> Column:
@@ -164,6 +183,11 @@ def resolve_players(df: DataFrame, aliases: DataFrame) -> DataFrame:
     return joined.withColumn("player_id", F.when(agrees, F.col("player_id"))).drop("alias", "player_nationality")
 
 
+def list_players(players: DataFrame, nationality: str) -> DataFrame:
+    """The player_id of each of players(player_id, nationality) with the nationality, in any case."""
+    return players.where(F.lower("nationality") == nationality.lower()).select("player_id")
+
+
 def profile_matches(df: DataFrame) -> DataFrame:
     """One row: counts, dates, distinct teams, outcome shares, unknown confederations and missing stages."""
     label = result_label(F.col("home_score"), F.col("away_score"))
@@ -174,3 +198,14 @@ def profile_matches(df: DataFrame) -> DataFrame:
         F.count_if(F.col("home_confederation") == "UNKNOWN").alias("n_unknown"), F.count_if(F.col("tournament_stage").isNull()).alias("n_no_stage"),
     )
     return one.crossJoin(F.broadcast(teams))  # one row each
+
+
+def confederation_counts(df: DataFrame) -> DataFrame:
+    """confederation and n: how many home sides each has."""
+    return df.groupBy(F.col("home_confederation").alias("confederation")).agg(F.count("*").alias("n"))
+
+
+def unknown_teams(df: DataFrame) -> DataFrame:
+    """The teams that appear with an unknown confederation."""
+    sides = F.explode(F.array(*(F.struct(F.col(f"{s}_team").alias("team"), F.col(f"{s}_confederation").alias("c")) for s in ("home", "away")))).alias("s")
+    return df.select(sides).where(F.coalesce("s.c", F.lit("UNKNOWN")) == "UNKNOWN").select("s.team").distinct()

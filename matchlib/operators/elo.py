@@ -4,15 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .splits import with_position
+
 
 @dataclass(frozen=True)
 class EloConfig:
-    """k: base step. advantage and discount: by confederation, with a default for others. start: rating of a team not in the start table."""
+    """k: base step. advantage and discount: by confederation, with a default for others. start: rating of a team without one of its own. The defaults are fixed values."""
 
     k: float = 25.0
     advantage: dict[str, float] = field(default_factory=lambda: {"UEFA": 80.0, "CONMEBOL": 110.0, "CONCACAF": 70.0, "CAF": 90.0, "AFC": 80.0, "OFC": 60.0, "UNKNOWN": 100.0})
@@ -22,7 +23,8 @@ class EloConfig:
     start: float = 1500.0
 
 
-REPLAY = "league string, match_id long, home_elo_pre double, away_elo_pre double, home_elo_post double, away_elo_post double"
+RATINGS = ["home_elo_pre", "away_elo_pre", "home_elo_post", "away_elo_post"]
+REPLAY = "league string, match_id long, " + ", ".join(f"{c} array<double>" for c in RATINGS)
 
 
 def _lookup(values: dict[str, float], default: float, key: Column) -> Column:
@@ -43,30 +45,48 @@ def elo_steps(matches: DataFrame, config: EloConfig) -> DataFrame:
     return matches.select("league", "match_id", "date", "home_team", "away_team", (config.k * F.col("k_multiplier") * discount * margin(gd)).alias("step"), advantage.alias("advantage"), score.alias("score"))
 
 
-def replay(group: pd.DataFrame, start: float) -> pd.DataFrame:
-    """Ratings before and after each match of one league, in order."""
-    group = group.sort_values(["date", "match_id"], kind="stable")
-    codes, names = pd.factorize(pd.concat([group["home_team"], group["away_team"]], ignore_index=True))
-    n = len(group)
-    rating = [start] * len(names)
-    pre, post = np.empty((n, 2)), np.empty((n, 2))
-    for i, (h, a, step, advantage, score) in enumerate(zip(codes[:n].tolist(), codes[n:].tolist(), group["step"].tolist(), group["advantage"].tolist(), group["score"].tolist())):
-        x, y = rating[h], rating[a]
-        change = step * (score - 1.0 / (1.0 + 10.0 ** ((y - x - advantage) / 400.0)))
-        pre[i] = x, y
-        rating[h], rating[a] = post[i] = x + change, y - change
-    return pd.DataFrame({"league": group["league"], "match_id": group["match_id"], "home_elo_pre": pre[:, 0], "away_elo_pre": pre[:, 1], "home_elo_post": post[:, 0], "away_elo_post": post[:, 1]})
+def with_start(steps: DataFrame, start: DataFrame | None, default: float) -> DataFrame:
+    """steps with home_start and away_start, by start(team, rating) or start(league, team, rating)."""
+    if start is None:
+        return steps.withColumns({"home_start": F.lit(default), "away_start": F.lit(default)})
+    for side in ("home", "away"):
+        mine = start.select(*(F.col(c).alias(f"{side}_team" if c == "team" else c) for c in start.columns if c != "rating"), F.col("rating").alias(f"{side}_start"))
+        steps = steps.join(mine, [c for c in mine.columns if c != f"{side}_start"], "left").fillna(default, [f"{side}_start"])
+    return steps
 
 
-def elo_replay(matches: DataFrame, config: EloConfig = EloConfig()) -> DataFrame:
-    """Ratings of both teams before and after each match of matches (with league and k_multiplier).
+def replayed(steps: DataFrame, scales: list[float]) -> DataFrame:
+    """league, match_id and arrays of ratings before and after each match, one for each scale of the step; all scales in one pass.
 
     Each match depends on both teams' matches before, so a league is one
-    sequence and one task; leagues run side by side. A task holds seven narrow
-    columns of its league: about 100 bytes for each match.
+    sequence. It is sorted by Spark, which spills, and streamed through a task that
+    holds a batch and the ratings of the league's teams, never the matches.
+    Leagues run side by side.
     """
-    start = config.start
-    return elo_steps(matches, config).groupBy("league").applyInPandas(lambda g: replay(g, start), REPLAY)
+
+    def run(batches):
+        league, ratings = None, {}
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("league", "home_team", "away_team", "step", "advantage", "score", "home_start", "away_start")))
+            out: list[list[list[float]]] = [[], [], [], []]
+            for name, h, a, step, advantage, score, h_start, a_start in rows:
+                if name != league:
+                    league, ratings = name, {}
+                mine, theirs = ratings.get(h) or [h_start] * len(scales), ratings.get(a) or [a_start] * len(scales)
+                change = [k * step * (score - 1.0 / (1.0 + 10.0 ** ((y - x - advantage) / 400.0))) for k, x, y in zip(scales, mine, theirs)]
+                ratings[h], ratings[a] = [x + c for x, c in zip(mine, change)], [y - c for y, c in zip(theirs, change)]
+                for column, value in zip(out, (mine, theirs, ratings[h], ratings[a])):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([batch.column("league"), batch.column("match_id"), *(pa.array(c, pa.list_(pa.float64())) for c in out)], names=["league", "match_id", *RATINGS])
+
+    ordered = steps.withColumn("match_id", F.col("match_id").cast("long")).repartition("league").sortWithinPartitions("league", "date", "match_id")
+    return ordered.mapInArrow(run, REPLAY)
+
+
+def elo_replay(matches: DataFrame, config: EloConfig = EloConfig(), start: DataFrame | None = None) -> DataFrame:
+    """league, match_id and the ratings of both teams before and after each match of matches (with league and k_multiplier). A team starts from start(team, rating) or start(league, team, rating), else from config.start."""
+    out = replayed(with_start(elo_steps(matches, config), start, config.start), [1.0])
+    return out.select("league", "match_id", *(F.col(c)[0].alias(c) for c in RATINGS))
 
 
 def elo_win_prob(home: Column, away: Column, neutral: Column, advantage: float = 100.0) -> Column:
@@ -85,26 +105,21 @@ def final_ratings(matches: DataFrame, replayed: DataFrame, offsets: DataFrame, s
 
 
 def elo_k_sweep(matches: DataFrame, grid: list[float], from_year: int = 1993, test_share: float = 0.2) -> DataFrame:
-    """k, n, log_loss, binary_accuracy, accuracy_3 and best for each K of the grid: replays from from_year, all teams at 1500, home advantage 100, no confederation discount; scored on the last test_share of rows by date."""
+    """k, n, log_loss, binary_accuracy, accuracy_3 and best for each K of the grid: replays from from_year, all teams at 1500, home advantage 100, no confederation discount; scored on the last test_share of rows by date. One replay carries the ratings of all K."""
     recent = matches.where(F.year("date") >= from_year)
-    n = recent.count()
-    per_day = recent.groupBy("date").count()
-    # a row for each day, not for each match
-    ahead = per_day.withColumn("_ahead", F.coalesce(F.sum("count").over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("count")
-    rank = F.row_number().over(Window.partitionBy("date").orderBy("match_id")) - 1 + F.col("_ahead")
-    tested = recent.join(F.broadcast(ahead) if n < 1_000_000 else ahead, "date").withColumn("_rank", rank).where(F.col("_rank") >= int(n * (1 - test_share))).select("match_id", "neutral", "home_score", "away_score")
-    flat = EloConfig(advantage={}, discount={}, k=1.0)
-    steps = elo_steps(recent, flat)
-    ks = recent.sparkSession.createDataFrame([(float(k),) for k in grid], "k double")
-    scaled = steps.crossJoin(F.broadcast(ks)).withColumn("step", F.col("step") * F.col("k"))
-    replayed = scaled.groupBy("league", "k").applyInPandas(lambda g: replay(g, 1500.0).assign(k=g["k"].iloc[0]), REPLAY + ", k double")
-    p = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), elo_win_prob(F.col("home_elo_pre"), F.col("away_elo_pre"), F.col("neutral"))))
-    rows = replayed.join(tested, "match_id").withColumn("p", p).withColumn("win", (F.col("home_score") > F.col("away_score")).cast("int"))
+    tested = with_position(recent, total="_n").where(F.col("position") >= F.floor(F.col("_n") * F.lit(1 - test_share))).select("match_id", "neutral", "home_score", "away_score")
+    steps = with_start(elo_steps(recent, EloConfig(advantage={}, discount={}, k=1.0)), None, 1500.0)
+    each = F.posexplode(F.arrays_zip("home_elo_pre", "away_elo_pre")).alias("_i", "_r")
+    rated = replayed(steps, [float(k) for k in grid]).join(tested, "match_id").select("neutral", "home_score", "away_score", each)
+    rated = rated.withColumn("k", F.array(*(F.lit(float(k)) for k in grid))[F.col("_i")])
+    p = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), elo_win_prob(F.col("_r.home_elo_pre"), F.col("_r.away_elo_pre"), F.col("neutral"))))
+    rows = rated.withColumn("p", p).withColumn("win", (F.col("home_score") > F.col("away_score")).cast("int"))
     label = F.when(F.col("home_score") > F.col("away_score"), "H").when(F.col("home_score") < F.col("away_score"), "A").otherwise("D")
     guess = F.when(F.col("p") > 0.55, "H").when(F.col("p") < 0.45, "A").otherwise("D")
     out = rows.groupBy("k").agg(
         F.count("*").alias("n"), F.round(-F.avg(F.when(F.col("win") == 1, F.log("p")).otherwise(F.log(1 - F.col("p")))), 6).alias("log_loss"),
         F.round(F.avg(((F.col("p") > 0.5).cast("int") == F.col("win")).cast("int")), 6).alias("binary_accuracy"), F.round(F.avg((guess == label).cast("int")), 6).alias("accuracy_3"),
     )
-    best = out.agg(F.min_by("k", F.struct("log_loss", "k")).alias("_best"))
-    return out.crossJoin(F.broadcast(best)).withColumn("best", F.col("k") == F.col("_best")).drop("_best")  # a row for each K
+    # a row for each K meets in one window
+    best = F.first("k").over(Window.orderBy("log_loss", "k"))
+    return out.withColumn("best", F.col("k") == best)

@@ -106,8 +106,9 @@ def worst_predictions(predictions: DataFrame, n: int = 10) -> DataFrame:
     return predictions.withColumn("loss", F.round(row_log_loss(renormalise=False), 6)).orderBy(F.desc("loss"), "match_id", "model").limit(n)
 
 
-def metrics_by_stage(predictions: DataFrame, stage: str = "tournament_stage", least: int = 2) -> DataFrame:
-    return predictions.groupBy(stage).agg(F.count("*").alias("n"), F.round(F.avg(row_hit()), 6).alias("accuracy"), F.round(F.avg(row_log_loss()), 6).alias("log_loss")).where(F.col("n") >= least)
+def metrics_by_stage(predictions: DataFrame, stage: str = "tournament_stage", least: int = 2, by: tuple[str, ...] = ()) -> DataFrame:
+    """n, accuracy and log_loss of each stage (of each by) with at least so many rows."""
+    return predictions.groupBy(*by, stage).agg(F.count("*").alias("n"), F.round(F.avg(row_hit()), 6).alias("accuracy"), F.round(F.avg(row_log_loss()), 6).alias("log_loss")).where(F.col("n") >= least)
 
 
 def draw_report(predictions: DataFrame, by: list[str]) -> DataFrame:

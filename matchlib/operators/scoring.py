@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -51,7 +52,7 @@ def outcome_from_rates(df: DataFrame, most: int = 10) -> DataFrame:
     return out.withColumns({"p_h": F.col("_w") / F.col("_n"), "p_d": F.col("_d") / F.col("_n"), "p_a": 1 - (F.col("_w") + F.col("_d")) / F.col("_n")}).drop("_w", "_d", "_n")
 
 
-def rates_for_outcome(targets: DataFrame, step: float = 0.25, low: float = 0.5, high: float = 2.5) -> DataFrame:
+def rates_for_outcome(targets: DataFrame, step: float = 0.05, low: float = 0.5, high: float = 2.5) -> DataFrame:
     """match_id with the lattice point (lambda_home, lambda_away) whose outcome is closest to p_h, p_d and p_a; the lower point on ties. The lattice is computed once and is of fixed size; it stands in for a numeric optimiser."""
     n = round((high - low) / step) + 1
     points = targets.sparkSession.range(n * n).select((F.lit(low) + F.floor(F.col("id") / n) * step).alias("lambda_home"), (F.lit(low) + (F.col("id") % n) * step).alias("lambda_away"))
@@ -111,8 +112,11 @@ def blend_interval(long: DataFrame, least: float = 0.15) -> DataFrame:
     return one.select("match_id", *out)
 
 
-def calibrate_isotonic(validation: DataFrame, rows: DataFrame, clip: float = 1e-6) -> DataFrame:
-    """rows with p_a, p_d and p_h mapped by isotonic regressions, one for each class, fitted on validation(y, p_a, p_d, p_h); clipped and renormalised."""
+def calibrate_isotonic(validation: DataFrame, rows: DataFrame, clip: float = 1e-6, by: str | None = None) -> DataFrame:
+    """rows with p_a, p_d and p_h mapped by isotonic regressions, one for each class, fitted on validation(y, p_a, p_d, p_h); clipped and renormalised. With by, for each value of it apart (a few, such as models)."""
+    if by:
+        parts = [calibrate_isotonic(*(x.where(F.col(by) == r[0]) for x in (validation, rows)), clip) for r in validation.select(by).distinct().orderBy(by).collect()]
+        return functools.reduce(DataFrame.unionByName, parts)
     out = rows
     for i, c in enumerate("adh"):
         known = validation.select(F.col(f"p_{c}").alias("x"), (F.col("y") == i).cast("double").alias("label"))
@@ -138,8 +142,16 @@ def scaled(train: DataFrame, rows: DataFrame, numeric: list[str]) -> DataFrame:
     return joined.withColumns(z).drop(*stats.columns)
 
 
+def balanced(rows: DataFrame, label: str, weight: str | None = None) -> DataFrame:
+    """rows with sample_weight: n / (k n_c) for each of k classes, times a weight if given."""
+    counts = rows.groupBy(label).agg(F.count("*").alias("_c"))
+    share = counts.agg(F.sum("_c").alias("_n"), F.count("*").alias("_k"))  # one row
+    per_class = counts.crossJoin(F.broadcast(share)).select(label, (F.col("_n") / (F.col("_k") * F.col("_c"))).alias("_w"))
+    return rows.join(F.broadcast(per_class), label).withColumn("sample_weight", F.col("_w") * (F.col(weight) if weight else F.lit(1.0))).drop("_w")  # a row for each class
+
+
 def train_logreg(encoded: DataFrame, label: str, weight: str | None = None, features: str = "features", binary: bool = False):
-    """A multinomial (or binary) logistic regression."""
+    """A multinomial (or binary) logistic regression, by a sample weight if given."""
     model = LogisticRegression(featuresCol=features, labelCol=label, family="binomial" if binary else "multinomial", maxIter=50, regParam=0.001)
     return (model.setWeightCol(weight) if weight else model).fit(encoded)
 

@@ -32,3 +32,10 @@ def upsert_rankings(old: DataFrame, new: DataFrame) -> DataFrame:
 def find_duplicate_ids(players: DataFrame, key: str, name: str) -> DataFrame:
     """Ids shared by several names, with their number."""
     return players.groupBy(key).agg(F.countDistinct(name).alias("n_names"), F.count("*").alias("n_rows")).where("n_names > 1")
+
+
+def dedup_in_position(players: DataFrame, group: tuple = ("team", "position"), key: tuple = ("name", "player_id"), order: str = "ordinal") -> DataFrame:
+    """players with one row, the first by order, for each key within a group."""
+    by = [*group, *key]
+    first = F.min_by(F.struct(*(c for c in players.columns if c not in by)), order).alias("_r")
+    return players.groupBy(*by).agg(first).select(*(F.col(c) if c in by else F.col(f"_r.{c}").alias(c) for c in players.columns))

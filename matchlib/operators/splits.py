@@ -6,31 +6,37 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def with_position(df: DataFrame) -> DataFrame:
-    """df with position: the number of rows before each by date and match_id. Days are counted first, and only the table of days is accumulated in one task."""
-    days = df.groupBy("date").agg(F.count("*").alias("_n"))
-    ahead = days.withColumn("_ahead", F.coalesce(F.sum("_n").over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
-    return df.join(ahead, "date").withColumn("position", F.row_number().over(Window.partitionBy("date").orderBy("match_id")) - 1 + F.col("_ahead")).drop("_ahead")
+def with_position(df: DataFrame, total: str | None = None) -> DataFrame:
+    """df with position: the number of rows before each by date and match_id; and the number of all rows as total. Days are counted first, and only the table of days is accumulated in one task."""
+    days = df.groupBy("date").agg(F.count("*").alias("_rows"))
+    whole = Window.orderBy("date")
+    ahead = days.withColumn("_ahead", F.coalesce(F.sum("_rows").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    if total:
+        ahead = ahead.withColumn(total, F.sum("_rows").over(whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    return df.join(ahead.drop("_rows"), "date").withColumn("position", F.row_number().over(Window.partitionBy("date").orderBy("match_id")) - 1 + F.col("_ahead")).drop("_ahead")
 
 
 def chronological_split(df: DataFrame, test: float = 0.15, val: float = 0.20) -> DataFrame:
-    """df with split: train, val or test by position."""
+    """df with split: train, val or test by position. The cuts are rounded down from double products, as int() does."""
     if not (0 < test < 1 and 0 < val < 1 and test + val < 1):
         raise ValueError("test and val must be fractions that leave some rows to train on")
-    n = df.count()
-    first, second = int(n * (1 - val - test)), int(n * (1 - test))
-    return with_position(df).withColumn("split", F.when(F.col("position") < first, "train").when(F.col("position") < second, "val").otherwise("test"))
+    first, second = (F.floor(F.col("_n") * F.lit(share)) for share in (1 - val - test, 1 - test))
+    split = F.when(F.col("position") < first, "train").when(F.col("position") < second, "val").otherwise("test")
+    return with_position(df, total="_n").withColumn("split", split).drop("_n")
 
 
 def rolling_windows(df: DataFrame, windows: int = 5, min_train: float = 0.60) -> DataFrame:
     """A row for each row and window that it takes part in: window from 0, part train (all before) or test."""
-    n = df.count()
-    start = int(n * min_train)
-    windows = max(1, min(windows, n - start))
-    size = max(1, (n - start) // windows)
-    edges = [start + i * size for i in range(windows)] + [n]
-    parts = [F.when(F.col("position") < lo, F.struct(F.lit(i).alias("window"), F.lit("train").alias("part"))).when(F.col("position") < hi, F.struct(F.lit(i).alias("window"), F.lit("test").alias("part"))) for i, (lo, hi) in enumerate(zip(edges[:-1], edges[1:]))]
-    return with_position(df).withColumn("_w", F.explode(F.filter(F.array(*parts), lambda x: x.isNotNull()))).select("*", "_w.window", "_w.part").drop("_w")
+    n = F.col("_n")
+    start = F.floor(n * F.lit(min_train))
+    many = F.greatest(F.lit(1), F.least(F.lit(windows), n - start)).cast("int")
+    size = F.greatest(F.lit(1), F.floor((n - start) / many))
+    low = lambda i: start + i * size
+    high = lambda i: F.when(i == many - 1, n).otherwise(start + (i + 1) * size)
+    part = lambda i: F.when(F.col("position") < low(i), "train").when(F.col("position") < high(i), "test")
+    parts = F.transform(F.sequence(F.lit(0), many - 1), lambda i: F.struct(i.alias("window"), part(i).alias("part")))
+    mine = F.explode(F.filter(parts, lambda x: x["part"].isNotNull()))
+    return with_position(df, total="_n").withColumn("_w", mine).select("*", "_w.window", "_w.part").drop("_w", "_n")
 
 
 def year_folds(df: DataFrame, years: list[int], span: int = 2, least_train: int = 100, least_test: int = 10) -> DataFrame:

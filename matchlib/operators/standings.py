@@ -103,9 +103,9 @@ def list_entities(teams: DataFrame, order: list[str], confederation: str | None
 UNDETERMINED = ("", "tbd", "none", "null")
 
 
-def knockout_by_stage(matches: DataFrame, stages: list[str]) -> DataFrame:
-    """stage, stage_order and its matches (sorted, joined by |) whose teams are both known."""
+def knockout_by_stage(matches: DataFrame, stages: list[str], by: tuple[str, ...] = ()) -> DataFrame:
+    """stage, stage_order and its matches (sorted, joined by |) whose teams are both known; for each event, named by by."""
     known = lambda c: F.col(c).isNotNull() & ~F.lower(F.trim(c)).isin(*UNDETERMINED)
     order = F.array_position(F.array(*map(F.lit, stages)), F.col("stage"))
     rows = matches.where(known("home_team") & known("away_team")).withColumn("stage_order", order).where("stage_order > 0")
-    return rows.groupBy("stage", "stage_order").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("-", "home_team", "away_team"))), "|").alias("matches"))
+    return rows.groupBy(*by, "stage", "stage_order").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws("-", "home_team", "away_team"))), "|").alias("matches"))

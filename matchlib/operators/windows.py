@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cleaning import points
-from .joins import asof
+from ..functions.cleaning import points, result_label, stage_attrs
+from .elo import elo_win_prob
+from .joins import attach_squad_ratings, attach_venue
 
 
 def by_team():
@@ -123,16 +124,31 @@ def rest_days() -> dict[str, Column]:
     return {"rest_days": days, "rest_days_log": F.log1p(days.cast("double")), "long_break": (days > 21).cast("int")}
 
 
-def head_to_head(matches: DataFrame, n: int = 10) -> DataFrame:
-    """match_id, h2h_home_win_rate, h2h_draw_rate, h2h_goal_diff and h2h_n_matches over the last n meetings of the pair, as the home side sees them."""
+def pair_meetings(matches: DataFrame) -> DataFrame:
+    """match_id, date, a and b (the pair's first and second team by name), first (whether a is at home) and gd (goals of a less those of b)."""
     first = F.col("home_team") < F.col("away_team")
     gd = F.col("home_score") - F.col("away_score")
-    pair = matches.select("match_id", "date", F.least("home_team", "away_team").alias("a"), F.greatest("home_team", "away_team").alias("b"), first.alias("first"), F.when(first, gd).otherwise(-gd).alias("gd"))
+    return matches.select("match_id", "date", F.least("home_team", "away_team").alias("a"), F.greatest("home_team", "away_team").alias("b"), first.alias("first"), F.when(first, gd).otherwise(-gd).alias("gd"))
+
+
+def meeting_state(n: int = 10) -> dict[str, Column]:
+    """Over the last n meetings of a pair before each: wins of a and of b, draws (means), goal difference of a, and how many."""
     w = Window.partitionBy("a", "b").orderBy("date", "match_id").rowsBetween(-n, -1)
     rate = lambda x: F.avg(x.cast("int")).over(w)
-    win = F.when(F.col("first"), rate(F.col("gd") > 0)).otherwise(rate(F.col("gd") < 0))
-    diff = F.avg("gd").over(w)
-    return pair.select("match_id", F.coalesce(win, F.lit(0.45)).alias("h2h_home_win_rate"), F.coalesce(rate(F.col("gd") == 0), F.lit(0.25)).alias("h2h_draw_rate"), F.coalesce(F.when(F.col("first"), diff).otherwise(-diff), F.lit(0.0)).alias("h2h_goal_diff"), F.count("*").over(w).alias("h2h_n_matches"))
+    return {"win_a": rate(F.col("gd") > 0), "win_b": rate(F.col("gd") < 0), "draw": rate(F.col("gd") == 0), "diff": F.avg("gd").over(w), "n": F.count("gd").over(w)}
+
+
+def seen_by(first: Column, state: Callable[[str], Column]) -> dict[str, Column]:
+    """A meeting state as the home side (the pair's first team if first) and the away side see it; defaults without meetings."""
+    win, other = F.when(first, state("win_a")).otherwise(state("win_b")), F.when(first, state("win_b")).otherwise(state("win_a"))
+    diff = F.coalesce(F.when(first, state("diff")).otherwise(-state("diff")), F.lit(0.0))
+    return {"home_h2h_win_rate": F.coalesce(win, F.lit(0.45)), "away_h2h_win_rate": F.coalesce(other, F.lit(0.45)), "h2h_draw_rate": F.coalesce(state("draw"), F.lit(0.25)), "home_h2h_goal_diff": diff, "away_h2h_goal_diff": -diff, "h2h_n_matches": F.coalesce(state("n"), F.lit(0))}
+
+
+def head_to_head(matches: DataFrame, n: int = 10) -> DataFrame:
+    """match_id and the record of the pair over its last n meetings, as both sides see it: {home,away}_h2h_win_rate, h2h_draw_rate, {home,away}_h2h_goal_diff and h2h_n_matches."""
+    state = meeting_state(n)
+    return pair_meetings(matches).select("match_id", *(x.alias(c) for c, x in seen_by(F.col("first"), state.__getitem__).items()))
 
 
 def elo_inactivity(elo: Column, rest: Column, halflife: float) -> Column:
@@ -148,12 +164,36 @@ def tier_of(confederation: Column, tiers: dict[str, int] = CONFEDERATION_TIER) -
     return F.coalesce(F.create_map(*(F.lit(x) for kv in tiers.items() for x in kv))[confederation], F.lit(2))
 
 
-def interaction_features(df: DataFrame, base_rates: DataFrame, tiers: dict[str, int] = CONFEDERATION_TIER) -> DataFrame:
-    """Differences, products and flags of a match row with both sides' ratings and ranks; tier rates from base_rates(competition_weight, h, d, a)."""
+#: Differences of the home side's value and the away side's.
+DIFFERENCES = {
+    "elo_diff_home_away": "elo_pre", "elo_diff_effective": "elo_effective", "rank_diff": "fifa_rank", "form_diff_home_away": "form_last5", "form_diff_w3": "form_w3", "form_diff_w10": "form_w10",
+    "gd_form_diff": "gd_form_w5", "attack_diff_w5": "attack_w5", "adj_form_diff_w5": "adj_form_w5", "draw_rate_diff": "draw_rate_w5", "penalty_win_rate_diff": "penalty_win_rate", "squad_rating_diff": "squad_avg_rating",
+}
+
+
+def attach_penalty_rates(df: DataFrame, records: DataFrame) -> DataFrame:
+    """{home,away}_penalty_win_rate by records(team, won, played); one half without any."""
+    for side in ("home", "away"):
+        r = records.select(F.col("team").alias("_t"), F.when(F.col("played") > 0, F.col("won") / F.col("played")).alias("_r"))
+        df = df.join(r, F.col(f"{side}_team") == F.col("_t"), "left").withColumn(f"{side}_penalty_win_rate", F.coalesce("_r", F.lit(0.5))).drop("_t", "_r")
+    return df
+
+
+def interaction_features(df: DataFrame, base_rates: DataFrame, tiers: dict[str, int] = CONFEDERATION_TIER, advantage: float = 100.0) -> DataFrame:
+    """Differences, products and flags of match rows in their orientation, of all the columns that df has; tier rates from base_rates(competition_weight, h, d, a)."""
     neutral = F.col("neutral").cast("int")
-    out = df.withColumns({
-        "elo_diff_home_away": F.col("home_elo_pre") - F.col("away_elo_pre"),
-        "rank_diff": F.col("home_fifa_rank") - F.col("away_fifa_rank"),
+    has = lambda *cs: all(f"{s}_{c}" in df.columns for s in ("home", "away") for c in cs)
+    new = {name: F.col(f"home_{c}") - F.col(f"away_{c}") for name, c in DIFFERENCES.items() if has(c)}
+    if has("elo_pre"):
+        new["elo_win_prob"] = elo_win_prob(F.col("home_elo_pre"), F.col("away_elo_pre"), F.col("neutral"), advantage)
+    if has("defense_w5"):
+        new["defense_diff_w5"] = F.col("away_defense_w5") - F.col("home_defense_w5")
+    if has("goals_for_last5", "goals_against_last5"):
+        balance = lambda s: F.col(f"{s}_goals_for_last5") - F.col(f"{s}_goals_against_last5")
+        new["goal_balance_diff"] = balance("home") - balance("away")
+    if has("home_form_w5", "away_form_w5"):
+        new |= {f"{s}_venue_form_diff": F.col(f"{s}_home_form_w5") - F.col(f"{s}_away_form_w5") for s in ("home", "away")}
+    out = df.withColumns(new | {
         "is_same_confederation": (F.col("home_confederation") == F.col("away_confederation")).cast("int"),
         "confederation_strength_diff": tier_of(F.col("home_confederation"), tiers) - tier_of(F.col("away_confederation"), tiers),
     })
@@ -185,30 +225,68 @@ def augment_neutral(df: DataFrame) -> DataFrame:
     return df.select(F.explode(F.when(F.col("neutral"), F.array(as_is, other)).otherwise(F.array(as_is))).alias("r")).select("r.*")
 
 
-def team_features(long: DataFrame, adjusted: bool = False) -> DataFrame:
-    """All per-team features of each row of the long table, by one exchange on team."""
-    blocks = [form(), goals(), attack_defense(), recency(), clean_sheets(), goal_difference(), form_by_venue(), draw_rate(), streaks(), rest_days()]
+def team_state(adjusted: bool = False) -> dict[str, Column]:
+    """All per-team features over the rows before each, by name."""
+    blocks = [form((3, 10)), {"form_last5": form((5,))["form_w5"]}, goals(), attack_defense(), recency(), clean_sheets(), goal_difference(), form_by_venue(), draw_rate(), streaks()]
     if adjusted:
         blocks.append(opponent_adjusted())
-    return long.withColumns({k: v for b in blocks for k, v in b.items()})
+    return {k: v for b in blocks for k, v in b.items()}
 
 
-def snapshot_as_of(matches: DataFrame, fixtures: DataFrame, n: int = 5) -> DataFrame:
-    """fixtures(fixture_id, team, date) with the team's form, attack and defense over its last n matches strictly before the date, and how many it has played.
+def team_features(long: DataFrame, adjusted: bool = False) -> DataFrame:
+    """All per-team features of each row of the long table, by one exchange on team."""
+    return long.withColumns(team_state(adjusted) | rest_days())
+
+
+def next_state(facts: DataFrame, queries: DataFrame, key: str, state: str) -> DataFrame:
+    """queries(_q, key, _day) with the state of the first of facts(key, _day, match_id, state) no earlier than the day: a fact's state holds what came before it. Both are sorted together once per key, latest first."""
+    kind = facts.schema[state].dataType
+    f = facts.select(F.lit(None).cast(queries.schema["_q"].dataType).alias("_q"), key, "_day", F.lit(0).alias("_query"), "match_id", state)
+    q = queries.select("_q", key, "_day", F.lit(1).alias("_query"), F.lit(None).cast("long").alias("match_id"), F.lit(None).cast(kind).alias(state))
+    seen = Window.partitionBy(key).orderBy(F.desc("_day"), "_query", F.desc("match_id")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return f.union(q).withColumn(state, F.last(state, ignorenulls=True).over(seen)).where("_query = 1").select("_q", state)
+
+
+LAST_DAY = "date'9999-12-31'"
+
 
-    Each match carries the state after it (a frame that ends with it); a fixture
-    takes the state of the last match before its date, as in the as-of join: one
-    exchange by team for all fixtures.
+def snapshot_as_of(matches: DataFrame, fixtures: DataFrame, h2h: int = 10) -> DataFrame:
+    """fixtures(fixture_id, date, home_team, away_team) with both sides' state strictly before the date, the same features as those of matches played, and their head to head: {home,away}_<feature>, _n_matches, _rest_days(_log), _long_break, and, if matches have ratings, _elo_pre.
+
+    The features of a row are those of the rows before it. So each team gets a last
+    row without a result, and a fixture takes the features of the team's first row
+    no earlier than its date: one exchange by team for all fixtures and features.
     """
-    upto = by_team().rowsBetween(-n + 1, 0)
-    played = by_team().rowsBetween(Window.unboundedPreceding, 0)
-    state = F.struct(F.avg("points").over(upto).alias("p"), F.avg("gf").over(upto).alias("f"), F.avg("ga").over(upto).alias("a"), F.count("*").over(played).alias("n"))
-    facts = long_table(matches).select("team", F.col("date").alias("_fact_day"), "date", "match_id", "points", "gf", "ga").withColumn("_s", state)
-    # of several matches on a day the last one's state holds
-    daily = facts.groupBy("team", "_fact_day").agg(F.max_by("_s", "match_id").alias("_s"))
-    found = asof(fixtures, daily, "team", "date", "_fact_day", "_s", "_now")
-    now = lambda f, d: F.coalesce(F.col(f"_now.{f}"), F.lit(d))
-    return found.select("fixture_id", "team", "date", now("p", 1.5).alias(f"form_w{n}"), now("f", 1.0).alias(f"attack_w{n}"), now("a", 1.0).alias(f"defense_w{n}"), now("n", 0).cast("long").alias("n_matches"))
+    rated = "home_elo_post" in matches.columns
+    extra = {"opp_elo_pre": ("away_elo_pre", "home_elo_pre"), "elo_post": ("home_elo_post", "away_elo_post")} if rated else {}
+    long = long_table(matches, extra)
+    ends = long.select("team").distinct().select(F.lit((1 << 63) - 1).alias("match_id"), F.expr(LAST_DAY).alias("date"), "team")
+    features = team_state(rated) | {"n_matches": F.count("*").over(by_team().rowsBetween(Window.unboundedPreceding, -1)), "last_date": F.lag("date").over(by_team())}
+    if rated:
+        features["elo_pre"] = F.lag("elo_post").over(by_team())
+    state = long.unionByName(ends, allowMissingColumns=True).withColumns(features)
+    facts = state.select("team", F.col("date").alias("_day"), F.col("match_id").cast("long").alias("match_id"), F.struct(*features).alias("_s"))
+    sides = F.explode(F.array(*(F.struct(F.lit(s).alias("side"), F.col(f"{s}_team").alias("team")) for s in ("home", "away")))).alias("s")
+    asked = fixtures.select("fixture_id", "date", sides).select(F.struct("fixture_id", "date", "s.side").alias("_q"), "s.team", F.col("date").alias("_day"))
+    found = next_state(facts, asked, "team", "_s").select("_q.*", "_s")
+    without = {"form_w3": 1.5, "form_w10": 1.5, "form_last5": 1.5, "form_rw5": 1.5, "home_form_w5": 1.5, "away_form_w5": 1.5, "adj_form_w5": 1.5, "draw_rate_w5": 0.25, "clean_sheet_rate_w5": 0.0, "gd_form_w5": 0.0, "n_matches": 0, "win_streak": 0, "unbeaten_streak": 0, "loss_streak": 0, "elo_pre": 1500.0}
+    now = {c: F.coalesce(F.col(f"_s.{c}"), F.lit(without.get(c, 1.0))) for c in features if c != "last_date"}
+    rest = F.greatest(F.lit(0), F.coalesce(F.datediff("date", "_s.last_date"), F.lit(7)))
+    now |= {"rest_days": rest, "rest_days_log": F.log1p(rest.cast("double")), "long_break": (rest > 21).cast("int")}
+    one = found.select("fixture_id", "side", *(x.alias(c) for c, x in now.items()))
+    both = one.groupBy("fixture_id").agg(*(F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{s}_{c}") for s in ("home", "away") for c in now))
+
+    pairs = pair_meetings(matches)
+    last = pairs.select("a", "b").distinct().select(F.lit((1 << 63) - 1).alias("match_id"), F.expr(LAST_DAY).alias("date"), "a", "b")
+    meetings = meeting_state(h2h)
+    met = pairs.unionByName(last, allowMissingColumns=True).withColumns(meetings)
+    pair = F.struct("a", "b").alias("pair")
+    met = met.select(pair, F.col("date").alias("_day"), F.col("match_id").cast("long").alias("match_id"), F.struct(*meetings).alias("_s"))
+    first = (F.col("home_team") < F.col("away_team")).alias("first")
+    asked = fixtures.select(F.struct("fixture_id", first).alias("_q"), F.struct(F.least("home_team", "away_team").alias("a"), F.greatest("home_team", "away_team").alias("b")).alias("pair"), F.col("date").alias("_day"))
+    record = next_state(met, asked, "pair", "_s").select("_q.*", "_s")
+    record = record.select("fixture_id", *(x.alias(c) for c, x in seen_by(F.col("first"), lambda c: F.col(f"_s.{c}")).items()))
+    return fixtures.join(both, "fixture_id").join(record, "fixture_id")
 
 
 def feature_blocks(base: DataFrame, blocks: list[tuple[str, Callable[[DataFrame], DataFrame]]], key: str = "match_id", enabled: set[str] | None = None) -> DataFrame:
@@ -226,6 +304,36 @@ def feature_blocks(base: DataFrame, blocks: list[tuple[str, Callable[[DataFrame]
     return out
 
 
+FEATURES = [
+    "form_last5", "form_w3", "form_w10", "goals_for_last5", "goals_against_last5", "attack_w5", "defense_w5", "clean_sheet_rate_w5", "gd_form_w5", "draw_rate_w5", "adj_form_w5", "adj_attack_w5", "adj_defense_w5",
+    "form_rw5", "attack_rw5", "defense_rw5", "home_form_w5", "away_form_w5", "win_streak", "unbeaten_streak", "loss_streak", "rest_days", "rest_days_log", "long_break",
+]
+
+
+def feature_table(rated: DataFrame, base_rates: DataFrame, *, stages: DataFrame | None = None, penalties: DataFrame | None = None, squads: DataFrame | None = None, venues: DataFrame | None = None, cities: DataFrame | None = None, tiers: dict[str, int] = CONFEDERATION_TIER, decay_halflife: float = 730.0, inactivity_halflife: float = 0.0) -> DataFrame:
+    """The flagship: a row for each match, and one more with the sides swapped for each on neutral ground.
+
+    rated are matches with competition_weight, k_multiplier and ratings before and
+    after; written once, as every branch starts from them. All per-team windows
+    take one exchange, head to head another, folding back a third. Sides are swapped
+    before differences are taken, so that these hold in both orientations. Optional
+    blocks: stages(raw, stage), penalties(team, won, played), squads(team,
+    squad_avg_rating, top_player_rating), venues and cities as in attach_venue.
+    """
+    m = stage_attrs(rated, stages).withColumn("target", result_label(F.col("home_score"), F.col("away_score")))
+    if cities is not None and venues is not None:
+        m = attach_venue(m, cities, venues)
+    long = team_features(long_table(rated, {"opp_elo_pre": ("away_elo_pre", "home_elo_pre")}), adjusted=True)
+    out = fold_back(m, long, FEATURES).join(head_to_head(rated), "match_id")
+    out = out.withColumns({f"{s}_elo_effective": elo_inactivity(F.col(f"{s}_elo_pre"), F.col(f"{s}_rest_days"), inactivity_halflife) for s in ("home", "away")})
+    if penalties is not None:
+        out = attach_penalty_rates(out, penalties)
+    if squads is not None:
+        out = attach_squad_ratings(out, squads).drop("squad_rating_diff")
+    out = interaction_features(augment_neutral(out), base_rates, tiers)
+    return time_decay_weight(out, decay_halflife, among=rated)
+
+
 def fold_back(matches: DataFrame, features: DataFrame, columns: list[str]) -> DataFrame:
     """matches with home_<column> and away_<column> from the long features; one aggregation by match."""
     pick = [F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{s}_{c}") for s in ("home", "away") for c in columns]

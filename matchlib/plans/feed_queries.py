@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import elo as R
 from ..sources import feeds as A
+from ..sources import shared
 from ..streaming import incremental as L
 from .join_queries import _ELO, CONFIG, elo_matches
 from .queries import query, r6, registry
@@ -16,9 +15,7 @@ from .testdata import Views, with_views
 
 
 def scratch(v: Views, label: str) -> str:
-    """A folder not used before, below spark.checkpoint.dir or else the warehouse, which all executors share."""
-    base = v.spark.conf.get("spark.checkpoint.dir", None) or v.spark.conf.get("spark.sql.warehouse.dir")
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return shared.scratch(v.spark, label)
 
 
 _KEYS = "match_id, date, home_team, away_team, home_score, away_score, competition, neutral"

@@ -10,7 +10,8 @@ from ..operators import aggregates as G
 from ..operators import elo as R
 from ..operators import joins as D
 from ..operators import windows as W
-from .queries import _W, query, r6
+from ..sources.shared import written
+from .queries import _W, VARIANT_SQL, query, r6, with_variants
 from .testdata import CONFEDERATIONS, SQL as VIEW_SQL, TIERS, Views, with_views
 
 
@@ -21,19 +22,19 @@ def d1(v: Views) -> DataFrame:
     return D.asof_rank(fixtures, v.rank_history(), v.team().select("team", F.col("rank").alias("static_rank"))).select("match_id", "team", "rank")
 
 
-@query("d2_asof_player_rating", with_views("ratings") + """, f AS (SELECT o_orderkey AS fixture_id, (o_custkey + 1) AS player_id, CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_orderkey % 2 = 0),
+@query("d2_asof_player_rating", with_views("ratings") + """, f AS (SELECT o_orderkey AS fixture_id, (o_custkey + 1) AS player_id, CAST(o_orderdate AS DATE) AS date FROM orders),
 k AS (SELECT * FROM ratings WHERE overall_rating IS NOT NULL)
 SELECT fixture_id, f.player_id, k.overall_rating FROM f ASOF LEFT JOIN k ON f.player_id = k.player_id AND f.date > k.rating_date""")
 def d2(v: Views) -> DataFrame:
-    fixtures = v.table("orders").where("o_orderkey % 2 = 0").select(F.col("o_orderkey").alias("fixture_id"), (F.col("o_custkey") + 1).alias("player_id"), F.to_date("o_orderdate").alias("date"))
+    fixtures = v.table("orders").select(F.col("o_orderkey").alias("fixture_id"), (F.col("o_custkey") + 1).alias("player_id"), F.to_date("o_orderdate").alias("date"))
     return D.asof_player_rating(fixtures, v.ratings()).select("fixture_id", "player_id", "overall_rating")
 
 
-_FIX = "f AS (SELECT o_orderkey AS match_id, 'T' || (o_orderkey % 10) AS team, CAST(o_orderdate AS DATE) AS date FROM orders WHERE o_orderkey % 20 = 7)"
+_FIX = "f AS (SELECT o_orderkey AS match_id, 'T' || (o_orderkey % n) AS team, CAST(o_orderdate AS DATE) AS date FROM orders, t)"
 
 
 def squad_fixtures(v: Views) -> DataFrame:
-    return v.table("orders").where("o_orderkey % 20 = 7").select(F.col("o_orderkey").alias("match_id"), F.concat(F.lit("T"), F.col("o_orderkey") % 10).alias("team"), F.to_date("o_orderdate").alias("date"))
+    return v.with_n(v.table("orders")).select(F.col("o_orderkey").alias("match_id"), F.concat(F.lit("T"), F.col("o_orderkey") % F.col("n")).alias("team"), F.to_date("o_orderdate").alias("date"))
 
 
 _ACTIVE = "r.team = f.team AND r.joined_date <= f.date AND (r.left_date IS NULL OR r.left_date > f.date)"
@@ -155,14 +156,14 @@ def elo_matches(v: Views) -> DataFrame:
     return B.competition_attrs(v.matches(), v.attrs())
 
 
-def elo_sql(step: str, advantage: str, source: str = "matches") -> str:
+def elo_sql(step: str, advantage: str, source: str = "matches", start: str = "(SELECT list(rating ORDER BY id) FROM start)") -> str:
     """Views and r(league, seq, ratings, ...): the replay, one match of each league at a time."""
-    return with_views("matches", "attrs", recursive=True) + f""", {_CONF}, steps AS MATERIALIZED (
+    return with_views("matches", "attrs", "start", recursive=True) + f""", {_CONF}, steps AS MATERIALIZED (
   SELECT m.league, row_number() OVER (PARTITION BY m.league ORDER BY date, match_id) AS seq, match_id, x.id AS hi, y.id AS ai, CASE WHEN neutral THEN 0.0 ELSE {advantage} END AS adv, CASE WHEN home_score > away_score THEN 1.0 WHEN home_score = away_score THEN 0.5 ELSE 0.0 END AS score,
     {step} * (CASE WHEN abs(home_score - away_score) <= 1 THEN 1.0 WHEN abs(home_score - away_score) = 2 THEN 1.5 ELSE (11.0 + abs(home_score - away_score)) / 8.0 END) AS step
   FROM {source} m JOIN attrs ON name = competition JOIN team x ON x.team = home_team JOIN team y ON y.team = away_team JOIN conf hc ON hc.confederation = home_confederation JOIN conf ac ON ac.confederation = away_confederation
 ), r(league, seq, ratings, match_id, h0, a0, h1, a1) AS (
-  SELECT name, CAST(0 AS BIGINT), list_transform(range(0, n), lambda z: CAST(1500.0 AS DOUBLE)), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE) FROM attrs, t
+  SELECT name, CAST(0 AS BIGINT), {start}, CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE) FROM attrs, t
   UNION ALL
   SELECT league, seq, list_transform(ratings, lambda z, i: CASE WHEN i - 1 = hi THEN z + d WHEN i - 1 = ai THEN z - d ELSE z END), match_id, h0, a0, h0 + d, a0 - d FROM (
     SELECT s.league, s.seq, r.ratings, s.match_id, s.hi, s.ai, r.ratings[hi + 1] AS h0, r.ratings[ai + 1] AS a0, s.step * (s.score - 1.0 / (1.0 + pow(10.0, (r.ratings[ai + 1] - r.ratings[hi + 1] - s.adv) / 400.0))) AS d FROM r JOIN steps s ON s.seq = r.seq + 1 AND s.league = r.league)
@@ -174,12 +175,12 @@ _ELO = elo_sql("25.0 * k * (hc.disc + ac.disc) / 2", "hc.adv")
 
 @query("f1_elo_replay", _ELO + " SELECT match_id, round(h0, 6) AS home_elo_pre, round(a0, 6) AS away_elo_pre, round(h1, 6) AS home_elo_post, round(a1, 6) AS away_elo_post FROM r WHERE match_id IS NOT NULL")
 def f1(v: Views) -> DataFrame:
-    return R.elo_replay(elo_matches(v), CONFIG).select("match_id", *r6("home_elo_pre", "away_elo_pre", "home_elo_post", "away_elo_post"))
+    return R.elo_replay(elo_matches(v), CONFIG, v.start()).select("match_id", *r6("home_elo_pre", "away_elo_pre", "home_elo_post", "away_elo_post"))
 
 
 @query("f2_elo_win_prob", _ELO + " SELECT match_id, round(1.0 / (1.0 + pow(10.0, (a0 - h0 - CASE WHEN neutral THEN 0.0 ELSE 100.0 END) / 400.0)), 6) AS elo_win_prob FROM r JOIN matches USING (match_id)")
 def f2(v: Views) -> DataFrame:
-    m = v.matches().select("match_id", "neutral").join(R.elo_replay(elo_matches(v), CONFIG), "match_id")
+    m = v.matches().select("match_id", "neutral").join(R.elo_replay(elo_matches(v), CONFIG, v.start()), "match_id")
     return m.select("match_id", F.round(R.elo_win_prob(F.col("home_elo_pre"), F.col("away_elo_pre"), F.col("neutral")), 6).alias("elo_win_prob"))
 
 
@@ -190,11 +191,11 @@ def f3(v: Views) -> DataFrame:
     t = v.team()
     offsets = t.where("id % 10 = 0").select("team", F.lit(15.0).alias("offset"))
     shootouts = t.where("id % 7 in (1, 2)").select("team", (F.col("id") % 7 == 1).alias("won"))
-    return R.final_ratings(v.matches(), R.elo_replay(elo_matches(v), CONFIG), offsets, shootouts).select("league", "team", *r6("rating"))
+    return R.final_ratings(v.matches(), R.elo_replay(elo_matches(v), CONFIG, v.start()), offsets, shootouts).select("league", "team", *r6("rating"))
 
 
 def _sweep(k: float) -> str:
-    return elo_sql(f"{k} * k", "100.0", "(SELECT * FROM matches WHERE year(date) >= 1993)") + f""", p AS (SELECT row_number() OVER (ORDER BY date, match_id) AS seq, match_id, greatest(1e-6, least(1 - 1e-6, 1.0 / (1.0 + pow(10.0, (a0 - h0 - CASE WHEN neutral THEN 0.0 ELSE 100.0 END) / 400.0)))) AS p, home_score, away_score FROM r JOIN matches USING (match_id)),
+    return elo_sql(f"{k} * k", "100.0", "(SELECT * FROM matches WHERE year(date) >= 1993)", "list_transform(range(0, n), lambda z: CAST(1500.0 AS DOUBLE))") + f""", p AS (SELECT row_number() OVER (ORDER BY date, match_id) AS seq, match_id, greatest(1e-6, least(1 - 1e-6, 1.0 / (1.0 + pow(10.0, (a0 - h0 - CASE WHEN neutral THEN 0.0 ELSE 100.0 END) / 400.0)))) AS p, home_score, away_score FROM r JOIN matches USING (match_id)),
 s AS (SELECT *, CAST(home_score > away_score AS INT) AS w FROM p WHERE seq - 1 >= floor((SELECT count(*) FROM p) * (1 - 0.2)))
 SELECT CAST({k} AS DOUBLE) AS k, count(*) AS n, round(-avg(CASE WHEN w = 1 THEN ln(p) ELSE ln(1 - p) END), 6) AS log_loss, round(avg(CAST(CAST(p > 0.5 AS INT) = w AS INT)), 6) AS binary_accuracy, round(avg(CAST((CASE WHEN p > 0.55 THEN 1 WHEN p < 0.45 THEN -1 ELSE 0 END) = sign(home_score - away_score) AS INT)), 6) AS accuracy_3 FROM s"""
 
@@ -208,7 +209,7 @@ def f4(v: Views) -> DataFrame:
 
 
 def rated(v: Views) -> DataFrame:
-    return v.matches().join(R.elo_replay(elo_matches(v), CONFIG).drop("league"), "match_id")
+    return v.matches().join(R.elo_replay(elo_matches(v), CONFIG, v.start()).drop("league"), "match_id")
 
 
 @query("e8_opponent_adjusted", _ELO + """, x AS (SELECT match_id, date, home_team AS team, a0 AS o, home_score AS gf, away_score AS ga FROM r JOIN matches USING (match_id) UNION ALL SELECT match_id, date, away_team, h0, away_score, home_score FROM r JOIN matches USING (match_id)),
@@ -231,38 +232,129 @@ _TIER = "CASE {0} " + " ".join(f"WHEN '{k}' THEN {t}" for k, t in TIERS.items())
 _RATES = "rates AS (SELECT weight, count(*) AS n, round(avg(CAST(home_score > away_score AS INT)), 6) AS h, round(avg(CAST(home_score = away_score AS INT)), 6) AS d, round(avg(CAST(home_score < away_score AS INT)), 6) AS a FROM matches JOIN attrs ON name = competition GROUP BY ROLLUP (weight))"
 
 
-@query("e14_interaction_features", _ELO + f""", {_RATES} SELECT match_id, weight AS competition_weight, round(h0 - a0, 6) AS elo_diff_home_away, home_fifa_rank - away_fifa_rank AS rank_diff, CAST(home_confederation = away_confederation AS INT) AS is_same_confederation,
-  {_TIER.format('home_confederation')} - {_TIER.format('away_confederation')} AS confederation_strength_diff, round(CAST(neutral AS INT) * (h0 - a0), 6) + 0.0 AS neutral_x_elo_diff, CAST(neutral AS INT) * (home_fifa_rank - away_fifa_rank) AS neutral_x_rank_diff, h AS tier_home_rate, d AS tier_draw_rate, a AS tier_away_rate
-FROM r JOIN matches USING (match_id) JOIN attrs ON name = competition JOIN rates USING (weight)""")
-def e14(v: Views) -> DataFrame:
-    m = B.competition_attrs(rated(v), v.attrs())
-    rates = G.tier_base_rates(B.competition_attrs(v.matches(), v.attrs())).where("competition_weight is not null")
-    out = W.interaction_features(m, rates, TIERS)
-    return out.select("match_id", "competition_weight", *r6("elo_diff_home_away"), "rank_diff", "is_same_confederation", "confederation_strength_diff", (F.round("neutral_x_elo_diff", 6) + 0.0).alias("neutral_x_elo_diff"), "neutral_x_rank_diff", "tier_home_rate", "tier_draw_rate", "tier_away_rate")
+#: Of a list h of a team's matches, latest first, as structs of d (date), points, gf, ga, h (at home) and o (the opponent's rating): each feature.
+def features_sql(h: str) -> dict[str, str]:
+    mean = lambda n, x, d: f"coalesce(list_avg(list_transform({h}[1:{n}], lambda s: CAST({x} AS DOUBLE))), {d})"
+    weights = f"list_transform({h}[1:5], lambda s: pow(0.5, date_diff('day', s.d, {h}[1].d) / 180.0))"
+    weighted = lambda x, d: f"CASE WHEN len({h}) = 0 THEN {d} ELSE list_dot_product({weights}, list_transform({h}[1:5], lambda s: CAST(s.{x} AS DOUBLE))) / list_sum({weights}) END"
+    venue = lambda home: f"coalesce(list_avg(list_transform(list_filter({h}[1:30], lambda s: s.h = {home})[1:5], lambda s: s.points)), 1.5)"
+    run = lambda broken: f"coalesce(nullif(list_position(list_transform({h}[1:10], lambda s: {broken}), true), 0) - 1, least(10, len({h})))"
+    return {
+        "form_last5": mean(5, "s.points", 1.5), "form_w3": mean(3, "s.points", 1.5), "form_w10": mean(10, "s.points", 1.5), "goals_for_last5": mean(5, "s.gf", 1.0), "goals_against_last5": mean(5, "s.ga", 1.0),
+        "attack_w5": mean(5, "s.gf", 1.0), "defense_w5": mean(5, "s.ga", 1.0), "clean_sheet_rate_w5": mean(5, "CAST(s.ga = 0 AS INT)", 0.0), "gd_form_w5": mean(5, "greatest(-4, least(4, s.gf - s.ga))", 0.0),
+        "draw_rate_w5": mean(5, "CAST(s.gf = s.ga AS INT)", 0.25), "adj_form_w5": mean(5, "s.points * (s.o / 1500.0)", 1.5), "adj_attack_w5": mean(5, "s.gf * (s.o / 1500.0)", 1.0), "adj_defense_w5": mean(5, "s.ga * (1500.0 / s.o)", 1.0),
+        "form_rw5": weighted("points", 1.5), "attack_rw5": weighted("gf", 1.0), "defense_rw5": weighted("ga", 1.0), "home_form_w5": venue("true"), "away_form_w5": venue("false"),
+        "win_streak": run("s.points <> 3"), "unbeaten_streak": run("s.points = 0"), "loss_streak": run("s.points <> 0"), "rest_days": f"greatest(0, coalesce(date_diff('day', {h}[1].d, date), 7))",
+    }
+
+
+_ROUNDED = lambda exprs: ", ".join(f"round({x}, 6) AS {c}" for c, x in exprs.items())
+_LNG2 = VIEW_SQL["lng"] + ", lng2 AS (SELECT l.*, CASE WHEN side = 'home' THEN a0 ELSE h0 END AS o, CASE WHEN side = 'home' THEN h1 ELSE a1 END AS post FROM lng l JOIN r USING (match_id))"
+_STRUCT = "{'d': date, 'points': points, 'gf': gf, 'ga': ga, 'h': is_home, 'o': o, 'post': post}"
+_MEET = "meet AS (SELECT match_id, date, least(home_team, away_team) AS a, greatest(home_team, away_team) AS b, CASE WHEN home_team < away_team THEN home_score - away_score ELSE away_score - home_score END AS gd FROM matches)"
+
+
+def meeting_sql(g: str, first: str) -> dict[str, str]:
+    """Of a list of goal differences of a pair's first team: the record as the home side (the first, if first) and the other see it."""
+    share = lambda x: f"list_avg(list_transform({g}, lambda z: CAST({x} AS INT)))"
+    win = lambda c: f"coalesce(CASE WHEN {c} THEN {share('z > 0')} ELSE {share('z < 0')} END, 0.45)"
+    diff = f"coalesce(CASE WHEN {first} THEN list_avg({g}) ELSE -list_avg({g}) END, 0.0)"
+    return {"home_h2h_win_rate": win(first), "away_h2h_win_rate": win(f"NOT ({first})"), "h2h_draw_rate": f"coalesce({share('z = 0')}, 0.25)", "home_h2h_goal_diff": diff, "away_h2h_goal_diff": f"-({diff})", "h2h_n_matches": f"len({g})"}
+
+
+# --- E17: the state before fixtures to come
+
+_E17_F = "f AS (SELECT o_orderkey AS fixture_id, CAST(o_orderdate AS DATE) + 5 AS date, o_orderkey % n AS hi, (o_orderkey % n + 1 + o_custkey % (n - 1)) % n AS ai FROM orders, t), fx AS (SELECT fixture_id, date, 'T' || hi AS home_team, 'T' || ai AS away_team FROM f)"
+_E17_SIDE = {**features_sql("h"), "rest_days_log": f"ln(1 + {features_sql('h')['rest_days']})", "long_break": f"CAST({features_sql('h')['rest_days']} > 21 AS INT)", "n_matches": "len(h)", "elo_pre": "coalesce(h[1].post, 1500.0)"}
+_E17_SQL = _ELO + f""", {_LNG2}, {_MEET}, {_E17_F},
+sd AS (SELECT fixture_id, date, 'home' AS side, home_team AS team FROM fx UNION ALL SELECT fixture_id, date, 'away', away_team FROM fx),
+hh AS (SELECT sd.fixture_id, sd.side, sd.date, coalesce(list({{'d': l.date, 'points': points, 'gf': gf, 'ga': ga, 'h': is_home, 'o': o, 'post': post}} ORDER BY l.date DESC, l.match_id DESC) FILTER (l.match_id IS NOT NULL), []) AS h FROM sd LEFT JOIN lng2 l ON l.team = sd.team AND l.date < sd.date GROUP BY 1, 2, 3),
+s AS (SELECT fixture_id, side, {", ".join(f"{x} AS {c}" for c, x in _E17_SIDE.items())} FROM hh),
+g AS (SELECT fixture_id, home_team, away_team, coalesce(list(gd ORDER BY m.date DESC, m.match_id DESC) FILTER (m.match_id IS NOT NULL), [])[1:10] AS g FROM fx LEFT JOIN meet m ON m.a = least(home_team, away_team) AND m.b = greatest(home_team, away_team) AND m.date < fx.date GROUP BY 1, 2, 3)
+SELECT fx.fixture_id, fx.date, fx.home_team, fx.away_team, {", ".join(f"round({k}.{c}, 6) + 0.0 AS {n}_{c}" for n, k in (("home", "x"), ("away", "y")) for c in _E17_SIDE)}, {", ".join(f"round({x}, 6) + 0.0 AS {c}" for c, x in meeting_sql("g", "g.home_team < g.away_team").items())}
+FROM fx JOIN s x ON x.fixture_id = fx.fixture_id AND x.side = 'home' JOIN s y ON y.fixture_id = fx.fixture_id AND y.side = 'away' JOIN g ON g.fixture_id = fx.fixture_id"""
+
+
+def rounded(df: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """df with every number but those of keep as a double of 6 decimals, without a negative zero."""
+    numbers = {"int", "bigint", "double", "float"}
+    return df.select(*(F.col(c) if c in keep or kind not in numbers and not kind.startswith("decimal") else (F.round(F.col(c).cast("double"), 6) + 0.0).alias(c) for c, kind in df.dtypes))
+
+
+@query("e17_snapshot_as_of", _E17_SQL, dates=("date",))
+def e17(v: Views) -> DataFrame:
+    n, key = F.col("n"), F.col("o_orderkey")
+    home = key % n
+    team = lambda i: F.concat(F.lit("T"), i)
+    fixtures = v.with_n(v.table("orders")).select(key.alias("fixture_id"), F.date_add(F.to_date("o_orderdate"), 5).alias("date"), team(home).alias("home_team"), team((home + 1 + F.col("o_custkey") % (n - 1)) % n).alias("away_team"))
+    return rounded(W.snapshot_as_of(written(rated(v), "rated"), fixtures), ("fixture_id",))
+
+
+# --- E14, E18: the feature table
+
+_SIDE = {**features_sql("h"), "rest_days_log": f"ln(1 + {features_sql('h')['rest_days']})", "long_break": f"CAST({features_sql('h')['rest_days']} > 21 AS INT)"}
+_OWN = {  # per side besides: (home's, away's)
+    "team": ("m.home_team", "m.away_team"), "score": ("m.home_score", "m.away_score"), "confederation": ("m.home_confederation", "m.away_confederation"), "fifa_rank": ("m.home_fifa_rank", "m.away_fifa_rank"), "elo_pre": ("h0", "a0"),
+    "elo_effective": ("1500.0 + (h0 - 1500.0) * exp(-x.rest_days / 365.0)", "1500.0 + (a0 - 1500.0) * exp(-y.rest_days / 365.0)"),
+    "penalty_win_rate": ("coalesce(hp.won / nullif(hp.played, 0), 0.5)", "coalesce(ap.won / nullif(ap.played, 0), 0.5)"),
+    "squad_avg_rating": ("coalesce(hs.squad_avg_rating, 70.0)", "coalesce(asq.squad_avg_rating, 70.0)"), "top_player_rating": ("coalesce(hs.top_player_rating, 75.0)", "coalesce(asq.top_player_rating, 75.0)"),
+    "h2h_win_rate": ("w.home_h2h_win_rate", "w.away_h2h_win_rate"), "h2h_goal_diff": ("w.home_h2h_goal_diff", "w.away_h2h_goal_diff"),
+}
+_PER_SIDE = [*_OWN, *_SIDE]
+_DIFF = {
+    "elo_diff_home_away": "home_elo_pre - away_elo_pre", "elo_diff_effective": "home_elo_effective - away_elo_effective", "rank_diff": "home_fifa_rank - away_fifa_rank", "form_diff_home_away": "home_form_last5 - away_form_last5",
+    "form_diff_w3": "home_form_w3 - away_form_w3", "form_diff_w10": "home_form_w10 - away_form_w10", "gd_form_diff": "home_gd_form_w5 - away_gd_form_w5", "attack_diff_w5": "home_attack_w5 - away_attack_w5", "defense_diff_w5": "away_defense_w5 - home_defense_w5",
+    "adj_form_diff_w5": "home_adj_form_w5 - away_adj_form_w5", "draw_rate_diff": "home_draw_rate_w5 - away_draw_rate_w5", "penalty_win_rate_diff": "home_penalty_win_rate - away_penalty_win_rate", "squad_rating_diff": "home_squad_avg_rating - away_squad_avg_rating",
+    "goal_balance_diff": "(home_goals_for_last5 - home_goals_against_last5) - (away_goals_for_last5 - away_goals_against_last5)", "home_venue_form_diff": "home_home_form_w5 - home_away_form_w5", "away_venue_form_diff": "away_home_form_w5 - away_away_form_w5",
+    "elo_win_prob": "1.0 / (1.0 + pow(10.0, (away_elo_pre - home_elo_pre - CASE WHEN neutral THEN 0.0 ELSE 100.0 END) / 400.0))", "is_same_confederation": "CAST(home_confederation = away_confederation AS INT)",
+    "confederation_strength_diff": f"{_TIER.format('home_confederation')} - {_TIER.format('away_confederation')}", "neutral_x_elo_diff": "CAST(neutral AS INT) * (home_elo_pre - away_elo_pre)", "neutral_x_rank_diff": "CAST(neutral AS INT) * (home_fifa_rank - away_fifa_rank)",
+    "tier_home_rate": "rates.h", "tier_draw_rate": "rates.d", "tier_away_rate": "rates.a", "match_weight": "round(pow(2.0, -date_diff('day', u.date, (SELECT max(date) FROM matches)) / 730.0), 6)",
+}
+_WHOLE = ["match_id", "date", "competition", "neutral", "stage", "stage_importance", "stage_weight", "competition_weight", "h2h_draw_rate", "h2h_n_matches", "venue_altitude_m", "venue_is_dome", "venue_capacity"]
+_FLIP = "CASE target WHEN 'H' THEN 'A' WHEN 'A' THEN 'H' ELSE 'D' END"
+_TABLE_SQL = _ELO + f""", {_LNG2}, {_MEET}, {_RATES}, {VARIANT_SQL}, {_VENUES}, {VIEW_SQL["penalties"]}, {VIEW_SQL["squads"]},
+hh AS (SELECT match_id, side, date, list_reverse(coalesce(list({_STRUCT}) OVER (PARTITION BY team ORDER BY date, match_id ROWS BETWEEN 30 PRECEDING AND 1 PRECEDING), [])) AS h FROM lng2),
+s AS (SELECT match_id, side, {", ".join(f"{x} AS {c}" for c, x in _SIDE.items())} FROM hh),
+g AS (SELECT match_id, coalesce(list(gd) OVER (PARTITION BY a, b ORDER BY date, match_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING), []) AS g FROM meet),
+w AS (SELECT match_id, {", ".join(f"{x} AS {c}" for c, x in meeting_sql("g", "home_team < away_team").items())} FROM g JOIN matches USING (match_id)),
+b AS (SELECT m.match_id, m.date, m.competition, m.neutral, v.stage, v.stage_importance, v.stage_weight, attrs.weight AS competition_weight, w.h2h_draw_rate, w.h2h_n_matches, coalesce(ve.altitude_m, 0) AS venue_altitude_m, coalesce(ve.dome, 0) AS venue_is_dome, coalesce(ve.capacity, 0) AS venue_capacity,
+  CASE WHEN m.home_score > m.away_score THEN 'H' WHEN m.home_score < m.away_score THEN 'A' ELSE 'D' END AS target, {", ".join(f"{x[i]} AS {n}_{c}" for c, x in _OWN.items() for i, n in enumerate(("home", "away")))}, {", ".join(f"{k}.{c} AS {n}_{c}" for n, k in (("home", "x"), ("away", "y")) for c in _SIDE)}
+  FROM matches m JOIN r USING (match_id) JOIN s x ON x.match_id = m.match_id AND x.side = 'home' JOIN s y ON y.match_id = m.match_id AND y.side = 'away' JOIN w ON w.match_id = m.match_id JOIN variants v ON v.tournament_stage = m.tournament_stage JOIN attrs ON attrs.name = m.competition
+  LEFT JOIN penalties hp ON hp.team = m.home_team LEFT JOIN penalties ap ON ap.team = m.away_team LEFT JOIN squads hs ON hs.team = m.home_team LEFT JOIN squads asq ON asq.team = m.away_team
+  LEFT JOIN (SELECT DISTINCT date, home_team, away_team, home_confederation AS city FROM matches WHERE match_id % 2 = 0) ci ON ci.date = m.date AND ci.home_team = m.home_team AND ci.away_team = m.away_team LEFT JOIN venues ve ON ve.city = ci.city),
+u AS (SELECT false AS swapped, target, {", ".join(_WHOLE)}, {", ".join(f"{n}_{c}" for n in ("home", "away") for c in _PER_SIDE)} FROM b
+  UNION ALL SELECT true, {_FLIP}, {", ".join("stage_weight * 0.5" if c == "stage_weight" else c for c in _WHOLE)}, {", ".join(f"{n}_{c}" for n in ("away", "home") for c in _PER_SIDE)} FROM b WHERE neutral)"""
+_TEXTS = {"date", "competition", "neutral", "stage", "match_id", "home_team", "away_team", "home_confederation", "away_confederation"}
+_COLUMNS = {**{c: f"u.{c}" for c in _WHOLE}, **{f"{n}_{c}": f"u.{n}_{c}" for n in ("home", "away") for c in _PER_SIDE}, **_DIFF}
+
+
+def table_sql(columns: list[str]) -> str:
+    chosen = ", ".join(f"{_COLUMNS[c]} AS {c}" if c in _TEXTS else f"round({_COLUMNS[c]}, 6) + 0.0 AS {c}" for c in columns)
+    return _TABLE_SQL + f" SELECT swapped, target, {chosen} FROM u JOIN rates ON rates.weight = u.competition_weight"
 
 
-FEATURES = ["form_w3", "form_w5", "form_w10", "goals_for_last5", "goals_against_last5", "attack_w5", "defense_w5", "clean_sheet_rate_w5", "gd_form_w5", "draw_rate_w5", "adj_form_w5", "adj_attack_w5", "adj_defense_w5", "form_rw5", "attack_rw5", "defense_rw5", "home_form_w5", "away_form_w5", "win_streak", "unbeaten_streak", "loss_streak", "rest_days_log", "long_break"]
+def feature_table(v: Views) -> DataFrame:
+    """The flagship over the views."""
+    m = written(B.competition_attrs(rated(v), v.attrs()), "rated")
+    staged, names = with_variants(v, m)
+    rates = G.tier_base_rates(m).where("competition_weight is not null")
+    k = F.col("r_regionkey")
+    venues = v.table("region").where("r_regionkey <> 3").select(F.col("r_name").alias("city"), (k * 700).alias("altitude_m"), (k % 2 == 1).alias("is_dome"), (k + 30000).alias("capacity"))
+    cities = m.where("match_id % 2 = 0").select("date", "home_team", "away_team", F.col("home_confederation").alias("city")).distinct()
+    return W.feature_table(staged, rates, stages=names, penalties=v.penalties(), squads=v.squads(), venues=venues, cities=cities, tiers=TIERS, inactivity_halflife=365.0)
 
 
-def feature_table(v: Views) -> DataFrame:
-    """The flagship: ratings, all per-team windows by one exchange, head to head and match-level features, a row for each match and orientation."""
-    m = W.time_decay_weight(B.stage_attrs(B.competition_attrs(rated(v), v.attrs())), 730.0).withColumn("target", B.result_label(F.col("home_score"), F.col("away_score")))
-    long = W.team_features(W.long_table(m, {"opp_elo_pre": ("away_elo_pre", "home_elo_pre")}), adjusted=True)
-    out = W.fold_back(m, long, FEATURES).join(W.head_to_head(m), "match_id")
-    rates = G.tier_base_rates(B.competition_attrs(v.matches(), v.attrs())).where("competition_weight is not null")
-    out = W.interaction_features(out, rates, TIERS)
-    return W.augment_neutral(out.withColumn("form_diff_home_away", F.col("home_form_w5") - F.col("away_form_w5")))
+_E14 = [*_DIFF, "match_id", "competition_weight"]
 
 
-_COLS = ["form_w5", "attack_w5", "draw_rate_w5"]
+@query("e14_interaction_features", table_sql(_E14))
+def e14(v: Views) -> DataFrame:
+    return rounded(feature_table(v).select("swapped", "target", *_E14), ("match_id",))
 
 
-@query("e18_feature_table", _ELO + ", " + VIEW_SQL["lng"] + f""", q AS (SELECT match_id, side, coalesce(avg(points) OVER w5, 1.5) AS form_w5, coalesce(avg(gf) OVER w5, 1.0) AS attack_w5, coalesce(avg(CAST(gf = ga AS INT)) OVER w5, 0.25) AS draw_rate_w5 FROM lng WINDOW {_W[5]}),
-b AS (SELECT m.*, r.h0, r.a0, x.form_w5 AS hf, y.form_w5 AS af, x.attack_w5 AS hk, y.attack_w5 AS ak, x.draw_rate_w5 AS hd, y.draw_rate_w5 AS ad, round(pow(2.0, -date_diff('day', m.date, (SELECT max(date) FROM matches)) / 730.0), 6) AS w FROM matches m JOIN r USING (match_id) JOIN q x ON x.match_id = m.match_id AND x.side = 'home' JOIN q y ON y.match_id = m.match_id AND y.side = 'away')
-SELECT match_id, false AS swapped, home_team, CASE WHEN home_score > away_score THEN 'H' WHEN home_score < away_score THEN 'A' ELSE 'D' END AS target, round(h0, 6) AS home_elo_pre, round(a0, 6) AS away_elo_pre, round(hf, 6) AS home_form_w5, round(af, 6) AS away_form_w5, round(hk, 6) AS home_attack_w5, round(ak, 6) AS away_attack_w5, round(hd, 6) AS home_draw_rate_w5, round(ad, 6) AS away_draw_rate_w5, w AS match_weight FROM b
-UNION ALL SELECT match_id, true, away_team, CASE WHEN home_score > away_score THEN 'A' WHEN home_score < away_score THEN 'H' ELSE 'D' END, round(a0, 6), round(h0, 6), round(af, 6), round(hf, 6), round(ak, 6), round(hk, 6), round(ad, 6), round(hd, 6), w FROM b WHERE neutral""")
+@query("e18_feature_table", table_sql([*_COLUMNS]), dates=("date",))
 def e18(v: Views) -> DataFrame:
-    return feature_table(v).select("match_id", "swapped", "home_team", "target", *r6("home_elo_pre", "away_elo_pre", *(f"{s}_{c}" for c in _COLS for s in ("home", "away"))), "match_weight")
+    return rounded(feature_table(v).select("swapped", "target", *_COLUMNS), ("match_id",))
 
 
 # --- G: aggregates -------------------------------------------------------------------------------
@@ -327,16 +419,17 @@ def g6(v: Views) -> DataFrame:
     return G.squad_features(fixtures, v.rosters(), v.ratings(), v.injuries(), v.players(), lineups)
 
 
-@query("g7_squad_rating_table", with_views("players") + """, p AS (SELECT *, 50 + (player_id * 37) % 45 AS rating FROM players), te AS (SELECT 'N' || n_nationkey AS team, n_nationkey AS k FROM nation),
+@query("g7_squad_rating_table", with_views("players") + """, p AS (SELECT *, 50 + (player_id * 37) % 45 AS rating FROM players), te AS (SELECT 'N' || n_nationkey AS team, n_nationkey AS k FROM nation UNION ALL SELECT 'R' || r_regionkey, r_regionkey FROM region),
 pool AS (SELECT team, position, CASE WHEN player_id % 4 <> 0 THEN rating END AS rating FROM p JOIN te ON team = nation WHERE k % 3 = 0
-  UNION ALL SELECT team, position, rating FROM (SELECT team, position, rating, row_number() OVER (PARTITION BY team ORDER BY rating DESC, player_id) AS rn FROM p JOIN te ON team = nation WHERE k % 3 = 1) WHERE rn <= 26)
+  UNION ALL SELECT team, position, rating FROM (SELECT team, position, rating, row_number() OVER (PARTITION BY team ORDER BY rating DESC, player_id) AS rn FROM p JOIN te ON team = nation WHERE k % 3 <> 0) WHERE rn <= 26)
 SELECT te.team, round(coalesce(avg(rating), 68.0), 1) AS squad_avg_rating, round(coalesce(max(rating), 76.0), 1) AS top_player_rating, round(coalesce(avg(rating) FILTER (position = 'FWD'), avg(rating), 69.0), 1) AS attack_rating, round(coalesce(avg(rating) FILTER (position = 'DEF'), avg(rating), 67.0), 1) AS defense_rating, round(coalesce(avg(rating) FILTER (position = 'GK'), avg(rating), 68.0), 1) AS gk_rating FROM te LEFT JOIN pool ON pool.team = te.team GROUP BY te.team""")
 def g7(v: Views) -> DataFrame:
     p = v.players().select(F.col("nation").alias("team"), "player_id", "position", (50 + F.col("player_id") * 37 % 45).alias("rating"))
     n = F.substring("team", 2, 9).cast("int")
     matched = p.where(n % 3 == 0).withColumn("rating", F.when(F.col("player_id") % 4 != 0, F.col("rating")))
-    teams = v.table("nation").select(F.concat(F.lit("N"), "n_nationkey").alias("team"))
-    return G.squad_rating_table(teams, matched, p.where(n % 3 == 1))
+    # regions have no players at all
+    teams = v.table("nation").select(F.concat(F.lit("N"), "n_nationkey").alias("team")).union(v.table("region").select(F.concat(F.lit("R"), "r_regionkey").alias("team")))
+    return G.squad_rating_table(teams, matched, p.where(n % 3 != 0))
 
 
 @query("g8_outcome_shares", _LAB + " SELECT target, count(*) AS n, round(count(*) / (SELECT count(*) FROM lab), 6) AS share FROM lab GROUP BY target")

@@ -47,17 +47,17 @@ def b1(v: Views) -> DataFrame:
     return B.validate_schema(v.matches(), "matches").select(*KEYS.split(", "))
 
 
-@query("b2_fill_defaults", with_views("matches") + " SELECT match_id, CASE WHEN match_id % 3 = 0 THEN 'Friendly' ELSE competition END AS competition, neutral, home_fifa_rank, 'unknown' AS source FROM matches")
+@query("b2_fill_defaults", with_views("matches") + " SELECT match_id, CASE WHEN match_id % 3 = 0 THEN competition ELSE 'Unknown' END AS competition, neutral, CASE WHEN match_id % 4 = 0 THEN 75 ELSE home_fifa_rank END AS home_fifa_rank, 'unknown' AS source FROM matches")
 def b2(v: Views) -> DataFrame:
-    holes = v.matches().withColumn("competition", F.when(F.col("match_id") % 3 != 0, F.col("competition")))
+    holes = v.matches().withColumns({"competition": F.when(F.col("match_id") % 3 == 0, F.col("competition")), "home_fifa_rank": F.when(F.col("match_id") % 4 != 0, F.col("home_fifa_rank"))})
     return B.fill_defaults(holes).select("match_id", "competition", "neutral", "home_fifa_rank", "source")
 
 
-@query("b3_coerce_types", with_views("matches") + " SELECT match_id, CASE WHEN match_id % 5 <> 0 THEN date END AS date, CASE WHEN match_id % 7 <> 0 THEN home_score END AS home_score, away_score, match_id % 4 < 3 AS neutral FROM matches", dates=("date",))
+@query("b3_coerce_types", with_views("matches") + " SELECT match_id, CASE WHEN match_id % 5 <> 0 THEN date END AS date, CASE WHEN match_id % 7 <> 0 THEN home_score END AS home_score, away_score, CASE WHEN match_id % 11 <> 0 THEN home_fifa_rank END AS home_fifa_rank, match_id % 4 < 3 AND match_id % 9 <> 0 AS neutral FROM matches", dates=("date",))
 def b3(v: Views) -> DataFrame:
     k = F.col("match_id")
     words = F.element_at(F.array(F.lit("TRUE"), F.lit("1"), F.lit(" yes"), F.lit("no")), (k % 4 + 1).cast("int"))
-    text = v.matches().select("match_id", F.when(k % 5 == 0, "n/a").otherwise(F.col("date").cast("string")).alias("date"), F.when(k % 7 == 0, "x").otherwise(F.concat("home_score", F.lit(".0"))).alias("home_score"), F.col("away_score").cast("string").alias("away_score"), words.alias("neutral"))
+    text = v.matches().select("match_id", F.when(k % 5 == 0, "n/a").otherwise(F.col("date").cast("string")).alias("date"), F.when(k % 7 == 0, "x").otherwise(F.concat("home_score", F.lit(".0"))).alias("home_score"), F.col("away_score").cast("string").alias("away_score"), F.when(k % 11 == 0, "?").otherwise(F.col("home_fifa_rank").cast("string")).alias("home_fifa_rank"), F.when(k % 9 != 0, words).alias("neutral"))
     return B.coerce_types(text)
 
 
@@ -117,12 +117,27 @@ def b10(v: Views) -> DataFrame:
     return B.competition_attrs(m, v.attrs().where("name <> '3-MEDIUM'")).select("match_id", "competition_weight", "k_multiplier")
 
 
-_STAGES = "stages(stage, stage_importance, stage_weight) AS (VALUES " + ", ".join(f"('{s}', {i}, CAST({w} AS DOUBLE))" for s, (i, w) in B.STAGES.items()) + ")"
+#: Raw names as feeds have them, by the view's stage: (raw, stage, importance, weight).
+VARIANTS = {
+    "Unknown": ("Unknown", "unknown", 0, 0.5), "Group Stage": ("Matchday 2", "group_stage", 1, 1.0), "Round of 16": (" Last 16", "round_of_16", 4, 1.5), "Quarterfinal": ("Quarter-finals", "quarterfinal", 5, 1.75),
+    "semifinal": ("SEMI-FINAL", "semifinal", 6, 2.0), "Final": ("Final", "final", 8, 2.5), "third-place": ("third-place", "third_place", 7, 1.5), "qualification": ("Play-off", "playoff", 4, 1.5),
+}
+STAGE_TABLE = [("matchday 2", "group_stage"), ("last 16", "round_of_16"), ("quarter-finals", "quarterfinal"), ("semi-final", "semifinal"), ("play-off", "playoff")]
+VARIANT_SQL = "variants(tournament_stage, stage, stage_importance, stage_weight) AS (VALUES " + ", ".join(f"('{k}', '{s}', {i}, CAST({w} AS DOUBLE))" for k, (_, s, i, w) in VARIANTS.items()) + ")"
 
 
-@query("b11_normalize_stage", with_views("matches") + f", {_STAGES} SELECT match_id, stage, coalesce(stage_importance, 1) AS stage_importance, coalesce(stage_weight, 1.0) AS stage_weight FROM (SELECT match_id, regexp_replace(lower(trim(tournament_stage)), '[ -]', '_', 'g') AS stage FROM matches) LEFT JOIN stages USING (stage)")
+def with_variants(v: Views, matches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """matches with stages as feeds name them, and the table of such names."""
+    raw = F.create_map(*(F.lit(x) for k, (r, *_) in VARIANTS.items() for x in (k, r)))
+    return matches.withColumn("tournament_stage", raw[F.col("tournament_stage")]), v.spark.createDataFrame(STAGE_TABLE, "raw string, stage string")
+
+
+@query("b11_normalize_stage", with_views("matches") + f", {VARIANT_SQL} SELECT match_id, CASE WHEN match_id % 10 = 7 THEN 'odd_name' WHEN match_id % 10 = 8 THEN 'unknown' ELSE stage END AS stage, CASE WHEN match_id % 10 = 7 THEN 1 WHEN match_id % 10 = 8 THEN 0 ELSE stage_importance END AS stage_importance, CASE WHEN match_id % 10 = 7 THEN 1.0 WHEN match_id % 10 = 8 THEN 0.5 ELSE stage_weight END AS stage_weight FROM matches JOIN variants USING (tournament_stage)")
 def b11(v: Views) -> DataFrame:
-    return B.stage_attrs(v.matches()).select("match_id", "stage", "stage_importance", "stage_weight")
+    m, names = with_variants(v, v.matches())
+    k = F.col("match_id") % 10
+    odd = F.when(k == 7, "Odd Name").when(k == 8, F.lit(None)).otherwise(F.col("tournament_stage"))
+    return B.stage_attrs(m.withColumn("tournament_stage", odd), names).select("match_id", "stage", "stage_importance", "stage_weight")
 
 
 @query("b12_dedup_matches", """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(l_extendedprice, 2) AS l_extendedprice FROM (
@@ -148,10 +163,9 @@ def b14(v: Views) -> DataFrame:
     return B.prepare_results(raw, B.aliases_of(registry(v)), v.attrs(), 1995, "feed").select("match_id", "date", "home_team", "away_team", "home_score", "competition_weight", "source")
 
 
-@query("b15_normalize_player_name", "SELECT doc_id, lower(trim(regexp_replace(strip_accents(regexp_extract(coalesce(text, ''), '^[^.\\n]*', 0)), '\\s+', ' ', 'g'))) AS name FROM documents WHERE lang = 'fr'")
+@query("b15_normalize_player_name", "SELECT doc_id, md5(lower(trim(regexp_replace(strip_accents(text), '\\s+', ' ', 'g')))) AS name_md5 FROM documents")
 def b15(v: Views) -> DataFrame:
-    first = F.regexp_extract(F.coalesce("text", F.lit("")), r"^[^.\n]*", 0)
-    return v.table("documents").where("lang = 'fr'").select("doc_id", B.normalize_player_name(first).alias("name"))
+    return v.table("documents").select("doc_id", F.md5(B.normalize_player_name(F.col("text")).cast("binary")).alias("name_md5"))
 
 
 @query("b16_scale_rank", with_views("team") + " SELECT team, CASE WHEN id % 5 = 0 THEN 1450.0 ELSE round(greatest(1500.0, 1900.0 - (greatest(1, rank) - 1) * 400.0 / 210.0), 6) END AS start_elo FROM team")
@@ -180,11 +194,35 @@ def b19(v: Views) -> DataFrame:
     return B.resolve_players(c.select("c_custkey", F.upper("c_name").alias("name"), nation.alias("nationality")), aliases).select("c_custkey", "player_id")
 
 
+@query("b19_list_players", "SELECT CAST(c_custkey AS BIGINT) AS player_id FROM customer WHERE c_nationkey = 7")
+def b19l(v: Views) -> DataFrame:
+    players = v.table("customer").select(F.col("c_custkey").cast("long").alias("player_id"), F.concat(F.lit("N"), "c_nationkey").alias("nationality"))
+    return B.list_players(players, "n7")
+
+
 @query("b20_profile_matches", with_views("matches") + ", s AS (SELECT count(DISTINCT x) AS n_teams FROM (SELECT home_team AS x FROM matches UNION ALL SELECT away_team FROM matches)) SELECT count(*) AS n, min(date) AS first_date, max(date) AS last_date, round(avg(CAST(home_score > away_score AS INT)), 6) AS share_h, round(avg(CAST(home_score = away_score AS INT)), 6) AS share_d, round(avg(CAST(home_score < away_score AS INT)), 6) AS share_a, count(*) FILTER (home_confederation = 'UNKNOWN') AS n_unknown, count(*) FILTER (tournament_stage IS NULL) AS n_no_stage, (SELECT n_teams FROM s) AS n_teams FROM matches", dates=("first_date", "last_date"))
 def b20(v: Views) -> DataFrame:
     return B.profile_matches(v.matches())
 
 
+_HOLES = with_views("matches") + ", h AS (SELECT * REPLACE (CASE WHEN match_id % 7 = 0 THEN 'UNKNOWN' ELSE home_confederation END AS home_confederation, CASE WHEN match_id % 500 = 3 THEN NULL ELSE away_confederation END AS away_confederation) FROM matches)"
+
+
+def holes(v: Views) -> DataFrame:
+    k = F.col("match_id")
+    return v.matches().withColumns({"home_confederation": F.when(k % 7 == 0, "UNKNOWN").otherwise(F.col("home_confederation")), "away_confederation": F.when(k % 500 != 3, F.col("away_confederation"))})
+
+
+@query("b20_confederation_counts", _HOLES + " SELECT home_confederation AS confederation, count(*) AS n FROM h GROUP BY 1")
+def b20c(v: Views) -> DataFrame:
+    return B.confederation_counts(holes(v))
+
+
+@query("b20_unknown_teams", _HOLES + " SELECT home_team AS team FROM h WHERE home_confederation = 'UNKNOWN' UNION SELECT away_team FROM h WHERE away_confederation IS NULL")
+def b20u(v: Views) -> DataFrame:
+    return B.unknown_teams(holes(v))
+
+
 # --- C: sets -------------------------------------------------------------------------------------
 
 
@@ -216,6 +254,12 @@ def c5(v: Views) -> DataFrame:
     return C.find_duplicate_ids(v.table("lineitem"), "l_orderkey", "l_suppkey")
 
 
+@query("c5_dedup_in_position", "SELECT l_returnflag AS team, l_linestatus AS position, l_suppkey AS name, l_partkey AS player_id, min(l_orderkey * 10 + l_linenumber) AS ordinal FROM lineitem GROUP BY 1, 2, 3, 4")
+def c5d(v: Views) -> DataFrame:
+    players = v.table("lineitem").select(F.col("l_returnflag").alias("team"), F.col("l_linestatus").alias("position"), F.col("l_suppkey").alias("name"), F.col("l_partkey").alias("player_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("ordinal"))
+    return C.dedup_in_position(players)
+
+
 # --- E: windows ----------------------------------------------------------------------------------
 
 _W = {n: f"w{n} AS (PARTITION BY team ORDER BY date, match_id ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING)" for n in (3, 5, 10, 30)}
@@ -272,10 +316,10 @@ per_team("e11_rest_days", W.rest_days, {"rest_days": _rest, "rest_days_log": f"l
 
 
 @query("e12_head_to_head", with_views("matches") + """, p AS (SELECT match_id, date, least(home_team, away_team) AS a, greatest(home_team, away_team) AS b, home_team < away_team AS f, CASE WHEN home_team < away_team THEN home_score - away_score ELSE away_score - home_score END AS gd FROM matches)
-SELECT match_id, round(coalesce(CASE WHEN f THEN avg(CAST(gd > 0 AS INT)) OVER w ELSE avg(CAST(gd < 0 AS INT)) OVER w END, 0.45), 6) AS h2h_home_win_rate, round(coalesce(avg(CAST(gd = 0 AS INT)) OVER w, 0.25), 6) AS h2h_draw_rate,
-  round(coalesce(CASE WHEN f THEN avg(gd) OVER w ELSE -avg(gd) OVER w END, 0.0), 6) AS h2h_goal_diff, count(*) OVER w AS h2h_n_matches FROM p WINDOW w AS (PARTITION BY a, b ORDER BY date, match_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)""")
+SELECT match_id, round(coalesce(CASE WHEN f THEN avg(CAST(gd > 0 AS INT)) OVER w ELSE avg(CAST(gd < 0 AS INT)) OVER w END, 0.45), 6) AS home_h2h_win_rate, round(coalesce(CASE WHEN f THEN avg(CAST(gd < 0 AS INT)) OVER w ELSE avg(CAST(gd > 0 AS INT)) OVER w END, 0.45), 6) AS away_h2h_win_rate, round(coalesce(avg(CAST(gd = 0 AS INT)) OVER w, 0.25), 6) AS h2h_draw_rate,
+  round(coalesce(CASE WHEN f THEN avg(gd) OVER w ELSE -avg(gd) OVER w END, 0.0), 6) AS home_h2h_goal_diff, round(coalesce(CASE WHEN f THEN -avg(gd) OVER w ELSE avg(gd) OVER w END, 0.0), 6) AS away_h2h_goal_diff, count(*) OVER w AS h2h_n_matches FROM p WINDOW w AS (PARTITION BY a, b ORDER BY date, match_id ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)""")
 def e12(v: Views) -> DataFrame:
-    return W.head_to_head(v.matches()).select("match_id", *r6("h2h_home_win_rate", "h2h_draw_rate", "h2h_goal_diff"), "h2h_n_matches")
+    return W.head_to_head(v.matches()).select("match_id", *r6("home_h2h_win_rate", "away_h2h_win_rate", "h2h_draw_rate", "home_h2h_goal_diff", "away_h2h_goal_diff"), "h2h_n_matches")
 
 
 @query("e15_time_decay_weight", with_views("matches") + " SELECT match_id, round(pow(2.0, -date_diff('day', date, (SELECT max(date) FROM matches)) / 730.0), 6) AS match_weight FROM matches")
@@ -290,14 +334,6 @@ def e16(v: Views) -> DataFrame:
     return W.augment_neutral(m).select("match_id", "home_team", "away_team", "home_score", "away_score", "target", "stage_weight", "swapped")
 
 
-@query("e17_snapshot_as_of", with_views("lng") + """, f AS (SELECT o_orderkey AS fixture_id, 'T' || (o_orderkey % n) AS team, CAST(o_orderdate AS DATE) + 5 AS date FROM orders, t WHERE o_orderkey % 10 = 3),
-s AS (SELECT f.fixture_id, f.team, f.date, lng.points, lng.gf, lng.ga, row_number() OVER (PARTITION BY fixture_id ORDER BY lng.date DESC, lng.match_id DESC) AS rn FROM f LEFT JOIN lng ON lng.team = f.team AND lng.date < f.date)
-SELECT fixture_id, team, date, round(coalesce(avg(points) FILTER (rn <= 5), 1.5), 6) AS form_w5, round(coalesce(avg(gf) FILTER (rn <= 5), 1.0), 6) AS attack_w5, round(coalesce(avg(ga) FILTER (rn <= 5), 1.0), 6) AS defense_w5, count(points) AS n_matches FROM s GROUP BY 1, 2, 3""", dates=("date",))
-def e17(v: Views) -> DataFrame:
-    fixtures = v.with_n(v.table("orders")).where("o_orderkey % 10 = 3").select(F.col("o_orderkey").alias("fixture_id"), F.concat(F.lit("T"), F.col("o_orderkey") % F.col("n")).alias("team"), F.date_add(F.to_date("o_orderdate"), 5).alias("date"))
-    return W.snapshot_as_of(v.matches(), fixtures).select("fixture_id", "team", "date", *r6("form_w5", "attack_w5", "defense_w5"), "n_matches")
-
-
 @query("e19_feature_blocks", with_views("lng") + """, h AS (SELECT match_id, coalesce(avg(points) OVER w5, 1.5) AS f, side FROM lng WINDOW """ + _W[5] + """)
 SELECT m.match_id, round(x.f, 6) AS home_form_w5, round(y.f, 6) AS away_form_w5, round(x.f - y.f, 6) AS form_diff FROM matches m JOIN h x ON x.match_id = m.match_id AND x.side = 'home' JOIN h y ON y.match_id = m.match_id AND y.side = 'away'""")
 def e19(v: Views) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.cleaning import scale_rank
+
 STAGE_NAMES = ["Unknown", "Group Stage", "Round of 16", "Quarterfinal", "semifinal", "Final", "third-place", "qualification"]
 CONFEDERATIONS = {"AFRICA": (90.0, 0.9), "AMERICA": (110.0, 1.0), "ASIA": (80.0, 0.85), "EUROPE": (80.0, 1.0), "MIDDLE EAST": (60.0, 0.65)}
 TIERS = {"EUROPE": 6, "AMERICA": 5, "ASIA": 3, "AFRICA": 3}
@@ -44,11 +46,14 @@ SQL = {
     "rank_history": "rank_history AS (SELECT team, date, min(rank) AS rank FROM (SELECT 'T' || (o_custkey % n) AS team, CAST(o_orderdate AS DATE) AS date, CAST(CAST(floor(o_totalprice) AS BIGINT) % 210 + 1 AS INT) AS rank FROM orders, t WHERE o_orderkey % 3 = 0) GROUP BY team, date)",
     "players": "players AS (SELECT c_custkey AS player_id, 'N' || c_nationkey AS nation, c_name AS name, ['GK', 'DEF', 'MID', 'FWD', 'DEF'][CAST(c_custkey % 5 + 1 AS INT)] AS position FROM customer)",
     "ratings": "ratings AS (SELECT o_custkey AS player_id, CAST(o_orderdate AS DATE) AS rating_date, max(CASE WHEN o_orderkey % 13 <> 0 THEN CAST(floor(o_totalprice) AS BIGINT) % 40 + 55.0 END) AS overall_rating FROM orders GROUP BY 1, 2)",
-    "rosters": "rosters AS (SELECT DISTINCT 'T' || (o_custkey % 10) AS team, o_custkey AS player_id, CAST(o_orderdate AS DATE) AS joined_date, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderdate AS DATE) + CAST(30 * (o_orderkey % 12) AS INT) END AS left_date FROM orders WHERE o_orderkey % 4 = 0)",
+    "rosters": "rosters AS (SELECT DISTINCT 'T' || (o_custkey % n) AS team, o_custkey AS player_id, CAST(o_orderdate AS DATE) AS joined_date, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderdate AS DATE) + CAST(30 * (o_orderkey % 12) AS INT) END AS left_date FROM orders, t WHERE o_orderkey % 4 = 0)",
+    "start": "start AS (SELECT team, id, CASE WHEN id % 5 = 0 THEN 1450.0 ELSE greatest(1500.0, 1900.0 - (greatest(1, rank) - 1) * 400.0 / 210.0) END AS rating FROM team)",
+    "penalties": "penalties AS (SELECT team, id % 3 AS won, id % 4 AS played FROM team WHERE id % 2 = 0)",
+    "squads": "squads AS (SELECT team, 60.0 + id % 30 AS squad_avg_rating, 70.0 + id % 25 AS top_player_rating FROM team WHERE id % 4 <> 0)",
     "injuries": "injuries AS (SELECT DISTINCT o_custkey AS player_id, CAST(o_orderdate AS DATE) AS from_date, CASE WHEN o_orderkey % 11 <> 0 THEN CAST(o_orderdate AS DATE) + CAST(10 * (o_orderkey % 12) AS INT) END AS to_date FROM orders WHERE o_orderkey % 4 = 1)",
     "pairs": "pairs AS (SELECT x.n_name AS home, y.n_name AS away, (1 + (x.n_nationkey * 3 + y.n_nationkey) % 7) AS wh, (1 + (x.n_nationkey + y.n_nationkey * 5) % 4) AS wd, (1 + (x.n_nationkey * 2 + y.n_nationkey * 3) % 6) AS wa FROM nation x JOIN nation y ON x.n_nationkey <> y.n_nationkey)",
 }
-NEEDS = {"matches": ["t", "team"], "lng": ["matches"], "predictions": ["matches"], "outcomes": ["t"], "rank_history": ["t"]}
+NEEDS = {"matches": ["t", "team"], "lng": ["matches"], "predictions": ["matches"], "outcomes": ["t"], "rank_history": ["t"], "rosters": ["t"], "start": ["team"], "penalties": ["team"], "squads": ["team"]}
 
 
 def with_views(*names: str, recursive: bool = False) -> str:
@@ -126,13 +131,23 @@ class Views:
     def _interval(self, rest: int, days: int, team: bool) -> DataFrame:
         day = F.to_date("o_orderdate")
         end = F.when(F.col("o_orderkey") % 11 != 0, F.date_add(day, (days * (F.col("o_orderkey") % 12)).cast("int")))
-        first = [F.concat(F.lit("T"), F.col("o_custkey") % 10).alias("team")] if team else []
+        first = [F.concat(F.lit("T"), F.col("o_custkey") % F.col("n")).alias("team")] if team else []
         a, b = ("joined_date", "left_date") if team else ("from_date", "to_date")
-        return self.table("orders").where(F.col("o_orderkey") % 4 == rest).select(*first, F.col("o_custkey").alias("player_id"), day.alias(a), end.alias(b)).distinct()
+        return self.with_n(self.table("orders")).where(F.col("o_orderkey") % 4 == rest).select(*first, F.col("o_custkey").alias("player_id"), day.alias(a), end.alias(b)).distinct()
 
     def rosters(self) -> DataFrame:
         return self._interval(0, 30, True)
 
+    def start(self) -> DataFrame:
+        """Start ratings by rank; every fifth team has none."""
+        return self.team().select("team", scale_rank(F.when(F.col("id") % 5 != 0, F.col("rank"))).alias("rating"))
+
+    def penalties(self) -> DataFrame:
+        return self.team().where("id % 2 = 0").select("team", (F.col("id") % 3).alias("won"), (F.col("id") % 4).alias("played"))
+
+    def squads(self) -> DataFrame:
+        return self.team().where("id % 4 <> 0").select("team", (F.lit(60.0) + F.col("id") % 30).alias("squad_avg_rating"), (F.lit(70.0) + F.col("id") % 25).alias("top_player_rating"))
+
     def injuries(self) -> DataFrame:
         return self._interval(1, 10, False)
 
