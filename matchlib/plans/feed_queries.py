@@ -9,7 +9,7 @@ from ..operators import elo as R
 from ..sources import feeds as A
 from ..sources import shared
 from ..streaming import incremental as L
-from .join_queries import _ELO, CONFIG, elo_matches
+from .join_queries import _ELO, CONFIG, elo_matches, features_sql, rounded
 from .queries import query, r6, registry
 from .testdata import Views, with_views
 
@@ -105,38 +105,82 @@ def l2(v: Views) -> DataFrame:
     return L.rows_to_append(stored, incoming, aliases, since="1998-06-01").select("match_id", "date", "home_team", "away_team")
 
 
-def streamed(v: Views, rows: DataFrame, make, mode: str) -> DataFrame:
-    """What a stream over rows, written to files first, has emitted when all are read; its results are files in the shared folder."""
+FILES = 1000
+SLICES = ("1997-06-01", "1999-09-01")
+
+
+def streamed(v: Views, slices: list[DataFrame], make, mode: str, start=None) -> DataFrame:
+    """What a stream has emitted when all its files are read; results are files in the shared folder.
+
+    The slices come one after the other; for each the query is started again from
+    its checkpoint and reads what is new in micro-batches of up to FILES files.
+    """
     source, out, checkpoint = (scratch(v, x) for x in ("source", "out", "checkpoint"))
-    rows.write.parquet(source)
-    stream = v.spark.readStream.schema(rows.schema).parquet(source)
-    made = make(stream)
 
     def keep(batch: DataFrame, number: int) -> None:
-        batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(out)
+        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+
+    def run() -> None:
+        stream = v.spark.readStream.schema(slices[0].schema).option("maxFilesPerTrigger", FILES).parquet(source)
+        q = start(stream, checkpoint) if start else make(stream).writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        q.awaitTermination()
+
+    for part in slices:
+        part.write.mode("append").parquet(source)
+        run()
+    return None if start else v.spark.read.parquet(out)
+
+
+
+
+def by_date(rows: DataFrame) -> list[DataFrame]:
+    """rows in slices of time, in order."""
+    first, second = SLICES
+    return [rows.where(F.col("date") < first), rows.where((F.col("date") >= first) & (F.col("date") < second)), rows.where(F.col("date") >= second)]
+
 
-    q = made.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return v.spark.read.parquet(out)
+_APPENDED = with_views("matches") + f""", s0 AS (SELECT * FROM matches WHERE date < DATE '1996-01-01'), inc AS (SELECT *, CASE WHEN match_id % 13 = 0 OR date >= DATE '{SLICES[1]}' THEN 3 WHEN date < DATE '{SLICES[0]}' THEN 1 ELSE 2 END AS part FROM matches),
+k0 AS (SELECT max(date) AS mark FROM s0), k1 AS (SELECT greatest(k0.mark, (SELECT coalesce(max(date), k0.mark) FROM inc WHERE part = 1)) AS mark FROM k0), k2 AS (SELECT greatest(k1.mark, (SELECT coalesce(max(date), k1.mark) FROM inc WHERE part = 2)) AS mark FROM k1),
+marked AS (SELECT inc.*, CASE part WHEN 1 THEN k0.mark WHEN 2 THEN k1.mark ELSE k2.mark END AS mark FROM inc, k0, k1, k2)"""
+
+
+@query("l2_append_stream", _APPENDED + " SELECT match_id, 'before' AS side FROM s0 UNION ALL SELECT match_id, CASE WHEN date > mark THEN 'on_time' ELSE 'late' END FROM marked")
+def l2s(v: Views) -> DataFrame:
+    m = v.matches()
+    table, late = scratch(v, "appended"), scratch(v, "late")
+    m.where("date < '1996-01-01'").write.parquet(f"{table}/batch=-1")
+    last = (F.col("match_id") % 13 == 0) | (F.col("date") >= SLICES[1])
+    slices = [m.where(~last & (F.col("date") < SLICES[0])), m.where(~last & (F.col("date") >= SLICES[0])), m.where(last)]
+    none = v.spark.createDataFrame([], "alias string, canonical string")
+    streamed(v, slices, None, "append", lambda stream, checkpoint: L.append_stream(stream, table, none, checkpoint, late, availableNow=True))
+    kept = v.spark.read.parquet(table).select("match_id", F.when(F.col("batch") < 0, "before").otherwise("on_time").alias("side"))
+    return kept.unionByName(v.spark.read.parquet(late).select("match_id", F.lit("late").alias("side")))
 
 
 @query("l3_stream_dedup", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1, 2")
 def l3(v: Views) -> DataFrame:
     events = v.table("events").select("user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    out = streamed(v, events, lambda s: L.stream_dedup(s, ["user_id", "event_type"], "ts", "3650 days"), "append")
+    slices = [events.where(F.pmod(F.xxhash64("ts"), F.lit(3)) == i) for i in range(3)]
+    out = streamed(v, slices, lambda s: L.stream_dedup(s, ["user_id", "event_type"], "ts", "3650 days"), "append")
     return out.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
 
 
-@query("l4_stream_team_state", with_views("lng") + ", o AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY date DESC, match_id DESC) AS rn FROM lng) SELECT team, count(*) AS n_matches, round(avg(points) FILTER (rn <= 5), 6) AS form_w5, round(avg(gf) FILTER (rn <= 5), 6) AS attack_w5, round(avg(ga) FILTER (rn <= 5), 6) AS defense_w5, strftime(max(date), '%Y-%m-%d') AS last_date FROM o GROUP BY team")
+_L4 = {c: x for c, x in features_sql("h").items() if c not in ("rest_days", "adj_form_w5", "adj_attack_w5", "adj_defense_w5", "goals_for_last5", "goals_against_last5")}
+_L4 = {("form_w5" if c == "form_last5" else c): x for c, x in _L4.items()}
+
+
+@query("l4_stream_team_state", with_views("lng") + ", o AS (SELECT team, list({'d': date, 'points': points, 'gf': gf, 'ga': ga, 'h': is_home} ORDER BY date DESC, match_id DESC) AS h, count(*) AS n_matches, strftime(max(date), '%Y-%m-%d') AS last_date FROM lng GROUP BY team) SELECT team, n_matches, last_date, " + ", ".join(f"round({x}, 6) + 0.0 AS {c}" for c, x in _L4.items()) + " FROM o")
 def l4(v: Views) -> DataFrame:
-    out = streamed(v, L.long_points(v.matches()), L.stream_team_state, "update")
-    last = out.groupBy("team").agg(F.max_by(F.struct("n_matches", "form_w5", "attack_w5", "defense_w5", "last_date"), "n_matches").alias("l")).select("team", "l.*")
-    return last.select("team", "n_matches", *r6("form_w5", "attack_w5", "defense_w5"), "last_date")
+    out = streamed(v, by_date(L.long_points(v.matches())), L.stream_team_state, "update")
+    columns = [c for c in out.columns if c not in ("team", "batch")]
+    last = out.groupBy("team").agg(F.max_by(F.struct(*columns), "batch").alias("l")).select("team", "l.*")
+    return rounded(last, ("team", "n_matches", "last_date"))
 
 
 @query("l5_stream_elo", _ELO + " SELECT match_id, round(h0, 6) AS home_elo_pre, round(a0, 6) AS away_elo_pre FROM r WHERE match_id IS NOT NULL")
 def l5(v: Views) -> DataFrame:
-    return streamed(v, R.elo_steps(elo_matches(v), CONFIG), L.stream_elo, "append").select("match_id", *r6("home_elo_pre", "away_elo_pre"))
+    steps = R.with_start(R.elo_steps(elo_matches(v), CONFIG), v.start(), CONFIG.start)
+    return streamed(v, by_date(steps), L.stream_elo, "append").select("match_id", *r6("home_elo_pre", "away_elo_pre"))
 
 
 @query("l6_late_rows", with_views("matches") + ", k AS (SELECT max(date) AS mark FROM matches WHERE match_id % 3 = 0 AND date < DATE '1999-01-01') SELECT match_id, CASE WHEN date > mark THEN 'on_time' ELSE 'late' END AS side FROM matches, k")
@@ -150,4 +194,25 @@ def l6(v: Views) -> DataFrame:
 def l7(v: Views) -> DataFrame:
     e = F.col("event_id")
     updates = v.table("events").select(F.col("user_id").alias("match_id"), F.col("ts").alias("event_time"), "event_id", F.col("event_type").alias("status"), (e % 5).alias("home_score"), (e % 3).alias("away_score"))
-    return L.live_table(updates)
+    return latest(streamed(v, [updates.where(e % 3 == i) for i in range(3)], L.live_table, "update"))
+
+
+def latest(emitted: DataFrame) -> DataFrame:
+    """The last row that a stream in update mode has emitted for each match."""
+    return emitted.groupBy("match_id").agg(F.max_by(F.struct("status", "home_score", "away_score"), "batch").alias("l")).select("match_id", "l.*")
+
+
+@query("l7_live_standings", with_views("matches") + """, f AS (SELECT home_confederation AS grp, home_team, away_team, home_score, away_score FROM matches WHERE home_confederation = away_confederation AND match_id % 9 <> 0),
+lo AS (SELECT grp, home_team AS team, home_score AS gf, away_score AS ga FROM f UNION ALL SELECT grp, away_team, away_score, home_score FROM f)
+SELECT confederation AS grp, t2.team, count(gf) AS played, coalesce(CAST(sum(gf) AS BIGINT), 0) AS gf, coalesce(CAST(sum(ga) AS BIGINT), 0) AS ga, coalesce(CAST(sum(CASE WHEN gf > ga THEN 3 WHEN gf = ga THEN 1 WHEN gf < ga THEN 0 END) AS BIGINT), 0) AS pts FROM team t2 LEFT JOIN lo ON lo.team = t2.team GROUP BY 1, 2""")
+def l7s(v: Views) -> DataFrame:
+    m = v.matches().where("home_confederation = away_confederation")
+    k = F.col("match_id")
+    at = lambda hour, status, h, a: F.struct(F.concat(F.col("date").cast("string"), F.lit(f"T{hour}:00")).alias("event_time"), F.lit(int(hour)).alias("event_id"), status.alias("status"), h.cast("int").alias("home_score"), a.cast("int").alias("away_score"))
+    ended = F.when(k % 9 != 0, "FINISHED").otherwise("IN_PLAY")
+    updates = m.select(k, F.explode(F.array(at("18", F.lit("IN_PLAY"), F.lit(0), F.lit(0)), at("19", F.lit("IN_PLAY"), F.col("home_score"), F.lit(0)), at("20", ended, F.col("home_score"), F.col("away_score")))).alias("u")).select("match_id", "u.*")
+    # late news first: the order of events decides, not that of arrival
+    slices = [updates.where(F.pmod(k + F.col("event_id"), F.lit(3)) == i) for i in range(3)]
+    live = latest(streamed(v, slices, L.live_table, "update"))
+    groups = v.team().select(F.col("confederation").alias("grp"), "team", F.col("id").alias("seed_pos"))
+    return L.live_standings(live, m.select("match_id", F.col("home_confederation").alias("grp"), "home_team", "away_team"), groups).select("grp", "team", "played", "gf", "ga", "pts")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from datetime import date
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.cleaning import drop_incomplete, points, resolve_names
 from ..operators.sets import new_rows_only
+from ..operators.standings import league_table
 
 KEY = ("date", "home_team", "away_team")
 
@@ -41,18 +43,21 @@ def incremental_append(path: str, incoming: DataFrame, aliases: DataFrame, since
     return n
 
 
-def append_stream(stream: DataFrame, path: str, aliases: DataFrame, checkpoint: str, late_path: str | None = None):
-    """A started query that appends each batch's new rows to path; rows no later than the mark go to late_path."""
+def append_stream(stream: DataFrame, path: str, aliases: DataFrame, checkpoint: str, late_path: str | None = None, **trigger):
+    """A started query that appends each batch's new rows to the table at path, which is partitioned by batch (-1: what was there before); rows no later than the mark go to late_path.
 
-    def each(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        stored = spark.read.parquet(path)
-        on_time, late = split_late(batch, high_water_mark(stored))
+    A batch sees only the rows of batches before it and overwrites its own
+    partitions, so a batch that is run again after a failure changes nothing.
+    """
+
+    def each(batch: DataFrame, number: int) -> None:
+        before = batch.sparkSession.read.parquet(path).where(F.col("batch") < number).drop("batch")
+        on_time, late = split_late(batch, high_water_mark(before))
         if late_path:
-            late.write.mode("append").parquet(late_path)
-        rows_to_append(stored, on_time, aliases, since="0001-01-01").select(stored.columns).write.mode("append").parquet(path)
+            late.write.mode("overwrite").parquet(f"{late_path}/batch={number}")
+        rows_to_append(before, on_time, aliases, since="0001-01-01").select(before.columns).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).start()
+    return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "0 seconds"})).start()
 
 
 def split_late(batch: DataFrame, mark: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -66,25 +71,41 @@ def stream_dedup(stream: DataFrame, key: list[str], time: str, delay: str = "7 d
     return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(key)
 
 
-STATE = "dates array<string>, points array<int>, gf array<int>, ga array<int>, played long"
-TEAM_STATE = "team string, n_matches long, form_w5 double, attack_w5 double, defense_w5 double, win_streak int, last_date string"
+STATE = "dates array<string>, points array<int>, gf array<int>, ga array<int>, home array<int>, played long"
+TEAM_STATE = (
+    "team string, n_matches long, form_w3 double, form_w5 double, form_w10 double, attack_w5 double, defense_w5 double, form_rw5 double, attack_rw5 double, defense_rw5 double, clean_sheet_rate_w5 double, gd_form_w5 double, draw_rate_w5 double, "
+    "home_form_w5 double, away_form_w5 double, win_streak int, unbeaten_streak int, loss_streak int, last_date string"
+)
+
+
+def team_features(dates: list[str], points: list[int], gf: list[int], ga: list[int], home: list[int]) -> dict:
+    """The per-team features after the last of some matches, by the definitions of the window features."""
+    mean = lambda x, d=1.0: sum(x) / len(x) if len(x) else d
+    days = [date.fromisoformat(d).toordinal() for d in dates[-5:]]
+    weights = [0.5 ** ((days[-1] - d) / 180.0) for d in days]
+    recent = lambda x: sum(w * v for w, v in zip(weights, x[-5:])) / sum(weights)
+    run = lambda ok: next((i for i, p in enumerate(reversed(points[-10:])) if not ok(p)), len(points[-10:]))
+    at = lambda side: mean([p for p, h in zip(points, home) if h == side][-5:], 1.5)
+    return {
+        **{f"form_w{n}": mean(points[-n:]) for n in (3, 5, 10)}, "attack_w5": mean(gf[-5:]), "defense_w5": mean(ga[-5:]), "form_rw5": recent(points), "attack_rw5": recent(gf), "defense_rw5": recent(ga),
+        "clean_sheet_rate_w5": mean([a == 0 for a in ga[-5:]]), "gd_form_w5": mean([max(-4, min(4, f - a)) for f, a in zip(gf[-5:], ga[-5:])]), "draw_rate_w5": mean([f == a for f, a in zip(gf[-5:], ga[-5:])]),
+        "home_form_w5": at(1), "away_form_w5": at(0), "win_streak": run(lambda p: p == 3), "unbeaten_streak": run(lambda p: p >= 1), "loss_streak": run(lambda p: p == 0), "last_date": dates[-1],
+    }
 
 
 def team_state(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, kept: int = 30) -> Iterator[pd.DataFrame]:
-    """The last matches of a team, at most kept of them; emits its features after the batch. Rows of a batch are applied in order of date and match_id."""
+    """The last matches of a team, at most kept of them; emits its features after the batch. Rows of a batch are applied in order of date and match_id; is_home is 1, 0 or, on neutral ground, -1."""
     rows = pd.concat(list(batches), ignore_index=True).sort_values(["date", "match_id"])
-    dates, pts, gf, ga, played = state.get if state.exists else ([], [], [], [], 0)
-    dates = ([*dates, *rows["date"].astype(str)])[-kept:]
-    pts, gf, ga = ([*map(int, old), *map(int, rows[c])][-kept:] for old, c in ((pts, "points"), (gf, "gf"), (ga, "ga")))
+    dates, *numbers, played = state.get if state.exists else ([], [], [], [], [], 0)
+    dates = [*dates, *rows["date"].astype(str)][-kept:]
+    numbers = [[*map(int, old), *map(int, rows[c])][-kept:] for old, c in zip(numbers, ("points", "gf", "ga", "is_home"))]
     played += len(rows)
-    state.update((dates, pts, gf, ga, played))
-    streak = next((i for i, p in enumerate(reversed(pts)) if p != 3), len(pts))
-    mean = lambda x: sum(x[-5:]) / len(x[-5:])
-    yield pd.DataFrame({"team": [key[0]], "n_matches": [played], "form_w5": [mean(pts)], "attack_w5": [mean(gf)], "defense_w5": [mean(ga)], "win_streak": [min(streak, 10)], "last_date": [dates[-1]]})
+    state.update((dates, *numbers, played))
+    yield pd.DataFrame([{"team": key[0], "n_matches": played, **team_features(dates, *numbers)}])
 
 
 def stream_team_state(long: DataFrame) -> DataFrame:
-    """Per-team rolling state of a stream of the long table (team, date, match_id, points, gf, ga): a row for each team that a batch touches."""
+    """Per-team rolling state of a stream of the long table (team, date, match_id, points, gf, ga, is_home): a row for each team that a batch touches."""
     return long.groupBy("team").applyInPandasWithState(team_state, TEAM_STATE, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
@@ -92,26 +113,24 @@ ELO_STATE = "teams array<string>, ratings array<double>"
 ELO_OUT = "league string, match_id long, home_elo_pre double, away_elo_pre double"
 
 
-def elo_state(start: float = 1500.0) -> Callable:
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["date", "match_id"])
-        teams, values = state.get if state.exists else ([], [])
-        rating = dict(zip(teams, values))
-        pre = []
-        for h, a, k, advantage, score in zip(rows["home_team"], rows["away_team"], rows["step"], rows["advantage"], rows["score"]):
-            x, y = rating.get(h, start), rating.get(a, start)
-            change = k * (score - 1.0 / (1.0 + 10.0 ** ((y - x - advantage) / 400.0)))
-            pre.append((x, y))
-            rating[h], rating[a] = x + change, y - change
-        state.update((list(rating), list(rating.values())))
-        yield pd.DataFrame({"league": key[0], "match_id": rows["match_id"], "home_elo_pre": [x for x, _ in pre], "away_elo_pre": [y for _, y in pre]})
-
-    return step
+def elo_state(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The ratings of a league's teams; emits those before each match. Rows of a batch are applied in order of date and match_id."""
+    rows = pd.concat(list(batches), ignore_index=True).sort_values(["date", "match_id"])
+    teams, values = state.get if state.exists else ([], [])
+    rating = dict(zip(teams, values))
+    pre = []
+    for h, a, k, advantage, score, x, y in zip(*(rows[c] for c in ("home_team", "away_team", "step", "advantage", "score", "home_start", "away_start"))):
+        x, y = rating.get(h, x), rating.get(a, y)
+        change = k * (score - 1.0 / (1.0 + 10.0 ** ((y - x - advantage) / 400.0)))
+        pre.append((x, y))
+        rating[h], rating[a] = x + change, y - change
+    state.update((list(rating), list(rating.values())))
+    yield pd.DataFrame({"league": key[0], "match_id": rows["match_id"], "home_elo_pre": [x for x, _ in pre], "away_elo_pre": [y for _, y in pre]})
 
 
-def stream_elo(steps: DataFrame, start: float = 1500.0) -> DataFrame:
-    """Ratings before each match of a stream of elo_steps; both teams of a match share their league's state."""
-    return steps.groupBy("league").applyInPandasWithState(elo_state(start), ELO_OUT, ELO_STATE, "append", GroupStateTimeout.NoTimeout)
+def stream_elo(steps: DataFrame) -> DataFrame:
+    """Ratings before each match of a stream of elo_steps with start ratings (elo.with_start). Both teams of a match share their league's state, so a league is one group of each batch: bound batches by the source's maxFilesPerTrigger."""
+    return steps.groupBy("league").applyInPandasWithState(elo_state, ELO_OUT, ELO_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
 def live_table(updates: DataFrame) -> DataFrame:
@@ -119,7 +138,14 @@ def live_table(updates: DataFrame) -> DataFrame:
     return updates.groupBy("match_id").agg(F.max_by(F.struct("status", "home_score", "away_score"), F.struct("event_time", "event_id")).alias("l")).select("match_id", "l.*")
 
 
+def live_standings(live: DataFrame, fixtures: DataFrame, group_team: DataFrame) -> DataFrame:
+    """The league table of group_team(grp, team, seed_pos) after the finished matches of a live table, by fixtures(match_id, grp, home_team, away_team)."""
+    finished = live.where("status = 'FINISHED'").select("match_id", "home_score", "away_score").join(fixtures, "match_id")
+    return league_table(group_team, finished.select("grp", "home_team", "away_team", "home_score", "away_score"))
+
+
 def long_points(matches: DataFrame) -> DataFrame:
     """The long table's columns that team_state needs."""
-    sides = F.array(*(F.struct(F.col(f"{m}_team").alias("team"), F.col(f"{m}_score").alias("gf"), F.col(f"{o}_score").alias("ga")) for m, o in (("home", "away"), ("away", "home"))))
-    return matches.select("match_id", "date", F.explode(sides).alias("s")).select("s.team", "date", "match_id", points(F.col("s.gf"), F.col("s.ga")).alias("points"), "s.gf", "s.ga")
+    home = lambda x: F.when(F.col("neutral"), -1).otherwise(x).alias("is_home")
+    sides = F.array(*(F.struct(F.col(f"{m}_team").alias("team"), F.col(f"{m}_score").alias("gf"), F.col(f"{o}_score").alias("ga"), home(x)) for m, o, x in (("home", "away", 1), ("away", "home", 0))))
+    return matches.select("match_id", "date", F.explode(sides).alias("s")).select("s.team", "date", "match_id", points(F.col("s.gf"), F.col("s.ga")).alias("points"), "s.gf", "s.ga", "s.is_home")
