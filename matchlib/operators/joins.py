@@ -73,10 +73,12 @@ def lineup_players(fixtures: DataFrame, lineups: DataFrame, by_match: bool = Tru
     return fixtures.join(lineups.where("is_starter").select(*key, "player_id"), key)
 
 
-def pair_matrix(teams: DataFrame) -> DataFrame:
-    """Every ordered pair of distinct teams with the attributes of both. The result itself has the square of teams' rows: for fixtures alone, join those."""
+def pair_matrix(teams: DataFrame, blocks: int = 32) -> DataFrame:
+    """Every ordered pair of distinct teams with the attributes of both. The result itself has the square of teams' rows: for fixtures alone, join those. Teams are dealt into blocks, each of which meets every team once, so the pairs are made by an equi-join in even parts."""
     a, b = (teams.select(*(F.col(c).alias(f"{s}_{c}") for c in teams.columns)) for s in ("home", "away"))
-    return a.join(b, F.col("home_team") != F.col("away_team"))
+    dealt = F.pmod(F.xxhash64("away_team"), F.lit(blocks)).cast("int")
+    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    return a.withColumn("_b", every).join(b.withColumn("_b", dealt), "_b").where(F.col("home_team") != F.col("away_team")).drop("_b")
 
 
 def match_either_orientation(fixtures: DataFrame, feed: DataFrame) -> DataFrame:
@@ -96,13 +98,37 @@ def token_overlap(a: Column, b: Column) -> Column:
     return F.when((F.size(x) == 0) | (F.size(y) == 0), F.lit(0.0)).otherwise(F.size(F.array_intersect(x, y)) / larger)
 
 
+def words_of(*columns: str) -> Column:
+    """The distinct words of some texts, in lower case."""
+    return F.array_distinct(F.filter(F.split(F.lower(F.concat_ws(" ", *columns)), r"\s+"), lambda w: w != ""))
+
+
+def sharing_rare(left: DataFrame, right: DataFrame, block: str) -> DataFrame:
+    """The distinct pairs (id, other_id) of a block in which one of the keep rarest of left(id, block, tokens, keep) is among right(other_id, block, tokens).
+
+    Rare means rare on the right, in the block; so frequent tokens join nothing
+    unless a left row has none but such.
+    """
+    index = right.select("other_id", block, F.explode("tokens").alias("token"))
+    often = index.groupBy(block, "token").agg(F.count("*").alias("_n"))
+    asked = left.select("id", block, "keep", F.explode("tokens").alias("token")).join(often, [block, "token"], "left")
+    place = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("_n", F.lit(0)), "token"))
+    seeds = asked.withColumn("_place", place).where((F.col("_place") <= F.col("keep")) & F.col("_n").isNotNull())
+    return seeds.select("id", block, "token").join(index, [block, "token"]).select("id", "other_id").distinct()
+
+
 def token_match(left: DataFrame, right: DataFrame, block: str, threshold: float) -> DataFrame:
-    """left(id, name, block) with the right(other_id, other_name, other_short, ordinal, block) of the same block with the largest token overlap of name or short name; the first ordinal of equal ones; only from threshold on.
+    """left(id, name, block) with the right(other_id, other_name, other_short, ordinal, block) of the same block with the largest token overlap of name or short name; the first ordinal of equal ones; only from threshold on (above 0).
 
-    Only rows that share a word within the block meet.
+    A pair with the threshold shares at least threshold * n of the n words of its
+    left name, hence one of any n - that + 1 of them: only rows that share one of
+    so many of the rarest meet.
     """
-    words = lambda *c: F.explode(F.array_distinct(F.filter(F.split(F.lower(F.concat_ws(" ", *c)), r"\s+"), lambda w: w != "")))
-    pairs = left.select("id", block, words("name").alias("w")).join(right.select("other_id", block, words("other_name", "other_short").alias("w")), [block, "w"]).select("id", "other_id").distinct()
+    words = words_of("name")
+    keep = F.size(words) - F.ceil(F.size(words) * threshold - 1e-9) + 1
+    asked = left.select("id", block, words.alias("tokens"), keep.alias("keep"))
+    known = right.select("other_id", block, words_of("other_name", "other_short").alias("tokens"))
+    pairs = sharing_rare(asked, known, block)
     scored = pairs.join(left.select("id", "name"), "id").join(right, "other_id").withColumn("score", F.greatest(token_overlap(F.col("name"), F.col("other_name")), token_overlap(F.col("name"), F.col("other_short"))))
     best = scored.where(F.col("score") >= threshold).groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "ordinal", "other_id")).alias("b"))
     return best.select("id", F.col("b.other_id").alias("other_id"), (-F.col("b.s")).alias("score"))
@@ -114,10 +140,35 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when(longer == 0, F.lit(0.0)).otherwise(100.0 * (1 - F.levenshtein(a, b) / longer))
 
 
+def letter_pairs(c: Column) -> Column:
+    """The distinct pairs of neighbouring characters."""
+    n = F.length(c)
+    return F.array_distinct(F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(c, i, F.lit(2)))).otherwise(F.array().cast("array<string>")))
+
+
 def fuzzy_squad_match(players: DataFrame, ratings: DataFrame, block: str, threshold: float = 75.0) -> DataFrame:
-    """players(id, name, block) with the ratings(other_id, other_name, other_short, block) of the same block that is most similar in name or short name, from threshold on; ties go to the smaller other_id. Similarity is by edit distance, in the place of the third-party score used elsewhere."""
-    joined = players.join(ratings, block).withColumn("score", F.greatest(similarity(F.lower("name"), F.lower("other_name")), similarity(F.lower("name"), F.lower("other_short"))))
-    best = joined.where(F.col("score") >= threshold).groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "other_id")).alias("b"))
+    """players(id, name, block) with the ratings(other_id, other_name, other_short, block) of the same block that is most similar in name or short name, from threshold on; ties go to the smaller other_id. Similarity is by edit distance, in the place of the third-party score used elsewhere.
+
+    A pair with the threshold t is no more than d = n (1 - t) / t edits apart, n
+    being the length of the player's name, and each edit undoes two letter pairs at
+    most. So of any 2 d + 1 letter pairs of the name one is in the other: only rows
+    that share one of so many of the rarest meet. A name with fewer letter pairs
+    than that meets all of its block whose length allows the threshold.
+    """
+    share = threshold / 100
+    mine = players.select("id", block, F.lower("name").alias("_name")).withColumn("tokens", letter_pairs(F.col("_name")))
+    keep = (2 * F.floor(F.length("_name") * (1 - share) / share + 1e-9) + 1).cast("int")
+    mine = mine.withColumn("keep", keep)
+    theirs = ratings.select("other_id", block, F.lower("other_name").alias("_long"), F.lower("other_short").alias("_short"))
+    known = theirs.withColumn("tokens", F.array_union(letter_pairs(F.coalesce("_long", F.lit(""))), letter_pairs(F.coalesce("_short", F.lit("")))))
+    enough = F.size("tokens") >= F.col("keep")
+    by_pairs = sharing_rare(mine.where(enough), known, block)
+    fits = lambda c: (F.least(F.length("_name"), F.length(c)) >= share * F.greatest(F.length("_name"), F.length(c)) - 1e-9)
+    by_length = mine.where(~enough).join(theirs, block).where(fits("_long") | fits("_short")).select("id", "other_id")
+    pairs = by_pairs.unionByName(by_length)
+    names = pairs.join(mine.select("id", "_name"), "id").join(theirs.drop(block), "other_id")
+    scored = names.withColumn("score", F.greatest(similarity(F.col("_name"), F.col("_long")), similarity(F.col("_name"), F.col("_short"))))
+    best = scored.where(F.col("score") >= threshold).groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "other_id")).alias("b"))
     return best.select("id", F.col("b.other_id").alias("other_id"), (-F.col("b.s")).alias("score"))
 
 

@@ -126,8 +126,21 @@ def d11(v: Views) -> DataFrame:
 _SIM = "100.0 * (1 - levenshtein({0}, {1}) / greatest(length({0}), length({1})))"
 
 
-@query("d12_fuzzy_squad_match", f"WITH {_NAMES}, s AS (SELECT id, other_id, greatest({_SIM.format('lower(name)', 'lower(other_name)')}, {_SIM.format('lower(name)', 'lower(other_short)')}) AS score FROM l JOIN r USING (block)), b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other_id) AS rn FROM s WHERE score >= 40) SELECT id, other_id, round(score, 6) AS score FROM b WHERE rn = 1")
+def fuzzy_sql(threshold: int, short: str) -> str:
+    names = _NAMES.replace("p_type AS other_short", f"{short} AS other_short")
+    return f"WITH {names}, s AS (SELECT id, other_id, greatest({_SIM.format('lower(name)', 'lower(other_name)')}, {_SIM.format('lower(name)', 'lower(other_short)')}) AS score FROM l JOIN r USING (block)), b AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other_id) AS rn FROM s WHERE score >= {threshold}) SELECT id, other_id, round(score, 6) AS score FROM b WHERE rn = 1"
+
+
+@query("d12_fuzzy_squad_match", fuzzy_sql(75, "p_name || 's'"))
 def d12(v: Views) -> DataFrame:
+    left, right = names(v)
+    short = v.table("part").select(F.col("p_partkey").alias("other_id"), F.concat("p_name", F.lit("s")).alias("_short"))
+    right = right.join(short, "other_id").withColumn("other_short", F.col("_short")).drop("_short")
+    return D.fuzzy_squad_match(left, right, "block").select("id", "other_id", F.round("score", 6).alias("score"))
+
+
+@query("d12_fuzzy_low_threshold", fuzzy_sql(40, "p_type"))
+def d12l(v: Views) -> DataFrame:
     return D.fuzzy_squad_match(*names(v), "block", 40.0).select("id", "other_id", F.round("score", 6).alias("score"))
 
 
