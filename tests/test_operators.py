@@ -2,7 +2,9 @@
 
 from datetime import date, timedelta
 
+import numpy as np
 import pytest
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from matchlib.functions import cleaning as B
@@ -27,9 +29,9 @@ def test_six_wins(spark):
     m = matches(spark, [(30 * i, "Brazil", "Weaker", 2, 0, True) for i in range(7)])
     long = W.team_features(W.long_table(m))
     r = long.where("match_id = 6 and team = 'Brazil'").first()
-    assert (r["attack_w5"], r["defense_w5"], r["form_w5"], r["win_streak"], r["clean_sheet_rate_w5"]) == (2.0, 0.0, 3.0, 6, 1.0)
+    assert (r["attack_w5"], r["defense_w5"], r["form_last5"], r["win_streak"], r["clean_sheet_rate_w5"]) == (2.0, 0.0, 3.0, 6, 1.0)
     first = long.where("match_id = 0 and team = 'Brazil'").first()
-    assert (first["attack_w5"], first["form_w5"], first["draw_rate_w5"], first["rest_days"]) == (1.0, 1.5, 0.25, 7)
+    assert (first["attack_w5"], first["form_last5"], first["draw_rate_w5"], first["rest_days"]) == (1.0, 1.5, 0.25, 7)
 
 
 def test_no_future_row_is_used(spark):
@@ -108,3 +110,159 @@ def test_upsert_and_optional_table(spark, tmp_path):
 def test_outcome_of_equal_rates_is_symmetric(spark):
     r = scoring.outcome_from_rates(spark.createDataFrame([(1, 1.3, 1.3)], "match_id int, lambda_home double, lambda_away double")).first()
     assert r["p_h"] == pytest.approx(r["p_a"]) and r["p_h"] + r["p_d"] + r["p_a"] == pytest.approx(1)
+
+
+def test_replay_starts_from_given_ratings(spark):
+    m = rated(spark, matches(spark, [(0, "A", "B", 1, 0, True), (1, "A", "C", 1, 0, True), (2, "A", "B", 0, 0, True)]))
+    start = spark.createDataFrame([("A", 1700.0), ("B", 1450.0)], "team string, rating double")
+    got = {r["match_id"]: r for r in elo.elo_replay(m, start=start).collect()}
+    assert (got[0]["home_elo_pre"], got[0]["away_elo_pre"], got[1]["away_elo_pre"]) == (1700.0, 1450.0, 1500.0)
+    assert got[1]["home_elo_pre"] == got[0]["home_elo_post"] and got[2]["away_elo_pre"] == got[0]["away_elo_post"]
+    other = start.withColumn("league", F.lit("y"))
+    assert elo.elo_replay(m, start=other).where("match_id = 0").first()["home_elo_pre"] == 1500.0
+
+
+def test_stage_names(spark):
+    names = spark.createDataFrame([("league stage", "group_stage"), ("group g", "group_stage"), ("first round", "round_of_32"), ("second round", "round_of_16"), ("quarter-finals", "quarterfinal")], "raw string, stage string")
+    raw = ["League Stage", "Group G", " first round", "second round", "QUARTER-FINALS", "FINAL", "Round of 16", "Third-Place", "Something Else", None]
+    got = {r["tournament_stage"]: (r["stage"], r["stage_importance"], r["stage_weight"]) for r in B.stage_attrs(spark.createDataFrame([(x,) for x in raw], "tournament_stage string"), names).collect()}
+    assert [got[x][0] for x in raw] == ["group_stage", "group_stage", "round_of_32", "round_of_16", "quarterfinal", "final", "round_of_16", "third_place", "something_else", "unknown"]
+    assert got["League Stage"][1] < got["QUARTER-FINALS"][1] < got["FINAL"][1] and got["Something Else"][1:] == (1, 1.0) and got[None][1:] == (0, 0.5)
+
+
+def test_player_names_lose_all_accents(spark):
+    names = ["Luka Modrić", "Benjamin Šeško", "Nguyễn  Quang Hải", "José Ángel", "été", "Ødegaard", None]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in names], "n string").select(B.normalize_player_name(F.col("n"))).collect()]
+    assert got == ["luka modric", "benjamin sesko", "nguyen quang hai", "jose angel", "ete", "ødegaard", None]
+
+
+def test_cleaning_of_absent_values(spark):
+    df = spark.createDataFrame([("2025-01-01", "A", "B", "1", "x", None, None)], "date string, home_team string, away_team string, home_score string, away_score string, neutral string, home_fifa_rank string")
+    r = B.fill_defaults(B.coerce_types(df)).first()
+    assert (r["away_score"], r["neutral"], r["home_fifa_rank"], r["away_fifa_rank"], r["competition"]) == (None, False, 75, 75, "Unknown")
+    assert B.validate_schema(spark.createDataFrame([], "team string"), "teams").columns == ["team"]
+
+
+def played(spark, n=40):
+    m = matches(spark, [(4 * i, f"t{i % 4}", f"t{(i + 1 + i % 3) % 4}" if (1 + i % 3) % 4 else "t9", i % 4, i % 3, i % 3 == 0) for i in range(n)])
+    m = rated(spark, m.where("home_team <> away_team"))
+    return m.join(elo.elo_replay(m).drop("league"), "match_id").withColumns({"competition_weight": F.lit(3), "home_fifa_rank": F.lit(5), "away_fifa_rank": F.lit(9), "tournament_stage": F.lit("Final")})
+
+
+def test_snapshot_equals_the_row_of_the_match(spark):
+    m = played(spark)
+    rows = W.team_features(W.long_table(m, {"opp_elo_pre": ("away_elo_pre", "home_elo_pre")}), adjusted=True)
+    snapshot = W.snapshot_as_of(m, m.select(F.col("match_id").alias("fixture_id"), "date", "home_team", "away_team"))
+    home = {r["fixture_id"]: r for r in snapshot.collect()}
+    for r in rows.where("side = 'home'").collect():
+        for c in W.FEATURES:
+            assert home[r["match_id"]][f"home_{c}"] == pytest.approx(r[c]), (r["match_id"], c)
+    h2h = {r["match_id"]: r for r in W.head_to_head(m).collect()}
+    assert all(home[i]["home_h2h_win_rate"] == h2h[i]["home_h2h_win_rate"] and home[i]["h2h_n_matches"] == h2h[i]["h2h_n_matches"] for i in h2h)
+    later = spark.createDataFrame([(1, date(2030, 1, 1), "t0", "nobody")], "fixture_id long, date date, home_team string, away_team string")
+    r = W.snapshot_as_of(m, later).first()
+    last = m.selectExpr("date", "match_id", "explode(array(struct(home_team as t, home_elo_post as e), struct(away_team as t, away_elo_post as e))) as s").where("s.t = 't0'").orderBy(F.desc("date"), F.desc("match_id")).first()
+    assert r["home_elo_pre"] == last["s"]["e"] and r["away_form_last5"] == 1.5 and r["away_n_matches"] == 0 and r["home_rest_days"] > 1000
+
+
+def test_feature_table_holds_in_both_orientations(spark):
+    m = played(spark)
+    rates = spark.createDataFrame([(3, 0.5, 0.2, 0.3)], "competition_weight int, h double, d double, a double")
+    penalties = spark.createDataFrame([("t0", 3, 4)], "team string, won int, played int")
+    rows = {(r["match_id"], r["swapped"]): r for r in W.feature_table(m, rates, penalties=penalties).collect()}
+    both = [i for i, swapped in rows if swapped]
+    assert len(both) == m.where("neutral").count() and len(rows) == m.count() + len(both)
+    for i in both:
+        a, b = rows[i, False], rows[i, True]
+        for c in ("elo_diff_home_away", "rank_diff", "form_diff_w3", "goal_balance_diff", "penalty_win_rate_diff", "home_h2h_goal_diff"):
+            assert a[c] == pytest.approx(-b[c])
+        assert a["elo_win_prob"] == pytest.approx(1 - b["elo_win_prob"]) and a["home_h2h_win_rate"] == b["away_h2h_win_rate"]
+        assert b["stage_weight"] == a["stage_weight"] / 2 and b["match_weight"] == a["match_weight"] and {a["target"], b["target"]} in ({"H", "A"}, {"D"})
+
+
+def pool_adjacent(x, y):
+    """Isotonic means of y by rising x."""
+    blocks = []
+    for v in sorted(set(x)):
+        mine = [b for a, b in zip(x, y) if a == v]
+        blocks.append([sum(mine), len(mine), [v]])
+        while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] > blocks[-1][0] / blocks[-1][1]:
+            s, n, vs = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + n, blocks[-1][2] + vs]
+    return {v: s / n for s, n, vs in blocks for v in vs}
+
+
+def test_isotonic_calibration(spark):
+    rows = [(i, i % 3, (i * 7 % 10 + 1) / 30, (i * 3 % 10 + 1) / 30) for i in range(60)]
+    rows = [(i, y, a, d, 1 - a - d) for i, y, a, d in rows]
+    df = spark.createDataFrame(rows, "match_id int, y int, p_a double, p_d double, p_h double")
+    maps = [pool_adjacent([r[2 + c] for r in rows], [float(r[1] == c) for r in rows]) for c in range(3)]
+    for r, got in zip(rows, scoring.calibrate_isotonic(df, df).orderBy("match_id").collect()):
+        p = [min(1 - 1e-6, max(1e-6, maps[c][r[2 + c]])) for c in range(3)]
+        assert [got["p_a"], got["p_d"], got["p_h"]] == pytest.approx([x / sum(p) for x in p], abs=1e-9)
+
+
+def test_regression_is_at_its_optimum_and_predicts_by_its_weights(spark):
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(300, 2)) * [1.0, 3.0]
+    y = (x @ [[1.0, 0.0, -1.0], [0.1, 0.0, -0.1]] + rng.gumbel(size=(300, 3))).argmax(axis=1)
+    own = rng.uniform(0.5, 1.0, 300)
+    df = scoring.balanced(spark.createDataFrame([(i, *map(float, a), float(b), float(w)) for i, (a, b, w) in enumerate(zip(x, y, own))], "match_id int, a double, b double, label double, own double"), "label", "own")
+    df = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df)
+    model = scoring.train_logreg(df, "label", "sample_weight")
+    weights = own * 300 / (3 * np.bincount(y)[y])
+    z = x @ model.coefficientMatrix.toArray().T + model.interceptVector.toArray()
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    # the penalty holds for standardised features
+    mean = np.average(x, axis=0, weights=weights)
+    variance = (weights[:, None] * (x - mean) ** 2).sum(axis=0) / (weights.sum() - (weights**2).sum() / weights.sum())
+    gradient = (weights[:, None] * (p - np.eye(3)[y])).T @ x / weights.sum() + 0.001 * model.coefficientMatrix.toArray() * variance
+    assert abs(gradient).max() < 2e-3
+    got = scoring.predict_batch(model, df).orderBy("match_id").collect()
+    assert np.abs(np.array([[r["p_a"], r["p_d"], r["p_h"]] for r in got]) - p).max() < 1e-9
+
+
+def test_fuzzy_match_loses_nothing(spark):
+    rng = np.random.default_rng(2)
+    name = lambda: "".join(rng.choice(list("abcd"), int(rng.integers(1, 14))))
+    left = [(i, "x", name()) for i in range(60)]
+    right = [(i, "x", name(), name()) for i in range(80)]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, p in enumerate(a, 1):
+            row, before = [i], row
+            for j, q in enumerate(b, 1):
+                row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (p != q)))
+        return row[-1]
+
+    similar = lambda a, b: 100 * (1 - distance(a, b) / max(len(a), len(b)))
+    want = {}
+    for i, _, n in left:
+        best = min((-max(similar(n, a), similar(n, b)), j) for j, _, a, b in right)
+        if -best[0] >= 75 - 1e-9:
+            want[i] = best[1]
+    players = spark.createDataFrame(left, "id int, nation string, name string")
+    ratings = spark.createDataFrame(right, "other_id int, nation string, other_name string, other_short string")
+    assert {r["id"]: r["other_id"] for r in joins.fuzzy_squad_match(players, ratings, "nation").collect()} == want and len(want) > 10
+
+
+def test_a_batch_run_again_changes_nothing(spark, tmp_path):
+    table, late, source, checkpoint = (f"file://{tmp_path}/{x}" for x in ("table", "late", "source", "checkpoint"))
+    none = spark.createDataFrame([], "alias string, canonical string")
+    matches(spark, [(0, "A", "B", 1, 0, False)]).write.parquet(f"{table}/batch=-1")
+
+    def run():
+        stream = spark.readStream.schema(MATCH).parquet(source)
+        incremental.append_stream(stream, table, none, checkpoint, late, availableNow=True).awaitTermination()
+        return sorted((r["home_team"], r["batch"]) for r in spark.read.parquet(table).collect()), sorted(r["home_team"] for r in spark.read.parquet(late).collect())
+
+    for rows in ([(1, "C", "D", 1, 0, False), (0, "L", "D", 1, 0, False)], [(2, "E", "F", 1, 1, False), (1, "M", "F", 1, 1, False)]):
+        matches(spark, rows).write.mode("append").parquet(source)
+        found = run()
+    assert found == ([("A", -1), ("C", 0), ("E", 1)], ["L", "M"])
+    # as if the driver had been lost before the batch was noted as done
+    for commit in (tmp_path / "checkpoint" / "commits").glob("*1*"):
+        commit.unlink()
+    assert run() == found
