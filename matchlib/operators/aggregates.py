@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import result_label
-from .joins import active_injuries, active_roster, asof_player_rating
+from .joins import active_roster, rated_and_healthy
 
 
 def _shares(label: str = "target"):
@@ -62,9 +62,7 @@ def squad_features(fixtures: DataFrame, rosters: DataFrame, ratings: DataFrame,
     started = fixtures.join(lineups.where("is_starter").select("team", "match_id", "player_id"), ["team", "match_id"]).withColumn("starter", F.lit(True))
     rest = fixtures.join(started.select("team", "match_id").distinct(), ["team", "match_id"], "left_anti")
     squad = started.unionByName(active_roster(rest, rosters).withColumn("starter", F.lit(False)))
-    rated = asof_player_rating(squad, ratings).join(players.select("player_id", "position"), "player_id", "left")
-    hurt = active_injuries(rated, injuries).select("team", "match_id", "player_id").distinct().withColumn("injured", F.lit(True))
-    rated = rated.join(hurt, ["team", "match_id", "player_id"], "left").withColumn("healthy", F.col("injured").isNull())
+    rated = rated_and_healthy(squad, ratings, injuries).join(players.select("player_id", "position"), "player_id", "left")
     top = Window.partitionBy("team", "match_id").orderBy(F.col("overall_rating").desc_nulls_last(), "player_id")
     rated = rated.withColumn("_top", (F.row_number().over(top) <= 3) & F.col("overall_rating").isNotNull())
     filled = F.coalesce("overall_rating", F.lit(70.0))

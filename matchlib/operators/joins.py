@@ -46,6 +46,18 @@ def active_injuries(fixtures: DataFrame, injuries: DataFrame, key: str = "player
     return fixtures.join(i, (F.col(key) == F.col("_key")) & active, "left_semi")
 
 
+def rated_and_healthy(fixtures: DataFrame, ratings: DataFrame, injuries: DataFrame) -> DataFrame:
+    """fixtures(player_id, date, ...) with overall_rating as in asof_player_rating and healthy (whether no injury is active). All three are sorted together once per player: an injury is active if the latest end of those begun by the day isn't before it."""
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType)
+    q = fixtures.select(F.struct("*").alias("_q"), F.col("player_id").alias("_key"), F.col("date").alias("_day"), F.lit(1).alias("_kind"), none(ratings, "overall_rating").alias("_v"), F.lit(None).cast("date").alias("_until"))
+    empty = F.lit(None).cast(q.schema["_q"].dataType)
+    r = ratings.where("rating_date is not null").select(empty, "player_id", "rating_date", F.lit(2), "overall_rating", F.lit(None).cast("date"))
+    i = injuries.where("from_date is not null").select(empty, "player_id", "from_date", F.lit(0), none(ratings, "overall_rating"), F.coalesce("to_date", F.expr("date'9999-12-31'")))
+    seen = Window.partitionBy("_key").orderBy("_day", "_kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = q.union(r).union(i).withColumns({"overall_rating": F.last("_v", ignorenulls=True).over(seen), "healthy": F.coalesce(F.max("_until").over(seen) < F.col("_day"), F.lit(True))})
+    return found.where("_kind = 1").select("_q.*", "overall_rating", "healthy")
+
+
 def attach_xg(matches: DataFrame, xg: DataFrame) -> DataFrame:
     """home_xg and away_xg by date and teams, else the proxies home_attack and away_attack, and xg_source."""
     x = xg.select("date", "home_team", "away_team", F.col("home_xg").alias("_h"), F.col("away_xg").alias("_a"))
