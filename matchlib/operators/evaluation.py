@@ -32,9 +32,13 @@ def row_hit() -> Column:
     return (predicted() == F.col("y")).cast("int")
 
 
+def _basic_sums() -> list[Column]:
+    return [F.count("*").alias("n"), F.round(F.avg(row_hit()), 6).alias("accuracy"), F.round(F.avg(row_log_loss()), 6).alias("log_loss"), F.round(F.avg(row_brier()), 6).alias("brier")]
+
+
 def basic_metrics(predictions: DataFrame, by: list[str]) -> DataFrame:
     """n, accuracy, log_loss and brier of each group, in one pass."""
-    return predictions.groupBy(*by).agg(F.count("*").alias("n"), F.round(F.avg(row_hit()), 6).alias("accuracy"), F.round(F.avg(row_log_loss()), 6).alias("log_loss"), F.round(F.avg(row_brier()), 6).alias("brier"))
+    return predictions.groupBy(*by).agg(*_basic_sums())
 
 
 def confusion_matrix(predictions: DataFrame, by: list[str]) -> DataFrame:
@@ -48,9 +52,13 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.when(b == 0, 0.0).otherwise(a / b)
 
 
-def per_class_prf(predictions: DataFrame, by: list[str]) -> DataFrame:
-    """Precision, recall, F1 and support of each class and group, 0 where undefined; class macro is their mean, weighted their mean by support."""
-    counts = predictions.groupBy(*by).agg(*(x for i in range(3) for x in (F.count_if((F.col("y") == i) & (predicted() == i)).alias(f"_t{i}"), F.count_if(predicted() == i).alias(f"_p{i}"), F.count_if(F.col("y") == i).alias(f"_s{i}"))))
+def _class_sums() -> list[Column]:
+    """For each class: hits, predictions and support."""
+    return [x for i in range(3) for x in (F.count_if((F.col("y") == i) & (predicted() == i)).alias(f"_t{i}"), F.count_if(predicted() == i).alias(f"_p{i}"), F.count_if(F.col("y") == i).alias(f"_s{i}"))]
+
+
+def _class_rows() -> list[tuple]:
+    """(class, precision, recall, F1, support) of each class and of both means, from _class_sums."""
     one = []
     for i, c in enumerate(CLASSES):
         precision, recall = _ratio(F.col(f"_t{i}"), F.col(f"_p{i}")), _ratio(F.col(f"_t{i}"), F.col(f"_s{i}"))
@@ -58,9 +66,13 @@ def per_class_prf(predictions: DataFrame, by: list[str]) -> DataFrame:
     total = one[0][4] + one[1][4] + one[2][4]
     macro = [sum((x[k] for x in one), F.lit(0.0)) / 3 for k in (1, 2, 3)]
     weighted = [_ratio(sum((x[k] * x[4] for x in one), F.lit(0.0)), total) for k in (1, 2, 3)]
-    rows = [*one, ("macro", *macro, total), ("weighted", *weighted, total)]
-    structs = [F.struct(F.lit(n).alias("cls"), F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(f, 6).alias("f1"), s.cast("long").alias("support")) for n, p, r, f, s in rows]
-    return counts.select(*by, F.explode(F.array(*structs)).alias("c")).select(*by, "c.*")
+    return [*one, ("macro", *macro, total), ("weighted", *weighted, total)]
+
+
+def per_class_prf(predictions: DataFrame, by: list[str]) -> DataFrame:
+    """Precision, recall, F1 and support of each class and group, 0 where undefined; class macro is their mean, weighted their mean by support."""
+    structs = [F.struct(F.lit(n).alias("cls"), F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(f, 6).alias("f1"), s.cast("long").alias("support")) for n, p, r, f, s in _class_rows()]
+    return predictions.groupBy(*by).agg(*_class_sums()).select(*by, F.explode(F.array(*structs)).alias("c")).select(*by, "c.*")
 
 
 def calibration_bins(predictions: DataFrame, by: list[str], bins: int = 5) -> DataFrame:
@@ -90,8 +102,9 @@ def metrics_by_group(predictions: DataFrame, group: str, few: int = 30, drop: fl
 def compare_models(predictions: DataFrame, by: list[str]) -> DataFrame:
     """All basic metrics, mean ECE and macro F1 of each model (by[0]) and window, with the model's place by accuracy, then log-loss, then name."""
     ece = calibration(predictions, by).groupBy(*by).agg(F.round(F.avg("ece"), 6).alias("mean_ece"))
-    macro = per_class_prf(predictions, by).where("cls = 'macro'").select(*by, F.col("f1").alias("macro_f1"))
-    joined = basic_metrics(predictions, by).join(ece, by).join(macro, by)
+    macro_f1 = next(F.round(x[3], 6) for x in _class_rows() if x[0] == "macro")
+    one = predictions.groupBy(*by).agg(*_basic_sums(), *_class_sums()).select(*by, "n", "accuracy", "log_loss", "brier", macro_f1.alias("macro_f1"))
+    joined = one.join(ece, by)
     place = Window.partitionBy(*by[1:]).orderBy(F.desc("accuracy"), "log_loss", by[0])  # rows: models
     return joined.withColumn("place", F.row_number().over(place))
 
