@@ -71,8 +71,8 @@ def test_op1_brute_force_and_random_access(spark, odd):
     assert manifest.count() > 1
     got = [(r["doc_id"], r["start"], r["n_tokens"], digest(np.frombuffer(r["ids"], "<u4"))) for r in token_files.read_token_files(manifest).collect()]
     want, at = [], 0
-    coded = [(r["doc_id"], [*np.frombuffer(enc.encode(r["text"] or ""), "<u4").tolist(), 1]) for r in docs.collect()]
-    for doc_id, ids in sorted(coded, key=lambda r: (r[0] is not None, r[0] or 0, np.array(r[1], "<u2").tobytes())):
+    for r in sorted(docs.collect(), key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "")):
+        doc_id, ids = r["doc_id"], [*np.frombuffer(enc.encode(r["text"] or ""), "<u4"), 1]
         want.append((doc_id, at, len(ids), digest(ids)))
         at += len(ids)
     key = lambda x: x[1]
@@ -549,3 +549,19 @@ def test_pipeline_against_its_stages(spark):
     assert {r["doc_id"] for r in packed.select("doc_id").distinct().collect()} == {i for i, _ in texts}
     assert [n for n, _ in corpus_pipeline.STAGES][0] == "language identification" and corpus_pipeline.ORACLE_SQL is None
 
+
+
+def test_empty_tables_and_a_hot_label(spark, odd, tmp_path):
+    benchmark = spark.createDataFrame([(0, "one two three four five six")], "item_id long, text string")
+    assert secret_scan.find_secrets(odd.limit(0)).count() == 0 and secret_scan.mask_secrets(odd.limit(0)).count() == 0
+    assert decontamination.find_leaks(odd.limit(0), benchmark).count() == 0 and decontamination.without_leaks(odd.limit(0), benchmark).count() == 0
+    assert decontamination.find_leaks(odd, benchmark.limit(0)).count() == 0
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    benchmark.write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    rng = np.random.default_rng(7)
+    rows = [(i, 0 if i % 3 else i, rng.normal(size=4).tolist() if i % 5 else [1.0, 2.0, 3.0, 4.0]) for i in range(120)]
+    got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, label long, embedding array<double>"), 0.98).collect()}
+    unit = np.array([r[2] for r in rows]) / np.linalg.norm([r[2] for r in rows], axis=1)[:, None]
+    assert got == {i: sum(j != i and rows[i][1] == rows[j][1] and unit[i] @ unit[j] >= 0.98 for j in range(120)) for i in range(120)}
