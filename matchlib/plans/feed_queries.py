@@ -169,7 +169,7 @@ _L4 = {c: x for c, x in features_sql("h").items() if c not in ("rest_days", "adj
 _L4 = {("form_w5" if c == "form_last5" else c): x for c, x in _L4.items()}
 
 
-@query("l4_stream_team_state", with_views("lng") + ", o AS (SELECT team, list({'d': date, 'points': points, 'gf': gf, 'ga': ga, 'h': is_home} ORDER BY date DESC, match_id DESC) AS h, count(*) AS n_matches, strftime(max(date), '%Y-%m-%d') AS last_date FROM lng GROUP BY team) SELECT team, n_matches, last_date, " + ", ".join(f"round({x}, 6) + 0.0 AS {c}" for c, x in _L4.items()) + " FROM o")
+@query("l4_stream_team_state", with_views("lng") + ", o AS (SELECT team, list({'d': date, 'points': points, 'gf': gf, 'ga': ga, 'h': is_home} ORDER BY date DESC, match_id DESC) AS h, count(*) AS n_matches, strftime(max(date), '%Y-%m-%d') AS last_date FROM lng GROUP BY team) SELECT team, n_matches, last_date, " + ", ".join(f"CAST(round({x}, 6) + 0.0 AS DOUBLE) AS {c}" for c, x in _L4.items()) + " FROM o")
 def l4(v: Views) -> DataFrame:
     out = streamed(v, by_date(L.long_points(v.matches())), L.stream_team_state, "update")
     columns = [c for c in out.columns if c not in ("team", "batch")]

@@ -284,7 +284,7 @@ sd AS (SELECT fixture_id, date, 'home' AS side, home_team AS team FROM fx UNION
 hh AS (SELECT sd.fixture_id, sd.side, sd.date, coalesce(list({{'d': l.date, 'points': points, 'gf': gf, 'ga': ga, 'h': is_home, 'o': o, 'post': post}} ORDER BY l.date DESC, l.match_id DESC) FILTER (l.match_id IS NOT NULL), []) AS h FROM sd LEFT JOIN lng2 l ON l.team = sd.team AND l.date < sd.date GROUP BY 1, 2, 3),
 s AS (SELECT fixture_id, side, {", ".join(f"{x} AS {c}" for c, x in _E17_SIDE.items())} FROM hh),
 g AS (SELECT fixture_id, home_team, away_team, coalesce(list(gd ORDER BY m.date DESC, m.match_id DESC) FILTER (m.match_id IS NOT NULL), [])[1:10] AS g FROM fx LEFT JOIN meet m ON m.a = least(home_team, away_team) AND m.b = greatest(home_team, away_team) AND m.date < fx.date GROUP BY 1, 2, 3)
-SELECT fx.fixture_id, fx.date, fx.home_team, fx.away_team, {", ".join(f"round({k}.{c}, 6) + 0.0 AS {n}_{c}" for n, k in (("home", "x"), ("away", "y")) for c in _E17_SIDE)}, {", ".join(f"round({x}, 6) + 0.0 AS {c}" for c, x in meeting_sql("g", "g.home_team < g.away_team").items())}
+SELECT fx.fixture_id, fx.date, fx.home_team, fx.away_team, {", ".join(f"CAST(round({k}.{c}, 6) + 0.0 AS DOUBLE) AS {n}_{c}" for n, k in (("home", "x"), ("away", "y")) for c in _E17_SIDE)}, {", ".join(f"CAST(round({x}, 6) + 0.0 AS DOUBLE) AS {c}" for c, x in meeting_sql("g", "g.home_team < g.away_team").items())}
 FROM fx JOIN s x ON x.fixture_id = fx.fixture_id AND x.side = 'home' JOIN s y ON y.fixture_id = fx.fixture_id AND y.side = 'away' JOIN g ON g.fixture_id = fx.fixture_id"""
 
 
@@ -342,7 +342,7 @@ _COLUMNS = {**{c: f"u.{c}" for c in _WHOLE}, **{f"{n}_{c}": f"u.{n}_{c}" for n i
 
 
 def table_sql(columns: list[str]) -> str:
-    chosen = ", ".join(f"{_COLUMNS[c]} AS {c}" if c in _TEXTS else f"round({_COLUMNS[c]}, 6) + 0.0 AS {c}" for c in columns)
+    chosen = ", ".join(f"{_COLUMNS[c]} AS {c}" if c in _TEXTS else f"CAST(round({_COLUMNS[c]}, 6) + 0.0 AS DOUBLE) AS {c}" for c in columns)
     return _TABLE_SQL + f" SELECT swapped, target, {chosen} FROM u JOIN rates ON rates.weight = u.competition_weight"
 
 
