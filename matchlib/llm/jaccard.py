@@ -43,7 +43,9 @@ TOLERANCE = 1e-6
 BANDS, BAND_ROWS = 32, 4
 HASHES = BANDS * BAND_ROWS
 STEP = 16
-BLOCK = 128
+BLOCK = 512
+#: Of signatures alone.
+CANDIDATE_BLOCK = 2048
 #: A class, by its first row; ordered by doc_id.
 NODE = "struct<none:boolean,doc_id:long,text_hash:long,set_id:binary>"
 _SALTS = mixed(np.arange(1, 2 * HASHES + 1, dtype=np.uint64))
@@ -126,7 +128,7 @@ def candidate_links(classes: DataFrame, n_classes: int, threshold: float, tolera
                 v.append(b)
             yield from forest(table, u, v)
 
-    return dealt(rows, "band", "size", "node", 256).mapInArrow(link, f"u {NODE}, v {NODE}").distinct()
+    return dealt(rows, "band", "size", "node", CANDIDATE_BLOCK).mapInArrow(link, f"u {NODE}, v {NODE}").distinct()
 
 
 def forest(table: pa.Table, u: list[np.ndarray], v: list[np.ndarray]):
