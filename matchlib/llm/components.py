@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_key, removed, written_to
+from .common import removed, written_to
 
 
 def stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -27,9 +27,9 @@ def stars(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def components(links: DataFrame) -> DataFrame:
     """node, component (the least node of it) for every node of links(u, v).
 
-    Each round joins every node to the least node that it knows of. A node with
-    very many links is no hot key: its minimum is reduced before the shuffle and
-    joined by broadcast (see by_key). Rounds grow with the logarithm of the size,
+    Each round joins every node to the least node that it knows of; a node with
+    very many links is a key that adaptive execution may split, since only minima
+    are taken of it. Rounds grow with the logarithm of the size,
     and each is written, so that no lineage builds up. Links from a node to
     itself are ignored; an empty table has no components.
     """
@@ -40,12 +40,12 @@ def components(links: DataFrame) -> DataFrame:
         now = links.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if now == state or not now["n"]:
             break
-        state, n = now, now["n"]
+        state = now
         both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).select("u", F.least("u", "m").alias("m"), "n")
-        large = by_key(both.where("v > u"), least, "u", 2 * n).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        small = by_key(large, least, "u", n).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         before = path
         links, path = written_to(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "links")
         removed(before)
