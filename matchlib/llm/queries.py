@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, embedding_dedup, html_text, jaccard, language, packing, quality, secret_scan, token_files, warc
+from . import bpe_tree, decontamination, embedding_dedup, html_text, jaccard, language, packing, quality, secret_scan, token_files, warc
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_jaccard_join": jaccard.op8_jaccard_join,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_decontamination": decontamination.op10_decontamination,
+    "op13_byte_bpe": bpe_tree.op13_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {

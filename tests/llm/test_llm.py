@@ -1,6 +1,8 @@
 """The training-data operators: brute force, SQL, round trips and odd rows."""
 
+import base64
 import gzip
+import hashlib
 import html
 import io
 import re
@@ -13,7 +15,7 @@ from oracle import SF, check, connect
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from matchlib.llm import decontamination, embedding_dedup, html_text, jaccard, language, packing, quality, secret_scan, token_files, tokens, warc
+from matchlib.llm import bpe_tree, decontamination, embedding_dedup, html_text, jaccard, language, packing, quality, secret_scan, token_files, tokens, warc
 from matchlib.llm.queries import ORACLE_SQL, QUERIES
 from matchlib.llm.tiles import dealt, pair_chunks, whole_tiles
 from matchlib.llm.words import WORDS, ngrams
@@ -562,3 +564,60 @@ def test_empty_tables_and_a_hot_label(spark, odd, tmp_path):
     got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, label long, embedding array<double>"), 0.98).collect()}
     unit = np.array([r[2] for r in rows]) / np.linalg.norm([r[2] for r in rows], axis=1)[:, None]
     assert got == {i: sum(j != i and rows[i][1] == rows[j][1] and unit[i] @ unit[j] >= 0.98 for j in range(120)) for i in range(120)}
+
+
+@pytest.fixture(scope="module")
+def rank_file():
+    tiktoken = pytest.importorskip("tiktoken")
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    return path, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@pytest.mark.parametrize("leaf, block", [(1, 8), (2, 64), (bpe_tree.LEAF, bpe_tree.BLOCK)])
+def test_op13_tree_equals_the_library(rank_file, leaf, block):
+    """Any cut of any text gives the ids of the whole: few letters, so that merges cross the cuts; every kind of white space, letter and sign."""
+    path, plain = rank_file
+    code = bpe_tree.Coder(path, public_tokenizers.PATTERN, leaf=leaf, block=block, cache_entries=5000)
+    rng = np.random.default_rng(3)
+    texts = ["", " ", "\n", "  a", "don't we'll 's", "a　b\x1c c d", "日本語🙂", "<|endoftext|>", "a" * 3000, "ab" * 2000, "abcdefghij" * 500]
+    for letters in ("ab", "aab c", "etaoin shrdlu'st", "ÉéЖ日🙂a ", "  \n\ta1.'s\r", "0123 456", ".,!? -="):
+        texts += ["".join(rng.choice(list(letters), int(rng.integers(1, n)))) for n in (4, 40, 400) for _ in range(25)]
+    for t in texts:
+        want = np.array(plain.encode_ordinary(t), "<u4")
+        assert code.encode(t) == want.tobytes(), t[:50]
+        assert code.decode(want) == t.encode()
+
+
+def test_op13_join_is_associative(rank_file):
+    code = bpe_tree.Coder(rank_file[0], public_tokenizers.PATTERN)
+    rng = np.random.default_rng(4)
+    for _ in range(200):
+        x, y, z = (bytes(rng.choice(list(b"aeinorst"), int(rng.integers(1, 12))).astype(np.uint8)) for _ in range(3))
+        a, b, c = map(code._merged, (x, y, z))
+        whole = code._merged(x + y + z)
+        assert code.joined(code.joined(a, b), c) == code.joined(a, code.joined(b, c)) == whole
+        assert code._merged_long(x + y + z) == whole
+
+
+def test_op13_rows(spark, odd, rank_file):
+    path, plain = rank_file
+    args = (path, public_tokenizers.PATTERN)
+    want = []
+    for r in odd.collect():
+        ids = np.array(plain.encode_ordinary(r["text"] or ""), "<u4")
+        want.append((r["doc_id"], len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256((r["text"] or "").encode()).hexdigest()))
+    key = lambda r: (r[0] is not None, r[0] or 0, r[2])
+    assert sorted(map(tuple, bpe_tree.coded_digests(odd, *args).collect()), key=key) == sorted(want, key=key)
+    back = bpe_tree.decoded(bpe_tree.encoded(odd, *args), *args)
+    assert sorted(r["decoded"] for r in back.collect()) == sorted((r["text"] or "").encode() for r in odd.collect())
+    assert bpe_tree.coded_digests(odd.where("false"), *args).count() == 0
+
+
+def test_op13_query_equals_the_library(spark, rank_file):
+    got = {r["doc_id"]: r for r in QUERIES["op13_byte_bpe"](spark, SF).collect()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    assert len(got) == len(docs)
+    for r in docs:
+        ids = np.array(rank_file[1].encode_ordinary(r["text"] or ""), "<u4").tobytes()
+        assert (got[r["doc_id"]]["n_tokens"], got[r["doc_id"]]["ids_sha256"]) == (len(ids) // 4, hashlib.sha256(ids).hexdigest())
