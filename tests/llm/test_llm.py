@@ -8,6 +8,7 @@ import io
 import re
 import time
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -15,7 +16,7 @@ from oracle import SF, check, connect
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from matchlib.llm import bpe_tree, decontamination, embedding_dedup, html_text, jaccard, language, packing, quality, secret_scan, token_files, tokens, warc
+from matchlib.llm import bpe_tree, decontamination, embedding_dedup, html_text, jaccard, language, packing, periodic_runs, quality, secret_scan, token_files, tokens, warc
 from matchlib.llm.queries import ORACLE_SQL, QUERIES
 from matchlib.llm.tiles import dealt, pair_chunks, whole_tiles
 from matchlib.llm.words import WORDS, ngrams
@@ -621,3 +622,108 @@ def test_op13_query_equals_the_library(spark, rank_file):
     for r in docs:
         ids = np.array(rank_file[1].encode_ordinary(r["text"] or ""), "<u4").tobytes()
         assert (got[r["doc_id"]]["n_tokens"], got[r["doc_id"]]["ids_sha256"]) == (len(ids) // 4, hashlib.sha256(ids).hexdigest())
+
+
+def plain_runs(words):
+    """All runs as (start, length, period), by comparing every pair of words."""
+    out = []
+    for q in range(1, len(words) // periodic_runs.TIMES + 1):
+        i = 0
+        while i < len(words) - q:
+            j = i
+            while j < len(words) - q and words[j] == words[j + q]:
+                j += 1
+            run = words[i : j + q]
+            if len(run) >= max(periodic_runs.LEAST, periodic_runs.TIMES * q) and not any(run[p:] == run[:-p] for p in range(1, q)):
+                out.append((i, len(run), q))
+            i = j + 1
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def plain_row(doc_id, text):
+    """The contract's row, word by word."""
+    words = re.findall(rb"[^\x20\x09-\x0D]+", (text or "").encode())
+    n = len(words)
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    if h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+    runs = plain_runs(words)
+    best = min(runs, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2]), default=None)
+    gone = {i for s, n, q in runs for i in range(s + q, s + n)}
+    kept = b" ".join(w for i, w in enumerate(words) if i not in gone)
+    listed = "".join(f"{s},{n},{q}\n" for s, n, q in runs).encode()
+    return doc_id, len(runs), *(best or (None,) * 3), best and 1000 * best[1] // best[2], hashlib.sha256(listed).hexdigest(), hashlib.sha256(kept).hexdigest()
+
+
+def test_op12_runs_of_random_words():
+    """Random words of few and many kinds with repeated stretches, several documents at a time."""
+    rng = np.random.default_rng(5)
+    seen = 0
+    for _ in range(40):
+        docs = []
+        for _ in range(int(rng.integers(1, 8))):
+            kinds, words = int(rng.choice([1, 2, 3, 10, 50])), []
+            while len(words) < rng.integers(0, 300):
+                unit = rng.integers(0, kinds, int(rng.integers(1, 40))).tolist()
+                words += unit * int(rng.integers(1, 9)) + unit[: int(rng.integers(0, len(unit) + 1))]
+            docs.append(words)
+        ends = np.cumsum([len(d) for d in docs])
+        ids = np.array([1000 * k + w for k, d in enumerate(docs) for w in d], np.int64)
+        want = [(e - len(d) + s, q, e - len(d) + s + n) for d, e in zip(docs, ends.tolist()) for s, n, q in plain_runs(d)]
+        assert [tuple(r) for r in periodic_runs.runs_of(ids, np.repeat(np.arange(len(docs)), [len(d) for d in docs]), ends).tolist()] == want
+        seen += len(want)
+    assert seen > 100
+
+
+def test_op12_grammar_derives_the_text():
+    """Each symbol stands for the same words at all its places, and no pair of a start rule occurs twice apart."""
+    rng = np.random.default_rng(6)
+    ids = np.concatenate([rng.integers(0, 4, 3000), 10 + np.tile(np.arange(50), 20)])
+    doc = np.repeat([0, 1], [3000, 1000])
+    rules, start, owner = periodic_runs.repaired(ids, doc)
+    expansion = {}
+    for symbol, low, mid, high in rules.tolist():
+        assert low < mid < high
+        assert expansion.setdefault(symbol, (ids[low:mid].tolist(), ids[mid:high].tolist())) == (ids[low:mid].tolist(), ids[mid:high].tolist())
+    assert (owner == doc[start]).all()
+    for k, stop in ((0, 3000), (1, 4000)):
+        cuts = [*start[owner == k].tolist(), stop]
+        pairs = [(tuple(ids[a:b]), tuple(ids[b:c])) for a, b, c in zip(cuts, cuts[1:], cuts[2:])]
+        assert max(pairs.count(p) for p in pairs) <= 2  # twice only where they overlap
+        assert len(pairs) < 0.6 * (stop - k * 3000)
+
+
+def test_op12_hashes_that_collide(monkeypatch):
+    """Words of two kinds in an order whose polynomial hashes modulo 2**64 are equal; then words are compared."""
+    order = [0]
+    while len(order) < 1 << 7:
+        order += [1 - x for x in order]
+    words = (order * 3 + order[:100])[-600:]
+    monkeypatch.setattr(periodic_runs._Text, "equal", lambda self, i, j, n: np.ones(len(n), bool) if self.by_hash else np.array([(self.ids[a : a + k] == self.ids[b : b + k]).all() for a, b, k in zip(i, j, n)], bool))
+    found = periodic_runs.runs_of(np.array(words), np.zeros(len(words), int), np.array([len(words)]))
+    assert [tuple(r) for r in found.tolist()] == [(s, q, s + n) for s, n, q in plain_runs(words)]
+
+
+def test_op12_rows(spark, odd):
+    more = spark.createDataFrame([(20 + i, t) for i, t in enumerate(["a b c " * 8, "a b c " * 7 + "a b", "x " * 24, "x " * 23, "un deux " * 40 + "trois quatre cinq " * 12, "é b " * 30])], "doc_id long, text string")
+    docs = odd.select("doc_id", "text").where("doc_id is null or doc_id <> 3").unionByName(more)
+    key = lambda r: (r[0] is not None, r[0] or 0, r[7])
+    want = sorted((plain_row(r["doc_id"], r["text"]) for r in docs.collect()), key=key)
+    for at_once in (1, 100_000):
+        assert sorted(map(tuple, periodic_runs.run_digests(docs, rewrite=True, at_once=at_once).collect()), key=key) == want
+    long = periodic_runs.run_digests(odd.where("doc_id = 3")).first()
+    assert long[1:6] == (1, 0, 16000, 4, 4_000_000) and long[7] == hashlib.sha256(b"palabra otra cosa distinta").hexdigest()
+    assert periodic_runs.run_digests(docs.where("false")).count() == 0
+
+
+def test_op12_query_equals_comparing_all_words(spark):
+    got = {r["doc_id"]: tuple(r) for r in QUERIES["op12_periodic_runs"](spark, SF).collect()}
+    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
+    assert len(got) == len(docs)
+    some = [r for r in docs if len(r["text"] or "") < 6000]
+    assert sum(got[r["doc_id"]][1] > 0 for r in some) > 5
+    for r in some:
+        assert got[r["doc_id"]] == plain_row(r["doc_id"], r["text"])
