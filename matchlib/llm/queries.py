@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe_tree, decontamination, embedding_dedup, html_text, jaccard, language, packing, periodic_runs, quality, secret_scan, token_files, warc
+from . import bpe_tree, decontamination, embedding_dedup, html_text, jaccard, language, packing, periodic_runs, prefix_trie, quality, secret_scan, token_files, warc
 
 QUERIES = {
     "op1_token_files": token_files.op1_token_files,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_jaccard_join": jaccard.op8_jaccard_join,
     "op9_secret_scan": secret_scan.op9_secret_scan,
     "op10_decontamination": decontamination.op10_decontamination,
+    "op11_prefix_trie": prefix_trie.op11_prefix_trie,
     "op12_periodic_runs": periodic_runs.op12_periodic_runs,
     "op13_byte_bpe": bpe_tree.op13_byte_bpe,
 }
@@ -24,4 +25,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_embedding_dedup": embedding_dedup.OP6_SQL,
     "op8_jaccard_join": jaccard.OP8_SQL,
     "op9_secret_scan": secret_scan.OP9_SQL,
+    "op11_prefix_trie": prefix_trie.OP11_SQL,
 }

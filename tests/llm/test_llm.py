@@ -16,7 +16,7 @@ from oracle import SF, check, connect
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from matchlib.llm import bpe_tree, decontamination, embedding_dedup, html_text, jaccard, language, packing, periodic_runs, quality, secret_scan, token_files, tokens, warc
+from matchlib.llm import bpe_tree, decontamination, embedding_dedup, html_text, jaccard, language, packing, periodic_runs, prefix_trie, quality, secret_scan, token_files, tokens, warc
 from matchlib.llm.queries import ORACLE_SQL, QUERIES
 from matchlib.llm.tiles import dealt, pair_chunks, whole_tiles
 from matchlib.llm.words import WORDS, ngrams
@@ -727,3 +727,81 @@ def test_op12_query_equals_comparing_all_words(spark):
     assert sum(got[r["doc_id"]][1] > 0 for r in some) > 5
     for r in some:
         assert got[r["doc_id"]] == plain_row(r["doc_id"], r["text"])
+
+
+def plain_trie(rows):
+    """The contract's rows of (conv_id, turn, role, text), conversation by conversation."""
+    own = {}
+    order = lambda r: (r[1] is not None, r[1] or 0, hashlib.sha256(f"{len(r[2] or '')}:{r[2] or ''}{r[3] or ''}".encode()).hexdigest())
+    for c, _, role, text in sorted((r for r in rows if r[0] is not None), key=order):
+        own.setdefault(c, []).append((role or "", text or ""))
+    built = {}
+    for c, turns in own.items():
+        h = zlib.crc32(str(c).encode()) % 6
+        base = c - (c % 100 if c >= 0 else -(-c % 100))
+        built[c] = own.get(base, [])[:h] + turns[h:]
+    members = {}
+    for c, turns in built.items():
+        for d in range(len(turns) + 1):
+            members.setdefault(tuple(turns[:d]), []).append(c)
+    out = []
+    for node, cs in members.items():
+        below = [m for m in members if m[: len(node)] == node]
+        kids = [m for m in below if len(m) == len(node) + 1]
+        leaves = [m for m in below if not any(len(x) == len(m) + 1 and x[: len(m)] == m for x in below)]
+        saved = sum((len(members[m]) - 1) * len(m[-1][1]) for m in below if m)
+        ends = ",".join(map(str, sorted(c for c in cs if len(built[c]) == len(node))))
+        out.append((min(cs), len(node), min(members[node[:-1]]) if node else None, len(cs), len(kids), len(leaves), saved, hashlib.sha256(ends.encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+def some_conversations():
+    """Copies, common first turns, one long conversation and copies of it, absent bases, turns without number, equal numbers, repeated rows, nulls, negative ids."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for c in [*range(0, 40), *range(100, 130), *range(205, 240), -1, -100, -130]:
+        kind = int(rng.integers(0, 4))
+        for t in range(int(rng.integers(1, 9))):
+            text = "hello" if kind < 2 and t == 0 else f"turn {t}" if kind == 1 else f"{rng.integers(0, 3)}é"
+            rows.append((c, t, "user" if t % 2 == 0 else "assistant", text))
+    rows += [(c, t, "user", f"step {t}") for c in (300, 301, 302, 303) for t in range(50 if c < 303 else 20)]
+    rows += [(7, None, None, None), (7, None, "user", "unnumbered"), (8, 2, "user", "tie b"), (8, 2, "user", "tie a"), (9, 1, "user", "twice"), (9, 1, "user", "twice"), (None, 1, "user", "nobody's"), (None, None, None, None), (501, 0, "user", ""), (502, 0, "user", "x"), (503, 0, None, "")]
+    rng.shuffle(rows)
+    return [(r[0] if r[0] is None else int(r[0]), None if r[1] is None else int(r[1]), r[2], r[3]) for r in rows]
+
+
+CONVERSATIONS = "conv_id long, turn long, role string, text string, node string, parent int, depth int"
+
+
+@pytest.mark.parametrize("cells, parts", [(prefix_trie.MOST_CELLS, 4), (3 << 10, 9), (96, 3)])
+def test_op11_brute_force(spark, cells, parts):
+    """Also with sketches so small that most prefixes seem shared, and with conversations that lie in several tasks."""
+    rows = some_conversations()
+    table = spark.createDataFrame([(*r, "x", 1, 2) for r in rows], CONVERSATIONS)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+        assert prefix_trie.numbered(prefix_trie.digested(table))[1]  # some task begins inside a conversation
+        got = sorted(map(tuple, prefix_trie.prefix_trie(table, most_cells=cells).collect()), key=repr)
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert got == plain_trie(rows)
+
+
+def test_op11_empty_and_turnless(spark):
+    table = spark.createDataFrame([(*r, "x", 1, 2) for r in [(101, 0, "user", "a"), (105, 0, "user", "a"), (None, 0, "user", "b")]], CONVERSATIONS)
+    assert prefix_trie.prefix_trie(table.where("false")).count() == 0
+    assert prefix_trie.prefix_trie(table.where("conv_id is null")).count() == 0
+    assert sorted(map(tuple, prefix_trie.prefix_trie(table).collect()), key=repr) == plain_trie([(101, 0, "user", "a"), (105, 0, "user", "a")])
+
+
+def test_op11_estimates_are_never_too_low(spark):
+    table = spark.createDataFrame([(*r, "x", 1, 2) for r in some_conversations()], CONVERSATIONS)
+    prefixes, _ = prefix_trie.rebuilt(prefix_trie.with_carried(*prefix_trie.numbered(prefix_trie.digested(table))))
+    for width in (64, 4096):
+        flagged = prefix_trie.screened(prefixes, prefix_trie.sketched(prefixes, width))
+        often = flagged.groupBy("node").agg(F.count("*").alias("n"), F.max("single").alias("single"))
+        assert often.where("n > 1 and single").count() == 0
+    assert often.where("n = 1 and single").count() > 0.9 * often.where("n = 1").count()
