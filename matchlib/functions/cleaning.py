@@ -176,11 +176,18 @@ def points(goals_for: Column, goals_against: Column) -> Column:
     return F.when(goals_for > goals_against, 3).when(goals_for == goals_against, 1).otherwise(0)
 
 
+def player_key(name: Column) -> Column:
+    """What two spellings of a player's name share: case and spacing don't count, accents do."""
+    return F.lower(F.trim(F.regexp_replace(name, r"\s+", " ")))
+
+
 def resolve_players(df: DataFrame, aliases: DataFrame) -> DataFrame:
-    """player_id of df(name, nationality) by aliases(alias, player_id, player_nationality); null if unknown or if a given nationality differs."""
-    joined = df.join(aliases, normalize_player_name(F.col("name")) == F.col("alias"), "left")
-    agrees = F.col("nationality").isNull() | (F.lower("nationality") == F.lower("player_nationality"))
-    return joined.withColumn("player_id", F.when(agrees, F.col("player_id"))).drop("alias", "player_nationality")
+    """player_id of df(name, nationality) by aliases(alias, player_id, player_nationality), one row for each of df. A nationality (in any case) chooses among the players of an alias; without one (null or empty) the alias must have one player. Null if no player or several are left."""
+    known = aliases.select(player_key(F.col("alias")).alias("_key"), F.lower("player_nationality").alias("_nation"), F.col("player_id").alias("_id")).where("_key is not null and _id is not null")
+    only = lambda name: F.when(F.min("_id") == F.max("_id"), F.min("_id")).alias(name)
+    asked = df.withColumns({"_key": player_key(F.col("name")), "_nation": F.lower("nationality")})
+    found = asked.join(known.groupBy("_key").agg(only("_any")), "_key", "left").join(known.where("_nation is not null").groupBy("_key", "_nation").agg(only("_one")), ["_key", "_nation"], "left")
+    return found.withColumn("player_id", F.when(F.coalesce("_nation", F.lit("")) == "", F.col("_any")).otherwise(F.col("_one"))).drop("_key", "_nation", "_any", "_one")
 
 
 def list_players(players: DataFrame, nationality: str) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import points
+from .scoring import neutral_symmetrize
 
 
 def league_table(group_team: DataFrame, finished: DataFrame) -> DataFrame:
@@ -52,29 +53,51 @@ def assign_third_slots(thirds: DataFrame, lookup: DataFrame) -> DataFrame:
     return slots.join(thirds, ["scenario_id", "grp"]).select("scenario_id", "slot", "grp", "team")
 
 
-def propagate_bracket(first_round: DataFrame, feeds: DataFrame, probabilities: DataFrame, rounds: int) -> DataFrame:
+def knockout_probabilities(pairs: DataFrame) -> DataFrame:
+    """team1, team2 and p1, the chance that team1 goes on, of pairs(home, away, p_h, p_d, p_a): averaged over both orientations, a draw counts half for either."""
+    return neutral_symmetrize(pairs).select(F.col("home").alias("team1"), F.col("away").alias("team2"), F.round(F.col("p_h") + F.col("p_d") / 2, 12).alias("p1"))
+
+
+def pair_array(teams: DataFrame, probabilities: DataFrame, most_teams: int) -> DataFrame:
+    """One row: names, the sorted distinct teams(team), and cells, p1 of every pair by the places of both (one half where probabilities(team1, team2, p1) has none). An error beyond most_teams teams."""
+    one = teams.distinct().limit(most_teams + 1).agg(F.sort_array(F.collect_list("team")).alias("names"))
+    checked = F.when(F.size("names") > most_teams, F.raise_error(F.lit(f"a bracket's pairs are packed for {most_teams} teams at most"))).otherwise(F.col("names"))
+    rows = one.select(F.posexplode(checked).alias("i", "team1"), F.col("names"))
+    cells = rows.select("i", "team1", F.posexplode("names").alias("j", "team2")).join(probabilities, ["team1", "team2"], "left")
+    packed = cells.agg(F.transform(F.sort_array(F.collect_list(F.struct("i", "j", F.coalesce("p1", F.lit(0.5)).alias("p")))), lambda c: c["p"]).alias("cells"))
+    return one.crossJoin(packed)  # one row each
+
+
+def propagate_bracket(first_round: DataFrame, feeds: DataFrame, probabilities: DataFrame, most_teams: int = 1000) -> DataFrame:
     """All matches of brackets: scenario_id, slot, round, team1, team2, p1 (of 4 decimals) and winner.
 
-    first_round(scenario_id, slot, team1, team2) is played, the favourite (p1 >=
-    0.5, by probabilities(team1, team2, p1)) advancing; feeds(slot, from1, from2,
-    round, losers) name the next rounds' slots. A join for each round, for all
-    scenarios at once.
+    first_round(scenario_id, slot, team1, team2) is played, team1 advancing if p1 >=
+    0.5 by probabilities(team1, team2, p1); feeds(slot, from1, from2, round, losers)
+    name the next rounds' slots. A match without both teams isn't played. A bracket
+    is one row, folded over the feeds; the pairs of all teams, a square of at most
+    most_teams, and the feeds are one row, broadcast. No round is a join.
     """
-
-    def played(matches: DataFrame) -> DataFrame:
-        p = F.coalesce("p1", F.lit(0.5))
-        return matches.join(probabilities, ["team1", "team2"], "left").select("scenario_id", "slot", "round", "team1", "team2", F.round(p, 4).alias("p1"), F.when(p >= 0.5, F.col("team1")).otherwise(F.col("team2")).alias("winner"))
-
-    now = played(first_round.withColumn("round", F.lit(1)))
-    out = now
-    for r in range(2, rounds + 1):
-        ended = out.select("scenario_id", "slot", "winner", F.when(F.col("winner") == F.col("team1"), F.col("team2")).otherwise(F.col("team1")).alias("loser"))
-        slots = F.broadcast(feeds.where(F.col("round") == r).drop("round"))  # the slots of a bracket
-        a = slots.join(ended.withColumnRenamed("slot", "from1"), "from1").select("scenario_id", "slot", F.when(F.col("losers"), F.col("loser")).otherwise(F.col("winner")).alias("team1"))
-        b = slots.join(ended.withColumnRenamed("slot", "from2"), "from2").select("scenario_id", "slot", F.when(F.col("losers"), F.col("loser")).otherwise(F.col("winner")).alias("team2"))
-        now = played(a.join(b, ["scenario_id", "slot"]).withColumn("round", F.lit(r)))
-        out = out.unionByName(now)
-    return out
+    teams = first_round.select(F.explode(F.array("team1", "team2")).alias("team")).where("team is not null")
+    slots = feeds.agg(F.sort_array(F.collect_list(F.struct("round", "slot", "from1", "from2", "losers"))).alias("feeds"))
+    fixed = F.broadcast(pair_array(teams, probabilities, most_teams).crossJoin(slots))  # one row each
+    brackets = first_round.where("team1 is not null and team2 is not null").groupBy("scenario_id").agg(F.sort_array(F.collect_list(F.struct("slot", "team1", "team2"))).alias("first")).crossJoin(fixed)
+    place = lambda team: (F.array_position("names", team) - 1).cast("int")
+
+    def played(slot: Column, number: Column, m: Column) -> Column:
+        p = F.element_at("cells", m["a"] * F.size("names") + m["b"] + 1)
+        ahead = p >= 0.5
+        return F.struct(slot.cast("int").alias("slot"), number.cast("int").alias("round"), m["a"].alias("a"), m["b"].alias("b"), p.alias("p"), F.when(ahead, m["a"]).otherwise(m["b"]).alias("won"), F.when(ahead, m["b"]).otherwise(m["a"]).alias("lost"))
+
+    def then(ended: Column, f: Column) -> Column:
+        source = lambda slot: F.get(F.filter(ended, lambda r: r["slot"] == slot), F.lit(0))
+        team = lambda slot: F.transform(F.array(source(slot)), lambda r: F.when(f["losers"], r["lost"]).otherwise(r["won"]))[0]
+        both = F.filter(F.array(F.struct(team(f["from1"]).alias("a"), team(f["from2"]).alias("b"))), lambda m: m["a"].isNotNull() & m["b"].isNotNull())
+        return F.concat(ended, F.transform(both, lambda m: played(f["slot"], f["round"], m)))
+
+    start = F.transform("first", lambda m: F.struct(m["slot"].alias("slot"), F.struct(place(m["team1"]).alias("a"), place(m["team2"]).alias("b")).alias("m")))
+    matches = F.aggregate("feeds", F.transform(start, lambda x: played(x["slot"], F.lit(1), x["m"])), then)
+    name = lambda i: F.element_at("names", F.col(i) + 1)
+    return brackets.select("scenario_id", "names", F.explode(matches).alias("m")).select("scenario_id", "names", "m.*").select("scenario_id", "slot", "round", name("a").alias("team1"), name("b").alias("team2"), F.round("p", 4).alias("p1"), name("won").alias("winner"))
 
 
 def top_contenders(shares: DataFrame, n: int = 12, exit_above: float = 0.20) -> DataFrame:

@@ -340,23 +340,30 @@ def k5(v: Views) -> DataFrame:
     return K.assign_third_slots(thirds.join(whole, "scenario_id"), lookup)
 
 
-_BR = """, fr AS (SELECT o_orderkey // 4 AS scenario_id, CAST(o_orderkey % 4 AS INT) AS slot, x.n_name AS team1, y.n_name AS team2 FROM orders JOIN nation x ON x.n_nationkey = (o_orderkey % 4) * 2 + (o_orderkey // 4) % 17 JOIN nation y ON y.n_nationkey = (o_orderkey % 4) * 2 + 1 + (o_orderkey // 4) % 17),
-g1 AS (SELECT fr.*, coalesce(p_h, 0.5) AS p FROM fr LEFT JOIN pp ON home = team1 AND away = team2), w1 AS (SELECT *, CASE WHEN p >= 0.5 THEN team1 ELSE team2 END AS winner, CASE WHEN p >= 0.5 THEN team2 ELSE team1 END AS loser FROM g1),
-s2 AS (SELECT a.scenario_id, CAST(4 + a.slot // 2 AS INT) AS slot, a.winner AS team1, b.winner AS team2 FROM w1 a JOIN w1 b ON a.scenario_id = b.scenario_id AND a.slot % 2 = 0 AND b.slot = a.slot + 1),
-g2 AS (SELECT s2.*, coalesce(p_h, 0.5) AS p FROM s2 LEFT JOIN pp ON home = team1 AND away = team2), w2 AS (SELECT *, CASE WHEN p >= 0.5 THEN team1 ELSE team2 END AS winner, CASE WHEN p >= 0.5 THEN team2 ELSE team1 END AS loser FROM g2),
-s3 AS (SELECT a.scenario_id, CAST(6 AS INT) AS slot, a.winner AS team1, b.winner AS team2 FROM w2 a JOIN w2 b ON a.scenario_id = b.scenario_id AND a.slot = 4 AND b.slot = 5 UNION ALL SELECT a.scenario_id, 7, a.loser, b.loser FROM w2 a JOIN w2 b ON a.scenario_id = b.scenario_id AND a.slot = 4 AND b.slot = 5),
-g3 AS (SELECT s3.*, coalesce(p_h, 0.5) AS p FROM s3 LEFT JOIN pp ON home = team1 AND away = team2), w3 AS (SELECT *, CASE WHEN p >= 0.5 THEN team1 ELSE team2 END AS winner FROM g3)"""
-
-
-@query("k6_propagate_bracket", _PAIRS + _BR + " SELECT scenario_id, slot, 1 AS round, team1, team2, round(p, 4) AS p1, winner FROM w1 UNION ALL SELECT scenario_id, slot, 2, team1, team2, round(p, 4), winner FROM w2 UNION ALL SELECT scenario_id, slot, 3, team1, team2, round(p, 4), winner FROM w3")
+# Fifty teams, two of each nation; every customer is a scenario of 32 of them, over five rounds and a match for third place.
+_BR = """WITH team AS (SELECT CAST(2 * n_nationkey + x AS INT) AS i, n_name || '-' || x AS team FROM nation, (VALUES (0), (1)) v(x)),
+w AS (SELECT a.team AS home, b.team AS away, 1 + (a.i * 3 + b.i) % 7 AS wh, 1 + (a.i + b.i * 5) % 4 AS wd, 1 + (a.i * 2 + b.i * 3) % 6 AS wa FROM team a JOIN team b ON a.i <> b.i),
+pr AS (SELECT home, away, wh / (wh + wd + wa) AS h, wd / (wh + wd + wa) AS d, wa / (wh + wd + wa) AS a FROM w),
+pp AS (SELECT x.home AS team1, x.away AS team2, round((x.h + y.a) / 2 + (x.d + y.d) / 2 / 2, 12) AS p FROM pr x JOIN pr y ON x.home = y.away AND x.away = y.home),
+f1 AS (SELECT c_custkey AS scenario_id, CAST(s AS INT) AS slot, a.team AS team1, b.team AS team2 FROM customer, range(0, 16) r(s) JOIN team a ON a.i = (c_custkey * 7 + 2 * s) % 50 JOIN team b ON b.i = (c_custkey * 7 + 2 * s + 1) % 50),
+w1 AS (SELECT *, CASE WHEN p >= 0.5 THEN team1 ELSE team2 END AS winner, CASE WHEN p >= 0.5 THEN team2 ELSE team1 END AS loser FROM f1 JOIN pp USING (team1, team2))""" + "".join(f""",
+f{r} AS (SELECT a.scenario_id, CAST({base} + (a.slot - {before}) // 2 AS INT) AS slot, a.winner AS team1, b.winner AS team2 FROM w{r - 1} a JOIN w{r - 1} b ON a.scenario_id = b.scenario_id AND (a.slot - {before}) % 2 = 0 AND b.slot = a.slot + 1{" UNION ALL SELECT a.scenario_id, 31, a.loser, b.loser FROM w4 a JOIN w4 b ON a.scenario_id = b.scenario_id AND a.slot = 28 AND b.slot = 29" if r == 5 else ""}),
+w{r} AS (SELECT *, CASE WHEN p >= 0.5 THEN team1 ELSE team2 END AS winner, CASE WHEN p >= 0.5 THEN team2 ELSE team1 END AS loser FROM f{r} JOIN pp USING (team1, team2))""" for r, before, base in ((2, 0, 16), (3, 16, 24), (4, 24, 28), (5, 28, 30)))
+
+
+@query("k6_propagate_bracket", _BR + " " + " UNION ALL ".join(f"SELECT scenario_id, slot, CAST({r} AS INT) AS round, team1, team2, round(p, 4) AS p1, winner FROM w{r}" for r in range(1, 6)))
 def k6(v: Views) -> DataFrame:
-    nation = v.table("nation")
-    key = v.table("orders").select(F.expr("o_orderkey div 4").alias("scenario_id"), (F.col("o_orderkey") % 4).cast("int").alias("slot"))
-    side = lambda i: nation.select(F.col("n_name").alias(f"team{i + 1}"), F.col("n_nationkey").alias(f"_k{i}"))
-    first = key.join(side(0), F.col("_k0") == F.col("slot") * 2 + F.col("scenario_id") % 17).join(side(1), F.col("_k1") == F.col("slot") * 2 + 1 + F.col("scenario_id") % 17).drop("_k0", "_k1")
-    feeds = v.spark.createDataFrame([(4, 0, 1, 2, False), (5, 2, 3, 2, False), (6, 4, 5, 3, False), (7, 4, 5, 3, True)], "slot int, from1 int, from2 int, round int, losers boolean")
-    probabilities = v.pair_probabilities().select(F.col("home").alias("team1"), F.col("away").alias("team2"), F.col("p_h").alias("p1"))
-    return K.propagate_bracket(first, feeds, probabilities, 3)
+    team = v.table("nation").select("n_name", F.explode(F.array(F.lit(0), F.lit(1))).alias("x"), "n_nationkey").select((2 * F.col("n_nationkey") + F.col("x")).cast("int").alias("i"), F.concat_ws("-", "n_name", "x").alias("team"))
+    x, y = team.select(F.col("i").alias("_i"), F.col("team").alias("home")), team.select(F.col("i").alias("_j"), F.col("team").alias("away"))
+    i, j = F.col("_i"), F.col("_j")
+    pairs = x.join(y, i != j).withColumns({"wh": 1 + (i * 3 + j) % 7, "wd": 1 + (i + j * 5) % 4, "wa": 1 + (i * 2 + j * 3) % 6})
+    pairs = pairs.select("home", "away", *((F.col(f"w{c}") / (F.col("wh") + F.col("wd") + F.col("wa"))).alias(f"p_{c}") for c in "hda"))
+    slots = v.table("customer").select(F.col("c_custkey").alias("scenario_id"), F.explode(F.sequence(F.lit(0), F.lit(15))).alias("slot"))
+    at = lambda k: (F.col("scenario_id") * 7 + 2 * F.col("slot") + k) % 50
+    first = slots.join(F.broadcast(x.withColumnRenamed("home", "team1")), i == at(0)).join(F.broadcast(y.withColumnRenamed("away", "team2")), j == at(1)).drop("_i", "_j")  # two teams of each nation
+    rounds = [(16 + k, 2 * k, 2 * k + 1, 2, False) for k in range(8)] + [(24 + k, 16 + 2 * k, 17 + 2 * k, 3, False) for k in range(4)] + [(28 + k, 24 + 2 * k, 25 + 2 * k, 4, False) for k in range(2)] + [(30, 28, 29, 5, False), (31, 28, 29, 5, True)]
+    feeds = v.spark.createDataFrame(rounds, "slot int, from1 int, from2 int, round int, losers boolean")
+    return K.propagate_bracket(first, feeds, K.knockout_probabilities(pairs))
 
 
 @query("k7_top_contenders", _TALLY + """, sh AS (SELECT team, confederation AS grp, champion, champion + final AS reach_final, "group" AS group_exit FROM tally JOIN (SELECT s_suppkey, 'T' || s_suppkey AS team, r_name AS confederation FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) USING (team)),

@@ -186,12 +186,20 @@ def b18(v: Views) -> DataFrame:
     return v.matches().select("match_id", B.result_label(h, a).alias("label"), B.points(h, a).alias("points"))
 
 
-@query("b19_resolve_players", "SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 AND (c_custkey % 5 = 0 OR c_custkey % 2 = 0) THEN c_custkey END AS player_id FROM customer")
+_FANS = "f AS (SELECT 'fan ' || c_custkey % 97 AS alias, c_nationkey, CASE WHEN min(c_custkey) = max(c_custkey) THEN min(c_custkey) END AS one FROM customer GROUP BY ALL), u AS (SELECT 'fan ' || c_custkey % 97 AS alias, CASE WHEN min(c_custkey) = max(c_custkey) THEN min(c_custkey) END AS one FROM customer GROUP BY ALL)"
+
+
+@query("b19_resolve_players", f"WITH {_FANS} SELECT c_custkey, CASE WHEN c_custkey % 3 <> 0 AND (c_custkey % 5 = 0 OR c_custkey % 2 = 0) THEN c_custkey END AS player_id, CASE WHEN c_custkey % 5 = 0 THEN u.one ELSE f.one END AS shared_alias_id FROM customer c JOIN f ON f.alias = 'fan ' || c_custkey % 97 AND f.c_nationkey = c.c_nationkey JOIN u ON u.alias = f.alias")
 def b19(v: Views) -> DataFrame:
     c = v.table("customer")
-    aliases = c.where("c_custkey % 3 <> 0").select(B.normalize_player_name(F.col("c_name")).alias("alias"), F.col("c_custkey").alias("player_id"), F.concat(F.lit("n"), "c_nationkey").alias("player_nationality"))
-    nation = F.when(F.col("c_custkey") % 5 == 0, F.lit(None)).when(F.col("c_custkey") % 2 == 0, F.concat(F.lit("N"), "c_nationkey")).otherwise("other")
-    return B.resolve_players(c.select("c_custkey", F.upper("c_name").alias("name"), nation.alias("nationality")), aliases).select("c_custkey", "player_id")
+    home = F.concat(F.lit("N"), "c_nationkey")
+    aliases = c.where("c_custkey % 3 <> 0").select(F.col("c_name").alias("alias"), F.col("c_custkey").alias("player_id"), F.lower(home).alias("player_nationality"))
+    nation = F.when(F.col("c_custkey") % 5 == 0, F.lit(None)).when(F.col("c_custkey") % 2 == 0, home).otherwise("other")
+    own = B.resolve_players(c.select("c_custkey", F.upper("c_name").alias("name"), nation.alias("nationality")), aliases).select("c_custkey", "player_id")
+    # aliases that many share
+    fan = F.concat(F.lit("Fan  "), F.col("c_custkey") % 97)
+    many = B.resolve_players(c.select("c_custkey", fan.alias("name"), F.when(F.col("c_custkey") % 5 != 0, home).alias("nationality")), c.select(fan.alias("alias"), F.col("c_custkey").alias("player_id"), home.alias("player_nationality")))
+    return own.join(many.select("c_custkey", F.col("player_id").alias("shared_alias_id")), "c_custkey")
 
 
 @query("b19_list_players", "SELECT CAST(c_custkey AS BIGINT) AS player_id FROM customer WHERE c_nationkey = 7")

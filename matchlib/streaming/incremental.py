@@ -61,9 +61,10 @@ def append_stream(stream: DataFrame, path: str, aliases: DataFrame, checkpoint:
 
 
 def split_late(batch: DataFrame, mark: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(rows after the mark, rows no later than it)."""
+    """(rows after the mark, all others: those no later than it and those without a date)."""
     marked = batch.crossJoin(F.broadcast(mark))  # one row
-    return marked.where("date > mark").drop("mark"), marked.where("date <= mark").drop("mark")
+    after = F.coalesce(F.col("date") > F.col("mark"), F.lit(False))
+    return marked.where(after).drop("mark"), marked.where(~after).drop("mark")
 
 
 def stream_dedup(stream: DataFrame, key: list[str], time: str, delay: str = "7 days") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from matchlib.functions import cleaning as B
 from matchlib.operators import elo, evaluation, joins, scoring, sets, splits
+from matchlib.operators import standings as K
 from matchlib.operators import windows as W
 from matchlib.sources import feeds
 from matchlib.streaming import incremental
@@ -266,3 +267,39 @@ def test_a_batch_run_again_changes_nothing(spark, tmp_path):
     for commit in (tmp_path / "checkpoint" / "commits").glob("*1*"):
         commit.unlink()
     assert run() == found
+
+
+def test_bracket_by_the_symmetrised_rule_over_five_rounds(spark):
+    """A favourite with a win chance below one half goes on if half the draws make it one half; five rounds; a slot without its teams isn't played; no plan node per round."""
+    pairs = spark.createDataFrame([("a", "b", 0.4, 0.3, 0.3), ("b", "a", 0.3, 0.3, 0.4), ("c", "d", 0.4, 0.1, 0.5), ("d", "c", 0.4, 0.1, 0.5)], "home string, away string, p_h double, p_d double, p_a double")
+    p = {(r["team1"], r["team2"]): r["p1"] for r in K.knockout_probabilities(pairs).collect()}
+    assert p == {("a", "b"): 0.55, ("b", "a"): 0.45, ("c", "d"): 0.5, ("d", "c"): 0.5}
+    first = [(1, 0, "a", "b"), (1, 1, "c", "d"), (2, 0, "b", "a"), (3, 0, "x", None), (3, 1, "c", "d")]
+    feeds = spark.createDataFrame([(2, 0, 1, 2, False), (3, 0, 1, 2, True)], "slot int, from1 int, from2 int, round int, losers boolean")
+    table = spark.createDataFrame(first, "scenario_id long, slot int, team1 string, team2 string")
+    got = {(r["scenario_id"], r["slot"]): (r["team1"], r["team2"], r["p1"], r["winner"]) for r in K.propagate_bracket(table, feeds, K.knockout_probabilities(pairs)).collect()}
+    assert got == {(1, 0): ("a", "b", 0.55, "a"), (1, 1): ("c", "d", 0.5, "c"), (1, 2): ("a", "c", 0.5, "a"), (1, 3): ("b", "d", 0.5, "b"), (2, 0): ("b", "a", 0.45, "a"), (3, 1): ("c", "d", 0.5, "c")}
+    with pytest.raises(Exception, match="at most"):
+        K.propagate_bracket(table, feeds, K.knockout_probabilities(pairs), most_teams=2).collect()
+    joins = []
+    for rounds in (2, 5):
+        more = spark.createDataFrame([(20 + r, 18 + r, 19 + r, r, False) for r in range(2, rounds + 1)], feeds.schema)
+        plan = K.propagate_bracket(table, more, K.knockout_probabilities(pairs))._jdf.queryExecution().optimizedPlan().toString()
+        joins.append(plan.count("Join"))
+    assert joins[0] == joins[1]
+
+
+def test_players_one_row_each(spark):
+    """Two players with one alias: a nationality chooses, without one there is no answer; accents count; one row in, one out."""
+    aliases = spark.createDataFrame([("J. Smith", "s1", "England"), ("j.  smith", "s2", "Wales"), ("José", "j", "Spain"), ("K", "k", None), ("L", "l", "Mali"), ("L", "l", "Chad")], "alias string, player_id string, player_nationality string")
+    names = [("J. Smith", None), ("J. SMITH", "wales"), ("J. Smith", "Spain"), ("Jose", None), (" josé ", ""), ("K", None), ("K", "Mali"), ("L", None), (None, None), ("nobody", "x")]
+    df = spark.createDataFrame([(i, *n) for i, n in enumerate(names)], "i int, name string, nationality string")
+    got = [r["player_id"] for r in B.resolve_players(df, aliases).orderBy("i").collect()]
+    assert got == [None, "s2", None, None, "j", "k", None, "l", None, None]
+
+
+def test_rows_without_a_date_are_late(spark):
+    batch = spark.createDataFrame([(1, "2024-01-02"), (2, None), (3, "2023-12-31"), (4, "2024-01-01")], "id int, d string").selectExpr("id", "to_date(d) AS date")
+    mark = spark.sql("SELECT date'2024-01-01' AS mark")
+    on_time, late = incremental.split_late(batch, mark)
+    assert [r["id"] for r in on_time.collect()] == [1] and sorted(r["id"] for r in late.collect()) == [2, 3, 4]
