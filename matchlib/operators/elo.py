@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
 from .splits import with_position
 
 
@@ -55,37 +57,162 @@ def with_start(steps: DataFrame, start: DataFrame | None, default: float) -> Dat
     return steps
 
 
-def replayed(steps: DataFrame, scales: list[float]) -> DataFrame:
+def _replay(ratings: dict, rows, scales: list[float], out: list[list]) -> None:
+    """Applies matches in order to the ratings by team; appends those before and after each match to the four columns out."""
+    for h, a, step, advantage, score, h_start, a_start in rows:
+        mine, theirs = ratings.get(h) or [h_start] * len(scales), ratings.get(a) or [a_start] * len(scales)
+        change = [k * step * (score - 1.0 / (1.0 + 10.0 ** ((y - x - advantage) / 400.0))) for k, x, y in zip(scales, mine, theirs)]
+        ratings[h], ratings[a] = [x + c for x, c in zip(mine, change)], [y - c for y, c in zip(theirs, change)]
+        for column, value in zip(out, (mine, theirs, ratings[h], ratings[a])):
+            column.append(value)
+
+
+_STEP = ("home_team", "away_team", "step", "advantage", "score", "home_start", "away_start")
+
+
+def replayed_in_order(steps: DataFrame, scales: list[float]) -> DataFrame:
     """league, match_id and arrays of ratings before and after each match, one for each scale of the step; all scales in one pass.
 
-    Each match depends on both teams' matches before, so a league is one
-    sequence. It is sorted by Spark, which spills, and streamed through a task that
-    holds a batch and the ratings of the league's teams, never the matches.
-    Leagues run side by side.
+    A league is one sequence: sorted by Spark, which spills, and streamed through a
+    task that holds a batch and the ratings of the league's teams, never the
+    matches. Leagues run side by side.
     """
 
     def run(batches):
         league, ratings = None, {}
         for batch in batches:
-            rows = zip(*(batch.column(c).to_pylist() for c in ("league", "home_team", "away_team", "step", "advantage", "score", "home_start", "away_start")))
+            names = batch.column("league").to_pylist()
+            columns = [batch.column(c).to_pylist() for c in _STEP]
             out: list[list[list[float]]] = [[], [], [], []]
-            for name, h, a, step, advantage, score, h_start, a_start in rows:
-                if name != league:
-                    league, ratings = name, {}
-                mine, theirs = ratings.get(h) or [h_start] * len(scales), ratings.get(a) or [a_start] * len(scales)
-                change = [k * step * (score - 1.0 / (1.0 + 10.0 ** ((y - x - advantage) / 400.0))) for k, x, y in zip(scales, mine, theirs)]
-                ratings[h], ratings[a] = [x + c for x, c in zip(mine, change)], [y - c for y, c in zip(theirs, change)]
-                for column, value in zip(out, (mine, theirs, ratings[h], ratings[a])):
-                    column.append(value)
+            i = 0
+            while i < len(names):
+                if names[i] != league:
+                    league, ratings = names[i], {}
+                j = i + 1
+                while j < len(names) and names[j] == league:
+                    j += 1
+                _replay(ratings, zip(*(c[i:j] for c in columns)), scales, out)
+                i = j
             yield pa.RecordBatch.from_arrays([batch.column("league"), batch.column("match_id"), *(pa.array(c, pa.list_(pa.float64())) for c in out)], names=["league", "match_id", *RATINGS])
 
     ordered = steps.withColumn("match_id", F.col("match_id").cast("long")).repartition("league").sortWithinPartitions("league", "date", "match_id")
     return ordered.mapInArrow(run, REPLAY)
 
 
-def elo_replay(matches: DataFrame, config: EloConfig = EloConfig(), start: DataFrame | None = None) -> DataFrame:
-    """league, match_id and the ratings of both teams before and after each match of matches (with league and k_multiplier). A team starts from start(team, rating) or start(league, team, rating), else from config.start."""
-    out = replayed(with_start(elo_steps(matches, config), start, config.start), [1.0])
+#: Matches of a slice for each team of the league. Up to one half a random graph of so many matches falls into small parts.
+SLICE = 0.4
+
+
+def sliced(steps: DataFrame, share: float = SLICE) -> DataFrame:
+    """steps with slice, a number of days in order that hold about share matches for each of the league's teams, a day at least. Days are counted first, and only a league's table of days meets in one task."""
+    teams = steps.select("league", F.explode(F.array("home_team", "away_team")).alias("t")).groupBy("league").agg(F.countDistinct("t").alias("_teams"))
+    days = steps.groupBy("league", "date").agg(F.count("*").alias("_n"))
+    ahead = F.coalesce(F.sum("_n").over(Window.partitionBy("league").orderBy("date").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    cut = days.withColumn("_ahead", ahead).join(teams, "league").select("league", "date", F.floor(F.col("_ahead") / F.greatest(F.lit(1.0), F.col("_teams") * share)).cast("int").alias("slice"))
+    # without gaps: slices are steps of a loop
+    cut = cut.withColumn("slice", F.dense_rank().over(Window.partitionBy("league").orderBy("slice")) - 1)
+    return steps.join(cut, ["league", "date"])
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """node and part, the smallest node that it is connected with, of edges(a, b). Every node takes the smallest part of its neighbours, then that part's part, so rounds grow with the logarithm of the longest path; each is written."""
+    both = written(edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select(F.col("e.a").alias("node"), F.col("e.b").alias("other")).distinct(), "edges")
+    parts = written(both.groupBy("node").agg(F.least(F.min("node"), F.min("other")).alias("part")), "parts")
+    while True:
+        near = both.join(parts.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("part").alias("_near"))
+        nearer = parts.join(near, "node").select("node", F.least("part", "_near").alias("_p"), F.col("part").alias("_was"))
+        after = written(nearer.join(parts.select(F.col("node").alias("_p"), "part"), "_p").select("node", F.least("_p", "part").alias("part"), "_was"), "parts")
+        parts = after.select("node", "part")
+        if not after.where("part <> _was").limit(1).count():
+            return parts
+
+
+def replayed_in_waves(steps: DataFrame, scales: list[float], share: float = SLICE) -> DataFrame:
+    """The same as replayed_in_order, for leagues of many teams: slice after slice, and in a slice its parts, teams connected by its matches, side by side.
+
+    No team of one part meets one of another within the slice, so parts don't
+    depend on each other, and within a part matches come in order. Parts of all
+    slices are found at once. A slice reads and writes a table of ratings in the
+    shared folder, a row for each team; a lost executor costs a slice at most.
+    There are about as many slices as matches of a team over share.
+    """
+    spark = steps.sparkSession
+    steps = written(sliced(steps.withColumn("match_id", F.col("match_id").cast("long")), share), "slices")
+    node = lambda c: F.struct("league", "slice", F.col(c).alias("team"))
+    parts = written(connected(steps.select(node("home_team").alias("a"), node("away_team").alias("b"))).select("node.*", F.xxhash64("part.league", "part.slice", "part.team").alias("_hash"), F.struct("part.*").alias("part")), "parts")
+    found = written(steps.join(parts.withColumnRenamed("team", "home_team"), ["league", "slice", "home_team"]), "parted")
+    columns = ["_hash", "part", "kind", "date", "match_id", "league", *_STEP, "rating"]
+
+    def run(batches):
+        part, league, ratings, seen = None, None, {}, set()
+
+        def row(kind, league, ids, columns, teams, values):
+            n = len(league)
+            arrays = [pa.array([kind] * n, pa.int32()), pa.array(league, pa.string()), pa.array(ids, pa.int64()), *(pa.array(c, pa.list_(pa.float64())) for c in columns), pa.array(teams, pa.string()), pa.array(values, pa.list_(pa.float64()))]
+            return pa.RecordBatch.from_arrays(arrays, names=["kind", "league", "match_id", *RATINGS, "team", "rating"])
+
+        def closed():
+            played = [t for t in ratings if t in seen]
+            n = [None] * len(played)
+            return row(2, [league] * len(played), n, [n] * 4, played, [ratings[t] for t in played])
+
+        for batch in batches:
+            keys = batch.column("part").to_pylist()
+            kinds, leagues, ids, known = (batch.column(c).to_pylist() for c in ("kind", "league", "match_id", "rating"))
+            steps_of = list(zip(*(batch.column(c).to_pylist() for c in _STEP)))
+            out, mine, names = [[], [], [], []], [], []
+            for i, key in enumerate(keys):
+                if key != part:
+                    if part is not None:
+                        yield closed()
+                    part, league, ratings, seen = key, leagues[i], {}, set()
+                if kinds[i] == 0:
+                    ratings[steps_of[i][0]] = known[i]
+                else:
+                    seen.update(steps_of[i][:2])
+                    _replay(ratings, [steps_of[i]], scales, out)
+                    mine.append(ids[i]), names.append(league)
+            if mine:
+                n = [None] * len(mine)
+                yield row(1, names, mine, out, n, n)
+        if part is not None:
+            yield closed()
+
+    schema = f"kind int, {REPLAY}, team string, rating array<double>"
+    none = {c: F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("date", "match_id", *_STEP) if c != "home_team"}
+    ratings, results = spark.createDataFrame([], "league string, team string, rating array<double>"), []
+    for i in range((steps.agg(F.max("slice")).first()[0] or 0) + 1):
+        now = found.where(F.col("slice") == i)
+        before = parts.where(F.col("slice") == i).join(ratings, ["league", "team"]).select("_hash", "part", F.lit(0).alias("kind"), none["date"], none["match_id"], "league", F.col("team").alias("home_team"), *(none[c] for c in _STEP[1:]), "rating")
+        rows = now.withColumns({"kind": F.lit(1), "rating": F.lit(None).cast("array<double>")}).select(*columns).unionByName(before.select(*columns))
+        ended = written(rows.repartition("_hash").sortWithinPartitions("_hash", "part", "kind", "date", "match_id").mapInArrow(run, schema), "wave")
+        results.append(ended.where("kind = 1").select("league", "match_id", *RATINGS))
+        moved = ended.where("kind = 2").select("league", "team", "rating")
+        ratings = written(ratings.join(moved, ["league", "team"], "left_anti").unionByName(moved), "ratings")
+    return functools.reduce(DataFrame.unionByName, results)
+
+
+#: Matches of a league that one task replays, some minutes; and slices, each a job or two, beyond which waves don't pay.
+MOST_IN_TASK, MOST_SLICES = 50_000_000, 1000
+
+
+def replayed(matches: DataFrame, steps: DataFrame, scales: list[float], most_in_task: int = MOST_IN_TASK) -> DataFrame:
+    """steps of matches replayed: leagues of at most most_in_task matches in order, larger ones in waves if their teams are so many that there are at most MOST_SLICES slices. Both ways give the same ratings."""
+    sides = F.explode(F.array("home_team", "away_team")).alias("t")
+    sizes = matches.groupBy("league").agg(F.count("*").alias("n")).where(F.col("n") > most_in_task)
+    large = [r["league"] for r in sizes.collect()]  # fewer than all matches / most_in_task
+    if large:
+        teams = matches.where(F.col("league").isin(large)).select("league", sides).groupBy("league").agg(F.countDistinct("t").alias("teams"))
+        large = [r["league"] for r in sizes.join(teams, "league").where(F.col("n") <= MOST_SLICES * SLICE * F.col("teams")).collect()]
+    if not large:
+        return replayed_in_order(steps, scales)
+    is_large = F.coalesce(F.col("league").isin(large), F.lit(False))
+    return replayed_in_waves(steps.where(is_large), scales).unionByName(replayed_in_order(steps.where(~is_large), scales))
+
+
+def elo_replay(matches: DataFrame, config: EloConfig = EloConfig(), start: DataFrame | None = None, most_in_task: int = MOST_IN_TASK) -> DataFrame:
+    """league, match_id and the ratings of both teams before and after each match of matches (with league and k_multiplier). A team starts from start(team, rating) or start(league, team, rating), else from config.start. Leagues of more than most_in_task matches and enough teams are replayed in waves."""
+    out = replayed(matches, with_start(elo_steps(matches, config), start, config.start), [1.0], most_in_task)
     return out.select("league", "match_id", *(F.col(c)[0].alias(c) for c in RATINGS))
 
 
@@ -104,13 +231,13 @@ def final_ratings(matches: DataFrame, replayed: DataFrame, offsets: DataFrame, s
     return last.join(added, "team", "left").join(moved, "team", "left").select("league", "team", (F.col("elo") + F.coalesce("_offset", F.lit(0.0)) + F.coalesce("_shootout", F.lit(0.0))).alias("rating"))
 
 
-def elo_k_sweep(matches: DataFrame, grid: list[float], from_year: int = 1993, test_share: float = 0.2) -> DataFrame:
+def elo_k_sweep(matches: DataFrame, grid: list[float], from_year: int = 1993, test_share: float = 0.2, most_in_task: int = MOST_IN_TASK) -> DataFrame:
     """k, n, log_loss, binary_accuracy, accuracy_3 and best for each K of the grid: replays from from_year, all teams at 1500, home advantage 100, no confederation discount; scored on the last test_share of rows by date. One replay carries the ratings of all K."""
     recent = matches.where(F.year("date") >= from_year)
     tested = with_position(recent, total="_n").where(F.col("position") >= F.floor(F.col("_n") * F.lit(1 - test_share))).select("match_id", "neutral", "home_score", "away_score")
     steps = with_start(elo_steps(recent, EloConfig(advantage={}, discount={}, k=1.0)), None, 1500.0)
     each = F.posexplode(F.arrays_zip("home_elo_pre", "away_elo_pre")).alias("_i", "_r")
-    rated = replayed(steps, [float(k) for k in grid]).join(tested, "match_id").select("neutral", "home_score", "away_score", each)
+    rated = replayed(recent, steps, [float(k) for k in grid], most_in_task).join(tested, "match_id").select("neutral", "home_score", "away_score", each)
     rated = rated.withColumn("k", F.array(*(F.lit(float(k)) for k in grid))[F.col("_i")])
     p = F.greatest(F.lit(1e-6), F.least(F.lit(1 - 1e-6), elo_win_prob(F.col("_r.home_elo_pre"), F.col("_r.away_elo_pre"), F.col("neutral"))))
     rows = rated.withColumn("p", p).withColumn("win", (F.col("home_score") > F.col("away_score")).cast("int"))

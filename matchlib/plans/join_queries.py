@@ -12,7 +12,7 @@ from ..operators import joins as D
 from ..operators import windows as W
 from ..sources.shared import written
 from .queries import _W, VARIANT_SQL, query, r6, with_variants
-from .testdata import CONFEDERATIONS, SQL as VIEW_SQL, TIERS, Views, with_views
+from .testdata import COMPETITIONS, CONFEDERATIONS, SQL as VIEW_SQL, TIERS, Views, with_views
 
 
 @query("d1_asof_rank", with_views("matches", "rank_history") + """ SELECT m.match_id, m.home_team AS team, CAST(coalesce(
@@ -191,6 +191,35 @@ def f1(v: Views) -> DataFrame:
     return R.elo_replay(elo_matches(v), CONFIG, v.start()).select("match_id", *r6("home_elo_pre", "away_elo_pre", "home_elo_post", "away_elo_post"))
 
 
+_DUELS = """WITH RECURSIVE c AS (SELECT count(*) AS n FROM customer),
+attrs(name, k) AS (VALUES """ + ", ".join(f"('{n}', CAST({k} AS DOUBLE))" for n, _, k in COMPETITIONS) + """),
+d AS (SELECT o_orderkey AS match_id, CAST(o_orderdate AS DATE) AS date, o_custkey % n AS h, (o_custkey % n + 1 + o_orderkey % (n - 1)) % n AS a, CAST(floor(o_totalprice) AS BIGINT) % 5 AS x, (CAST(floor(o_totalprice) AS BIGINT) // 7) % 4 AS y, o_orderstatus = 'P' AS neutral, k FROM orders JOIN attrs ON name = o_orderpriority, c),
+steps AS MATERIALIZED (SELECT row_number() OVER (ORDER BY date, match_id) AS seq, match_id, h, a, CASE WHEN neutral THEN 0.0 ELSE 100.0 END AS adv, CASE WHEN x > y THEN 1.0 WHEN x = y THEN 0.5 ELSE 0.0 END AS score, 25.0 * k * (CASE WHEN abs(x - y) <= 1 THEN 1.0 WHEN abs(x - y) = 2 THEN 1.5 ELSE (11.0 + abs(x - y)) / 8.0 END) AS step FROM d),
+r(seq, ratings, match_id, h0, a0, h1, a1) AS (
+  SELECT CAST(0 AS BIGINT), list_transform(range(0, n), lambda z: CAST(1500.0 AS DOUBLE)), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE) FROM c
+  UNION ALL
+  SELECT seq, list_transform(ratings, lambda z, i: CASE WHEN i - 1 = h THEN z + e WHEN i - 1 = a THEN z - e ELSE z END), match_id, h0, a0, h0 + e, a0 - e FROM (
+    SELECT s.*, r.ratings, r.ratings[h + 1] AS h0, r.ratings[a + 1] AS a0, s.step * (s.score - 1.0 / (1.0 + pow(10.0, (r.ratings[a + 1] - r.ratings[h + 1] - s.adv) / 400.0))) AS e FROM r JOIN steps s ON s.seq = r.seq + 1))"""
+
+
+def duels(v: Views) -> DataFrame:
+    """One league of all orders, each a match of two customers."""
+    customers = v.table("customer").agg(F.count("*").alias("n"))
+    o = v.table("orders").crossJoin(F.broadcast(customers))  # one row
+    price, h = F.floor("o_totalprice").cast("long"), F.col("o_custkey") % F.col("n")
+    base = o.select(
+        F.lit("all").alias("league"), F.col("o_orderkey").alias("match_id"), F.to_date("o_orderdate").alias("date"), h.cast("string").alias("home_team"), ((h + 1 + F.col("o_orderkey") % (F.col("n") - 1)) % F.col("n")).cast("string").alias("away_team"),
+        (price % 5).cast("int").alias("home_score"), (F.floor(price / 7) % 4).cast("int").alias("away_score"), (F.col("o_orderstatus") == "P").alias("neutral"), F.lit("any").alias("home_confederation"), F.lit("any").alias("away_confederation"), F.col("o_orderpriority").alias("competition"),
+    )
+    return B.competition_attrs(base, v.attrs())
+
+
+@query("f1_elo_wavefront", _DUELS + " SELECT match_id, round(h0, 6) AS home_elo_pre, round(a0, 6) AS away_elo_pre, round(h1, 6) AS home_elo_post, round(a1, 6) AS away_elo_post FROM r WHERE match_id IS NOT NULL")
+def f1_waves(v: Views) -> DataFrame:
+    out = R.elo_replay(duels(v), R.EloConfig(advantage={}, discount={}), most_in_task=0)
+    return out.select("match_id", *r6("home_elo_pre", "away_elo_pre", "home_elo_post", "away_elo_post"))
+
+
 @query("f2_elo_win_prob", _ELO + " SELECT match_id, round(1.0 / (1.0 + pow(10.0, (a0 - h0 - CASE WHEN neutral THEN 0.0 ELSE 100.0 END) / 400.0)), 6) AS elo_win_prob FROM r JOIN matches USING (match_id)")
 def f2(v: Views) -> DataFrame:
     m = v.matches().select("match_id", "neutral").join(R.elo_replay(elo_matches(v), CONFIG, v.start()), "match_id")

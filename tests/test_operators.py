@@ -303,3 +303,29 @@ def test_rows_without_a_date_are_late(spark):
     mark = spark.sql("SELECT date'2024-01-01' AS mark")
     on_time, late = incremental.split_late(batch, mark)
     assert [r["id"] for r in on_time.collect()] == [1] and sorted(r["id"] for r in late.collect()) == [2, 3, 4]
+
+
+def test_waves_equal_the_replay_in_order(spark):
+    """Slices of a few days, parts of teams that meet in a slice, two scales, start ratings, several matches of a team on a day; a small league stays in one task."""
+    rng = np.random.default_rng(2)
+    rows = []
+    for i in range(90):
+        h, a = rng.choice(24, 2, replace=False)
+        rows.append(("big", i, date(2025, 1, 1) + timedelta(days=int(rng.integers(0, 30))), f"t{h}", f"t{a}", float(rng.integers(10, 60)), float(rng.choice([0.0, 100.0])), float(rng.choice([0, 0.5, 1])), 1500.0 + float(h), 1500.0 + float(a)))
+    steps = spark.createDataFrame(rows, "league string, match_id long, date date, home_team string, away_team string, step double, advantage double, score double, home_start double, away_start double")
+    got, want = ({r["match_id"]: r for r in f(steps, [1.0, 0.5]).collect()} for f in (elo.replayed_in_waves, elo.replayed_in_order))
+    assert got == want and len(got) == 90
+    cut = elo.sliced(steps)
+    parts = elo.connected(cut.select(F.struct("slice", F.col("home_team").alias("t")).alias("a"), F.struct("slice", F.col("away_team").alias("t")).alias("b")))
+    per_slice = [r["n"] for r in parts.groupBy("node.slice").agg(F.countDistinct("part").alias("n")).collect()]
+    assert len(per_slice) > 4 and max(per_slice) > 2  # parts that tasks take side by side
+    small = steps.withColumn("league", F.when(F.col("match_id") < 10, "small").otherwise("big"))
+    both = elo.replayed(small, small, [1.0], most_in_task=20)
+    assert {tuple(map(str, r)) for r in both.collect()} == {tuple(map(str, r)) for r in elo.replayed_in_order(small, [1.0]).collect()}
+
+
+def test_connected_parts(spark):
+    """A long path, a ring, a loop on itself and two that stand alone."""
+    edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (200, 200), (300, 301)]
+    got = {r["node"]: r["part"] for r in elo.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100, 200: 200, 300: 300, 301: 300}
