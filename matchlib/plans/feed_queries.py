@@ -193,13 +193,13 @@ def l6(v: Views) -> DataFrame:
 @query("l7_live_table", "SELECT match_id, status, home_score, away_score FROM (SELECT user_id AS match_id, event_type AS status, event_id % 5 AS home_score, event_id % 3 AS away_score, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
 def l7(v: Views) -> DataFrame:
     e = F.col("event_id")
-    updates = v.table("events").select(F.col("user_id").alias("match_id"), F.col("ts").alias("event_time"), "event_id", F.col("event_type").alias("status"), (e % 5).alias("home_score"), (e % 3).alias("away_score"))
-    return latest(streamed(v, [updates.where(e % 3 == i) for i in range(3)], L.live_table, "update"))
+    updates = v.table("events").select(F.col("user_id").alias("match_id"), F.col("ts").cast("timestamp").alias("event_time"), "event_id", F.col("event_type").alias("status"), (e % 5).alias("home_score"), (e % 3).alias("away_score"))
+    return latest(streamed(v, [updates.where(e % 3 == i) for i in range(3)], lambda s: L.stream_live_table(s, "3650 days"), "update"))
 
 
 def latest(emitted: DataFrame) -> DataFrame:
     """The last row that a stream in update mode has emitted for each match."""
-    return emitted.groupBy("match_id").agg(F.max_by(F.struct("status", "home_score", "away_score"), "batch").alias("l")).select("match_id", "l.*")
+    return emitted.groupBy("match_id").agg(F.max_by(F.struct("status", "home_score", "away_score"), F.struct("event_time", "event_id", "batch")).alias("l")).select("match_id", "l.*")
 
 
 @query("l7_live_standings", with_views("matches") + """, f AS (SELECT home_confederation AS grp, home_team, away_team, home_score, away_score FROM matches WHERE home_confederation = away_confederation AND match_id % 9 <> 0),
@@ -208,11 +208,11 @@ SELECT confederation AS grp, t2.team, count(gf) AS played, coalesce(CAST(sum(gf)
 def l7s(v: Views) -> DataFrame:
     m = v.matches().where("home_confederation = away_confederation")
     k = F.col("match_id")
-    at = lambda hour, status, h, a: F.struct(F.concat(F.col("date").cast("string"), F.lit(f"T{hour}:00")).alias("event_time"), F.lit(int(hour)).alias("event_id"), status.alias("status"), h.cast("int").alias("home_score"), a.cast("int").alias("away_score"))
+    at = lambda hour, status, h, a: F.struct(F.concat(F.col("date").cast("string"), F.lit(f"T{hour}:00")).cast("timestamp").alias("event_time"), F.lit(int(hour)).alias("event_id"), status.alias("status"), h.cast("int").alias("home_score"), a.cast("int").alias("away_score"))
     ended = F.when(k % 9 != 0, "FINISHED").otherwise("IN_PLAY")
     updates = m.select(k, F.explode(F.array(at("18", F.lit("IN_PLAY"), F.lit(0), F.lit(0)), at("19", F.lit("IN_PLAY"), F.col("home_score"), F.lit(0)), at("20", ended, F.col("home_score"), F.col("away_score")))).alias("u")).select("match_id", "u.*")
     # late news first: the order of events decides, not that of arrival
     slices = [updates.where(F.pmod(k + F.col("event_id"), F.lit(3)) == i) for i in range(3)]
-    live = latest(streamed(v, slices, L.live_table, "update"))
+    live = latest(streamed(v, slices, lambda s: L.stream_live_table(s, "3650 days"), "update"))
     groups = v.team().select(F.col("confederation").alias("grp"), "team", F.col("id").alias("seed_pos"))
     return L.live_standings(live, m.select("match_id", F.col("home_confederation").alias("grp"), "home_team", "away_team"), groups).select("grp", "team", "played", "gf", "ga", "pts")

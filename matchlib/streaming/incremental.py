@@ -105,8 +105,51 @@ def team_state(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState, k
     yield pd.DataFrame([{"team": key[0], "n_matches": played, **team_features(dates, *numbers)}])
 
 
-def stream_team_state(long: DataFrame) -> DataFrame:
-    """Per-team rolling state of a stream of the long table (team, date, match_id, points, gf, ga, is_home): a row for each team that a batch touches."""
+try:  # keyed state needs protobuf
+    import google.protobuf  # noqa: F401
+    from pyspark.sql.streaming import StatefulProcessor
+
+    HAS_KEYED_STATE = True
+except ImportError:
+    StatefulProcessor, HAS_KEYED_STATE = object, False
+
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def with_keyed_state(stream: DataFrame, key: str, processor: StatefulProcessor, schema: str, mode: str, time: str = "None") -> DataFrame:
+    """stream through a stateful processor for each key. State of lists and maps lies row by row in a RocksDB store, which the session is set to."""
+    stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    return stream.groupBy(key).transformWithStateInPandas(processor, schema, mode, time)
+
+
+class TeamProcessor(StatefulProcessor):
+    """A team's last matches as a list, and how many it has played."""
+
+    def __init__(self, kept: int = 30):
+        self.kept = kept
+
+    def init(self, handle) -> None:
+        self.matches = handle.getListState("matches", "date string, points int, gf int, ga int, home int")
+        self.played = handle.getValueState("played", "n long")
+
+    def handleInputRows(self, key, batches, timers):  # noqa: N802
+        rows = pd.concat(list(batches), ignore_index=True).sort_values(["date", "match_id"])
+        new = list(zip(rows["date"].astype(str), *(map(int, rows[c]) for c in ("points", "gf", "ga", "is_home"))))
+        last = [*([tuple(m) for m in self.matches.get()] if self.matches.exists() else []), *new][-self.kept :]
+        played = (self.played.get()[0] if self.played.exists() else 0) + len(new)
+        self.matches.put(last)
+        self.played.update((played,))
+        dates, *numbers = map(list, zip(*last))
+        yield pd.DataFrame([{"team": key[0], "n_matches": played, **team_features(dates, *numbers)}])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_team_state(long: DataFrame, keyed: bool = HAS_KEYED_STATE) -> DataFrame:
+    """Per-team rolling state of a stream of the long table (team, date, match_id, points, gf, ga, is_home): a row for each team that a batch touches, and only their state is read and written."""
+    if keyed:
+        return with_keyed_state(long, "team", TeamProcessor(), TEAM_STATE, "Update")
     return long.groupBy("team").applyInPandasWithState(team_state, TEAM_STATE, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
@@ -114,26 +157,59 @@ ELO_STATE = "teams array<string>, ratings array<double>"
 ELO_OUT = "league string, match_id long, home_elo_pre double, away_elo_pre double"
 
 
-def elo_state(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """The ratings of a league's teams; emits those before each match. Rows of a batch are applied in order of date and match_id."""
-    rows = pd.concat(list(batches), ignore_index=True).sort_values(["date", "match_id"])
-    teams, values = state.get if state.exists else ([], [])
-    rating = dict(zip(teams, values))
+def rated_in_order(rows: pd.DataFrame, rating: dict[str, float]) -> list[tuple[float, float]]:
+    """Applies matches to the ratings; returns those before each match."""
     pre = []
     for h, a, k, advantage, score, x, y in zip(*(rows[c] for c in ("home_team", "away_team", "step", "advantage", "score", "home_start", "away_start"))):
         x, y = rating.get(h, x), rating.get(a, y)
         change = k * (score - 1.0 / (1.0 + 10.0 ** ((y - x - advantage) / 400.0)))
         pre.append((x, y))
         rating[h], rating[a] = x + change, y - change
+    return pre
+
+
+def elo_state(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The ratings of a league's teams; emits those before each match. Rows of a batch are applied in order of date and match_id."""
+    rows = pd.concat(list(batches), ignore_index=True).sort_values(["date", "match_id"])
+    teams, values = state.get if state.exists else ([], [])
+    rating = dict(zip(teams, values))
+    pre = rated_in_order(rows, rating)
     state.update((list(rating), list(rating.values())))
     yield pd.DataFrame({"league": key[0], "match_id": rows["match_id"], "home_elo_pre": [x for x, _ in pre], "away_elo_pre": [y for _, y in pre]})
 
 
-def stream_elo(steps: DataFrame) -> DataFrame:
-    """Ratings before each match of a stream of elo_steps with start ratings (elo.with_start). Both teams of a match share their league's state, so a league is one group of each batch: bound batches by the source's maxFilesPerTrigger."""
+class EloProcessor(StatefulProcessor):
+    """The ratings of a league's teams, a map whose entries are read and written one by one: only those of teams that play."""
+
+    def init(self, handle) -> None:
+        self.ratings = handle.getMapState("ratings", "team string", "rating double")
+
+    def handleInputRows(self, key, batches, timers):  # noqa: N802
+        rows = pd.concat(list(batches), ignore_index=True).sort_values(["date", "match_id"])
+        known = {t: self.ratings.getValue((t,))[0] for t in {*rows["home_team"], *rows["away_team"]} if self.ratings.containsKey((t,))}
+        pre = rated_in_order(rows, known)
+        for team, rating in known.items():
+            self.ratings.updateValue((team,), (rating,))
+        yield pd.DataFrame({"league": key[0], "match_id": rows["match_id"], "home_elo_pre": [x for x, _ in pre], "away_elo_pre": [y for _, y in pre]})
+
+    def close(self) -> None:
+        pass
+
+
+def stream_elo(steps: DataFrame, keyed: bool = HAS_KEYED_STATE) -> DataFrame:
+    """Ratings before each match of a stream of elo_steps with start ratings (elo.with_start). Both teams of a match share their league's state, so a league is one group of each batch: bound batches by the source's maxFilesPerTrigger. Its teams' ratings are entries of their own, so a batch costs what it touches, not what the league holds."""
+    if keyed:
+        return with_keyed_state(steps, "league", EloProcessor(), ELO_OUT, "Append")
     return steps.groupBy("league").applyInPandasWithState(elo_state, ELO_OUT, ELO_STATE, "append", GroupStateTimeout.NoTimeout)
 
 
+def stream_live_table(updates: DataFrame, keep: str = "7 days") -> DataFrame:
+    """The live table of a stream of updates, event_time a timestamp: a row for each match whose state a batch changes, in update mode; the row with the last event_time of a match counts. A match's state is dropped when the watermark, keep behind the latest event, has passed its stretch of time (of length keep), so what is kept are the matches of twice that time; later news than the watermark are ignored."""
+    newest = F.max_by(F.struct("status", "home_score", "away_score"), F.struct("event_time", "event_id")).alias("l")
+    last = F.max(F.struct("event_time", "event_id")).alias("at")
+    return updates.withWatermark("event_time", keep).groupBy("match_id", F.window("event_time", keep)).agg(newest, last).select("match_id", "l.*", "at.event_time", "at.event_id")
+
+
 def live_table(updates: DataFrame) -> DataFrame:
     """The latest state of each match of updates(match_id, event_time, event_id, status, home_score, away_score)."""
     return updates.groupBy("match_id").agg(F.max_by(F.struct("status", "home_score", "away_score"), F.struct("event_time", "event_id")).alias("l")).select("match_id", "l.*")

@@ -329,3 +329,57 @@ def test_connected_parts(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (200, 200), (300, 301)]
     got = {r["node"]: r["part"] for r in elo.connected(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100, 102: 100, 200: 200, 300: 300, 301: 300}
+
+
+def run_stream(spark, tmp_path, batches, make, mode):
+    """Runs a stream over batches, a restart from the checkpoint before each; the emitted rows and the state operators' progress of each."""
+    source, out = f"file://{tmp_path}/source", []
+    for batch in batches:
+        batch.write.mode("append").parquet(source)
+        rows = []
+        stream = spark.readStream.schema(batch.schema).parquet(source)
+        q = make(stream).writeStream.outputMode(mode).foreachBatch(lambda df, n: rows.extend(df.collect())).option("checkpointLocation", f"file://{tmp_path}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
+        out.append((rows, [s["numRowsUpdated"] for p in q.recentProgress if p["numInputRows"] for s in p["stateOperators"]]))
+    return out
+
+
+STEPS = "league string, match_id long, date date, home_team string, away_team string, step double, advantage double, score double, home_start double, away_start double"
+
+
+@pytest.mark.skipif(not incremental.HAS_KEYED_STATE, reason="needs protobuf")
+def test_streamed_ratings_write_what_they_touch(spark, tmp_path):
+    """After a batch of many teams one of a single match writes two ratings, and both ways of keeping state agree with the replay."""
+    row = lambda i, day, h, a: ("L", i, date(2025, 1, 1) + timedelta(days=day), h, a, 30.0, 100.0, float(i % 2), 1500.0, 1400.0)
+    rows = [[row(i, i, f"t{i % 20}", f"t{(i * 7 + 1) % 20}") for i in range(60) if i % 20 != (i * 7 + 1) % 20], [row(100, 100, "t3", "t9")], [row(101, 101, "t3", "new")]]
+    batches = [spark.createDataFrame(r, STEPS) for r in rows]
+    emitted = run_stream(spark, tmp_path, batches, incremental.stream_elo, "append")
+    assert [sum(n) for _, n in emitted[1:]] == [2, 2] and sum(emitted[0][1]) == 20
+    want = {r["match_id"]: (r["home_elo_pre"][0], r["away_elo_pre"][0]) for r in elo.replayed_in_order(spark.createDataFrame([r for b in rows for r in b], STEPS), [1.0]).collect()}
+    assert {r["match_id"]: (r["home_elo_pre"], r["away_elo_pre"]) for b, _ in emitted for r in b} == want
+    plain = run_stream(spark, tmp_path / "plain", batches, lambda s: incremental.stream_elo(s, keyed=False), "append")
+    assert {r["match_id"]: (r["home_elo_pre"], r["away_elo_pre"]) for b, _ in plain for r in b} == want
+
+
+def test_live_state_is_dropped(spark, tmp_path):
+    """Old matches leave the state; late news within the watermark are overtaken by event time, later ones ignored."""
+    row = lambda m, day, e, h: (m, f"2025-01-{day:02d} 12:00:00", e, "FINISHED", h, 0)
+    make = lambda rows: spark.createDataFrame(rows, "match_id long, t string, event_id long, status string, home_score int, away_score int").withColumn("event_time", F.to_timestamp("t")).drop("t")
+    batches = [make([row(i, 1, i, 1) for i in range(50)]), make([row(100, 3, 1, 2), row(100, 2, 9, 7)]), make([row(101, 25, 1, 3)]), make([row(102, 26, 1, 4), row(0, 1, 99, 9)])]
+    progress = []
+
+    def live(stream):
+        return incremental.stream_live_table(stream, "4 days")
+
+    source = f"file://{tmp_path}/source"
+    rows = []
+    for batch in batches:
+        batch.write.mode("append").parquet(source)
+        q = live(spark.readStream.schema(batch.schema).parquet(source)).writeStream.outputMode("update").foreachBatch(lambda df, n: rows.extend(df.collect())).option("checkpointLocation", f"file://{tmp_path}/checkpoint").trigger(availableNow=True).start()
+        q.awaitTermination()
+        progress.append(q.recentProgress[-1]["stateOperators"][0]["numRowsTotal"])
+    assert progress[0] == 50 and progress[-1] < 5
+    latest = {}
+    for r in rows:
+        latest[r["match_id"]] = max(latest.get(r["match_id"], (None, 0)), (r["event_time"], r["home_score"]), key=lambda x: str(x[0] or ""))
+    assert latest[100][1] == 2 and latest[0][1] == 1 and {101, 102} <= set(latest)
