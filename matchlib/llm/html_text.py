@@ -19,9 +19,11 @@ page_id is kept; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import html as html_module
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -79,8 +81,10 @@ CONTAINERS = set("article main section div nav header footer aside form ul ol dl
 FURNITURE_TAGS = set("nav footer aside form dialog menu".split())
 FURNITURE_NAMES = set(
     "nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside ad ads adv advert advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice alert popup modal overlay "
-    "newsletter subscribe subscription share sharing social comment comments reply replies respond discussion disqus related recommended pagination pager toolbar login signup search form widget copyright legal toc".split()
+    "newsletter subscribe subscription share sharing social comment comments reply replies respond discussion disqus related recommended pagination pager toolbar login signup search form widget copyright legal toc commentlist commentbox commentform".split()
 )
+#: Parts of a compound name that tell only where or how a container stands: left-sidebar is a sidebar, job-search is no search.
+PLACES = set("site page main global primary secondary left right top bottom mobile desktop sticky fixed inner outer box bar list block container wrapper wrap section area panel group row item items link links button buttons icons media post posts article articles thread more form js slot unit body head title message messages dialog holder space zone region module component element fluid user users reader readers visitor visitors stories topics tags bio small large new".split())
 ARTICLE_NAMES = set("article content main post entry story".split())
 ADVERT_NAMES = set("ad ads advert advertisement adsbygoogle promo promotion sponsor sponsored".split())
 VOID = set("br hr img input wbr source".split())
@@ -97,28 +101,14 @@ _NOTICE = re.compile(r"©|\b(?:copyright|all rights reserved|cookies?|newsletter
 _QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
 _HIDDEN_BY = re.compile(r"(?:^|\s)hidden(?=[\s=/]|$)", re.I)
 _STYLE_HIDES = re.compile(r"style\s*=\s*[\"'][^\"']*(?:display\s*:\s*none|visibility\s*:\s*hidden)", re.I)
-_NAMES = set(
-    "nav navbar navigation menu breadcrumb breadcrumbs header masthead footer sidebar aside ad ads adv advert advertisement advertising banner promo promotion sponsor sponsored cookie cookies consent gdpr notice alert popup modal overlay "
-    "newsletter subscribe subscription share sharing social comment comments reply replies respond discussion disqus related recommended pagination pager toolbar login signup search form widget copyright legal toc".split()
-)
-ARTICLE_NAMES = set("article content main post entry story".split())
-ADVERT_NAMES = set("ad ads advert advertisement adsbygoogle promo promotion sponsor sponsored".split())
-VOID = set("br hr img input wbr source".split())
-HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
-BLOCKS = CONTAINERS | HEADINGS | set("p li dt dd tr td th thead tbody tfoot caption pre blockquote address center hr figcaption summary".split())
-
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])[^>]*>|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9-]*)(?P<attrs>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|</?[a-zA-Z!?][^<>]*>",
-    re.S | re.I,
-)
-_RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>|\Z", re.I) for tag in RAW}
 _NAMES = re.compile(r"""(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
+_TEXT_TAG = re.compile(r"<(p|h1|article|main)(?=[\s/>])", re.I)
 _SPLIT = re.compile(r"[^a-z0-9]+")
 _OF_ANOTHER = re.compile(r"(?:with|without|has|no|not|show|hide)[-_]")
 
 
-def _container(tag: str, attrs: str, inside: tuple[int, bool]) -> tuple[int, bool]:
-    """(furniture: 1 by a name, 2 by an element for it; article) within a container that opens inside such a one."""
+def _container(tag: str, attrs: str, inside: tuple[int, bool], wraps: bool = False) -> tuple[int, bool]:
+    """(furniture: 1 by a name, 2 by an element for it; article) within a container that opens inside such a one. A compound name counts if its other parts tell of a place only; wraps: a form around paragraphs is no furniture."""
     furniture, article = inside
     names: set[str] = set()
     whole: set[str] = set()
@@ -127,14 +117,15 @@ def _container(tag: str, attrs: str, inside: tuple[int, bool]) -> tuple[int, boo
             whole.add(token)
             # with-sidebar tells of another element
             if not _OF_ANOTHER.match(token):
-                names.update(_SPLIT.split(token))
+                parts = set(filter(None, _SPLIT.split(token)))
+                names.update(parts if parts & FURNITURE_NAMES and all(x in FURNITURE_NAMES or x in PLACES or x.isdigit() or len(x) == 1 for x in parts) else parts - FURNITURE_NAMES | {token})
     named = bool((whole if tag in ("article", "main", "section", "body", "html") else names) & FURNITURE_NAMES)
     if tag in ("article", "main"):
         # a name on a wrapper doesn't reach into an article
         return 2 if inside[0] == 2 else int(named and tag != "main"), True
     if names & ARTICLE_NAMES and not named:
         article = True
-    if tag in FURNITURE_TAGS or (tag == "header" and not article) or (named and not (article and names & {"header"})):
+    if (tag in FURNITURE_TAGS and not (tag == "form" and wraps)) or (tag == "header" and not article) or (named and not (article and names & {"header"})):
         furniture = 0 if tag in ("body", "html") else 2 if tag in FURNITURE_TAGS - {"form"} else 1
     return max(furniture, inside[0]), article
 
@@ -160,19 +151,49 @@ def _end_tag(tag: str) -> re.Pattern:
     return re.compile(rf"</{tag}(?=[\s/>])", re.I)
 
 
-def _end_of(tag: str, html: str, at: int) -> int | None:
-    """The place after the end tag of an element that opens before at; None if it has no end tag of its own."""
-    depth = 1
-    for m in _same(tag).finditer(html, at):
-        if m[1]:
-            depth -= 1
-        elif not m[2]:
-            if tag not in NESTING and tag not in CONTAINERS and tag not in INLINE:
-                return None
-            depth += 1
-        if not depth:
-            return m.end()
-    return None
+class _Ends:
+    """Where elements of a page end; each tag's places are listed once for a page."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.known: dict[str, tuple[list[int], list[int | None], int]] = {}
+        self.texts: list[int] | None = None
+
+    def _of(self, tag: str) -> tuple[list[int], list[int | None], int]:
+        """The starts of the tag's tokens, for each the end of an element that opens just before it (None: no end of its own), and the last end tag's start."""
+        if tag not in self.known:
+            tokens = list(_same(tag).finditer(self.html))
+            nests = tag in NESTING or tag in CONTAINERS or tag in INLINE
+            # from the page's end on, with depths by the tags to the right: at that before an element's end tag it ends there
+            depth, at, ends = 0, {}, []
+            for m in reversed(tokens):
+                if m[1]:
+                    at[depth], depth = m.end(), depth + 1
+                elif not m[2]:
+                    depth -= 1
+                    if not nests:
+                        at = {}
+                ends.append(at.get(depth - 1))
+            last = max((m.start() for m in _end_tag(tag).finditer(self.html)), default=-1)
+            self.known[tag] = [m.start() for m in tokens], ends[::-1], last
+        return self.known[tag]
+
+    def end(self, tag: str, at: int) -> int | None:
+        """The place after the end tag of an element that opens before at; None if it has no end tag of its own."""
+        starts, ends, _ = self._of(tag)
+        i = bisect.bisect_left(starts, at)
+        return ends[i] if i < len(ends) else None
+
+    def any_after(self, tag: str, at: int) -> bool:
+        """Whether an end tag follows."""
+        return self._of(tag)[2] >= at
+
+    def wraps(self, at: int) -> bool:
+        """Whether a form that opens before at holds a page's text: a first heading, an article, or two paragraphs."""
+        end = self.end("form", at)
+        if self.texts is None:
+            self.texts = [m.start() for m in _TEXT_TAG.finditer(self.html) for _ in range(1 if m[1].lower() == "p" else 2)]
+        return bisect.bisect_left(self.texts, len(self.html) if end is None else end) - bisect.bisect_left(self.texts, at) >= 2
 
 
 def blocks(html: str) -> list[tuple[str, int, int, int, bool, bool, bool]]:
@@ -183,6 +204,16 @@ def blocks(html: str) -> list[tuple[str, int, int, int, bool, bool, bool]]:
     state, hidden, heading, link, own = (0, False), False, False, 0, 0
     # tags that have no end tag any more
     endless: set[str] = set()
+    ends = _Ends(html)
+    # how often a tag stands in the stack
+    opened: Counter[str] = Counter()
+
+    def enter(tag: str, ends_with_block: bool) -> None:
+        stack.append((tag, state, hidden, ends_with_block))
+        opened[tag] += 1
+
+    def innermost(tag: str) -> int | None:
+        return next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None) if opened[tag] else None
 
     def close() -> None:
         nonlocal linked
@@ -205,6 +236,8 @@ def blocks(html: str) -> list[tuple[str, int, int, int, bool, bool, bool]]:
     def leave(depth: int) -> None:
         nonlocal state, hidden
         state, hidden = stack[depth][1:3]
+        for x in stack[depth:]:
+            opened[x[0]] -= 1
         del stack[depth:]
 
     at = 0
@@ -220,42 +253,44 @@ def blocks(html: str) -> list[tuple[str, int, int, int, bool, bool, bool]]:
         if not tag:
             continue
         attrs = m["attrs"] or ""
-        opened = [x[0] for x in stack] if hidden or m["end"] else []
         if tag in BLOCKS:
-            if tag == "body" and not m["end"] and (of := next((i for i, x in enumerate(opened) if x == "head" or (x in HIDDEN and not set(opened) & OWN_BODY)), None)) is not None:
-                leave(of)
+            if tag == "body" and not m["end"] and hidden:
+                own_body = any(opened[x] for x in OWN_BODY)
+                of = next((i for i, x in enumerate(stack) if x[0] == "head" or (x[0] in HIDDEN and not own_body)), None)
+                if of is not None:
+                    leave(of)
             while hidden and stack and stack[-1][3]:
                 leave(len(stack) - 1)
         if attrs and not m["end"] and not hidden and tag not in HIDDEN and tag not in VOID and tag not in ("html", "body") and (_hides(attrs) or (tag in INLINE and tag != "a" and _own_names(attrs, ADVERT_NAMES))):
-            end = None if tag in endless else _end_of(tag, html, at)
+            end = None if tag in endless else ends.end(tag, at)
             if end is not None:
                 at = end
                 parts.append(" ")
                 if tag in BLOCKS:
                     close()
                 continue
-            if not _end_tag(tag).search(html, at):
+            if not ends.any_after(tag, at):
                 endless.add(tag)
             if tag in BLOCKS and tag not in CONTAINERS:
                 close()
-                stack.append((tag, state, hidden, True))
+                enter(tag, True)
                 hidden = True
                 continue
         if tag in HIDDEN:
             if m["end"]:
-                depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+                depth = innermost(tag)
                 if depth is not None:
                     leave(depth)
             elif not m["attrs"].endswith("/"):
-                stack.append((tag, state, hidden, tag in endless or _end_of(tag, html, at) is None))
-                if tag not in endless and not _end_tag(tag).search(html, at):
+                enter(tag, tag in endless or ends.end(tag, at) is None)
+                if tag not in endless and not ends.any_after(tag, at):
                     endless.add(tag)
                 hidden = True
             parts.append(" ")
             continue
         if hidden and not (m["end"] and tag in CONTAINERS):
             if tag in CONTAINERS:
-                stack.append((tag, state, hidden, False))
+                enter(tag, False)
             continue
         if tag in INLINE:
             if tag == "a":
@@ -263,7 +298,7 @@ def blocks(html: str) -> list[tuple[str, int, int, int, bool, bool, bool]]:
             elif tag == "br":
                 parts.append(" ")
             continue
-        depth = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None) if m["end"] and tag in CONTAINERS else None
+        depth = innermost(tag) if m["end"] and tag in CONTAINERS else None
         if hidden and (depth is None or stack[depth][2]):
             # an end tag of nothing, or of what opened in hidden text
             if depth is not None:
@@ -275,8 +310,8 @@ def blocks(html: str) -> list[tuple[str, int, int, int, bool, bool, bool]]:
         own = int(bool(attrs) and not m["end"] and tag not in CONTAINERS and _own_names(attrs, FURNITURE_NAMES - {"header"}))
         if tag in CONTAINERS:
             if not m["end"]:
-                stack.append((tag, state, hidden, False))
-                state = _container(tag, attrs, state)
+                enter(tag, False)
+                state = _container(tag, attrs, state, tag == "form" and ends.wraps(at))
             elif depth is not None:
                 leave(depth)
     text(html[at:])

@@ -805,3 +805,59 @@ def test_op11_estimates_are_never_too_low(spark):
         often = flagged.groupBy("node").agg(F.count("*").alias("n"), F.max("single").alias("single"))
         assert often.where("n > 1 and single").count() == 0
     assert often.where("n = 1 and single").count() > 0.9 * often.where("n = 1").count()
+
+
+PARAGRAPH = "Some words of a paragraph that tells a story about a town and its river, with enough of them to be text and not a label."
+
+
+@pytest.mark.parametrize(
+    "page, wanted",
+    [
+        (f'<form id="aspnetForm"><div><p>{PARAGRAPH}</p><p>{PARAGRAPH}</p></div></form>', [PARAGRAPH] * 2),
+        (f'<div class="social-news"><p>{PARAGRAPH}</p></div>', [PARAGRAPH]),
+        (f'<div class="job-search"><h1>Jobs in town</h1><p>{PARAGRAPH}</p></div>', ["Jobs in town", PARAGRAPH]),
+        (f'<p>{PARAGRAPH}</p><ol class="commentlist"><li>{PARAGRAPH}</li></ol>', [PARAGRAPH]),
+        (f'<p>{PARAGRAPH}</p><form class="newsletter"><p>{PARAGRAPH}</p><p>Send</p></form>', [PARAGRAPH]),
+        (f'<p>{PARAGRAPH}</p><form><label>Your name</label><p>Send us a line</p></form>', [PARAGRAPH]),
+        (f'<p>{PARAGRAPH}</p><div class="left-sidebar"><p>{PARAGRAPH}</p></div><div class="related-posts"><p>{PARAGRAPH}</p></div><div id="cookie-bar-2">We use {PARAGRAPH}</div><div class="reader-comments">{PARAGRAPH}</div>', [PARAGRAPH]),
+    ],
+)
+def test_op3_names_of_wrappers(tree, page, wanted):
+    assert html_text.main_text(page, tree) == "\n\n".join(wanted)
+
+
+@pytest.fixture(scope="module")
+def tree(spark):
+    return html_text.train(spark)
+
+
+@pytest.mark.parametrize("page", ["<svg>x" * 8000 + "</svg>", "<span hidden>a" * 8000 + "</span>", "<div hidden>" * 8000 + "t" + "</div>" * 4000, "<p hidden>a" * 8000 + "</p>", "<form>" * 8000 + "<p>a b c</p>", "<div>" * 8000 + "</svg>" * 8000, "<div class='ad'>" * 8000 + "x" * 100_000])
+def test_op3_long_and_deep_pages_take_linear_time(page):
+    began = time.time()
+    html_text.blocks(page)
+    assert time.time() - began < 1.5
+
+
+def plain_end(tag, page, at):
+    """The element's end by counting from where it opens."""
+    depth = 1
+    for m in html_text._same(tag).finditer(page, at):
+        if m[1]:
+            depth -= 1
+        elif not m[2]:
+            if tag not in html_text.NESTING | html_text.CONTAINERS | html_text.INLINE:
+                return None
+            depth += 1
+        if not depth:
+            return m.end()
+    return None
+
+
+def test_op3_ends_of_elements():
+    rng = np.random.default_rng(9)
+    for _ in range(500):
+        tag = str(rng.choice(["div", "svg", "span", "p", "option"]))
+        page = "".join(rng.choice([f"<{tag}>", f"</{tag}>", f"<{tag} a='b'>", f"<{tag}/>", "x ", "</i>"], int(rng.integers(1, 14))))
+        ends = html_text._Ends(page)
+        for m in re.finditer("<", page):
+            assert ends.end(tag, m.start()) == plain_end(tag, page, m.start()), (tag, page)
