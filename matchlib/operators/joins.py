@@ -32,11 +32,53 @@ def asof_player_rating(fixtures: DataFrame, ratings: DataFrame) -> DataFrame:
     return asof(fixtures, ratings, "player_id", "date", "rating_date", "overall_rating", "overall_rating")
 
 
+#: Days are counted from long before any date, and buckets of a level hold RADIX of the level below.
+_FIRST_DAY, RADIX, LEVELS = 1 << 23, 8, 9
+
+
+def day_number(day: Column) -> Column:
+    return F.unix_date(day) + F.lit(_FIRST_DAY)
+
+
+def buckets_of(start: Column, stop: Column) -> Column:
+    """The buckets that make up the days from start to before stop, as an array of (level, bucket): at each level those within the interval that no bucket of the level above within it holds, at most twice RADIX. Every day of the interval lies in exactly one."""
+
+    def at(level: int) -> Column:
+        size = RADIX**level
+        first, last = F.ceil(start / size), F.floor(stop / size)
+        above = [F.ceil(start / (size * RADIX)) * RADIX, F.floor(stop / (size * RADIX)) * RADIX]
+        whole = (above[0] >= above[1]) if level + 1 < LEVELS else F.lit(True)
+        row = lambda x, y: F.when(x < y, F.sequence(x, y - 1)).otherwise(F.array().cast("array<bigint>"))
+        numbers = F.when(whole, row(first, last)).otherwise(F.concat(row(first, above[0]), row(above[1], last)))
+        return F.transform(numbers, lambda n: F.struct(F.lit(level).alias("level"), n.alias("bucket")))
+
+    return F.concat(*map(at, range(LEVELS)))
+
+
+def buckets_at(day: Column) -> Column:
+    """The bucket of each level that holds the day."""
+    return F.array(*(F.struct(F.lit(level).alias("level"), F.floor(day / RADIX**level).alias("bucket")) for level in range(LEVELS)))
+
+
+def within(points: DataFrame, intervals: DataFrame, key: str, day: str, start: Column, stop: Column) -> DataFrame:
+    """points joined with the intervals(key, ...) of their key whose days, from start (null: always) to before stop (null: for ever), hold the point's day.
+
+    An interval is cut into nested buckets of days, of which a point looks up one
+    at each level: pairs meet on equal buckets, and only those that overlap, once
+    each. So a key with a long history costs what it returns, and is dealt out by its
+    buckets. A point without a day lies only in what is open at both ends.
+    """
+    begin, end = F.coalesce(day_number(start), F.lit(0)).cast("long"), F.coalesce(day_number(stop), F.lit(RADIX ** (LEVELS - 1))).cast("long")
+    cut = intervals.withColumn("_bucket", F.explode(buckets_of(begin, end)))
+    alone = F.array(F.struct(F.lit(LEVELS - 1).alias("level"), F.lit(0).cast("long").alias("bucket")))
+    asked = points.withColumn("_bucket", F.explode(F.when(F.col(day).isNull(), alone).otherwise(buckets_at(day_number(F.col(day)).cast("long")))))
+    return asked.join(cut, [key, "_bucket"]).drop("_bucket")
+
+
 def active_roster(fixtures: DataFrame, rosters: DataFrame) -> DataFrame:
     """fixtures(team, date, ...) with each player of rosters(team, player_id, joined_date, left_date) who has joined by the date and leaves after it; team in any case."""
     r = rosters.select(F.lower("team").alias("_team"), "player_id", "joined_date", "left_date")
-    active = (F.col("joined_date").isNull() | (F.col("joined_date") <= F.col("date"))) & (F.col("left_date").isNull() | (F.col("left_date") > F.col("date")))
-    return fixtures.join(r, (F.lower("team") == F.col("_team")) & active).drop("_team", "joined_date", "left_date")
+    return within(fixtures.withColumn("_team", F.lower("team")), r, "_team", "date", F.col("joined_date"), F.col("left_date")).drop("_team", "joined_date", "left_date")
 
 
 def active_injuries(fixtures: DataFrame, injuries: DataFrame, key: str = "player_id") -> DataFrame:
@@ -80,13 +122,17 @@ def attach_squad_ratings(matches: DataFrame, squads: DataFrame) -> DataFrame:
 
 
 def lineup_players(fixtures: DataFrame, lineups: DataFrame, by_match: bool = True) -> DataFrame:
-    """The starters of fixtures(team, match_id, date), by match or by day."""
-    key = ["team", "match_id"] if by_match else ["team", "date"]
-    return fixtures.join(lineups.where("is_starter").select(*key, "player_id"), key)
+    """The starters of fixtures(team, match_id, date), by match or by day; team in any case."""
+    key = "match_id" if by_match else "date"
+    starters = lineups.where("is_starter").select(F.lower("team").alias("_team"), key, "player_id")
+    return fixtures.withColumn("_team", F.lower("team")).join(starters, ["_team", key]).drop("_team")
 
 
-def pair_matrix(teams: DataFrame, blocks: int = 32) -> DataFrame:
-    """Every ordered pair of distinct teams with the attributes of both. The result itself has the square of teams' rows: for fixtures alone, join those. Teams are dealt into blocks, each of which meets every team once, so the pairs are made by an equi-join in even parts."""
+def pair_matrix(teams: DataFrame, blocks: int | None = None) -> DataFrame:
+    """Every ordered pair of distinct teams with the attributes of both. The result itself has the square of teams' rows: for fixtures alone, join those. Teams are dealt into blocks, each of which meets every team once, so the pairs are made by an equi-join in even parts; without a number of blocks there are as many as make some 100,000 pairs each."""
+    if blocks is None:
+        n = teams.count()
+        blocks = max(1, min(n, n * n // 100_000))
     a, b = (teams.select(*(F.col(c).alias(f"{s}_{c}") for c in teams.columns)) for s in ("home", "away"))
     dealt = F.pmod(F.xxhash64("away_team"), F.lit(blocks)).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))

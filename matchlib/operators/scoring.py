@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-import functools
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 
 def goal_rates(df: DataFrame, params: DataFrame) -> DataFrame:
@@ -112,19 +115,77 @@ def blend_interval(long: DataFrame, least: float = 0.15) -> DataFrame:
     return one.select("match_id", *out)
 
 
-def calibrate_isotonic(validation: DataFrame, rows: DataFrame, clip: float = 1e-6, by: str | None = None) -> DataFrame:
-    """rows with p_a, p_d and p_h mapped by isotonic regressions, one for each class, fitted on validation(y, p_a, p_d, p_h); clipped and renormalised. With by, for each value of it apart (a few, such as models)."""
-    if by:
-        parts = [calibrate_isotonic(*(x.where(F.col(by) == r[0]) for x in (validation, rows)), clip) for r in validation.select(by).distinct().orderBy(by).collect()]
-        return functools.reduce(DataFrame.unionByName, parts)
-    out = rows
-    for i, c in enumerate("adh"):
-        known = validation.select(F.col(f"p_{c}").alias("x"), (F.col("y") == i).cast("double").alias("label"))
-        model = IsotonicRegression(featuresCol="v", labelCol="label", predictionCol=f"_{c}").fit(known.select(array_to_vector(F.array("x")).alias("v"), "label"))
-        out = model.transform(out.withColumn("v", array_to_vector(F.array(f"p_{c}")))).drop("v")
-    safe = {c: F.greatest(F.lit(clip), F.least(F.lit(1 - clip), F.col(f"_{c}"))) for c in "adh"}
-    total = safe["a"] + safe["d"] + safe["h"]
-    return out.withColumns({f"p_{c}": safe[c] / total for c in "adh"}).drop("_a", "_d", "_h")
+_BLOCK = "name string, lo double, hi double, total double, n double"
+
+
+def _pooled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks (name, lo, hi, total, n), in order of name and lo, pooled until their means rise. Pooling pools of parts gives the pools of the whole."""
+    name, stack = None, []
+
+    def out(rows):
+        return pa.RecordBatch.from_arrays([pa.array([name] * len(rows), pa.string()), *(pa.array(c, pa.float64()) for c in zip(*rows))], names=["name", "lo", "hi", "total", "n"])
+
+    for batch in batches:
+        for new, *block in zip(*(batch.column(c).to_pylist() for c in ("name", "lo", "hi", "total", "n"))):
+            if new != name:
+                if stack:
+                    yield out(stack)
+                name, stack = new, []
+            stack.append(block)
+            # means compared without division
+            while len(stack) > 1 and stack[-2][2] * stack[-1][3] >= stack[-1][2] * stack[-2][3]:
+                _, hi, total, n = stack.pop()
+                lo, _, before, m = stack.pop()
+                stack.append([lo, hi, before + total, m + n])
+    if stack:
+        yield out(stack)
+
+
+def isotonic_fits(points: DataFrame) -> DataFrame:
+    """name, lo, hi and value: the steps of an isotonic regression of y on x for each name of points(name, x, y).
+
+    Equal x are summed first. Points are dealt out by ranges of x, pooled there,
+    and what is left, few blocks unless they rise already, is pooled for each name.
+    """
+    sums = points.where("x is not null and y is not null").groupBy("name", "x").agg(F.sum(F.col("y").cast("double")).alias("total"), F.count("*").cast("double").alias("n"))
+    blocks = sums.select("name", F.col("x").alias("lo"), F.col("x").alias("hi"), "total", "n")
+    parts = blocks.repartitionByRange("name", "lo").sortWithinPartitions("name", "lo").mapInArrow(_pooled, _BLOCK)
+    whole = parts.repartition("name").sortWithinPartitions("name", "lo").mapInArrow(_pooled, _BLOCK)
+    return whole.select("name", "lo", "hi", (F.col("total") / F.col("n")).alias("value"))
+
+
+def calibrate_isotonic(validation: DataFrame, rows: DataFrame, clip: float = 1e-6, by: str | None = None, most_steps: int = 1_000_000) -> DataFrame:
+    """rows with p_a, p_d and p_h mapped by isotonic regressions, one for each class, fitted on validation(y, p_a, p_d, p_h); clipped and renormalised. With by, for each value of it apart; rows of a value that validation lacks become even shares.
+
+    All regressions are fitted in one pass. Between steps values are interpolated, beyond
+    the outer ones they are theirs. The steps, at most most_steps (else an error), go
+    to the tasks that map rows.
+    """
+    name = lambda c: F.concat(F.lit(c), F.coalesce(F.col(by).cast("string"), F.lit("")) if by else F.lit(""))
+    each = F.explode(F.array(*(F.struct(name(c).alias("name"), F.col(f"p_{c}").alias("x"), (F.col("y") == i).cast("int").alias("y")) for i, c in enumerate("adh")))).alias("e")
+    steps = isotonic_fits(validation.select(each).select("e.*")).orderBy("name", "lo").limit(most_steps + 1).toArrow()
+    if steps.num_rows > most_steps:
+        raise ValueError(f"more than {most_steps} steps")
+    fits: dict[str, tuple[list[float], list[float]]] = {}
+    for n, lo, hi, value in zip(*(steps.column(c).to_pylist() for c in ("name", "lo", "hi", "value"))):
+        xs, ys = fits.setdefault(n, ([], []))
+        xs += [lo] if lo == hi else [lo, hi]
+        ys += [value] if lo == hi else [value, value]
+    shared = rows.sparkSession.sparkContext.broadcast(fits)
+
+    @pandas_udf("p_a double, p_d double, p_h double")
+    def mapped(value: pd.Series, a: pd.Series, d: pd.Series, h: pd.Series) -> pd.DataFrame:
+        out = {c: pd.Series(np.nan, index=value.index) for c in "adh"}
+        for v, at in value.groupby(value).groups.items():
+            for c, x in zip("adh", (a, d, h)):
+                xs, ys = shared.value.get(f"{c}{v}", ([0.0], [1 / 3]))
+                out[c][at] = np.interp(x[at], xs, ys)
+        safe = {c: x.clip(clip, 1 - clip) for c, x in out.items()}
+        total = sum(safe.values())
+        return pd.DataFrame({f"p_{c}": x / total for c, x in safe.items()})
+
+    p = mapped(F.coalesce(F.col(by).cast("string"), F.lit("")) if by else F.lit(""), *(F.col(f"p_{c}").cast("double") for c in "adh"))
+    return rows.withColumn("_p", p).withColumns({f"p_{c}": F.col(f"_p.p_{c}") for c in "adh"}).drop("_p")
 
 
 def encode_features(train: DataFrame, categorical: list[str], numeric: list[str]) -> PipelineModel:

@@ -222,7 +222,20 @@ def j9(v: Views) -> DataFrame:
     return J.blend_interval(v.predictions().join(weights, "model"))
 
 
-@query("j10_calibrate_isotonic")
+# the isotonic value at a point: the greatest, over what starts no later, of the least mean of any stretch from there that ends no earlier
+_ISO = with_views("predictions") + """, pt AS (SELECT model, c, x, CAST(sum(y) AS DOUBLE) AS s, count(*) AS n FROM (SELECT model, 'a' AS c, p_a AS x, CAST(y = 0 AS INT) AS y FROM predictions WHERE win = 0 UNION ALL SELECT model, 'd', p_d, CAST(y = 1 AS INT) FROM predictions WHERE win = 0 UNION ALL SELECT model, 'h', p_h, CAST(y = 2 AS INT) FROM predictions WHERE win = 0) GROUP BY ALL),
+cu AS (SELECT model, c, x, row_number() OVER w AS i, sum(s) OVER w AS cs, sum(n) OVER w AS cn, s, n FROM pt WINDOW w AS (PARTITION BY model, c ORDER BY x)),
+st AS (SELECT a.model, a.c, a.i, b.i AS j, (b.cs - a.cs + a.s) / (b.cn - a.cn + a.n) AS m FROM cu a JOIN cu b ON a.model = b.model AND a.c = b.c AND a.i <= b.i),
+lw AS (SELECT model, c, i, j, min(m) OVER (PARTITION BY model, c, i ORDER BY j DESC) AS low FROM st),
+ft AS (SELECT l.model, l.c, x, max(low) AS f FROM lw l JOIN cu ON cu.model = l.model AND cu.c = l.c AND cu.i = l.j GROUP BY ALL),
+q AS (SELECT DISTINCT model, c, x FROM (SELECT model, 'a' AS c, p_a AS x FROM predictions UNION ALL SELECT model, 'd', p_d FROM predictions UNION ALL SELECT model, 'h', p_h FROM predictions)),
+e AS (SELECT q.model, q.c, q.x, arg_max(ft.x, ft.x) FILTER (ft.x <= q.x) AS x0, arg_max(f, ft.x) FILTER (ft.x <= q.x) AS f0, arg_min(ft.x, ft.x) FILTER (ft.x >= q.x) AS x1, arg_min(f, ft.x) FILTER (ft.x >= q.x) AS f1 FROM q JOIN ft ON ft.model = q.model AND ft.c = q.c GROUP BY ALL),
+v AS (SELECT model, c, x, greatest(1e-6, least(1 - 1e-6, CASE WHEN f0 IS NULL THEN f1 WHEN f1 IS NULL OR x0 = x1 THEN f0 ELSE f0 + (f1 - f0) * (x - x0) / (x1 - x0) END)) AS p FROM e)
+SELECT match_id, model, round(a.p / (a.p + d.p + h.p), 6) AS p_a, round(d.p / (a.p + d.p + h.p), 6) AS p_d, round(h.p / (a.p + d.p + h.p), 6) AS p_h FROM predictions r
+JOIN v a USING (model) JOIN v d USING (model) JOIN v h USING (model) WHERE a.c = 'a' AND a.x = p_a AND d.c = 'd' AND d.x = p_d AND h.c = 'h' AND h.x = p_h"""
+
+
+@query("j10_calibrate_isotonic", _ISO)
 def j10(v: Views) -> DataFrame:
     p = v.predictions()
     return J.calibrate_isotonic(p.where("win = 0"), p, by="model").select("match_id", "model", *r6("p_a", "p_d", "p_h"))

@@ -240,9 +240,9 @@ def c1(v: Views) -> DataFrame:
     return C.team_table(v.matches())
 
 
-@query("c2_coverage_sets", with_views("matches") + " SELECT team, CASE WHEN EXISTS (SELECT 1 FROM matches WHERE home_team = team AND competition = '1-URGENT' AND match_id % 50 = 0) THEN 'present' ELSE 'missing' END AS status FROM team")
+@query("c2_coverage_sets", with_views("matches") + " SELECT team, CASE WHEN EXISTS (SELECT 1 FROM matches WHERE home_team = team AND competition = '1-URGENT' AND tournament_stage = 'Final' AND home_score = 4) THEN 'present' ELSE 'missing' END AS status FROM team")
 def c2(v: Views) -> DataFrame:
-    return C.coverage_sets(v.team(), v.matches().where("competition = '1-URGENT' and match_id % 50 = 0").select(F.col("home_team").alias("team")))
+    return C.coverage_sets(v.team(), v.matches().where("competition = '1-URGENT' and tournament_stage = 'Final' and home_score = 4").select(F.col("home_team").alias("team")))
 
 
 @query("c3_new_rows_only", with_views("matches") + " SELECT match_id, date, home_team, away_team FROM matches a WHERE NOT EXISTS (SELECT 1 FROM matches b WHERE b.match_id % 3 = 0 AND a.date = b.date AND a.home_team = b.home_team AND a.away_team = b.away_team)", dates=("date",))

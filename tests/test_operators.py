@@ -383,3 +383,43 @@ def test_live_state_is_dropped(spark, tmp_path):
     for r in rows:
         latest[r["match_id"]] = max(latest.get(r["match_id"], (None, 0)), (r["event_time"], r["home_score"]), key=lambda x: str(x[0] or ""))
     assert latest[100][1] == 2 and latest[0][1] == 1 and {101, 102} <= set(latest)
+
+
+def test_intervals_meet_only_what_overlaps(spark):
+    """Random stints, open ends, empty and reversed ones, a hot team: pairs are those of the plain predicate, and no pair is joined and dropped."""
+    rng = np.random.default_rng(4)
+    day = lambda n: None if n is None else date(1990, 1, 1) + timedelta(days=int(n))
+    maybe = lambda n: None if rng.random() < 0.1 else int(n)
+    stints = [(f"T{int(rng.integers(0, 3)) if i % 3 else 0}", i, day(maybe(s)), day(maybe(s + rng.integers(-3, 2000)))) for i, s in enumerate(rng.integers(0, 12000, 150))]
+    stints += [("t0", 1000, day(5), day(5)), ("t0", 1001, None, None), ("t0", 1002, date(1, 1, 1), date(9999, 12, 31))]
+    fixtures = [(i, f"t{i % 3}", day(maybe(rng.integers(-100, 14000)))) for i in range(80)]
+    want = {(f, p) for f, team, d in fixtures for t, p, a, b in stints if t.lower() == team and (a is None or (d is not None and a <= d)) and (b is None or (d is not None and b > d))}
+    r = spark.createDataFrame(stints, "team string, player_id int, joined_date date, left_date date")
+    joined = joins.active_roster(spark.createDataFrame(fixtures, "id int, team string, date date"), r)
+    got = [(x["id"], x["player_id"]) for x in joined.collect()]
+    assert len(got) == len(want) and set(got) == want
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "left_date" not in plan.partition("Join")[2].partition("\n")[0]  # buckets alone decide
+    cut = spark.sql("select 8388608L + 100 as a, 8388608L + 5000 as b").select(F.explode(joins.buckets_of(F.col("a"), F.col("b"))).alias("x")).count()
+    assert cut < 40
+
+
+def test_isotonic_fits_pool_parts(spark):
+    """Pools of ranges, pooled again, equal the pools of the whole; names apart; a group that validation lacks."""
+    rng = np.random.default_rng(5)
+    rows = [(f"m{i % 2}", float(x), float(y)) for i, (x, y) in enumerate(zip(rng.integers(0, 60, 600) / 60, rng.random(600)))]
+    points = spark.createDataFrame(rows, "name string, x double, y double")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        steps = scoring.isotonic_fits(points).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    for name in ("m0", "m1"):
+        fit = pool_adjacent([x for n, x, _ in rows if n == name], [y for n, _, y in rows if n == name])
+        mine = [s for s in steps if s["name"] == name]
+        assert len(mine) > 1 and [s["value"] for s in mine] == sorted(s["value"] for s in mine)
+        for x, f in fit.items():
+            assert [s["value"] for s in mine if s["lo"] <= x <= s["hi"]] == [pytest.approx(f, abs=1e-9)]
+    some = spark.createDataFrame([("x", 0, 0.2, 0.3, 0.5), ("x", 2, 0.1, 0.3, 0.6)], "model string, y int, p_a double, p_d double, p_h double")
+    other = some.withColumn("model", F.lit("y"))
+    assert [round(r["p_a"], 6) for r in scoring.calibrate_isotonic(some, other, by="model").collect()] == [0.333333] * 2
