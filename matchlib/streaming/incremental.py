@@ -6,7 +6,8 @@ from collections.abc import Iterator
 from datetime import date
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -43,23 +44,57 @@ def incremental_append(path: str, incoming: DataFrame, aliases: DataFrame, since
     return n
 
 
+def mark_before(spark: SparkSession, path: str, number: int) -> DataFrame:
+    """The mark after the batch before this one: one row of the small table of marks, or, where there is none yet, from a scan of the table at path."""
+    try:
+        return spark.read.schema("mark date").parquet(f"{path}/_marks/batch={number - 1}")
+    except AnalysisException:
+        return high_water_mark(spark.read.parquet(path).where(F.col("batch") < number))
+
+
 def append_stream(stream: DataFrame, path: str, aliases: DataFrame, checkpoint: str, late_path: str | None = None, **trigger):
-    """A started query that appends each batch's new rows to the table at path, which is partitioned by batch (-1: what was there before); rows no later than the mark go to late_path.
+    """A started query that appends each batch's new rows to the table at path, which is partitioned by batch (-1: what was there before); rows no later than the mark, and those without a date, go to late_path.
 
-    A batch sees only the rows of batches before it and overwrites its own
-    partitions, so a batch that is run again after a failure changes nothing.
+    What is on time is later than all that is stored, so nothing of it can be stored
+    already: a batch reads the mark that the batch before it has left, one row, and
+    never the table. It writes its own partitions and mark, so a batch that is run
+    again after a failure changes nothing. append_late stores what is new among late rows.
     """
+    columns = stream.sparkSession.read.parquet(path).drop("batch").columns
 
     def each(batch: DataFrame, number: int) -> None:
-        before = batch.sparkSession.read.parquet(path).where(F.col("batch") < number).drop("batch")
-        on_time, late = split_late(batch, high_water_mark(before))
+        mark = mark_before(batch.sparkSession, path, number)
+        on_time, late = split_late(batch, mark)
         if late_path:
             late.write.mode("overwrite").parquet(f"{late_path}/batch={number}")
-        rows_to_append(before, on_time, aliases, since="0001-01-01").select(before.columns).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        new = resolve_names(drop_incomplete(on_time), aliases, ["home_team", "away_team"]).select(columns)
+        new.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        stored = batch.sparkSession.read.schema(new.schema).parquet(f"{path}/batch={number}").select(F.col("date").alias("mark"))
+        mark.unionByName(stored).agg(F.max("mark").alias("mark")).write.mode("overwrite").parquet(f"{path}/_marks/batch={number}")
 
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(**(trigger or {"processingTime": "0 seconds"})).start()
 
 
+def by_month(rows: DataFrame, path: str) -> None:
+    """Writes rows to a table partitioned by month, in which append_late finds the days of a batch."""
+    rows.withColumn("month", F.date_format("date", "yyyy-MM")).write.mode("append").partitionBy("month").parquet(path)
+
+
+def append_late(path: str, late: DataFrame, aliases: DataFrame) -> int:
+    """Appends to the table at path, as by_month writes it, what of late isn't stored yet, and returns how many rows; rows without a date stay out. Only the months of late are read: at most a folder each, named by the driver."""
+    spark = late.sparkSession
+    done = resolve_names(drop_incomplete(late.where("date is not null")), aliases, ["home_team", "away_team"]).withColumn("month", F.date_format("date", "yyyy-MM")).persist()
+    months = [r["month"] for r in done.select("month").distinct().collect()]
+    stored = spark.read.schema(done.schema).parquet(path).where(F.col("month").isin(months))
+    new = new_rows_only(done, stored, KEY).drop("month").persist()
+    n = new.count()
+    if n:
+        by_month(new, path)
+    for held in (new, done):
+        held.unpersist()
+    return n
+
+
 def split_late(batch: DataFrame, mark: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows after the mark, all others: those no later than it and those without a date)."""
     marked = batch.crossJoin(F.broadcast(mark))  # one row

@@ -423,3 +423,36 @@ def test_isotonic_fits_pool_parts(spark):
     some = spark.createDataFrame([("x", 0, 0.2, 0.3, 0.5), ("x", 2, 0.1, 0.3, 0.6)], "model string, y int, p_a double, p_d double, p_h double")
     other = some.withColumn("model", F.lit("y"))
     assert [round(r["p_a"], 6) for r in scoring.calibrate_isotonic(some, other, by="model").collect()] == [0.333333] * 2
+
+
+def test_appending_reads_marks_and_not_the_table(spark, tmp_path):
+    """Batches over restarts; a damaged file in the table harms nobody who doesn't read it; a batch run again changes nothing; undated and old rows are late."""
+    none = spark.createDataFrame([], "alias string, canonical string")
+    table, late, source = (f"file://{tmp_path}/{x}" for x in ("table", "late", "source"))
+    m = matches(spark, [(d, f"a{d}", f"b{d}", 1, 0, False) for d in range(12)])
+    m.where("match_id < 3").write.parquet(f"{table}/batch=-1")
+    undated = m.where("match_id = 11").withColumns({"date": F.lit(None).cast("date"), "match_id": F.lit(99).cast("long")})
+    parts = [m.where("match_id between 2 and 5"), m.where("match_id in (4, 6, 7)").unionByName(undated), m.where("match_id >= 8")]
+    for i, part in enumerate(parts):
+        part.write.mode("append").parquet(source)
+        stream = spark.readStream.schema(m.schema).parquet(source)
+        incremental.append_stream(stream, table, none, f"file://{tmp_path}/checkpoint", late, availableNow=True).awaitTermination()
+        if i == 0:  # all rows of the table before: from now on only marks are read
+            (tmp_path / "table" / "batch=-1" / "part-damaged.parquet").write_bytes(b"no parquet")
+    marks = {r["batch"]: r["mark"] for r in spark.read.parquet(f"{table}/_marks").collect()}
+    assert [marks[k] for k in sorted(marks)] == sorted(marks.values()) and max(marks.values()) == date(2025, 1, 12)
+    (tmp_path / "table" / "batch=-1" / "part-damaged.parquet").unlink()
+    kept = sorted(r["match_id"] for r in spark.read.parquet(table).collect())
+    assert kept == list(range(12))
+    assert sorted(r["match_id"] for r in spark.read.parquet(late).collect()) == [2, 4, 99]
+
+
+def test_late_rows_read_their_months_only(spark, tmp_path):
+    none = spark.createDataFrame([], "alias string, canonical string")
+    table = f"file://{tmp_path}/months"
+    m = matches(spark, [(d, f"a{d}", f"b{d}", 1, 0, False) for d in range(0, 300, 5)])
+    incremental.by_month(m.where("match_id % 2 = 0"), table)
+    (tmp_path / "months" / "month=2025-09" / "part-damaged.parquet").write_bytes(b"no parquet")
+    late = m.where("date < '2025-03-01'").unionByName(m.where("match_id = 1").withColumn("date", F.lit(None).cast("date")))
+    assert incremental.append_late(table, late, none) == late.where("match_id % 2 = 1 and date is not null").count()
+    assert incremental.append_late(table, late, none) == 0
