@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
@@ -217,6 +218,73 @@ def train_logreg(encoded: DataFrame, label: str, weight: str | None = None, feat
     return (model.setWeightCol(weight) if weight else model).fit(encoded)
 
 
+def _newton_sums(batches: Iterator[pa.RecordBatch], beta: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Of rows (x array, k, w): the rows of the weighted Hessian and, in its last column, the gradient of the log loss at beta, summed over the task."""
+    free, q = beta.shape
+    total = np.zeros((free, q, free * q + 1))
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        x = np.column_stack([np.ones(batch.num_rows), np.stack(batch.column("x").to_numpy(zero_copy_only=False))]) if q > 1 else np.ones((batch.num_rows, 1))
+        k, w = batch.column("k").to_numpy(), batch.column("w").to_numpy()
+        z = np.column_stack([np.zeros(len(x)), x @ beta.T])
+        p = np.exp(z - z.max(axis=1, keepdims=True))
+        p = (p / p.sum(axis=1, keepdims=True))[:, 1:]
+        total[:, :, -1] += (w[:, None] * (p - (k[:, None] == np.arange(1, free + 1)))).T @ x
+        for i in range(free):
+            for j in range(free):
+                total[i, :, j * q : (j + 1) * q] += (x * (w * p[:, i] * ((i == j) - p[:, j]))[:, None]).T @ x
+    rows = total.reshape(free * q, -1)
+    yield pa.RecordBatch.from_pydict({"i": pa.array(np.arange(len(rows)), pa.int32()), "row": pa.array(rows.tolist(), pa.list_(pa.float64()))})
+
+
+#: Weights that one small system on the driver solves for.
+MOST_WEIGHTS = 2000
+
+
+def train_newton(rows: DataFrame, features: list[str], label: str, classes: int = 3, weight: str | None = None, ridge: float = 0.001, steps: int = 8) -> DataFrame:
+    """Weights of a logistic regression on numeric features: class_no (from 1; class 0 has none), feature ("" is the intercept) and weight, after some Newton steps from zero.
+
+    The loss is the weighted mean log loss plus ridge / 2 times the squared weights but
+    for intercepts. A step is one pass: each task sums its gradient and Hessian, the
+    Gram matrix of rows weighted by their probabilities; the sums, a square of
+    the number of weights, are added up, and the driver solves that small system.
+    Null features count as 0; rows with a null label are left out.
+    """
+    q, free = len(features) + 1, classes - 1
+    if q * free > MOST_WEIGHTS:
+        raise ValueError(f"more than {MOST_WEIGHTS} weights")
+    x = F.array(*(F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features)) if features else F.array().cast("array<double>")
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    data = rows.where(F.col(label).isNotNull()).select(x.alias("x"), F.col(label).cast("int").alias("k"), w.alias("w"))
+    total = data.agg(F.sum("w")).first()[0]
+    beta, penalty = np.zeros((free, q)), np.tile(np.append(0.0, np.full(q - 1, ridge)), free)
+    for _ in range(steps if total else 0):
+        parts = data.mapInArrow(functools.partial(_newton_sums, beta=beta), "i int, row array<double>")
+        sums = parts.select("i", F.posexplode("row").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v")).toArrow()
+        system = np.zeros((free * q, free * q + 1))
+        system[sums.column("i").to_numpy(), sums.column("j").to_numpy()] = sums.column("v").to_numpy()
+        gradient = system[:, -1] / total + penalty * beta.ravel()
+        beta = beta - np.linalg.lstsq(system[:, :-1] / total + np.diag(penalty), gradient, rcond=None)[0].reshape(free, q)
+    names = ["", *features]
+    return rows.sparkSession.createDataFrame([(c + 1, names[j], float(beta[c, j])) for c in range(free) for j in range(q)], "class_no int, feature string, weight double")
+
+
+def predict_newton(weights: DataFrame, rows: DataFrame, features: list[str], classes: str = "adh") -> DataFrame:
+    """rows with p_<class> for each class, in the order of their codes, by the weights of train_newton: one row of them, broadcast, and built-in functions."""
+    key = F.concat_ws(":", F.col("class_no").cast("string"), "feature")
+    one = weights.agg(F.map_from_entries(F.collect_list(F.struct(key.alias("k"), "weight"))).alias("_w"))
+    joined = rows.crossJoin(F.broadcast(one))  # one row
+    z = {c: F.lit(0.0) for c in classes[:1]}
+    for i, c in enumerate(classes[1:], 1):
+        z[c] = sum((F.col("_w")[f"{i}:{f}"] * F.coalesce(F.col(f).cast("double"), F.lit(0.0)) for f in features), F.col("_w")[f"{i}:"])
+    joined = joined.withColumns({f"_z{c}": x for c, x in z.items()})
+    top = F.greatest(*(f"_z{c}" for c in classes))
+    joined = joined.withColumns({f"_e{c}": F.exp(F.col(f"_z{c}") - top) for c in classes})
+    total = sum((F.col(f"_e{c}") for c in classes[1:]), F.col(f"_e{classes[0]}"))
+    return joined.withColumns({f"p_{c}": F.col(f"_e{c}") / total for c in classes}).drop("_w", *(f"_{k}{c}" for k in "ze" for c in classes))
+
+
 def predict_batch(model, rows: DataFrame, classes: str = "adh") -> DataFrame:
     """rows scored in one pass: p_<class> for each class, in the order of their codes."""
     p = vector_to_array("probability")

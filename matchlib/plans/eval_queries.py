@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -298,6 +300,60 @@ def j13(v: Views) -> DataFrame:
     return J.predict_batch(models["all"], rows).select("match_id", *(F.round(f"p_{c}", 4).alias(f"p_{c}") for c in "adh"))
 
 
+NEWTON_STEPS = 4
+
+
+def newton_sql(name: str, classes: int, label: str, weight: str) -> str:
+    """Views {name}_b{i}: the weights after i Newton steps on one feature, rank_diff standardised; the system of each step is solved by elimination, a view for each pivot."""
+    free, n = classes - 1, 2 * (classes - 1)
+    at = [(c, j) for c in range(1, classes) for j in (0, 1)]
+    x = ("1.0", "x")
+    out = [f"{name}_d AS (SELECT (rank_diff - m) / s AS x, {label} AS k, {weight} AS w FROM sp JOIN wt USING (target), st WHERE split = 'train')", f"{name}_b0 AS (SELECT " + ", ".join(f"0.0::DOUBLE AS b{i}" for i in range(n)) + ")"]
+    for t in range(NEWTON_STEPS):
+        e = [f"exp(b{2 * c} + b{2 * c + 1} * x)" for c in range(free)]
+        out.append(f"{name}_p{t} AS (SELECT x, k, w, " + ", ".join(f"{e[c]} / (1 + {' + '.join(e)}) AS p{c + 1}" for c in range(free)) + f" FROM {name}_d, {name}_b{t})")
+        cells = [f"sum(w * p{c} * ({int(c == d)} - p{d}) * {x[i]} * {x[j]}) / sum(w) + {0.001 if (c, i) == (d, j) and i else 0.0} AS a{r}_{s}" for r, (c, i) in enumerate(at) for s, (d, j) in enumerate(at)]
+        right = [f"sum(w * (p{c} - CAST(k = {c} AS INT)) * {x[i]}) / sum(w) AS g{r}" for r, (c, i) in enumerate(at)]
+        out.append(f"{name}_s{t} AS (SELECT {', '.join(cells + right)} FROM {name}_p{t})")
+        out.append(f"{name}_e{t}_0 AS (SELECT " + ", ".join([f"a{r}_{s}" for r in range(n) for s in range(n)] + [f"g{r} + {0.001 if at[r][1] else 0.0} * b{r} AS a{r}_{n}" for r in range(n)] + [f"b{r}" for r in range(n)]) + f" FROM {name}_s{t}, {name}_b{t})")
+        for v in range(n):
+            cell = lambda r, s: f"a{v}_{s} / a{v}_{v}" if r == v else f"a{r}_{s} - a{r}_{v} * a{v}_{s} / a{v}_{v}"  # noqa: B023, E731
+            out.append(f"{name}_e{t}_{v + 1} AS (SELECT " + ", ".join([f"{cell(r, s)} AS a{r}_{s}" for r in range(n) for s in range(n + 1)] + [f"b{r}" for r in range(n)]) + f" FROM {name}_e{t}_{v})")
+        out.append(f"{name}_b{t + 1} AS (SELECT " + ", ".join(f"b{r} - a{r}_{n} AS b{r}" for r in range(n)) + f" FROM {name}_e{t}_{n})")
+    return ",\n".join(out)
+
+
+_VARIANTS = {
+    "all": (3, "CASE target WHEN 'A' THEN 0 WHEN 'D' THEN 1 ELSE 2 END", "1.0"),
+    "balanced": (3, "CASE target WHEN 'A' THEN 0 WHEN 'D' THEN 1 ELSE 2 END", "wt.w"),
+    "draw": (2, "CASE target WHEN 'D' THEN 1 ELSE 0 END", "1.0"),
+}
+_NEWTON = _SPLIT.replace(", sp AS (SELECT *,", ", sp AS (SELECT *, CASE WHEN home_score > away_score THEN 'H' WHEN home_score < away_score THEN 'A' ELSE 'D' END AS target,") + """, st AS (SELECT avg(rank_diff) AS m, stddev_pop(rank_diff) AS s FROM sp WHERE split = 'train'),
+wt AS (SELECT target, sum(count(*)) OVER () / (count(*) OVER () * count(*)) AS w FROM sp WHERE split = 'train' GROUP BY target),
+""" + ",\n".join(newton_sql(name, *v) for name, v in _VARIANTS.items())
+
+
+def newton(v: Views) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """All rows with rank_diff standardised, and the weights of each variant."""
+    rows = ranked(v)
+    rows = J.scaled(rows.where("split = 'train'"), rows, ["rank_diff"]).withColumn("draw", (F.col("target") == "D").cast("int"))
+    train = written(J.balanced(rows.where("split = 'train'"), "target").select("rank_diff", "label", "draw", "sample_weight"), "train")
+    each = {"all": ("label", 3, None), "balanced": ("label", 3, "sample_weight"), "draw": ("draw", 2, None)}
+    return rows, {name: J.train_newton(train, ["rank_diff"], label, k, weight, steps=NEWTON_STEPS) for name, (label, k, weight) in each.items()}
+
+
+@query("j12_newton_weights", _NEWTON + " " + " UNION ALL ".join(f"SELECT '{name}' AS variant, CAST({c} AS INT) AS class_no, '{f}' AS feature, round(b{2 * (c - 1) + j}, 6) AS weight FROM {name}_b{NEWTON_STEPS}" for name, (k, _, _) in _VARIANTS.items() for c in range(1, k) for j, f in enumerate(("", "rank_diff"))))
+def j12n(v: Views) -> DataFrame:
+    _, weights = newton(v)
+    return functools.reduce(DataFrame.unionByName, (w.select(F.lit(name).alias("variant"), "class_no", "feature", F.round("weight", 6).alias("weight")) for name, w in weights.items()))
+
+
+@query("j13_newton_predict", _NEWTON + f""" SELECT match_id, round(1 / (1 + e1 + e2), 5) AS p_a, round(e1 / (1 + e1 + e2), 5) AS p_d, round(e2 / (1 + e1 + e2), 5) AS p_h FROM (SELECT match_id, exp(b0 + b1 * (rank_diff - m) / s) AS e1, exp(b2 + b3 * (rank_diff - m) / s) AS e2 FROM sp, st, balanced_b{NEWTON_STEPS})""")
+def j13n(v: Views) -> DataFrame:
+    rows, weights = newton(v)
+    return J.predict_newton(weights["balanced"], rows, ["rank_diff"]).select("match_id", *(F.round(f"p_{c}", 5).alias(f"p_{c}") for c in "adh"))
+
+
 @query("j14_explain_row", _OUT + " SELECT match_id, round(home_fifa_rank - away_fifa_rank, 0) AS rank_diff, round(p_h, 4) AS p_h, round(p_d, 4) AS p_d, round(p_a, 4) AS p_a FROM oc JOIN matches USING (match_id)")
 def j14(v: Views) -> DataFrame:
     m = J.outcome_from_rates(with_rates(v)).withColumn("rank_diff", F.col("home_fifa_rank") - F.col("away_fifa_rank"))

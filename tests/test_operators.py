@@ -456,3 +456,30 @@ def test_late_rows_read_their_months_only(spark, tmp_path):
     late = m.where("date < '2025-03-01'").unionByName(m.where("match_id = 1").withColumn("date", F.lit(None).cast("date")))
     assert incremental.append_late(table, late, none) == late.where("match_id % 2 = 1 and date is not null").count()
     assert incremental.append_late(table, late, none) == 0
+
+
+@pytest.mark.parametrize("classes, weighted", [(2, False), (3, True)])
+def test_newton_reaches_the_optimum(spark, classes, weighted):
+    """The gradient vanishes; predictions follow from the weights; null features and labels, a feature that doesn't vary, no rows."""
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(200, 2))
+    y = (x @ rng.normal(size=(2, classes)) + rng.gumbel(size=(200, classes))).argmax(axis=1)
+    own = rng.uniform(0.5, 2.0, 200) if weighted else np.ones(200)
+    rows = [(float(a), float(b) if i else None, 0.0, int(k), float(w)) for i, ((a, b), k, w) in enumerate(zip(x, y, own))] + [(1.0, 1.0, 0.0, None, 9.0)]
+    df = spark.createDataFrame(rows, "a double, b double, flat double, k int, w double")
+    features = ["a", "b", "flat"]
+    weights = scoring.train_newton(df, features, "k", classes, "w" if weighted else None, ridge=0.01)
+    beta = {(r["class_no"], r["feature"]): r["weight"] for r in weights.collect()}
+    x[0, 1] = 0.0
+    full = np.column_stack([np.ones(200), x, np.zeros(200)])
+    b = np.array([[beta[c, f] for f in ["", *features]] for c in range(1, classes)])
+    z = np.column_stack([np.zeros(200), full @ b.T])
+    p = np.exp(z) / np.exp(z).sum(axis=1, keepdims=True)
+    gradient = (own[:, None] * (p[:, 1:] - (y[:, None] == np.arange(1, classes)))).T @ full / own.sum() + 0.01 * b * [0, 1, 1, 1]
+    assert abs(gradient).max() < 1e-9
+    names = "xyz"[:classes]
+    got = scoring.predict_newton(weights, df.where("k is not null"), features, names).collect()
+    assert np.allclose(sorted(r["p_y"] for r in got), sorted(p[:, 1]), atol=1e-9)
+    assert {r["weight"] for r in scoring.train_newton(df.where("false"), features, "k", classes).collect()} == {0.0}
+    with pytest.raises(ValueError, match="weights"):
+        scoring.train_newton(df, features * 700, "k", classes)
