@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -204,6 +206,31 @@ def letter_pairs(c: Column) -> Column:
     return F.array_distinct(F.when(n > 1, F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(c, i, F.lit(2)))).otherwise(F.array().cast("array<string>")))
 
 
+def deletions(c: Column, most: int) -> Column:
+    """The distinct strings that up to most deletions of characters leave."""
+
+    def fewer(s: Column) -> Column:
+        less = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(s))), lambda i: F.concat(F.substring(s, F.lit(1), i - 1), F.substring(s, i + 1, F.length(s))))
+        return F.concat(F.array(s), less)
+
+    out = F.array(c)
+    for _ in range(most):
+        out = F.array_distinct(F.flatten(F.transform(out, fewer)))
+    return out
+
+
+#: Edits up to which names meet by what deletions leave.
+MOST_EDITS = 2
+
+
+def sharing_deletions(left: DataFrame, right: DataFrame, block: str, longest: int) -> DataFrame:
+    """The distinct pairs (id, other_id) of a block of which some deletions, at most edits of left(id, block, _name, edits) from either name, leave the same: all pairs at most edits apart are among them. right(other_id, block, _long, _short); longer names than longest can't be meant."""
+    own = F.when(F.col("edits") == 0, F.array("_name")).when(F.col("edits") == 1, deletions(F.col("_name"), 1)).otherwise(deletions(F.col("_name"), MOST_EDITS))
+    names = F.filter(F.array_distinct(F.array("_long", "_short")), lambda n: n.isNotNull() & (F.length(n) <= longest))
+    index = right.select("other_id", block, F.explode(names).alias("_n")).select("other_id", block, F.explode(deletions(F.col("_n"), MOST_EDITS)).alias("left_over"))
+    return left.select("id", block, F.explode(own).alias("left_over")).join(index, [block, "left_over"]).select("id", "other_id").distinct()
+
+
 def fuzzy_squad_match(players: DataFrame, ratings: DataFrame, block: str, threshold: float = 75.0) -> DataFrame:
     """players(id, name, block) with the ratings(other_id, other_name, other_short, block) of the same block that is most similar in name or short name, from threshold on; ties go to the smaller other_id. Similarity is by edit distance, in the place of the third-party score used elsewhere.
 
@@ -211,7 +238,9 @@ def fuzzy_squad_match(players: DataFrame, ratings: DataFrame, block: str, thresh
     being the length of the player's name, and each edit undoes two letter pairs at
     most. So of any 2 d + 1 letter pairs of the name one is in the other: only rows
     that share one of so many of the rarest meet. A name with fewer letter pairs
-    than that meets all of its block whose length allows the threshold.
+    than that meets those with which it shares what up to d deletions leave; only if
+    d is above MOST_EDITS too (a low threshold, or one letter again and again) it meets
+    all of its block whose length allows the threshold.
     """
     share = threshold / 100
     mine = players.select("id", block, F.lower("name").alias("_name")).withColumn("tokens", letter_pairs(F.col("_name")))
@@ -222,8 +251,10 @@ def fuzzy_squad_match(players: DataFrame, ratings: DataFrame, block: str, thresh
     enough = F.size("tokens") >= F.col("keep")
     by_pairs = sharing_rare(mine.where(enough), known, block)
     fits = lambda c: (F.least(F.length("_name"), F.length(c)) >= share * F.greatest(F.length("_name"), F.length(c)) - 1e-9)
-    by_length = mine.where(~enough).join(theirs, block).where(fits("_long") | fits("_short")).select("id", "other_id")
-    pairs = by_pairs.unionByName(by_length)
+    short = mine.where(~enough).withColumn("edits", ((F.col("keep") - 1) / 2).cast("int"))
+    by_deletions = sharing_deletions(short.where(F.col("edits") <= MOST_EDITS), theirs, block, math.ceil((MOST_EDITS + 1) / max(1 - share, 1e-9)))
+    by_length = short.where(F.col("edits") > MOST_EDITS).join(theirs, block).where(fits("_long") | fits("_short")).select("id", "other_id")
+    pairs = by_pairs.unionByName(by_deletions).unionByName(by_length)
     names = pairs.join(mine.select("id", "_name"), "id").join(theirs.drop(block), "other_id")
     scored = names.withColumn("score", F.greatest(similarity(F.col("_name"), F.col("_long")), similarity(F.col("_name"), F.col("_short"))))
     best = scored.where(F.col("score") >= threshold).groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "other_id")).alias("b"))

@@ -483,3 +483,34 @@ def test_newton_reaches_the_optimum(spark, classes, weighted):
     assert {r["weight"] for r in scoring.train_newton(df.where("false"), features, "k", classes).collect()} == {0.0}
     with pytest.raises(ValueError, match="weights"):
         scoring.train_newton(df, features * 700, "k", classes)
+
+
+def test_short_names_meet_by_deletions(spark):
+    """Names of up to a few letters against all pairs of their block, by edit distance; repeated letters; empty and null names; thresholds high and low."""
+    rng = np.random.default_rng(6)
+    name = lambda n: "".join(rng.choice(list("abA "), n))
+    left = [(i, name(int(rng.integers(0, 7))), f"b{i % 2}") for i in range(60)] + [(100, "aaaaaaaa", "b0"), (101, None, "b0"), (102, "xyz", "b1")]
+    right = [(i, name(int(rng.integers(0, 9))), name(3) if i % 3 else None, f"b{i % 2}") for i in range(60)] + [(100, "aaaaaaa", "aaaa", "b0"), (101, None, None, "b0"), (102, "xz", "yz", "b1")]
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+        return row[-1]
+
+    def alike(a, b):
+        return 0.0 if a is None or b is None or not max(len(a), len(b)) else 100.0 * (1 - edits(a.lower(), b.lower()) / max(len(a), len(b)))
+
+    a = spark.createDataFrame(left, "id int, name string, block string")
+    b = spark.createDataFrame(right, "other_id int, other_name string, other_short string, block string")
+    for threshold in (90.0, 75.0, 60.0, 40.0):
+        want = {}
+        for i, n, block in left:
+            scored = [(-max(alike(n, x), alike(n, y)), j) for j, x, y, other in right if other == block]
+            best = min((s for s in scored if s[0] <= -threshold), default=None)
+            if best:
+                want[i] = (best[1], round(-best[0], 6))
+        got = {r["id"]: (r["other_id"], round(r["score"], 6)) for r in joins.fuzzy_squad_match(a, b, "block", threshold).collect()}
+        assert got == want, threshold
