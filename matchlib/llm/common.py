@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
@@ -62,6 +63,23 @@ def with_fields(df: DataFrame, more: str) -> StructType:
     return StructType([*df.schema.fields, *StructType.fromDDL(more).fields])
 
 
+def in_slices(batches: Iterable, rows: int) -> Iterator:
+    """Arrow batches in slices of at most rows rows, so that few of their texts are Python strings at a time."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def only_cache(name: str, clear: Callable[[], None]) -> None:
+    """Called by a task that uses a cache of its Python worker: the caches of other operators, which the worker has kept from tasks before, are emptied, so that a worker holds one of them at a time."""
+    for other in [x for x in _HELD if x != name]:
+        _HELD.pop(other)()
+    _HELD[name] = clear
+
+
 def by_key(rows: DataFrame, values: DataFrame, key: str, n_rows: int, parts: int = 1000) -> DataFrame:
     """rows joined with values, which has a row for each key and in n (dropped) how many of the n_rows rows have it.
 

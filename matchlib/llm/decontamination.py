@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import in_slices, only_cache
 from .words import WORDS, ngrams
 
 FEWEST = 3
@@ -250,9 +251,10 @@ def _seeded(docs: DataFrame, benchmark: DataFrame, words_at_once: int):
         shared = spark.sparkContext.broadcast(items)
 
         def count(batches, shared=shared):
+            only_cache("words", WORDS.clear)
             mine = shared.value
             total = 0
-            for batch in batches:
+            for batch in in_slices(batches, 1024):
                 total = total + mine.counts(batch.column("text").to_pylist())
             if isinstance(total, np.ndarray):
                 held = np.flatnonzero(total)
@@ -271,7 +273,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, words_at_once: int = WORDS
 
     def scan(shared):
         def of(batches):
-            for batch in batches:
+            only_cache("words", WORDS.clear)
+            for batch in in_slices(batches, 1024):
                 ids = batch.column("doc_id").to_pylist()
                 rows = [(ids[d], shared.value.ids[k], score, first, last) for d, k, score, first, last in shared.value.leaks(batch.column("text").to_pylist())]
                 if rows:
@@ -291,7 +294,8 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, words_at_once: int = WO
 
     def keep(shared):
         def of(batches):
-            for batch in batches:
+            only_cache("words", WORDS.clear)
+            for batch in in_slices(batches, 1024):
                 clean = np.ones(batch.num_rows, dtype=bool)
                 clean[[d for d, *_ in shared.value.leaks(batch.column("text").to_pylist())]] = False
                 yield batch.filter(pa.array(clean))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import in_slices, only_cache, written
 from .components import components, stars
 from .tiles import dealt, pair_chunks, whole_tiles
 from .words import WORDS, mixed, ngrams
@@ -86,7 +86,8 @@ def fingerprints(docs: DataFrame, n: int = N) -> DataFrame:
     """Of docs(doc_id, text), written: doc_id, text_hash, set_id (16 bytes of the n-gram set; null without words) and signature."""
 
     def of(batches):
-        for batch in batches:
+        only_cache("words", WORDS.clear)
+        for batch in in_slices(batches, 256):
             ids, signatures = [], []
             for text in batch.column("text").to_pylist():
                 grams = np.unique(ngrams(WORDS.of(text), n))
@@ -157,7 +158,8 @@ def verified_links(docs: DataFrame, members: DataFrame, n: int, threshold: float
     joined = members.join(texts, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("text_hash") == F.col("_hash"))).dropDuplicates(["doc_id", "text_hash"])
 
     def sets_of(batches):
-        for batch in batches:
+        only_cache("words", WORDS.clear)
+        for batch in in_slices(batches, 256):
             grams = [np.unique(ngrams(WORDS.of(t), n)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("set_id", "copies", "cluster", "n")), pa.array([g.tobytes() for g in grams], pa.binary()), pa.array([signature(g).tobytes() for g in grams], pa.binary())], names=["set_id", "copies", "cluster", "n", "grams", "signature"])
 

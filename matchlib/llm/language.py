@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import with_fields, written
+from .common import in_slices, only_cache, with_fields, written
 
 SAMPLE_DOCS = 20_000
 LEAST_DOCS = 100
@@ -221,13 +221,14 @@ def predicted(docs: DataFrame, model: Model) -> DataFrame:
     shared, name = docs.sparkSession.sparkContext.broadcast(model), uuid.uuid4().hex
 
     def predict(batches):
+        only_cache("languages", _SCORERS.clear)
         if name not in _SCORERS:
             _SCORERS.clear()
             _SCORERS[name] = Scorer(shared.value)
         scorer = _SCORERS[name]
-        for batch in batches:
-            found = scorer.predict(batch.column("text").to_pylist())
-            yield batch.append_column("lang_pred", pa.array([x for x, _ in found], pa.string())).append_column("score", pa.array([x for _, x in found], pa.float64()))
+        for part in in_slices(batches, 1024):
+            found = scorer.predict(part.column("text").to_pylist())
+            yield part.append_column("lang_pred", pa.array([x for x, _ in found], pa.string())).append_column("score", pa.array([x for _, x in found], pa.float64()))
 
     return docs.mapInArrow(predict, with_fields(docs, "lang_pred string, score double"))
 

@@ -8,6 +8,8 @@ from array import array
 
 import numpy as np
 
+from .common import only_cache
+
 _CHUNK = re.compile(r"\s*\S+|\s+")
 _ODD_SPACE = re.compile(r"[^\S \n\t\r]")
 _NOT_SIMPLE = re.compile(r"[ \n]{2}|[^\S \n]")
@@ -121,6 +123,7 @@ def encoder(path: str) -> Encoder:
 
 def encoded(batches, path: str, text_column: str = "text", at_once: int = 256):
     """For Arrow batches: (batch, first row, ids of the rows from there) for at_once rows at a time. A null text is empty."""
+    only_cache("ids", _ENCODERS.clear)
     enc = encoder(path)
     for batch in batches:
         column = batch.column(text_column)
