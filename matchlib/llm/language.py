@@ -150,7 +150,7 @@ def letters_of(token: str) -> list[str]:
 class Scorer(dict):
     """For a token: the row of its summed word scores and its number of words in a table that grows with the tokens seen, up to a bound."""
 
-    def __init__(self, model: Model, most: int = 500_000):
+    def __init__(self, model: Model, most: int = 350_000):
         super().__init__()
         width = len(model.langs) + 1
         self.model, self.most = model, max(1000, min(most, (1 << 24) // width))

@@ -55,7 +55,7 @@ class Encoder:
     as the tokenizer has it; with special_as_text they are ordinary text.
     """
 
-    def __init__(self, path: str, cache_entries: int = 900_000, special_as_text: bool = False):
+    def __init__(self, path: str, cache_entries: int = 450_000, special_as_text: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 

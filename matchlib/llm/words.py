@@ -13,7 +13,7 @@ _WORD = re.compile(r"[^\W_]+")
 class WordHashes(dict):
     """For what stands between white space, in lower case: the 8-byte hashes of its words (runs of letters and digits). Keeps what it has seen, up to a bound."""
 
-    def __init__(self, most: int = 700_000):
+    def __init__(self, most: int = 450_000):
         super().__init__()
         self.most = most
 
