@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,10 +77,22 @@ _HELD: dict[str, Callable[[], None]] = {}
 
 
 def only_cache(name: str, clear: Callable[[], None]) -> None:
-    """Called by a task that uses a cache of its Python worker: the caches of other operators, which the worker has kept from tasks before, are emptied, so that a worker holds one of them at a time."""
-    for other in [x for x in _HELD if x != name]:
+    """Called by a task that uses a cache of its Python worker: the caches of other operators, which the worker has kept from tasks before, are emptied, so that a worker holds one of them at a time, and the system gets back what no object needs."""
+    others = [x for x in _HELD if x != name]
+    for other in others:
         _HELD.pop(other)()
     _HELD[name] = clear
+    if others:
+        gc.collect()  # encoders hold themselves by their caches
+    give_back()
+
+
+def give_back() -> None:
+    """Memory that Arrow and the C library keep for later goes back to the system, where the C library can."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def by_key(rows: DataFrame, values: DataFrame, key: str, n_rows: int, parts: int = 1000) -> DataFrame:
