@@ -147,8 +147,13 @@ def seen_by(first: Column, state: Callable[[str], Column]) -> dict[str, Column]:
 
 def head_to_head(matches: DataFrame, n: int = 10) -> DataFrame:
     """match_id and the record of the pair over its last n meetings, as both sides see it: {home,away}_h2h_win_rate, h2h_draw_rate, {home,away}_h2h_goal_diff and h2h_n_matches."""
+    return record_before(pair_meetings(matches), n)
+
+
+def record_before(meetings: DataFrame, n: int = 10, *more: str) -> DataFrame:
+    """head_to_head of the rows of pair_meetings, with more columns of theirs."""
     state = meeting_state(n)
-    return pair_meetings(matches).select("match_id", *(x.alias(c) for c, x in seen_by(F.col("first"), state.__getitem__).items()))
+    return meetings.select("match_id", *more, *(x.alias(c) for c, x in seen_by(F.col("first"), state.__getitem__).items()))
 
 
 def elo_inactivity(elo: Column, rest: Column, halflife: float) -> Column:
@@ -310,28 +315,42 @@ FEATURES = [
 ]
 
 
-def feature_table(rated: DataFrame, base_rates: DataFrame, *, stages: DataFrame | None = None, penalties: DataFrame | None = None, squads: DataFrame | None = None, venues: DataFrame | None = None, cities: DataFrame | None = None, tiers: dict[str, int] = CONFEDERATION_TIER, decay_halflife: float = 730.0, inactivity_halflife: float = 0.0) -> DataFrame:
-    """The flagship: a row for each match, and one more with the sides swapped for each on neutral ground.
-
-    rated are matches with competition_weight, k_multiplier and ratings before and
-    after; written once, as every branch starts from them. All per-team windows
-    take one exchange, head to head another, folding back a third. Sides are swapped
-    before differences are taken, so that these hold in both orientations. Optional
-    blocks: stages(raw, stage), penalties(team, won, played), squads(team,
-    squad_avg_rating, top_player_rating), venues and cities as in attach_venue.
-    """
+def match_features(rated: DataFrame, long: DataFrame, record: DataFrame, *, stages: DataFrame | None = None, penalties: DataFrame | None = None, squads: DataFrame | None = None, venues: DataFrame | None = None, cities: DataFrame | None = None, inactivity_halflife: float = 0.0) -> DataFrame:
+    """A row for each of the rated matches with what is known of it and before it: both sides' features of long, their record, and the optional blocks of feature_table. Nothing here depends on later matches."""
     m = stage_attrs(rated, stages).withColumn("target", result_label(F.col("home_score"), F.col("away_score")))
     if cities is not None and venues is not None:
         m = attach_venue(m, cities, venues)
-    long = team_features(long_table(rated, {"opp_elo_pre": ("away_elo_pre", "home_elo_pre")}), adjusted=True)
-    out = fold_back(m, long, FEATURES).join(head_to_head(rated), "match_id")
+    out = fold_back(m, long, FEATURES).join(record, "match_id")
     out = out.withColumns({f"{s}_elo_effective": elo_inactivity(F.col(f"{s}_elo_pre"), F.col(f"{s}_rest_days"), inactivity_halflife) for s in ("home", "away")})
     if penalties is not None:
         out = attach_penalty_rates(out, penalties)
     if squads is not None:
         out = attach_squad_ratings(out, squads).drop("squad_rating_diff")
-    out = interaction_features(augment_neutral(out), base_rates, tiers)
-    return time_decay_weight(out, decay_halflife, among=rated)
+    return out
+
+
+def both_orientations(features: DataFrame, base_rates: DataFrame, among: DataFrame, tiers: dict[str, int] = CONFEDERATION_TIER, decay_halflife: float = 730.0) -> DataFrame:
+    """The feature table of match_features: neutral matches once more with sides swapped, then differences, tier rates and weights by age before the last date of among. Sides are swapped first, so that differences hold in both orientations."""
+    return time_decay_weight(interaction_features(augment_neutral(features), base_rates, tiers), decay_halflife, among=among)
+
+
+#: What the long table of rated matches has besides.
+OPPONENT = {"opp_elo_pre": ("away_elo_pre", "home_elo_pre")}
+
+
+def feature_table(rated: DataFrame, base_rates: DataFrame, *, tiers: dict[str, int] = CONFEDERATION_TIER, decay_halflife: float = 730.0, **blocks) -> DataFrame:
+    """The flagship: a row for each match, and one more with the sides swapped for each on neutral ground.
+
+    rated are matches with competition_weight, k_multiplier and ratings before and
+    after; written once, as every branch starts from them. All per-team windows
+    take one exchange, head to head another, folding back a third. Optional
+    blocks: stages(raw, stage), penalties(team, won, played), squads(team,
+    squad_avg_rating, top_player_rating), venues and cities as in attach_venue, and
+    inactivity_halflife in days.
+    """
+    long = team_features(long_table(rated, OPPONENT), adjusted=True)
+    features = match_features(rated, long, head_to_head(rated), **blocks)
+    return both_orientations(features, base_rates, rated, tiers, decay_halflife)
 
 
 def fold_back(matches: DataFrame, features: DataFrame, columns: list[str]) -> DataFrame:

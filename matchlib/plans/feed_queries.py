@@ -9,9 +9,10 @@ from ..operators import elo as R
 from ..sources import feeds as A
 from ..sources import shared
 from ..streaming import incremental as L
-from .join_queries import _ELO, CONFIG, elo_matches, features_sql, rounded
-from .queries import query, r6, registry
-from .testdata import Views, with_views
+from ..streaming.features import FeatureStore, stream_features
+from .join_queries import _COLUMNS, _ELO, CONFIG, elo_matches, features_sql, places, rounded, table_sql
+from .queries import query, r6, registry, with_variants
+from .testdata import TIERS, Views, with_views
 
 
 def scratch(v: Views, label: str) -> str:
@@ -177,6 +178,15 @@ def l4(v: Views) -> DataFrame:
     return rounded(last, ("team", "n_matches", "last_date"))
 
 
+@query("l4_stream_features", table_sql([*_COLUMNS]), dates=("date",))
+def l4f(v: Views) -> DataFrame:
+    matches, names = with_variants(v, elo_matches(v))
+    venues, cities = places(v, matches)
+    store = FeatureStore(scratch(v, "features"), CONFIG, v.start(), stages=names, penalties=v.penalties(), squads=v.squads(), venues=venues, cities=cities, inactivity_halflife=365.0)
+    streamed(v, by_date(matches), None, "append", lambda stream, checkpoint: stream_features(stream, store, checkpoint, availableNow=True))
+    return rounded(store.table(v.spark, tiers=TIERS).select("swapped", "target", *_COLUMNS), ("match_id",))
+
+
 @query("l5_stream_elo", _ELO + " SELECT match_id, round(h0, 6) AS home_elo_pre, round(a0, 6) AS away_elo_pre FROM r WHERE match_id IS NOT NULL")
 def l5(v: Views) -> DataFrame:
     steps = R.with_start(R.elo_steps(elo_matches(v), CONFIG), v.start(), CONFIG.start)

@@ -375,14 +375,19 @@ def table_sql(columns: list[str]) -> str:
     return _TABLE_SQL + f" SELECT swapped, target, {chosen} FROM u JOIN rates ON rates.weight = u.competition_weight"
 
 
+def places(v: Views, matches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Venues by city, and the city of every second match."""
+    k = F.col("r_regionkey")
+    venues = v.table("region").where("r_regionkey <> 3").select(F.col("r_name").alias("city"), (k * 700).alias("altitude_m"), (k % 2 == 1).alias("is_dome"), (k + 30000).alias("capacity"))
+    return venues, matches.where("match_id % 2 = 0").select("date", "home_team", "away_team", F.col("home_confederation").alias("city")).distinct()
+
+
 def feature_table(v: Views) -> DataFrame:
     """The flagship over the views."""
     m = written(B.competition_attrs(rated(v), v.attrs()), "rated")
     staged, names = with_variants(v, m)
     rates = G.tier_base_rates(m).where("competition_weight is not null")
-    k = F.col("r_regionkey")
-    venues = v.table("region").where("r_regionkey <> 3").select(F.col("r_name").alias("city"), (k * 700).alias("altitude_m"), (k % 2 == 1).alias("is_dome"), (k + 30000).alias("capacity"))
-    cities = m.where("match_id % 2 = 0").select("date", "home_team", "away_team", F.col("home_confederation").alias("city")).distinct()
+    venues, cities = places(v, m)
     return W.feature_table(staged, rates, stages=names, penalties=v.penalties(), squads=v.squads(), venues=venues, cities=cities, tiers=TIERS, inactivity_halflife=365.0)
 
 
