@@ -8,11 +8,12 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from matchlib.functions import cleaning as B
-from matchlib.operators import elo, evaluation, joins, scoring, sets, splits
+from matchlib.operators import aggregates, elo, evaluation, joins, scoring, sets, splits
 from matchlib.operators import standings as K
 from matchlib.operators import windows as W
 from matchlib.sources import feeds
 from matchlib.streaming import incremental
+from matchlib.streaming.features import FeatureStore, LastRows, stream_features
 
 MATCH = "match_id long, date date, home_team string, away_team string, home_score int, away_score int, neutral boolean"
 
@@ -514,3 +515,82 @@ def test_short_names_meet_by_deletions(spark):
                 want[i] = (best[1], round(-best[0], 6))
         got = {r["id"]: (r["other_id"], round(r["score"], 6)) for r in joins.fuzzy_squad_match(a, b, "block", threshold).collect()}
         assert got == want, threshold
+
+
+def league(spark, n=60, teams=12):
+    rows = [(i // 2, f"t{i % teams}", f"t{(i * 5 + 1 + i // teams) % teams}", i % 4, i % 3, i % 5 == 0) for i in range(n)]
+    m = rated(spark, matches(spark, rows).where("home_team <> away_team"))
+    return m.withColumns({"league": F.when(F.col("match_id") % 7 != 0, F.lit("x")), "competition_weight": F.lit(3), "home_fifa_rank": F.lit(5), "away_fifa_rank": F.lit(9), "tournament_stage": F.lit("Final"), "bucket": F.lit("clash"), "batch_note": F.lit("kept")})
+
+
+def rebuilt(m, start):
+    m = m.withColumn("league", F.coalesce("league", F.lit("")))
+    whole = m.join(elo.elo_replay(m, start=start).drop("league"), "match_id")
+    return W.feature_table(whole, aggregates.tier_base_rates(whole).where("competition_weight is not null"))
+
+
+def as_rows(df, columns):
+    return sorted(tuple(r) for r in df.select(*columns).collect())
+
+
+def test_feature_store_equals_a_rebuild(spark, tmp_path):
+    """Three batches, one of them empty and one added twice: all columns as by a rebuild; a batch of two matches reads and writes the buckets of its teams only."""
+    m = league(spark)
+    start = spark.createDataFrame([("t1", 1700.0), ("t2", 1300.0)], "team string, rating double")
+    store = FeatureStore(f"file://{tmp_path}/store", start=start, buckets=16)
+    last = m.where(F.col("date") >= date(2025, 1, 30))
+    parts = [m.where(F.col("date") < date(2025, 1, 20)), m.limit(0), m.where((F.col("date") >= date(2025, 1, 20)) & (F.col("date") < date(2025, 1, 30))), last]
+    for number, part in enumerate(parts[:3]):
+        store.append(part, number)
+    store.append(parts[2], 2)  # as after a failure
+    playing = {t for r in last.collect() for t in (r["home_team"], r["away_team"])}
+    of = lambda names: {r["b"] for r in spark.createDataFrame([(t,) for t in names], "team string").select(store.teams.bucket().alias("b")).collect()}
+    others = of({f"t{i}" for i in range(12)}) - of(playing)
+    assert others  # versions of buckets that the batch has no business with
+    for b in others:
+        for folder in (tmp_path / "store" / "teams").glob(f"batch=*/bucket={b}"):
+            for f in folder.glob("*.parquet"):
+                f.write_bytes(b"no parquet")
+    store.append(last, 3)
+    assert {int(p.name.split("=")[1]) for p in (tmp_path / "store" / "teams" / "batch=3").glob("bucket=*")} == of(playing)
+    table, whole = store.table(spark), rebuilt(m, start)
+    assert set(table.columns) == set(whole.columns)
+    assert as_rows(table, whole.columns) == as_rows(whole, whole.columns) and table.count() > m.count()
+
+
+def test_last_rows_are_bounded(spark, tmp_path):
+    """A team of more matches than are kept leaves only the last ones."""
+    table = LastRows(f"file://{tmp_path}/rows", ("team",), 3, 4)
+    rows = lambda days: spark.createDataFrame([("a", date(2025, 1, d), d) for d in days], "team string, date date, match_id long")
+    assert table.advanced(rows(range(1, 9)), 0).count() == 8
+    seen = {r["match_id"]: r["_new"] for r in table.advanced(rows([10]), 1).collect()}
+    assert seen == {6: False, 7: False, 8: False, 10: True}
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        table.advanced(rows([11]), 5)  # a batch is missing
+
+
+def test_streamed_features_restart_and_late_rows(spark, tmp_path):
+    """A restart before each batch and a batch done twice: equal to a rebuild of what was on time; old and undated rows go aside, repeated and unplayed ones don't count."""
+    m = league(spark, 40, 6)
+    store = FeatureStore(f"file://{tmp_path}/store", buckets=4)
+    source, checkpoint, late = (f"file://{tmp_path}/{x}" for x in ("source", "checkpoint", "late"))
+    old = m.where("match_id = 2").withColumn("match_id", F.lit(900).cast("long"))
+    undated = old.withColumns({"date": F.lit(None).cast("date"), "match_id": F.lit(901).cast("long")})
+    unplayed = m.where("match_id = 37").withColumns({"home_score": F.lit(None).cast("int"), "match_id": F.lit(902).cast("long")})
+    first, second = m.where(F.col("date") < date(2025, 1, 12)), m.where(F.col("date") >= date(2025, 1, 12))
+
+    def run():
+        stream = spark.readStream.schema(m.schema).parquet(source)
+        stream_features(stream, store, checkpoint, late, availableNow=True).awaitTermination()
+
+    for part in (first.unionByName(first.where("match_id < 5")), second.unionByName(old).unionByName(undated).unionByName(unplayed)):
+        part.write.mode("append").parquet(source)
+        run()
+    whole = rebuilt(m, None)
+    want = as_rows(whole, whole.columns)
+    assert as_rows(store.table(spark), whole.columns) == want
+    assert sorted(r["match_id"] for r in spark.read.parquet(late).collect()) == [900, 901]
+    for commit in (tmp_path / "checkpoint" / "commits").glob("*1*"):
+        commit.unlink()
+    run()
+    assert as_rows(store.table(spark), whole.columns) == want
