@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def asof(queries: DataFrame, facts: DataFrame, key: str, day: str, fact_day: str, value: str, out: str) -> DataFrame:
     """queries with the last non-null value of facts for the key strictly before the day, as out.
@@ -177,6 +179,18 @@ def sharing_rare(left: DataFrame, right: DataFrame, block: str) -> DataFrame:
     return seeds.select("id", block, "token").join(index, [block, "token"]).select("id", "other_id").distinct()
 
 
+def once_each(rows: DataFrame, key: list[str], number: str, *smallest: str) -> DataFrame:
+    """Each distinct key of rows once, written, with a number of its own and the smallest struct of the columns smallest of its rows."""
+    least = [F.min(F.struct(*smallest)).alias("_least")] if smallest else []
+    return written((rows.groupBy(*key).agg(*least) if least else rows.select(*key).distinct()).withColumn(number, F.monotonically_increasing_id()), number)
+
+
+def of_copies(left: DataFrame, asked: DataFrame, best: DataFrame, block: str) -> DataFrame:
+    """id, other_id and score: best(_left, other_id, score), found for the distinct names asked(_left, name, block), for each row of left. Sides are merged: neither need fit a driver."""
+    found = asked.join(best, "_left").select("name", block, "other_id", "score")
+    return left.select("id", "name", block).hint("merge").join(found, ["name", block]).select("id", "other_id", "score")
+
+
 def token_match(left: DataFrame, right: DataFrame, block: str, threshold: float) -> DataFrame:
     """left(id, name, block) with the right(other_id, other_name, other_short, ordinal, block) of the same block with the largest token overlap of name or short name; the first ordinal of equal ones; only from threshold on (above 0).
 
@@ -240,13 +254,17 @@ def fuzzy_squad_match(players: DataFrame, ratings: DataFrame, block: str, thresh
     that share one of so many of the rarest meet. A name with fewer letter pairs
     than that meets those with which it shares what up to d deletions leave; only if
     d is above MOST_EDITS too (a low threshold, or one letter again and again) it meets
-    all of its block whose length allows the threshold.
+    all of its block whose length allows the threshold. Rows of the same block and
+    names (in lower case) are one: names that occur again and again meet once.
     """
     share = threshold / 100
-    mine = players.select("id", block, F.lower("name").alias("_name")).withColumn("tokens", letter_pairs(F.col("_name")))
+    players = players.select("id", F.lower("name").alias("name"), block)
+    asked = once_each(players.where(F.col("name").isNotNull()), ["name", block], "_left")
+    given = once_each(ratings.select("other_id", F.lower("other_name").alias("_long"), F.lower("other_short").alias("_short"), block), ["_long", "_short", block], "_right", "other_id")
+    mine = asked.select(F.col("_left").alias("id"), block, F.col("name").alias("_name")).withColumn("tokens", letter_pairs(F.col("_name")))
     keep = (2 * F.floor(F.length("_name") * (1 - share) / share + 1e-9) + 1).cast("int")
     mine = mine.withColumn("keep", keep)
-    theirs = ratings.select("other_id", block, F.lower("other_name").alias("_long"), F.lower("other_short").alias("_short"))
+    theirs = given.select(F.col("_right").alias("other_id"), block, "_long", "_short")
     known = theirs.withColumn("tokens", F.array_union(letter_pairs(F.coalesce("_long", F.lit(""))), letter_pairs(F.coalesce("_short", F.lit("")))))
     enough = F.size("tokens") >= F.col("keep")
     by_pairs = sharing_rare(mine.where(enough), known, block)
@@ -255,10 +273,10 @@ def fuzzy_squad_match(players: DataFrame, ratings: DataFrame, block: str, thresh
     by_deletions = sharing_deletions(short.where(F.col("edits") <= MOST_EDITS), theirs, block, math.ceil((MOST_EDITS + 1) / max(1 - share, 1e-9)))
     by_length = short.where(F.col("edits") > MOST_EDITS).join(theirs, block).where(fits("_long") | fits("_short")).select("id", "other_id")
     pairs = by_pairs.unionByName(by_deletions).unionByName(by_length)
-    names = pairs.join(mine.select("id", "_name"), "id").join(theirs.drop(block), "other_id")
+    names = pairs.join(mine.select("id", "_name"), "id").join(given.select(F.col("_right").alias("other_id"), "_long", "_short", "_least"), "other_id")
     scored = names.withColumn("score", F.greatest(similarity(F.col("_name"), F.col("_long")), similarity(F.col("_name"), F.col("_short"))))
-    best = scored.where(F.col("score") >= threshold).groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "other_id")).alias("b"))
-    return best.select("id", F.col("b.other_id").alias("other_id"), (-F.col("b.s")).alias("score"))
+    best = scored.where(F.col("score") >= threshold).groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "_least")).alias("b"))
+    return of_copies(players, asked, best.select(F.col("id").alias("_left"), F.col("b._least.other_id").alias("other_id"), (-F.col("b.s")).alias("score")), block)
 
 
 def exact_then_fallback_match(left: DataFrame, right: DataFrame, block: str, threshold: float) -> DataFrame:

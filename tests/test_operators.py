@@ -486,6 +486,18 @@ def test_newton_reaches_the_optimum(spark, classes, weighted):
         scoring.train_newton(df, features * 700, "k", classes)
 
 
+def test_copies_of_names_meet_once(spark, monkeypatch):
+    """A thousand copies of a few names on each side: pairs are made of distinct names, and each row gets the first of its best."""
+    kinds = ["red ring", "blue ring", "red bolt", "old gear"]
+    left = spark.range(1000).select("id", F.lit("b").alias("block"), F.element_at(F.array(*map(F.lit, kinds)), (F.col("id") % 4 + 1).cast("int")).alias("name"))
+    right = left.select((F.col("id") + 5000).alias("other_id"), "block", F.concat("name", F.lit("s")).alias("other_name"), F.col("name").alias("other_short"), (-F.col("id")).alias("ordinal"))
+    made, rare = [], joins.sharing_rare
+    monkeypatch.setattr(joins, "sharing_rare", lambda *a: made.append(rare(*a)) or made[-1])
+    fuzzy = {r["id"]: r["other_id"] for r in joins.fuzzy_squad_match(left, right, "block", 75.0).collect()}
+    assert fuzzy == {i: 5000 + i % 4 for i in range(1000)}
+    assert len(made) == 1 and all(m.count() <= 16 for m in made)
+
+
 def test_short_names_meet_by_deletions(spark):
     """Names of up to a few letters against all pairs of their block, by edit distance; repeated letters; empty and null names; thresholds high and low."""
     rng = np.random.default_rng(6)
