@@ -196,16 +196,19 @@ def token_match(left: DataFrame, right: DataFrame, block: str, threshold: float)
 
     A pair with the threshold shares at least threshold * n of the n words of its
     left name, hence one of any n - that + 1 of them: only rows that share one of
-    so many of the rarest meet.
+    so many of the rarest meet. Rows of the same block and names are one: names
+    that occur again and again meet once, whatever the number of their rows.
     """
+    mine = once_each(left.where(F.col("name").isNotNull()), ["name", block], "_left")
+    theirs = once_each(right, ["other_name", "other_short", block], "_right", "ordinal", "other_id")
     words = words_of("name")
     keep = F.size(words) - F.ceil(F.size(words) * threshold - 1e-9) + 1
-    asked = left.select("id", block, words.alias("tokens"), keep.alias("keep"))
-    known = right.select("other_id", block, words_of("other_name", "other_short").alias("tokens"))
-    pairs = sharing_rare(asked, known, block)
-    scored = pairs.join(left.select("id", "name"), "id").join(right, "other_id").withColumn("score", F.greatest(token_overlap(F.col("name"), F.col("other_name")), token_overlap(F.col("name"), F.col("other_short"))))
-    best = scored.where(F.col("score") >= threshold).groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "ordinal", "other_id")).alias("b"))
-    return best.select("id", F.col("b.other_id").alias("other_id"), (-F.col("b.s")).alias("score"))
+    asked = mine.select(F.col("_left").alias("id"), block, words.alias("tokens"), keep.alias("keep"))
+    known = theirs.select(F.col("_right").alias("other_id"), block, words_of("other_name", "other_short").alias("tokens"))
+    pairs = sharing_rare(asked, known, block).select(F.col("id").alias("_left"), F.col("other_id").alias("_right"))
+    scored = pairs.join(mine.select("_left", "name"), "_left").join(theirs, "_right").withColumn("score", F.greatest(token_overlap(F.col("name"), F.col("other_name")), token_overlap(F.col("name"), F.col("other_short"))))
+    best = scored.where(F.col("score") >= threshold).groupBy("_left").agg(F.min(F.struct((-F.col("score")).alias("s"), "_least")).alias("b"))
+    return of_copies(left, mine, best.select("_left", F.col("b._least.other_id").alias("other_id"), (-F.col("b.s")).alias("score")), block)
 
 
 def similarity(a: Column, b: Column) -> Column:
@@ -281,7 +284,8 @@ def fuzzy_squad_match(players: DataFrame, ratings: DataFrame, block: str, thresh
 
 def exact_then_fallback_match(left: DataFrame, right: DataFrame, block: str, threshold: float) -> DataFrame:
     """id, other_id and pass_no: rows of equal names (pass 1; the smallest other_id), then token matches of the rest (pass 2)."""
-    exact = left.join(right, (F.lower("name") == F.lower("other_name")) & (left[block] == right[block])).groupBy("id").agg(F.min("other_id").alias("other_id")).withColumn("pass_no", F.lit(1))
+    first = right.groupBy(F.lower("other_name").alias("_name"), block).agg(F.min("other_id").alias("other_id"))
+    exact = left.withColumn("_name", F.lower("name")).hint("merge").join(first, ["_name", block]).select("id", "other_id", F.lit(1).alias("pass_no"))
     rest = left.join(exact, "id", "left_anti")
     return exact.unionByName(token_match(rest, right, block, threshold).select("id", "other_id", F.lit(2).alias("pass_no")))
 

@@ -493,9 +493,13 @@ def test_copies_of_names_meet_once(spark, monkeypatch):
     right = left.select((F.col("id") + 5000).alias("other_id"), "block", F.concat("name", F.lit("s")).alias("other_name"), F.col("name").alias("other_short"), (-F.col("id")).alias("ordinal"))
     made, rare = [], joins.sharing_rare
     monkeypatch.setattr(joins, "sharing_rare", lambda *a: made.append(rare(*a)) or made[-1])
+    tokens = {r["id"]: r["other_id"] for r in joins.token_match(left, right, "block", 0.5).collect()}
+    assert tokens == {i: 5996 + i % 4 for i in range(1000)}
     fuzzy = {r["id"]: r["other_id"] for r in joins.fuzzy_squad_match(left, right, "block", 75.0).collect()}
     assert fuzzy == {i: 5000 + i % 4 for i in range(1000)}
-    assert len(made) == 1 and all(m.count() <= 16 for m in made)
+    passes = {r["id"]: (r["other_id"], r["pass_no"]) for r in joins.exact_then_fallback_match(left, right.withColumn("other_name", F.col("other_short")), "block", 0.5).collect()}
+    assert passes == {i: (5000 + i % 4, 1) for i in range(1000)}
+    assert len(made) == 3 and all(m.count() <= 16 for m in made)
 
 
 def test_short_names_meet_by_deletions(spark):
