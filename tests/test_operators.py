@@ -497,9 +497,11 @@ def test_copies_of_names_meet_once(spark, monkeypatch):
     assert tokens == {i: 5996 + i % 4 for i in range(1000)}
     fuzzy = {r["id"]: r["other_id"] for r in joins.fuzzy_squad_match(left, right, "block", 75.0).collect()}
     assert fuzzy == {i: 5000 + i % 4 for i in range(1000)}
+    low = {r["id"]: r["other_id"] for r in joins.fuzzy_squad_match(left, right, "block", 40.0).collect()}
+    assert low == fuzzy
     passes = {r["id"]: (r["other_id"], r["pass_no"]) for r in joins.exact_then_fallback_match(left, right.withColumn("other_name", F.col("other_short")), "block", 0.5).collect()}
     assert passes == {i: (5000 + i % 4, 1) for i in range(1000)}
-    assert len(made) == 3 and all(m.count() <= 16 for m in made)
+    assert len(made) == 4 and all(m.count() <= 16 for m in made)
 
 
 def test_short_names_meet_by_deletions(spark):
