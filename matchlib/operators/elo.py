@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import functools
 from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import written
+from ..sources.shared import scratch, written
 from .splits import with_position
 
 
@@ -114,17 +113,37 @@ def sliced(steps: DataFrame, share: float = SLICE) -> DataFrame:
     return steps.join(cut, ["league", "date"])
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """node and part, the smallest node that it is connected with, of edges(a, b). Every node takes the smallest part of its neighbours, then that part's part, so rounds grow with the logarithm of the longest path; each is written."""
+def linked(edges: DataFrame) -> DataFrame:
+    """node and part, one of the nodes that it is connected with, the same for all of them, of edges(a, b).
+
+    Every node moves to the one of its neighbours and itself that comes first in an
+    order by hash, new in each round; edges then link the places moved to. So in a
+    round some share of the nodes left merges, whatever the graph, and what has
+    merged whole is not read again. Rounds grow with the logarithm of the nodes.
+    """
     both = written(edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select(F.col("e.a").alias("node"), F.col("e.b").alias("other")).distinct(), "edges")
-    parts = written(both.groupBy("node").agg(F.least(F.min("node"), F.min("other")).alias("part")), "parts")
-    while True:
-        near = both.join(parts.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("part").alias("_near"))
-        nearer = parts.join(near, "node").select("node", F.least("part", "_near").alias("_p"), F.col("part").alias("_was"))
-        after = written(nearer.join(parts.select(F.col("node").alias("_p"), "part"), "_p").select("node", F.least("_p", "part").alias("part"), "_was"), "parts")
-        parts = after.select("node", "part")
-        if not after.where("part <> _was").limit(1).count():
-            return parts
+    moves: list[DataFrame] = []
+    while not moves or both.limit(1).count():
+        place = lambda c: F.struct(F.xxhash64(F.lit(len(moves)), c).alias("h"), F.col(c).alias("n"))
+        moves.append(written(both.groupBy("node").agg(F.least(place("node"), F.min(place("other")))["n"].alias("part")), "moves"))
+        ends = [moves[-1].select(F.col("node").alias(c), F.col("part").alias(f"_{c}")) for c in ("node", "other")]
+        left = both.join(ends[0], "node").join(ends[1], "other").where("_node <> _other")
+        both = written(left.select(F.col("_node").alias("node"), F.col("_other").alias("other")).distinct(), "edges")
+    out = moves.pop()
+    while moves:
+        after = out.select(F.col("node").alias("part"), F.col("part").alias("_after"))
+        out = moves.pop().join(after, "part", "left").select("node", F.coalesce("_after", "part").alias("part"))
+    return out
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """node and part, the smallest node that it is connected with, of edges(a, b)."""
+    parts = written(linked(edges), "parts")
+    return parts.join(parts.groupBy("part").agg(F.min("node").alias("_least")), "part").select("node", F.col("_least").alias("part"))
+
+
+#: Files of a slice at most.
+SLICE_FILES = 16
 
 
 def replayed_in_waves(steps: DataFrame, scales: list[float], share: float = SLICE) -> DataFrame:
@@ -132,64 +151,74 @@ def replayed_in_waves(steps: DataFrame, scales: list[float], share: float = SLIC
 
     No team of one part meets one of another within the slice, so parts don't
     depend on each other, and within a part matches come in order. Parts of all
-    slices are found at once. A slice reads and writes a table of ratings in the
-    shared folder, a row for each team; a lost executor costs a slice at most.
-    There are about as many slices as matches of a team over share.
+    slices are found at once, and so is the slice in which a team plays next: a
+    slice leaves its teams' ratings there, in the shared folder, and reads those
+    left for it, no others. So a slice is one job over its own matches and teams; a
+    lost executor costs a slice at most. There are about as many slices as matches
+    of a team over share. Teams of a slice are told apart by a hash of 64 bits: equal
+    ones would only make one part of two.
     """
     spark = steps.sparkSession
     steps = written(sliced(steps.withColumn("match_id", F.col("match_id").cast("long")), share), "slices")
-    node = lambda c: F.struct("league", "slice", F.col(c).alias("team"))
-    parts = written(connected(steps.select(node("home_team").alias("a"), node("away_team").alias("b"))).select("node.*", F.xxhash64("part.league", "part.slice", "part.team").alias("_hash"), F.struct("part.*").alias("part")), "parts")
-    found = written(steps.join(parts.withColumnRenamed("team", "home_team"), ["league", "slice", "home_team"]), "parted")
-    columns = ["_hash", "part", "kind", "date", "match_id", "league", *_STEP, "rating"]
+    node = lambda c: F.xxhash64("league", "slice", c)
+    parts = written(linked(steps.select(node("home_team").alias("a"), node("away_team").alias("b"))), "parts")
+    matches = steps.withColumns({"node": node("home_team"), "kind": F.lit(2)}).join(parts, "node").drop("node")
+    sides = steps.select("league", "slice", F.explode(F.array("home_team", "away_team")).alias("home_team")).distinct()
+    ahead = Window.partitionBy("league", "home_team").orderBy("slice")
+    teams = sides.withColumns({"node": node("home_team"), "kind": F.lit(0)}).join(parts, "node").drop("node")
+    teams = teams.withColumns({"next": F.lead("slice").over(ahead), "next_part": F.lead("part").over(ahead)})
+    base, left = scratch(spark, "waves"), scratch(spark, "left")
+    rows = matches.unionByName(teams, allowMissingColumns=True)
+    rows.repartition("slice", F.pmod("part", F.lit(SLICE_FILES))).write.partitionBy("slice").parquet(base)
+    rows = spark.read.schema(rows.drop("slice").schema).parquet
+    columns = ["part", "kind", "date", "match_id", "league", *_STEP, "next", "next_part", "rating"]
 
     def run(batches):
-        part, league, ratings, seen = None, None, {}, set()
-
-        def row(kind, league, ids, columns, teams, values):
-            n = len(league)
-            arrays = [pa.array([kind] * n, pa.int32()), pa.array(league, pa.string()), pa.array(ids, pa.int64()), *(pa.array(c, pa.list_(pa.float64())) for c in columns), pa.array(teams, pa.string()), pa.array(values, pa.list_(pa.float64()))]
-            return pa.RecordBatch.from_arrays(arrays, names=["kind", "league", "match_id", *RATINGS, "team", "rating"])
+        part, ratings, places = None, {}, {}
 
-        def closed():
-            played = [t for t in ratings if t in seen]
-            n = [None] * len(played)
-            return row(2, [league] * len(played), n, [n] * 4, played, [ratings[t] for t in played])
+        def row(slices, parts_of, league, ids, columns, teams, values):
+            arrays = [pa.array(slices, pa.int32()), pa.array(parts_of, pa.int64()), pa.array(league, pa.string()), pa.array(ids, pa.int64()), *(pa.array(c, pa.list_(pa.float64())) for c in columns), pa.array(teams, pa.string()), pa.array(values, pa.list_(pa.float64()))]
+            return pa.RecordBatch.from_arrays(arrays, names=["next", "part", "league", "match_id", *RATINGS, "home_team", "rating"])
 
         for batch in batches:
-            keys = batch.column("part").to_pylist()
-            kinds, leagues, ids, known = (batch.column(c).to_pylist() for c in ("kind", "league", "match_id", "rating"))
-            steps_of = list(zip(*(batch.column(c).to_pylist() for c in _STEP)))
-            out, mine, names = [[], [], [], []], [], []
-            for i, key in enumerate(keys):
+            keys, kinds, leagues, ids, known, later, later_part = (batch.column(c).to_pylist() for c in ("part", "kind", "league", "match_id", "rating", "next", "next_part"))
+            steps_of = zip(*(batch.column(c).to_pylist() for c in _STEP))
+            out, mine, names, moved = [[], [], [], []], [], [], []
+            for key, kind, league, match_id, rating, at, at_part, step in zip(keys, kinds, leagues, ids, known, later, later_part, steps_of):
                 if key != part:
-                    if part is not None:
-                        yield closed()
-                    part, league, ratings, seen = key, leagues[i], {}, set()
-                if kinds[i] == 0:
-                    ratings[steps_of[i][0]] = known[i]
+                    moved.extend((*where, *who, ratings[who]) for who, where in places.items())
+                    part, ratings, places = key, {}, {}
+                if kind == 0:
+                    if at is not None:
+                        places[league, step[0]] = (at, at_part)
+                elif kind == 1:
+                    ratings[league, step[0]] = rating
                 else:
-                    seen.update(steps_of[i][:2])
-                    _replay(ratings, [steps_of[i]], scales, out)
-                    mine.append(ids[i]), names.append(league)
+                    _replay(ratings, [((league, step[0]), (league, step[1]), *step[2:])], scales, out)
+                    mine.append(match_id), names.append(league)
+            n = [None] * len(mine)
             if mine:
-                n = [None] * len(mine)
-                yield row(1, names, mine, out, n, n)
-        if part is not None:
-            yield closed()
-
-    schema = f"kind int, {REPLAY}, team string, rating array<double>"
-    none = {c: F.lit(None).cast(found.schema[c].dataType).alias(c) for c in ("date", "match_id", *_STEP) if c != "home_team"}
-    ratings, results = spark.createDataFrame([], "league string, team string, rating array<double>"), []
+                yield row([-1] * len(mine), n, names, mine, out, n, n)
+            if moved:
+                yield passed(row, moved)
+        if places:
+            yield passed(row, [(*where, *who, ratings[who]) for who, where in places.items()])
+
+    def passed(row, moved):
+        at, at_part, league, team, rating = zip(*moved)
+        n = [None] * len(moved)
+        return row(at, at_part, league, n, [n] * 4, team, rating)
+
+    schema = f"next int, part long, {REPLAY}, home_team string, rating array<double>"
+    awaited = {r["next"] for r in teams.select("next").distinct().collect()}  # slices at most
     for i in range((steps.agg(F.max("slice")).first()[0] or 0) + 1):
-        now = found.where(F.col("slice") == i)
-        before = parts.where(F.col("slice") == i).join(ratings, ["league", "team"]).select("_hash", "part", F.lit(0).alias("kind"), none["date"], none["match_id"], "league", F.col("team").alias("home_team"), *(none[c] for c in _STEP[1:]), "rating")
-        rows = now.withColumns({"kind": F.lit(1), "rating": F.lit(None).cast("array<double>")}).select(*columns).unionByName(before.select(*columns))
-        ended = written(rows.repartition("_hash").sortWithinPartitions("_hash", "part", "kind", "date", "match_id").mapInArrow(run, schema), "wave")
-        results.append(ended.where("kind = 1").select("league", "match_id", *RATINGS))
-        moved = ended.where("kind = 2").select("league", "team", "rating")
-        ratings = written(ratings.join(moved, ["league", "team"], "left_anti").unionByName(moved), "ratings")
-    return functools.reduce(DataFrame.unionByName, results)
+        now = rows(f"{base}/slice={i}").withColumn("rating", F.lit(None).cast("array<double>"))
+        if i in awaited:
+            before = spark.read.schema("part long, league string, home_team string, rating array<double>").parquet(f"{left}/next={i}").withColumn("kind", F.lit(1))
+            now = now.unionByName(before, allowMissingColumns=True)
+        ended = now.select(*columns).repartition("part").sortWithinPartitions("part", "kind", "date", "match_id").mapInArrow(run, schema)
+        ended.write.mode("append").partitionBy("next").parquet(left)
+    return spark.read.schema(REPLAY).parquet(f"{left}/next=-1")
 
 
 #: Matches of a league that one task replays, some minutes; and slices, each a job or two, beyond which waves don't pay.
