@@ -325,6 +325,23 @@ def test_waves_equal_the_replay_in_order(spark):
     assert {tuple(map(str, r)) for r in both.collect()} == {tuple(map(str, r)) for r in elo.replayed_in_order(small, [1.0]).collect()}
 
 
+def test_waves_read_what_is_left_for_them(spark, monkeypatch):
+    """Two leagues with teams of the same names: edges shrink round by round, no table of all ratings is written, and ratings equal those in order."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for i in range(60):
+        h, a = rng.choice(16, 2, replace=False)
+        rows.append((f"l{i % 2}", i, date(2025, 1, 1) + timedelta(days=i // 4), f"t{h}", f"t{a}", float(rng.integers(10, 60)), 0.0, float(rng.choice([0, 0.5, 1])), 1500.0 + float(h), 1500.0 + float(a)))
+    steps = spark.createDataFrame(rows, STEPS)
+    tables, write = [], elo.written
+    monkeypatch.setattr(elo, "written", lambda df, label: tables.append((label, write(df, label))) or tables[-1][1])
+    got, want = ({r["match_id"]: r for r in f(steps, [1.0]).collect()} for f in (elo.replayed_in_waves, elo.replayed_in_order))
+    assert got == want and len(got) == 60
+    edges = [t.count() for label, t in tables if label == "edges"]
+    assert len(edges) > 2 and edges == sorted(set(edges), reverse=True) and edges[-1] == 0
+    assert not any(label == "ratings" for label, _ in tables)
+
+
 def test_connected_parts(spark):
     """A long path, a ring, a loop on itself and two that stand alone."""
     edges = [(i, i + 1) for i in range(40)] + [(100, 101), (101, 102), (102, 100), (200, 200), (300, 301)]
