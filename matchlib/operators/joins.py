@@ -173,10 +173,10 @@ def sharing_rare(left: DataFrame, right: DataFrame, block: str) -> DataFrame:
     """
     index = right.select("other_id", block, F.explode("tokens").alias("token"))
     often = index.groupBy(block, "token").agg(F.count("*").alias("_n"))
-    asked = left.select("id", block, "keep", F.explode("tokens").alias("token")).join(often, [block, "token"], "left")
+    asked = left.select("id", block, "keep", F.explode("tokens").alias("token")).join(often.hint("merge"), [block, "token"], "left")
     place = F.row_number().over(Window.partitionBy("id").orderBy(F.coalesce("_n", F.lit(0)), "token"))
     seeds = asked.withColumn("_place", place).where((F.col("_place") <= F.col("keep")) & F.col("_n").isNotNull())
-    return seeds.select("id", block, "token").join(index, [block, "token"]).select("id", "other_id").distinct()
+    return seeds.select("id", block, "token").join(index.hint("merge"), [block, "token"]).select("id", "other_id").distinct()
 
 
 def once_each(rows: DataFrame, key: list[str], number: str, *smallest: str) -> DataFrame:
@@ -187,7 +187,7 @@ def once_each(rows: DataFrame, key: list[str], number: str, *smallest: str) -> D
 
 def of_copies(left: DataFrame, asked: DataFrame, best: DataFrame, block: str) -> DataFrame:
     """id, other_id and score: best(_left, other_id, score), found for the distinct names asked(_left, name, block), for each row of left. Sides are merged: neither need fit a driver."""
-    found = asked.join(best, "_left").select("name", block, "other_id", "score")
+    found = asked.join(best.hint("merge"), "_left").select("name", block, "other_id", "score")
     return left.select("id", "name", block).hint("merge").join(found, ["name", block]).select("id", "other_id", "score")
 
 
@@ -206,7 +206,7 @@ def token_match(left: DataFrame, right: DataFrame, block: str, threshold: float)
     asked = mine.select(F.col("_left").alias("id"), block, words.alias("tokens"), keep.alias("keep"))
     known = theirs.select(F.col("_right").alias("other_id"), block, words_of("other_name", "other_short").alias("tokens"))
     pairs = sharing_rare(asked, known, block).select(F.col("id").alias("_left"), F.col("other_id").alias("_right"))
-    scored = pairs.join(mine.select("_left", "name"), "_left").join(theirs, "_right").withColumn("score", F.greatest(token_overlap(F.col("name"), F.col("other_name")), token_overlap(F.col("name"), F.col("other_short"))))
+    scored = pairs.join(mine.select("_left", "name").hint("merge"), "_left").join(theirs.hint("merge"), "_right").withColumn("score", F.greatest(token_overlap(F.col("name"), F.col("other_name")), token_overlap(F.col("name"), F.col("other_short"))))
     best = scored.where(F.col("score") >= threshold).groupBy("_left").agg(F.min(F.struct((-F.col("score")).alias("s"), "_least")).alias("b"))
     return of_copies(left, mine, best.select("_left", F.col("b._least.other_id").alias("other_id"), (-F.col("b.s")).alias("score")), block)
 
@@ -245,7 +245,18 @@ def sharing_deletions(left: DataFrame, right: DataFrame, block: str, longest: in
     own = F.when(F.col("edits") == 0, F.array("_name")).when(F.col("edits") == 1, deletions(F.col("_name"), 1)).otherwise(deletions(F.col("_name"), MOST_EDITS))
     names = F.filter(F.array_distinct(F.array("_long", "_short")), lambda n: n.isNotNull() & (F.length(n) <= longest))
     index = right.select("other_id", block, F.explode(names).alias("_n")).select("other_id", block, F.explode(deletions(F.col("_n"), MOST_EDITS)).alias("left_over"))
-    return left.select("id", block, F.explode(own).alias("left_over")).join(index, [block, "left_over"]).select("id", "other_id").distinct()
+    return left.select("id", block, F.explode(own).alias("left_over")).join(index.hint("merge"), [block, "left_over"]).select("id", "other_id").distinct()
+
+
+#: Parts into which the names of a block are dealt that meet all of it.
+DEALT = 16
+
+
+def meeting_all(left: DataFrame, right: DataFrame, block: str) -> DataFrame:
+    """left and right joined on the block alone. The names of a block are dealt into parts, each of which meets all of the other side: even tasks that hold a block of the right, and nothing that passes through the driver."""
+    every = F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1)))
+    dealt = F.pmod(F.xxhash64("id"), F.lit(DEALT)).cast("int")
+    return left.withColumn("_part", dealt).join(right.withColumn("_part", every).hint("merge"), [block, "_part"]).drop("_part")
 
 
 def fuzzy_squad_match(players: DataFrame, ratings: DataFrame, block: str, threshold: float = 75.0) -> DataFrame:
@@ -274,10 +285,12 @@ def fuzzy_squad_match(players: DataFrame, ratings: DataFrame, block: str, thresh
     fits = lambda c: (F.least(F.length("_name"), F.length(c)) >= share * F.greatest(F.length("_name"), F.length(c)) - 1e-9)
     short = mine.where(~enough).withColumn("edits", ((F.col("keep") - 1) / 2).cast("int"))
     by_deletions = sharing_deletions(short.where(F.col("edits") <= MOST_EDITS), theirs, block, math.ceil((MOST_EDITS + 1) / max(1 - share, 1e-9)))
-    by_length = short.where(F.col("edits") > MOST_EDITS).join(theirs, block).where(fits("_long") | fits("_short")).select("id", "other_id")
-    pairs = by_pairs.unionByName(by_deletions).unionByName(by_length)
-    names = pairs.join(mine.select("id", "_name"), "id").join(given.select(F.col("_right").alias("other_id"), "_long", "_short", "_least"), "other_id")
-    scored = names.withColumn("score", F.greatest(similarity(F.col("_name"), F.col("_long")), similarity(F.col("_name"), F.col("_short"))))
+    wanted = ("id", "_name", "_long", "_short", "_least")
+    # many pairs: scored where they meet, so that only each task's best are sent on
+    by_length = meeting_all(short.where(F.col("edits") > MOST_EDITS).select("id", block, "_name"), given, block).where(fits("_long") | fits("_short")).select(*wanted)
+    pairs = by_pairs.unionByName(by_deletions)
+    names = pairs.join(mine.select("id", "_name").hint("merge"), "id").join(given.withColumnRenamed("_right", "other_id").hint("merge"), "other_id").select(*wanted)
+    scored = names.unionByName(by_length).withColumn("score", F.greatest(similarity(F.col("_name"), F.col("_long")), similarity(F.col("_name"), F.col("_short"))))
     best = scored.where(F.col("score") >= threshold).groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "_least")).alias("b"))
     return of_copies(players, asked, best.select(F.col("id").alias("_left"), F.col("b._least.other_id").alias("other_id"), (-F.col("b.s")).alias("score")), block)
 

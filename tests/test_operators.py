@@ -629,3 +629,14 @@ def test_streamed_features_restart_and_late_rows(spark, tmp_path):
         commit.unlink()
     run()
     assert as_rows(store.table(spark), whole.columns) == want
+
+
+@pytest.mark.parametrize("threshold", [40.0, 75.0])
+def test_name_matches_broadcast_no_names(spark, threshold):
+    """Distinct names may be as many as rows: none of the joins sends a side of them through the driver, however small its files are."""
+    left = spark.range(50).select("id", F.lit("b").alias("block"), F.concat(F.lit("red ring "), "id").alias("name"))
+    right = left.select((F.col("id") + 500).alias("other_id"), "block", F.col("name").alias("other_name"), F.concat("name", F.lit("s")).alias("other_short"), F.col("id").alias("ordinal"))
+    fuzzy = joins.fuzzy_squad_match(left, right, "block", threshold)
+    for found in (fuzzy, joins.token_match(left, right, "block", threshold / 100)):
+        assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r["id"]: (r["other_id"], r["score"]) for r in fuzzy.collect()} == {i: (500 + i, 100.0) for i in range(50)}
