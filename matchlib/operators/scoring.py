@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from ..sources.shared import dealt
+
 
 def goal_rates(df: DataFrame, params: DataFrame) -> DataFrame:
     """lambda_home and lambda_away from both sides' attack and defense and one row of params."""
@@ -91,7 +93,7 @@ def compress_to_uniform(df: DataFrame, factor: float = 0.20, only: Column | None
 def blend_models(long: DataFrame, weights: DataFrame, draw: DataFrame, draw_weight: float) -> DataFrame:
     """match_id, p_h, p_d and p_a: long(match_id, model, p_h, p_d, p_a) averaged with weights(model, w_h, w_d, w_a), a draw model (match_id, p_draw) mixed in, the rest split as it stands."""
     joined = long.join(weights, "model")
-    mixed = joined.groupBy("match_id").agg(*((F.sum(F.col(f"p_{c}") * F.col(f"w_{c}")) / F.sum(f"w_{c}")).alias(f"_{c}") for c in "hda")).join(draw, "match_id", "left")
+    mixed = dealt(joined, "match_id").groupBy("match_id").agg(*((F.sum(F.col(f"p_{c}") * F.col(f"w_{c}")) / F.sum(f"w_{c}")).alias(f"_{c}") for c in "hda")).join(draw, "match_id", "left")
     d = F.when(F.col("p_draw").isNull(), F.col("_d")).otherwise((1 - draw_weight) * F.col("_d") + draw_weight * F.col("p_draw"))
     rest = F.col("_h") + F.col("_a")
     share = F.when(rest > 0, F.col("_h") / rest).otherwise(0.5)
@@ -103,7 +105,7 @@ def blend_models(long: DataFrame, weights: DataFrame, draw: DataFrame, draw_weig
 def blend_interval(long: DataFrame, least: float = 0.15) -> DataFrame:
     """Per match and class of long(match_id, model, weight, p_h, p_d, p_a): weighted mean and mean -/+ weighted deviation over models of at least least weight (all if none has it), within 0 and 1."""
     some = F.max("weight").over(Window.partitionBy("match_id"))
-    kept = long.withColumn("_w", F.when((F.col("weight") >= least) | (some < least), F.col("weight")).otherwise(0.0))
+    kept = dealt(long, "match_id").withColumn("_w", F.when((F.col("weight") >= least) | (some < least), F.col("weight")).otherwise(0.0))
     agg = []
     for c in "hda":
         agg += [F.sum(F.col("_w") * F.col(f"p_{c}")).alias(f"_m{c}"), F.sum(F.col("_w") * F.col(f"p_{c}") * F.col(f"p_{c}")).alias(f"_q{c}")]

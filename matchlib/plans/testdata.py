@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.cleaning import scale_rank
+from ..sources.shared import dealt
 
 STAGE_NAMES = ["Unknown", "Group Stage", "Round of 16", "Quarterfinal", "semifinal", "Final", "third-place", "qualification"]
 CONFEDERATIONS = {"AFRICA": (90.0, 0.9), "AMERICA": (110.0, 1.0), "ASIA": (80.0, 0.85), "EUROPE": (80.0, 1.0), "MIDDLE EAST": (60.0, 0.65)}
@@ -93,7 +94,8 @@ class Views:
         h = F.col("o_custkey") % F.col("n")
         base = self.with_n(self.table("orders")).select("o_orderkey", "o_orderdate", "o_orderpriority", "o_orderstatus", price.alias("price"), h.alias("h"), ((h + 1 + F.col("o_orderkey") % (F.col("n") - 1)) % F.col("n")).alias("a"))
         x, y = (self.team().select(*(F.col(c).alias(f"{s}_{c}") for c in ("id", "team", "confederation", "rank"))) for s in ("home", "away"))
-        joined = base.join(x, F.col("h") == F.col("home_id")).join(y, F.col("a") == F.col("away_id"))
+        n = self.table("orders").count()
+        joined = dealt(dealt(base, "h", n).join(x, F.col("h") == F.col("home_id")), "a", n).join(y, F.col("a") == F.col("away_id"))
         stage = F.element_at(F.array(*map(F.lit, STAGE_NAMES)), (F.col("o_orderkey") % 8 + 1).cast("int"))
         return joined.select(
             F.col("o_orderkey").alias("match_id"), F.to_date("o_orderdate").alias("date"), "home_team", "away_team", (F.col("price") % 5).cast("int").alias("home_score"), (F.expr("price div 7") % 4).cast("int").alias("away_score"),

@@ -29,3 +29,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = scratch(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a part, where parts follow the rows, and rows up to which they needn't.
+PART_ROWS, FEW = 250_000, 2_000_000
+
+
+def dealt(rows: DataFrame, key: str, n: int | None = None) -> DataFrame:
+    """rows, n of them, dealt by key into as many parts as hold some PART_ROWS each, however well they compress: what a task sorts or holds doesn't grow with the rows. Without n they are counted; few rows stay as they are. Parts are no fewer than those of other shuffles, else a join would shuffle again."""
+    n = rows.count() if n is None else n
+    if n <= FEW:
+        return rows
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(least, -(-n // PART_ROWS)), key)

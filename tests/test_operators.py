@@ -11,6 +11,8 @@ from matchlib.functions import cleaning as B
 from matchlib.operators import aggregates, elo, evaluation, joins, scoring, sets, splits
 from matchlib.operators import standings as K
 from matchlib.operators import windows as W
+from matchlib.plans import testdata
+from matchlib.sources import shared
 from matchlib.sources import feeds
 from matchlib.streaming import incremental
 from matchlib.streaming.features import FeatureStore, LastRows, stream_features
@@ -640,3 +642,31 @@ def test_name_matches_broadcast_no_names(spark, threshold):
     for found in (fuzzy, joins.token_match(left, right, "block", threshold / 100)):
         assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     assert {r["id"]: (r["other_id"], r["score"]) for r in fuzzy.collect()} == {i: (500 + i, 100.0) for i in range(50)}
+
+
+def test_blends_meet_in_parts_that_follow_the_rows(spark, monkeypatch):
+    """Twice the rows, twice the parts: a task holds as many matches as before."""
+    monkeypatch.setattr(shared, "PART_ROWS", 50)
+    monkeypatch.setattr(shared, "FEW", 100)
+
+    def blends(n):
+        long = spark.range(n).select((F.col("id") / 2).cast("long").alias("match_id"), F.when(F.col("id") % 2 == 0, "x").otherwise("y").alias("model"), *(F.lit(p).alias(f"p_{c}") for c, p in zip("hda", (0.5, 0.25, 0.25))))
+        weights = spark.createDataFrame([("x", 1.0, 1.0, 1.0), ("y", 1.0, 1.0, 1.0)], "model string, w_h double, w_d double, w_a double")
+        draw = spark.createDataFrame([], "match_id long, p_draw double")
+        return scoring.blend_models(long, weights, draw, 0.3), scoring.blend_interval(long.withColumn("weight", F.lit(0.5)))
+
+    for n in (400, 800):
+        for out in blends(n):
+            assert f", {n // 50}), REPARTITION_BY_NUM" in out._jdf.queryExecution().executedPlan().toString()
+            assert out.count() == n // 2 and {(r["p_h"], r["p_d"], r["p_a"]) for r in out.collect()} == {(0.5, 0.25, 0.25)}
+
+
+def test_many_matches_are_dealt_by_their_number(spark, monkeypatch):
+    """The same matches, and tasks of so many of them, whatever their teams' table is joined by."""
+    views = testdata.Views(spark, "/root/testdata/sf0.001")
+    want, n = views.matches().collect(), views.table("orders").count()
+    monkeypatch.setattr(shared, "FEW", n - 1)
+    monkeypatch.setattr(shared, "PART_ROWS", 100)
+    got = views.matches()
+    assert got._jdf.queryExecution().executedPlan().toString().count(f", {-(-n // 100)}), REPARTITION_BY_NUM") >= 2
+    assert sorted(got.collect()) == sorted(want) and len(want) > 100
