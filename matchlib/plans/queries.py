@@ -280,7 +280,7 @@ def per_team(name: str, columns: Callable[[], dict], expressions: dict[str, str]
     @query(name, sql)
     def _(v: Views) -> DataFrame:
         made = columns()
-        return W.long_table(v.matches()).select("match_id", "team", *(made[c].alias(c) if c in exact else F.round(made[c], 6).alias(c) for c in expressions))
+        return W.with_past(W.long_table(v.matches())).select("match_id", "team", *(made[c].alias(c) if c in exact else F.round(made[c], 6).alias(c) for c in expressions))
 
 
 _avg = lambda x, n, d: f"coalesce(avg({x}) OVER w{n}, {d})"
@@ -297,7 +297,7 @@ SQL_E4 = with_views("lng") + f", q AS (SELECT match_id, team, {_past} AS h FROM
 @query("e4_recency", SQL_E4)
 def e4(v: Views) -> DataFrame:
     made = W.recency()
-    return W.long_table(v.matches()).select("match_id", "team", *(F.round(x, 6).alias(c) for c, x in made.items()))
+    return W.with_past(W.long_table(v.matches())).select("match_id", "team", *(F.round(x, 6).alias(c) for c, x in made.items()))
 
 
 per_team("e5_clean_sheets", W.clean_sheets, {"clean_sheet_rate_w5": _avg("CAST(ga = 0 AS INT)", 5, 0.0)})
@@ -307,7 +307,7 @@ SQL_E7 = with_views("lng") + f", q AS (SELECT match_id, team, list({{'h': is_hom
 
 @query("e7_form_by_venue", SQL_E7)
 def e7(v: Views) -> DataFrame:
-    return W.long_table(v.matches()).select("match_id", "team", *(F.round(x, 6).alias(c) for c, x in W.form_by_venue().items()))
+    return W.with_past(W.long_table(v.matches())).select("match_id", "team", *(F.round(x, 6).alias(c) for c, x in W.form_by_venue().items()))
 
 
 per_team("e9_draw_rate", W.draw_rate, {"draw_rate_w5": _avg("CAST(gf = ga AS INT)", 5, 0.25)})
@@ -316,7 +316,7 @@ _streak = lambda broken: f"least(10, rn - 1 - coalesce(max(CASE WHEN {broken} TH
 
 @query("e10_streaks", with_views("lng") + ", o AS (SELECT *, row_number() OVER (PARTITION BY team ORDER BY date, match_id) AS rn FROM lng) SELECT match_id, team, " + f"{_streak('points <> 3')} AS win_streak, {_streak('points = 0')} AS unbeaten_streak, {_streak('points <> 0')} AS loss_streak FROM o")
 def e10(v: Views) -> DataFrame:
-    return W.long_table(v.matches()).select("match_id", "team", *(x.cast("long").alias(c) for c, x in W.streaks().items()))
+    return W.with_past(W.long_table(v.matches())).select("match_id", "team", *(x.cast("long").alias(c) for c, x in W.streaks().items()))
 
 
 _rest = "greatest(0, coalesce(date_diff('day', lag(date) OVER ws, date), 7))"
@@ -346,7 +346,7 @@ def e16(v: Views) -> DataFrame:
 SELECT m.match_id, round(x.f, 6) AS home_form_w5, round(y.f, 6) AS away_form_w5, round(x.f - y.f, 6) AS form_diff FROM matches m JOIN h x ON x.match_id = m.match_id AND x.side = 'home' JOIN h y ON y.match_id = m.match_id AND y.side = 'away'""")
 def e19(v: Views) -> DataFrame:
     def form(m: DataFrame) -> DataFrame:
-        long = W.long_table(m).withColumns(W.form((5,)))
+        long = W.with_past(W.long_table(m)).withColumns(W.form((5,)))
         return W.fold_back(m.select("match_id"), long, ["form_w5"])
 
     blocks = [("form", form), ("broken", lambda m: m.select("no_such_column")), ("diff", lambda m: form(m).select("match_id", (F.col("home_form_w5") - F.col("away_form_w5")).alias("form_diff")))]

@@ -670,3 +670,36 @@ def test_many_matches_are_dealt_by_their_number(spark, monkeypatch):
     got = views.matches()
     assert got._jdf.queryExecution().executedPlan().toString().count(f", {-(-n // 100)}), REPARTITION_BY_NUM") >= 2
     assert sorted(got.collect()) == sorted(want) and len(want) > 100
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_features_look_back_row_by_row(spark):
+    """No frame is gathered or summed anew for each row, and the features are those of a plain count of the last 30 matches."""
+    m = played(spark, 200).withColumn("neutral", F.col("match_id") % 3 == 0)
+    long = W.long_table(m)
+    made = W.team_features(long)
+    plan = plan_of(made)
+    assert "lag(" in plan and not any(f in plan for f in ("collect_list", "avg(", "lambda"))
+    kept: dict[str, list] = {}
+    seen = 0
+    for r in made.orderBy("date", "match_id", "side").collect():
+        past = kept.setdefault(r["team"], [])[-30:]
+        if past:
+            at = [1 if x["is_home"] else -1 if x["is_home"] is None else 0 for x in past]
+            plain = incremental.team_features([str(x["date"]) for x in past], *([x[c] for x in past] for c in ("points", "gf", "ga")), at)
+            for c, x in plain.items():
+                if c != "last_date":
+                    assert r["form_last5" if c == "form_w5" else c] == pytest.approx(x), c
+                    seen += 1
+        kept[r["team"]].append(r)
+    assert seen > 1000 and max(map(len, kept.values())) > 40
+
+
+def test_sides_are_not_widened_before_they_meet(spark):
+    long = spark.createDataFrame([(1, "home", 3), (1, "away", 4), (2, "away", None), (2, "home", 5), (3, "home", 6), (4, "away", 7)], "match_id long, side string, x int")
+    got = W.by_sides(long, "match_id", ["x"])
+    assert "max(" not in plan_of(got)
+    assert sorted(map(tuple, got.collect())) == [(1, 3, 4), (2, 5, None), (3, 6, None), (4, None, 7)]
