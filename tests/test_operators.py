@@ -703,3 +703,14 @@ def test_sides_are_not_widened_before_they_meet(spark):
     got = W.by_sides(long, "match_id", ["x"])
     assert "max(" not in plan_of(got)
     assert sorted(map(tuple, got.collect())) == [(1, 3, 4), (2, 5, None), (3, 6, None), (4, None, 7)]
+
+
+def test_pairs_of_teams_copy_a_team_once_a_block(spark):
+    """Both sides are dealt into blocks, in parts that follow the pairs; every ordered pair of rows of other names comes once."""
+    teams = spark.createDataFrame([(f"t{i % 90}" if i % 30 else None, i) for i in range(100)], "team string, rank int")
+    rows = teams.collect()
+    want = sorted((x["team"], x["rank"], y["team"], y["rank"]) for x in rows for y in rows if x["team"] and y["team"] and x["team"] != y["team"])
+    for blocks in (None, 1, 7):
+        got = joins.pair_matrix(teams, blocks)
+        assert plan_of(got).count("Generate explode") == 2 and plan_of(got).count("REPARTITION_BY_NUM") == 2
+        assert sorted(map(tuple, got.collect())) == want
