@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator
 from datetime import date
 
 import pandas as pd
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -151,40 +152,48 @@ except ImportError:
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def with_keyed_state(stream: DataFrame, key: str, processor: StatefulProcessor, schema: str, mode: str, time: str = "None") -> DataFrame:
-    """stream through a stateful processor for each key. State of lists and maps lies row by row in a RocksDB store, which the session is set to."""
+def with_keyed_state(stream: DataFrame, key: str, processor: StatefulProcessor, schema: str, mode: str, rows: bool = False, time: str = "None") -> DataFrame:
+    """stream through a stateful processor for each key: of few keys in pandas frames, of many keys row by row, as a frame for each key costs more than its rows. State lies in a RocksDB store, which the session is set to."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    return stream.groupBy(key).transformWithStateInPandas(processor, schema, mode, time)
+    groups = stream.groupBy(key)
+    return (groups.transformWithState if rows else groups.transformWithStateInPandas)(processor, schema, mode, time)
 
 
 class TeamProcessor(StatefulProcessor):
-    """A team's last matches as a list, and how many it has played."""
+    """A team's last matches, a text each as packed() has it, and how many it has played, read and written as one value. Of a batch's rows no more than are kept are held."""
 
     def __init__(self, kept: int = 30):
         self.kept = kept
 
     def init(self, handle) -> None:
-        self.matches = handle.getListState("matches", "date string, points int, gf int, ga int, home int")
-        self.played = handle.getValueState("played", "n long")
-
-    def handleInputRows(self, key, batches, timers):  # noqa: N802
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["date", "match_id"])
-        new = list(zip(rows["date"].astype(str), *(map(int, rows[c]) for c in ("points", "gf", "ga", "is_home"))))
-        last = [*([tuple(m) for m in self.matches.get()] if self.matches.exists() else []), *new][-self.kept :]
-        played = (self.played.get()[0] if self.played.exists() else 0) + len(new)
-        self.matches.put(last)
-        self.played.update((played,))
-        dates, *numbers = map(list, zip(*last))
-        yield pd.DataFrame([{"team": key[0], "n_matches": played, **team_features(dates, *numbers)}])
+        self.matches = handle.getValueState("matches", "matches array<string>, played long")
+
+    def handleInputRows(self, key, rows, timers):  # noqa: N802
+        old, played = self.matches.get() or ([], 0)
+        last, count = [], 0
+        for count, r in enumerate(rows, 1):
+            match = r["match"]
+            day, match_id, _ = match.split(" ", 2)
+            (heapq.heappush if count <= self.kept else heapq.heappushpop)(last, (day, int(match_id), count, match))
+        matches = [*old, *(m for *_, m in sorted(last))][-self.kept :]
+        self.matches.update((matches, played + count))
+        dates, _, *numbers = zip(*(m.split(" ") for m in matches))
+        yield Row(team=key[0], n_matches=played + count, **team_features(dates, *(list(map(int, x)) for x in numbers)))
 
     def close(self) -> None:
         pass
 
 
+def packed(long: DataFrame) -> DataFrame:
+    """team and match, a text of all else that the state needs: a worker pays for each column of each row."""
+    parts = [x for c in ("date", "match_id", "points", "gf", "ga", "is_home") for x in (F.lit(" "), F.col(c).cast("string"))]
+    return long.select("team", F.concat(*parts[1:]).alias("match"))
+
+
 def stream_team_state(long: DataFrame, keyed: bool = HAS_KEYED_STATE) -> DataFrame:
     """Per-team rolling state of a stream of the long table (team, date, match_id, points, gf, ga, is_home): a row for each team that a batch touches, and only their state is read and written."""
     if keyed:
-        return with_keyed_state(long, "team", TeamProcessor(), TEAM_STATE, "Update")
+        return with_keyed_state(packed(long), "team", TeamProcessor(), TEAM_STATE, "Update", rows=True)
     return long.groupBy("team").applyInPandasWithState(team_state, TEAM_STATE, STATE, "update", GroupStateTimeout.NoTimeout)
 
 

@@ -714,3 +714,15 @@ def test_pairs_of_teams_copy_a_team_once_a_block(spark):
         got = joins.pair_matrix(teams, blocks)
         assert plan_of(got).count("Generate explode") == 2 and plan_of(got).count("REPARTITION_BY_NUM") == 2
         assert sorted(map(tuple, got.collect())) == want
+
+
+@pytest.mark.skipif(not incremental.HAS_KEYED_STATE, reason="needs protobuf")
+def test_streamed_teams_cost_no_frame_each(spark, tmp_path):
+    """Teams' rows reach their state as rows of one text each, not as a frame for each team; features are those of plain state, over restarts and more matches than are kept."""
+    row = lambda i: (f"t{i % 3 if i % 40 else 99}", date(2025, 1, 1) + timedelta(days=i % 50), 1000 - i, (3, 1, 0)[i % 3], i % 5, i % 4, i % 3 - 1)
+    batches = [spark.createDataFrame([row(i) for i in ids], "team string, date date, match_id long, points int, gf int, ga int, is_home int") for ids in (range(0, 150, 2), range(1, 150, 2), range(150, 160))]
+    made = incremental.stream_team_state(spark.readStream.schema(batches[0].schema).parquet(str(tmp_path)))
+    assert "pandas" not in made._jdf.queryExecution().logical().toString()
+    keyed, plain = ([sorted(map(tuple, rows)) for rows, _ in run_stream(spark, tmp_path / str(k), batches, lambda s: incremental.stream_team_state(s, keyed=k), "update")] for k in (True, False))  # noqa: B023
+    assert keyed == plain and [len(rows) for rows in keyed] == [4, 3, 3]
+    assert max(r[1] for rows in keyed for r in rows) > 40
