@@ -6,6 +6,7 @@ import heapq
 from collections.abc import Iterator
 from datetime import date
 
+import numpy as np
 import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -201,25 +202,46 @@ ELO_STATE = "teams array<string>, ratings array<double>"
 ELO_OUT = "league string, match_id long, home_elo_pre double, away_elo_pre double"
 
 
-def rated_in_order(rows: pd.DataFrame, rating: dict[str, float]) -> list[tuple[float, float]]:
-    """Applies matches to the ratings; returns those before each match."""
-    pre = []
-    for h, a, k, advantage, score, x, y in zip(*(rows[c] for c in ("home_team", "away_team", "step", "advantage", "score", "home_start", "away_start"))):
-        x, y = rating.get(h, x), rating.get(a, y)
-        change = k * (score - 1.0 / (1.0 + 10.0 ** ((y - x - advantage) / 400.0)))
-        pre.append((x, y))
-        rating[h], rating[a] = x + change, y - change
-    return pre
+#: Matches of a league that are taken from arrays and emitted at a time.
+CHUNK = 10_000
+
+
+def gathered(batches: Iterator[pd.DataFrame]) -> tuple[dict[str, int], dict[str, np.ndarray]]:
+    """(number of each team, columns as arrays of numbers) of a league's matches in a batch: what is held of a match is 64 bytes, no names, dates or frames."""
+    teams: dict[str, int] = {}
+    held: dict[str, list[np.ndarray]] = {c: [] for c in ("date", "match_id", "home_team", "away_team", "step", "advantage", "score", "home_start", "away_start")}
+    for rows in batches:
+        for c, arrays in held.items():
+            if c.endswith("team"):
+                arrays.append(np.fromiter((teams.setdefault(t, len(teams)) for t in rows[c]), np.int32, len(rows)))
+            else:
+                arrays.append(rows[c].to_numpy().astype("datetime64[D]" if c == "date" else np.int64 if c == "match_id" else np.float64))
+    return teams, {c: np.concatenate(held.pop(c)) for c in list(held)}
+
+
+def rated_in_order(columns: dict[str, np.ndarray], rating: dict[int, float]) -> Iterator[pd.DataFrame]:
+    """Applies matches in order of date and match_id to the ratings by number of team, all of them at once; then gives match_id and the ratings before each match in frames. Start ratings give way to these ratings, so nothing more is held."""
+    order = np.lexsort((columns["match_id"], columns.pop("date")))
+    chunks = [order[i : i + CHUNK] for i in range(0, len(order), CHUNK)]
+    for at in chunks:
+        pre = []
+        for h, a, k, advantage, score, x, y in zip(*(columns[c][at].tolist() for c in ("home_team", "away_team", "step", "advantage", "score", "home_start", "away_start"))):
+            x, y = rating.get(h, x), rating.get(a, y)
+            change = k * (score - 1.0 / (1.0 + 10.0 ** ((y - x - advantage) / 400.0)))
+            pre.append((x, y))
+            rating[h], rating[a] = x + change, y - change
+        columns["home_start"][at], columns["away_start"][at] = np.array(pre).T
+    return (pd.DataFrame({"match_id": columns["match_id"][at], "home_elo_pre": columns["home_start"][at], "away_elo_pre": columns["away_start"][at]}) for at in chunks)
 
 
 def elo_state(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """The ratings of a league's teams; emits those before each match. Rows of a batch are applied in order of date and match_id."""
-    rows = pd.concat(list(batches), ignore_index=True).sort_values(["date", "match_id"])
-    teams, values = state.get if state.exists else ([], [])
-    rating = dict(zip(teams, values))
-    pre = rated_in_order(rows, rating)
-    state.update((list(rating), list(rating.values())))
-    yield pd.DataFrame({"league": key[0], "match_id": rows["match_id"], "home_elo_pre": [x for x, _ in pre], "away_elo_pre": [y for _, y in pre]})
+    teams, columns = gathered(batches)
+    rating = {teams.setdefault(t, len(teams)): r for t, r in zip(*(state.get if state.exists else ([], [])))}
+    rated = rated_in_order(columns, rating)
+    state.update(([t for t, i in teams.items() if i in rating], [rating[i] for i in teams.values() if i in rating]))
+    for rows in rated:
+        yield rows.assign(league=key[0])[["league", *rows.columns]]
 
 
 class EloProcessor(StatefulProcessor):
@@ -229,19 +251,20 @@ class EloProcessor(StatefulProcessor):
         self.ratings = handle.getMapState("ratings", "team string", "rating double")
 
     def handleInputRows(self, key, batches, timers):  # noqa: N802
-        rows = pd.concat(list(batches), ignore_index=True).sort_values(["date", "match_id"])
-        known = {t: self.ratings.getValue((t,))[0] for t in {*rows["home_team"], *rows["away_team"]} if self.ratings.containsKey((t,))}
-        pre = rated_in_order(rows, known)
-        for team, rating in known.items():
-            self.ratings.updateValue((team,), (rating,))
-        yield pd.DataFrame({"league": key[0], "match_id": rows["match_id"], "home_elo_pre": [x for x, _ in pre], "away_elo_pre": [y for _, y in pre]})
+        teams, columns = gathered(batches)
+        rating = {i: self.ratings.getValue((t,))[0] for t, i in teams.items() if self.ratings.containsKey((t,))}
+        rated = rated_in_order(columns, rating)
+        for team, i in teams.items():
+            self.ratings.updateValue((team,), (rating[i],))
+        for rows in rated:
+            yield rows.assign(league=key[0])[["league", *rows.columns]]
 
     def close(self) -> None:
         pass
 
 
 def stream_elo(steps: DataFrame, keyed: bool = HAS_KEYED_STATE) -> DataFrame:
-    """Ratings before each match of a stream of elo_steps with start ratings (elo.with_start). Both teams of a match share their league's state, so a league is one group of each batch: bound batches by the source's maxFilesPerTrigger. Its teams' ratings are entries of their own, so a batch costs what it touches, not what the league holds."""
+    """Ratings before each match of a stream of elo_steps with start ratings (elo.with_start). Both teams of a match share their league's state, so a league is one group of each batch: bound batches by the source's maxFilesPerTrigger; a task holds 64 bytes for each match of a league's batch. Its teams' ratings are entries of their own, so a batch costs what it touches, not what the league holds."""
     if keyed:
         return with_keyed_state(steps, "league", EloProcessor(), ELO_OUT, "Append")
     return steps.groupBy("league").applyInPandasWithState(elo_state, ELO_OUT, ELO_STATE, "append", GroupStateTimeout.NoTimeout)

@@ -1,8 +1,10 @@
 """Operators on hand-made rows."""
 
+import tracemalloc
 from datetime import date, timedelta
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
@@ -726,3 +728,24 @@ def test_streamed_teams_cost_no_frame_each(spark, tmp_path):
     keyed, plain = ([sorted(map(tuple, rows)) for rows, _ in run_stream(spark, tmp_path / str(k), batches, lambda s: incremental.stream_team_state(s, keyed=k), "update")] for k in (True, False))  # noqa: B023
     assert keyed == plain and [len(rows) for rows in keyed] == [4, 3, 3]
     assert max(r[1] for rows in keyed for r in rows) > 40
+
+
+def test_a_leagues_batch_is_held_as_numbers():
+    """Of a league's matches no frames, names or dates are held, and ratings leave in frames of bounded size."""
+    class State:
+        exists = False
+
+        def update(self, value):
+            self.value = value
+
+    def frames(n, size=1000):
+        for i in range(0, n, size):
+            ids = range(i, i + size)
+            yield pd.DataFrame({"match_id": ids, "date": [date(2025, 1, 1) + timedelta(days=j * 7 % 50) for j in ids], "home_team": [f"T{j % 20}" for j in ids], "away_team": [f"T{(j + 1 + j % 18) % 20}" for j in ids], "step": 30.0, "advantage": 100.0, "score": [float(j % 2) for j in ids], "home_start": 1500.0, "away_start": 1400.0})
+
+    n = 60_000
+    tracemalloc.start()
+    rows = {len(out) for out in incremental.elo_state(("L",), frames(n), State())}
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 * n and max(rows) <= incremental.CHUNK < n
