@@ -17,7 +17,7 @@ from ..operators import standings as K
 from ..operators.aggregates import score_model_params, stage_tally
 from ..operators import elo as R
 from ..sources.shared import written
-from .join_queries import _TALLY, ATTACKED, CONFIG, PARAMS, attacked, elo_matches, labelled
+from .join_queries import _TALLY, ATTACKED, CONFIG, PARAMS, attacked, labelled
 from .queries import query, r6
 from .testdata import STAGE_NAMES, Views, with_views
 
@@ -246,8 +246,8 @@ def j10(v: Views) -> DataFrame:
 NUMERIC = ["home_fifa_rank", "away_fifa_rank", "rank_diff"]
 
 
-def ranked(v: Views) -> DataFrame:
-    return I.chronological_split(labelled(v).withColumn("rank_diff", F.col("home_fifa_rank") - F.col("away_fifa_rank"))).withColumn("label", F.when(F.col("target") == "A", 0.0).when(F.col("target") == "D", 1.0).otherwise(2.0))
+def ranked(v: Views, matches: DataFrame | None = None) -> DataFrame:
+    return I.chronological_split(labelled(v, matches).withColumn("rank_diff", F.col("home_fifa_rank") - F.col("away_fifa_rank"))).withColumn("label", F.when(F.col("target") == "A", 0.0).when(F.col("target") == "D", 1.0).otherwise(2.0))
 
 
 _SPLIT = _POS + ", sp AS (SELECT *, home_fifa_rank - away_fifa_rank AS rank_diff, CASE WHEN position < floor(n * (1 - 0.20 - 0.15)) THEN 'train' WHEN position < floor(n * (1 - 0.15)) THEN 'val' ELSE 'test' END AS split FROM pos, c)"
@@ -265,27 +265,29 @@ def j11(v: Views) -> DataFrame:
 RATINGS_ONLY = ["home_elo_pre", "away_elo_pre", "elo_diff", "elo_win_prob"]
 
 
-def variants(v: Views) -> tuple[DataFrame, dict]:
-    """(rows with a split, encoded for each variant; name: (model, feature column)): all features, ratings only, and draws against the rest, by stage weight and class balance."""
-    rows = ranked(v).join(R.elo_replay(elo_matches(v), CONFIG, v.start()).select("match_id", "home_elo_pre", "away_elo_pre"), "match_id")
+def variants(v: Views, *names: str) -> tuple[DataFrame, dict]:
+    """(rows with a split, encoded for each variant; name: model) for the named variants only: all features, ratings only, and draws against the rest, by stage weight and class balance. Matches and encoded rows are written once: a fit passes over its rows several times."""
+    matches = written(v.matches(), "matches")
+    rows = ranked(v, matches).join(R.elo_replay(B.competition_attrs(matches, v.attrs()), CONFIG, v.start()).select("match_id", "home_elo_pre", "away_elo_pre"), "match_id")
     rows = rows.withColumns({"elo_diff": F.col("home_elo_pre") - F.col("away_elo_pre"), "elo_win_prob": R.elo_win_prob(F.col("home_elo_pre"), F.col("away_elo_pre"), F.col("neutral")), "stage_weight": F.when(F.col("neutral"), 0.5).otherwise(1.0), "draw": (F.col("target") == "D").cast("double")})
     rows = written(rows.select("match_id", "split", "label", "draw", "stage_weight", "competition", *NUMERIC, *RATINGS_ONLY), "ranked")
     train = rows.where("split = 'train'")
     scaled = J.scaled(train, rows, [*NUMERIC, *RATINGS_ONLY])
     encoded = J.encode_features(train, ["competition"], NUMERIC).transform(scaled)
     encoded = VectorAssembler(inputCols=RATINGS_ONLY, outputCol="ratings").transform(encoded)
-    fitted = J.balanced(encoded.where("split = 'train'"), "label", "stage_weight")
-    draws = J.balanced(encoded.where("split = 'train'"), "draw", "stage_weight")
-    return encoded, {
-        "all": J.train_logreg(fitted, "label", "sample_weight"),
-        "ratings": J.train_logreg(fitted, "label", "sample_weight", features="ratings"),
-        "draw": J.train_logreg(draws, "draw", "sample_weight", binary=True),
-    }
+    encoded = written(encoded.select("match_id", "split", "label", "draw", "stage_weight", "features", "ratings"), "encoded")
+    kinds = {"all": ("label", "features", False), "ratings": ("label", "ratings", False), "draw": ("draw", "features", True)}
+    models = {}
+    for name in names:
+        label, features, binary = kinds[name]
+        fitted = J.balanced(encoded.where("split = 'train'"), label, "stage_weight").select(label, features, "sample_weight")
+        models[name] = J.train_logreg(fitted, label, "sample_weight", features=features, binary=binary)
+    return encoded, models
 
 
 @query("j12_train_logreg")
 def j12(v: Views) -> DataFrame:
-    rows, models = variants(v)
+    rows, models = variants(v, "all", "ratings", "draw")
     test = rows.where("split = 'test'")
     out = [H.basic_metrics(J.predict_batch(models[name], test).withColumns({"y": F.col("label").cast("int"), "variant": F.lit(name)}), ["variant"]) for name in ("all", "ratings")]
     draw = J.predict_batch(models["draw"], test, classes=["rest", "draw"]).select(F.col("draw").cast("int").alias("y"), "p_draw", F.lit("draw").alias("variant"))
@@ -296,7 +298,7 @@ def j12(v: Views) -> DataFrame:
 
 @query("j13_predict_batch")
 def j13(v: Views) -> DataFrame:
-    rows, models = variants(v)
+    rows, models = variants(v, "all")
     return J.predict_batch(models["all"], rows).select("match_id", *(F.round(f"p_{c}", 4).alias(f"p_{c}") for c in "adh"))
 
 

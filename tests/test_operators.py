@@ -14,6 +14,7 @@ from matchlib.operators import aggregates, elo, evaluation, joins, scoring, sets
 from matchlib.operators import standings as K
 from matchlib.operators import windows as W
 from matchlib.plans import testdata
+from matchlib.plans.registry import QUERIES
 from matchlib.sources import shared
 from matchlib.sources import feeds
 from matchlib.streaming import incremental
@@ -749,3 +750,14 @@ def test_a_leagues_batch_is_held_as_numbers():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 200 * n and max(rows) <= incremental.CHUNK < n
+
+
+def test_predictions_fit_one_model_over_matches_made_once(spark, monkeypatch):
+    """A query fits no model that it doesn't use, and matches and encoded rows are made once for all passes."""
+    fits, made, train, matches = [], [], scoring.train_logreg, testdata.Views.matches
+    monkeypatch.setattr(scoring, "train_logreg", lambda rows, *a, **k: (fits.append(plan_of(rows)), train(rows, *a, **k))[1])
+    monkeypatch.setattr(testdata.Views, "matches", lambda v: (made.append(v), matches(v))[1])
+    rows = QUERIES["j13_predict_batch"](spark, "/root/testdata/sf0.001")
+    assert len(fits) == 1 and len(made) == 1 and "_ix" not in fits[0]
+    total = F.col("p_a") + F.col("p_d") + F.col("p_h")
+    assert rows.where(F.abs(total - 1) < 0.001).count() == matches(testdata.Views(spark, "/root/testdata/sf0.001")).count() > 0
