@@ -94,9 +94,9 @@ def map_competition(df: DataFrame, names: DataFrame, stages: DataFrame) -> DataF
 
 
 def competition_attrs(df: DataFrame, attrs: DataFrame) -> DataFrame:
-    """competition_weight (2 if unknown) and k_multiplier (1.0) by attrs(name, weight, k), whatever the case."""
+    """competition_weight (2 if unknown) and k_multiplier (1.0) by attrs(name, weight, k), whatever the case. attrs has a row for each competition, so it goes to the matches, not they by a few names to a few tasks."""
     a = attrs.select(F.lower(F.trim("name")).alias("_name"), F.col("weight").alias("_w"), F.col("k").alias("_k"))
-    joined = df.join(a, F.lower(F.trim("competition")) == F.col("_name"), "left")
+    joined = df.join(F.broadcast(a), F.lower(F.trim("competition")) == F.col("_name"), "left")
     return joined.withColumns({"competition_weight": F.coalesce("_w", F.lit(2)), "k_multiplier": F.coalesce("_k", F.lit(1.0))}).drop("_name", "_w", "_k")
 
 
@@ -113,7 +113,7 @@ def stage_attrs(df: DataFrame, names: DataFrame | None = None, column: str = "to
     raw = F.lower(F.trim(F.coalesce(F.col(column).cast("string"), F.lit("unknown"))))
     if names is not None:
         mapped = names.select(F.lower(F.trim("raw")).alias("_raw"), F.col("stage").alias("_stage"))
-        df = df.join(mapped, raw == F.col("_raw"), "left")
+        df = df.join(F.broadcast(mapped), raw == F.col("_raw"), "left")  # a row for each name of a stage
     stage = F.coalesce("_stage", normalize_stage(raw)) if names is not None else normalize_stage(raw)
     df = df.withColumn("stage", stage).drop("_raw", "_stage")
     importance, weight = (F.create_map(*(F.lit(x) for s, v in STAGES.items() for x in (s, v[i])))[F.col("stage")] for i in (0, 1))

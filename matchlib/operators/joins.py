@@ -117,11 +117,16 @@ def attach_venue(matches: DataFrame, fixtures: DataFrame, venues: DataFrame) ->
     return joined.withColumns({"venue_altitude_m": F.coalesce("altitude_m", F.lit(0)), "venue_is_dome": F.coalesce(F.col("is_dome").cast("int"), F.lit(0)), "venue_capacity": F.coalesce("capacity", F.lit(0))}).drop("city", "altitude_m", "is_dome", "capacity")
 
 
+def squad_ratings(rows: DataFrame, squads: DataFrame, side: str = "") -> DataFrame:
+    """rows with {side}squad_avg_rating (70) and {side}top_player_rating (75) of their {side}team."""
+    s = squads.select(F.col("team").alias("_t"), F.col("squad_avg_rating").alias("_avg"), F.col("top_player_rating").alias("_top"))
+    new = {f"{side}squad_avg_rating": F.coalesce("_avg", F.lit(70.0)), f"{side}top_player_rating": F.coalesce("_top", F.lit(75.0))}
+    return rows.join(s, F.col(f"{side}team") == F.col("_t"), "left").withColumns(new).drop("_t", "_avg", "_top")
+
+
 def attach_squad_ratings(matches: DataFrame, squads: DataFrame) -> DataFrame:
     """Average (70) and top (75) rating of both squads and the difference of the averages."""
-    for side in ("home", "away"):
-        s = squads.select(F.col("team").alias("_t"), F.col("squad_avg_rating").alias("_avg"), F.col("top_player_rating").alias("_top"))
-        matches = matches.join(s, F.col(f"{side}_team") == F.col("_t"), "left").withColumns({f"{side}_squad_avg_rating": F.coalesce("_avg", F.lit(70.0)), f"{side}_top_player_rating": F.coalesce("_top", F.lit(75.0))}).drop("_t", "_avg", "_top")
+    matches = squad_ratings(squad_ratings(matches, squads, "home_"), squads, "away_")
     return matches.withColumn("squad_rating_diff", F.col("home_squad_avg_rating") - F.col("away_squad_avg_rating"))
 
 

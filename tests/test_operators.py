@@ -1,7 +1,10 @@
 """Operators on hand-made rows."""
 
+import re
+import time
 import tracemalloc
 from datetime import date, timedelta
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -761,3 +764,67 @@ def test_predictions_fit_one_model_over_matches_made_once(spark, monkeypatch):
     assert len(fits) == 1 and len(made) == 1 and "_ix" not in fits[0]
     total = F.col("p_a") + F.col("p_d") + F.col("p_h")
     assert rows.where(F.abs(total - 1) < 0.001).count() == matches(testdata.Views(spark, "/root/testdata/sf0.001")).count() > 0
+
+
+@pytest.fixture
+def unbroadcast(spark):
+    """Nothing is broadcast for being small, as tables of a large run aren't."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def shuffled_files(spark):
+    """The shuffle files on this machine's disks."""
+    dirs = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {str(f) for d in dirs for f in Path(d).glob("*/shuffle_*.data")}
+
+
+def left_over(spark, before):
+    """Shuffle files made since before that stay; they are removed in the background."""
+    for _ in range(50):
+        if not shuffled_files(spark) - before:
+            break
+        time.sleep(0.1)
+    return shuffled_files(spark) - before
+
+
+def test_wide_rows_of_the_feature_table_are_not_shuffled(spark, unbroadcast):
+    """Only by match, team, pair of teams and, for its key alone, place: never the rows with features by a team or a competition's weight, and never matches by competition or stage."""
+    m = league(spark)
+    team = F.explode(F.array("home_team", "away_team")).alias("team")
+    teams = m.select(team).distinct()
+    blocks = {"penalties": teams.select("team", F.lit(1).alias("won"), F.lit(4).alias("played")), "squads": teams.select("team", F.lit(71.0).alias("squad_avg_rating"), F.lit(80.0).alias("top_player_rating")), "stages": spark.createDataFrame([("final", "final")], "raw string, stage string")}
+    rates = spark.createDataFrame([(3, 0.5, 0.25, 0.25)], "competition_weight int, h double, d double, a double")
+    rated_matches = m.join(elo.elo_replay(m).drop("league"), "match_id")
+    table = W.feature_table(rated_matches, rates, **blocks)
+    by = set(re.findall(r"hashpartitioning\((\w+?)#", plan_of(table)))
+    assert by <= {"match_id", "team", "_t", "a", "league", "_team"} and "SortMergeJoin" in plan_of(table)
+    found = {(r["home_penalty_win_rate"], r["away_penalty_win_rate"], r["home_squad_avg_rating"], r["away_top_player_rating"], r["tier_home_rate"], r["stage"]) for r in table.collect()}
+    assert found == {(0.25, 0.25, 71.0, 80.0, 0.5, "final")}
+    assert table.where("home_goals_for_last5 <> home_attack_w5 or away_long_break <> cast(away_rest_days > 21 as int)").count() == 0
+
+
+def test_matches_are_not_dealt_by_a_few_names(spark, unbroadcast):
+    attrs = spark.createDataFrame([("Cup", 5, 2.0)], "name string, weight int, k double")
+    stages = spark.createDataFrame([("last 16", "round_of_16")], "raw string, stage string")
+    m = spark.createDataFrame([(1, "cup ", "Last 16"), (2, "x", None)], "match_id long, competition string, tournament_stage string")
+    got = B.stage_attrs(B.competition_attrs(m, attrs), stages)
+    assert "SortMergeJoin" not in plan_of(got)
+    assert sorted((r["match_id"], r["competition_weight"], r["k_multiplier"], r["stage"]) for r in got.collect()) == [(1, 5, 2.0, "round_of_16"), (2, 2, 1.0, "unknown")]
+
+
+def test_sides_that_are_not_used_are_not_shuffled(spark):
+    long = spark.createDataFrame([(1, "home", 3, 4), (1, "away", 5, 6)], "match_id long, side string, used int, unused int")
+    got = W.by_sides(long, "match_id", ["used", "unused"]).select("home_used", "away_used")
+    assert "unused" not in got._jdf.queryExecution().optimizedPlan().toString().split("LogicalRDD")[0]
+    assert got.collect() == [(3, 5)]
+
+
+def test_what_a_written_table_shuffled_leaves_the_disks(spark):
+    before = shuffled_files(spark)
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count()
+    out = shared.written(df, "t")
+    assert not left_over(spark, before)
+    assert out.count() == 7
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
