@@ -127,7 +127,8 @@ def streamed(v: Views, slices: list[DataFrame], make, mode: str, start=None) ->
         q.awaitTermination()
 
     for part in slices:
-        part.write.mode("append").parquet(source)
+        with shared.shuffles_dropped(v.spark):
+            part.write.mode("append").parquet(source)
         run()
     return None if start else v.spark.read.parquet(out)
 
@@ -180,8 +181,9 @@ def l4(v: Views) -> DataFrame:
 
 @query("l4_stream_features", table_sql([*_COLUMNS]), dates=("date",))
 def l4f(v: Views) -> DataFrame:
-    matches, names = with_variants(v, elo_matches(v))
+    matches, names = with_variants(v, shared.written(elo_matches(v), "matches"))  # read by each slice, and each batch reads the cities
     venues, cities = places(v, matches)
+    cities = shared.written(cities, "cities")
     store = FeatureStore(scratch(v, "features"), CONFIG, v.start(), stages=names, penalties=v.penalties(), squads=v.squads(), venues=venues, cities=cities, inactivity_halflife=365.0)
     streamed(v, by_date(matches), None, "append", lambda stream, checkpoint: stream_features(stream, store, checkpoint, availableNow=True))
     return rounded(store.table(v.spark, tiers=TIERS).select("swapped", "target", *_COLUMNS), ("match_id",))

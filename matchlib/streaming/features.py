@@ -13,6 +13,7 @@ from ..functions.cleaning import dedup_matches, drop_incomplete
 from ..operators import windows as W
 from ..operators.aggregates import tier_base_rates
 from ..operators.elo import EloConfig, elo_replay
+from ..sources.shared import shuffles_dropped
 from .incremental import split_late
 
 
@@ -80,7 +81,8 @@ class FeatureStore:
     Features need a team's last 30 matches, a pair's last 10 and the ratings: these
     are kept as LastRows. A batch reads them for the teams and pairs that play, and
     writes its rated matches and its features, a row for each match, as a partition
-    of its own. What later matches change (shares of results by competition, the
+    of its own. What a write has shuffled leaves the disks with it; the rows of a
+    batch are written first (arrived), in the place of those of the batch before. What later matches change (shares of results by competition, the
     weight by age) and what follows from a row alone (swapped sides, differences) is
     added by table(). So table() equals windows.feature_table over all matches.
 
@@ -120,10 +122,14 @@ class FeatureStore:
 
     def append(self, matches: DataFrame, number: int) -> None:
         """Adds matches (with league, competition_weight and k_multiplier) as batch number, the one after the batch before; all are later than the mark, and match_id is unique. Adding a batch again replaces it."""
+        with shuffles_dropped(matches.sparkSession):
+            self._append(matches, number)
+
+    def _append(self, matches: DataFrame, number: int) -> None:
         spark = matches.sparkSession
-        matches = matches.withColumns({"league": F.coalesce("league", F.lit("")), "match_id": F.col("match_id").cast("long")}).persist()
-        rated = self._rated(matches, number)
-        matches.unpersist()
+        matches = matches.withColumns({"league": F.coalesce("league", F.lit("")), "match_id": F.col("match_id").cast("long")})
+        matches.write.mode("overwrite").parquet(f"{self.path}/arrived")
+        rated = self._rated(spark.read.schema(matches.schema).parquet(f"{self.path}/arrived"), number)
         sides = F.explode(F.array(*(F.struct(F.col(f"{s}_team").alias("team"), F.col(f"{s}_elo_post").alias("rating")) for s in ("home", "away")))).alias("s")
         self.ratings.advanced(rated.select("league", "date", "match_id", sides).select("league", "s.team", "date", "match_id", "s.rating"), number)
         long = W.team_features(self.teams.advanced(W.long_table(rated, W.OPPONENT), number), adjusted=True).where("_new")

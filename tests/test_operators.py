@@ -828,3 +828,17 @@ def test_what_a_written_table_shuffled_leaves_the_disks(spark):
     assert not left_over(spark, before)
     assert out.count() == 7
     assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
+
+
+def test_a_batch_of_the_feature_store_leaves_its_tables_only(spark, tmp_path, unbroadcast):
+    """No shuffle files, no rows in memory; and reading the table shuffles no row of it."""
+    m, store = league(spark).cache(), FeatureStore(f"file://{tmp_path}/store", buckets=4)
+    m.count()
+    before = shuffled_files(spark)
+    held = spark.sparkContext._jsc.sc().getPersistentRDDs().size()
+    store.append(m, 0)
+    assert not left_over(spark, before)
+    assert spark.sparkContext._jsc.sc().getPersistentRDDs().size() == held
+    table = store.table(spark)
+    assert "SortMergeJoin" not in plan_of(table) and table.count() > m.count() - 1
+    m.unpersist()
