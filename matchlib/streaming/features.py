@@ -81,10 +81,11 @@ class FeatureStore:
     Features need a team's last 30 matches, a pair's last 10 and the ratings: these
     are kept as LastRows. A batch reads them for the teams and pairs that play, and
     writes its rated matches and its features, a row for each match, as a partition
-    of its own. What a write has shuffled leaves the disks with it; the rows of a
-    batch are written first (arrived), in the place of those of the batch before. What later matches change (shares of results by competition, the
-    weight by age) and what follows from a row alone (swapped sides, differences) is
-    added by table(). So table() equals windows.feature_table over all matches.
+    of its own. Its rows are written first (arrived), in the place of those of the
+    batch before, and what a write has shuffled leaves the disks with it. What later
+    matches change (shares of results by competition, the weight by age) and what
+    follows from a row alone (swapped sides, differences) is added by table(). So
+    table() equals windows.feature_table over all matches.
 
     path: below a folder that the driver and all executors share. start(team, rating):
     as in elo_replay. blocks: the optional tables of windows.feature_table; a batch
